@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import simhash
+from tessera.llm import decontaminate, quality, simhash
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
