@@ -11,8 +11,6 @@ drawn towards, a stated prior, which stands alone where nothing is labelled.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +20,15 @@ from tessera.llm.common import map_arrow, raw_bytes, table
 
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = " \t\n\x0b\x0c\r"
-_FURNITURE = re.compile(rb"https?://|www\.|cookie|subscribe|click here|sign in|log in|all rights reserved|copyright|privacy policy|terms of (?:use|service)|javascript", re.I)
+#: Fixed phrases of page furniture, in lower case.
+_FURNITURE = (b"http://", b"https://", b"www.", b"cookie", b"subscribe", b"click here", b"sign in", b"log in", b"all rights reserved", b"copyright", b"privacy policy", b"terms of use", b"terms of service", b"javascript")
 
 #: Line features, in bit order, and each one's prior log-odds for boilerplate; the last two are bias and staying in a state.
 FEATURES = ("symbols >= 5 %", "symbols >= 1 %", "all upper case", "words repeat", "line repeats", "<= 3 words", ">= 12 words", "sentence end", "bars", "digits >= 20 %", "furniture", "!!")
 PRIOR = np.array([2.0, 0.5, 1.5, 2.0, 1.0, 0.3, -0.5, -0.5, 1.0, 0.5, 1.0, 1.0, -1.5, 1.0])
 
 
-def line_code(line: bytes, repeats: bool) -> tuple[int, int]:
+def line_code(line: bytes, repeats: bool, furniture: list[bytes]) -> tuple[int, int]:
     """Bits of FEATURES for a line, and its number of words."""
     words = line.split()
     n, size = len(words), len(line) or 1
@@ -46,7 +45,7 @@ def line_code(line: bytes, repeats: bool) -> tuple[int, int]:
         code |= (words[-1][-1:] in b".!?") << 7
     if (len(line) - len(line.translate(None, b"0123456789"))) * 5 >= size:
         code |= 1 << 9
-    if _FURNITURE.search(line):
+    if furniture and any(x in line.lower() for x in furniture):
         code |= 1 << 10
     if b"!!" in line:
         code |= 1 << 11
@@ -56,9 +55,11 @@ def line_code(line: bytes, repeats: bool) -> tuple[int, int]:
 def line_codes(text: bytes) -> tuple[list[int], list[int]]:
     """Feature codes and word counts of the lines that have a word."""
     codes, sizes, seen = [], [], set()
+    low = text.lower()
+    furniture = [x for x in _FURNITURE if x in low]
     for line in text.split(b"\n"):
         if line.strip():
-            code, n = line_code(line, line in seen)
+            code, n = line_code(line, line in seen, furniture)
             seen.add(line)
             codes.append(code)
             sizes.append(n)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, quality, simhash
+from tessera.llm import decontaminate, mixing, quality, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op6_source_mix": mixing.op6_source_mix,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_source_mix": mixing.OP6_SQL,
+}
