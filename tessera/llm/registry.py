@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, quality, simhash
+from tessera.llm import decontaminate, mixing, quality, secrets, simhash
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op10_quality_rules": quality.op10_quality_rules,
