@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, quality, secrets, simhash
+from tessera.llm import decontaminate, html_text, mixing, quality, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_html_text": html_text.op2_html_text,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_source_mix": mixing.op6_source_mix,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
