@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, html_text, mixing, quality, repeats, secrets, simhash, token_counts, toxicity
+from tessera.llm import decontaminate, html_text, mixing, passages, quality, repeats, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_repeated_strings": repeats.op7_repeated_strings,
+    "op8_fuzzy_passages": passages.op8_fuzzy_passages,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
 }
