@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, map_arrow, raw_bytes
+from tessera.llm.common import durable, map_arrow, raw_bytes, written
 from tessera.llm.components import connected_components
 
 #: Fingerprints that one task compares at once, at most twice this many.
@@ -76,19 +76,24 @@ def covering_masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
     ]
 
 
-def spanning_links(members: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the graph that links members within ``radius``; at most n - 1 links."""
-    left, right, rest = [], [], members
+def spanning_links(members: np.ndarray, radius: int, sketches: np.ndarray | None = None, agree: int = 0) -> tuple[list[int], list[int]]:
+    """A spanning forest, as pairs of places, of the graph of members within ``radius``; at most n - 1 links.
+
+    With ``sketches``, a row for each member, linked ones must also agree in ``agree`` columns.
+    """
+    left, right, rest = [], [], np.arange(len(members))
     while len(rest):
-        stack, rest = [rest[0]], rest[1:]
+        stack, rest = [int(rest[0])], rest[1:]
         while stack and len(rest):
             p = stack.pop()
-            near = np.bitwise_count(rest ^ p) <= radius
+            near = np.bitwise_count(members[rest] ^ members[p]) <= radius
+            if sketches is not None and near.any():
+                near[near] = (sketches[rest[near]] == sketches[p]).sum(1) >= agree
             found = rest[near]
             if len(found):
-                left += repeat(int(p), len(found))
+                left += repeat(p, len(found))
                 right += found.tolist()
-                stack += list(found)
+                stack += found.tolist()
                 rest = rest[~near]
     return left, right
 
@@ -123,8 +128,9 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         held, last = [], None
 
         def close():
-            a, b = spanning_links(np.unique(np.concatenate(held)).view(np.uint64), radius)
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.array(a, np.uint64).view(np.int64)), "b": pa.array(np.array(b, np.uint64).view(np.int64))})
+            members = np.unique(np.concatenate(held))
+            a, b = spanning_links(members.view(np.uint64), radius)
+            return pa.RecordBatch.from_pydict({"a": pa.array(members[a]), "b": pa.array(members[b])})
 
         for batch in batches:
             if not batch.num_rows:
@@ -162,9 +168,97 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return each.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its component, one row for each; rows without an id stay."""
-    groups = near_duplicates(docs, words, radius)
+#: Columns of a document's MinHash sketch, a byte each.
+SKETCH = 128
+_MIX = np.random.default_rng(11).integers(1, 1 << 63, SKETCH, np.uint64) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A MinHash sketch of a set of hashes: two sketches agree in a column with the sets' similarity."""
+    low = np.full(SKETCH, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[i : i + 2048, None] * _MIX).min(0))
+    return (low >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def similar_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between ``nodes(node, fp, sketch)`` within ``radius`` whose sketches show ``similarity``.
+
+    As in links(), every pair of blocks of a bucket is one task's work and gives a spanning forest.
+    """
+    agree = int(np.floor((similarity - 0.04) * SKETCH))  # a little over one standard error below
+    signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
+    key = lambda fp: F.array(*(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
+    keys = nodes.select("node", F.explode(key(F.col("fp"))).alias("g"))
+    buckets = keys.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("c"))
+    members = keys.join(buckets, "g").join(nodes, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    dealt = members.select(
+        "g", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))).alias("p"), "node", "fp", "sketch"
+    ).select("g", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "fp", "sketch")
+    dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        last = None
+
+        def close():
+            node, fp, rows = (np.concatenate(x) for x in zip(*held))
+            a, b = spanning_links(fp.view(np.uint64), radius, rows, agree)
+            return node[a], node[b]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            node, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            rows = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), len(fp)]
+            found = []
+            for s, e in zip(cuts, cuts[1:]):
+                key = tuple(group[:, s])
+                if key != last and held:
+                    found.append(close())
+                    held = []
+                last = key
+                held.append((node[s:e], fp[s:e], rows[s:e]))
+            if found:
+                yield pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(x)) for n, x in zip("ab", zip(*found))})
+        if held:
+            yield pa.RecordBatch.from_pydict({n: pa.array(x) for n, x in zip("ab", close())})
+
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """``(doc_id, component_id)`` of near copies: ``similarity`` of their sets of ``words``-word shingles or more.
+
+    Fingerprints of whole shingles move by ten bits and more where a fiftieth of the words
+    is new, so the fingerprint here is of a document's distinct words, in which documents as
+    similar as this differ by few bits; covering hashing finds all pairs within ``radius``,
+    and their MinHash sketches decide. Nulls, repeats and ties as in near_duplicates().
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        fp, rows = [], []
+        for text in raw_bytes(batch.column(1)):
+            fp.append(majority(np.fromiter({xxhash.xxh64_intdigest(w, 42) for w in text.lower().split()}, np.uint64)))
+            rows.append(sketch(np.unique(shingle_hashes(text, words))))
+        fp = np.array(fp, np.uint64)
+        node = np.fromiter((xxhash.xxh64_intdigest(r, int(f)) for r, f in zip(rows, fp)), np.uint64, len(rows))
+        return {"doc_id": batch.column(0), "node": pa.array(node.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "sketch": pa.array(rows, pa.binary())}
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    each = written(map_arrow(docs, run, "doc_id long, node long, fp long, sketch binary"))
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    labels = connected_components(similar_links(nodes.select("node", "fp", "sketch"), radius, similarity))
+    named = nodes.join(labels, nodes["node"] == labels["id"], "left").select("node", "first", F.coalesce("component", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return each.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names its group of near copies, one row for each; rows without an id stay."""
+    groups = similar_documents(docs, words, similarity, radius)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))
