@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import hashing, identity, text
+from tessera.functions import embedding, hashing, identity, stemmer, text
 from tessera.operators import evaluation, graph, maintenance, retrieval, validation, workflow
 from tessera.plans import adapters
 from tessera.plans.adapters import read
@@ -566,3 +566,63 @@ def heading_scan(spark, sf_dir) -> DataFrame:
 def skipped_heading_levels(spark, sf_dir) -> DataFrame:
     heads = adapters.lines(spark, sf_dir).where("note_id is not null").withColumn("level", text.heading_level(F.col("line"))).where("level is not null")
     return graph.skipped_levels(heads).select("note_id", "ord", F.col("level").cast("long").alias("level"))
+
+
+@query()
+def section_paths(spark, sf_dir) -> DataFrame:
+    """Headings with unique paths and breadcrumbs, by one pass over each note."""
+    from tessera.functions.markdown import sections
+
+    notes = adapters.lines(spark, sf_dir).groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(n, s["ord"], s["level"], s["path"], s["body_start"], s["body_end"]) for n, x in zip(b["note_id"], b["body"]) for s in sections(x)], columns=["note_id", "ord", "level", "path", "body_start", "body_end"])
+
+    return notes.mapInPandas(run, "note_id string, ord int, level int, path string, body_start int, body_end int")
+
+
+@query()
+def html_text(spark, sf_dir) -> DataFrame:
+    from tessera.sources.normalize import normalize
+
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("content"))
+    return normalize(pages).select("path", "reject_code", "text", F.size("gaps").alias("gaps"))
+
+
+@query()
+def fts_analyzed(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return stemmer.analyzed_postings(d, F.col("text"), tuple(retrieval.STOP_WORDS))
+
+
+@query()
+def hash_embed(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.coalesce("text", F.lit(""))).alias("embedding"))
+
+
+@query()
+def patched_notes(spark, sf_dir) -> DataFrame:
+    """A section appended to each benchmark item as a note, on condition that it is there."""
+    from tessera.functions.patch import patched
+
+    raw = F.concat(F.lit("---\nid: b"), F.col("item_id").cast("string"), F.lit("\n---\n# Item\n\n"), F.col("text"), F.lit("\n"))
+    patch = F.lit('{"preconditions":[{"kind":"section-present","path":"Item"}],"ops":[{"kind":"append-to-section","path":"Item/Seen","content":"yes","createIfAbsent":true},{"kind":"add-alias","alias":"x"}]}')
+    return read(spark, sf_dir, "benchmark").select("item_id", patched(raw, patch).alias("p")).select("item_id", "p.ok", "p.code", "p.next")
+
+
+@query("SELECT item_id, 'a [link](x)' || chr(10) || '# One' AS text FROM benchmark WHERE false")
+def accessibility_clean(spark, sf_dir) -> DataFrame:
+    """No benchmark item has a finding, so none comes back."""
+    x = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("note_id"), "text")
+    lines = x.select("note_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    bad = validation.accessibility(lines).select("note_id").distinct()
+    return x.join(bad, "note_id", "left_semi").select(F.col("note_id").alias("item_id"), "text")
+
+
+@query("SELECT c.conv_id, c.turn, length(regexp_replace(regexp_replace(chr(27) || '[31m' || coalesce(c.text, '') || chr(27) || '[0m' || chr(7), chr(27) || '\\[[0-9;]*m', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{80}-\\x{9F}\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g'))::BIGINT AS shown FROM conversations c")
+def sanitized_length(spark, sf_dir) -> DataFrame:
+    raw = F.concat(F.lit("\x1b[31m"), F.coalesce("text", F.lit("")), F.lit("\x1b[0m\x07"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(text.sanitize_terminal(raw)).cast("long").alias("shown"))
