@@ -1,12 +1,14 @@
-"""Exact removal of repeated byte strings.
-
-The named method, a run-length index of the corpus's Burrows-Wheeler transform, has no
-distributed form that fits the limits (see the README), so this gives the same marks
-another way. Every string of 100 bytes has an anchor: the piece of 32 bytes in it whose
-hash is least. Equal strings have equal anchors, so only strings around an anchor that
-occurs twice can repeat. Consecutive strings with one anchor form a context. Of equal
-contexts all but the first go whole; where an anchor stands in different contexts, these
-are compared string by string.
+"""Exact removal of repeated byte strings by a run-length index.
+
+One index of the whole corpus would have to be built in one place, so the text is first cut
+down to what can repeat, by a rule that loses nothing: every string of 100 bytes has an
+anchor, the piece of 32 bytes in it whose hash is least. Equal strings have equal anchors,
+so only strings around an anchor that occurs twice can repeat. Consecutive strings with one
+anchor form a context; of equal contexts all but the first go whole. Where an anchor stands
+in different contexts, these are indexed together: their Burrows-Wheeler transform is run
+compressed, the suffixes at the ends of its runs are sampled, the matching statistics of
+all other places stream from the samples, and strings that match for 100 bytes or more are
+marked unless theirs is the first place.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ LONGEST = 512
 #: Contexts of one anchor that one task compares; anchors with more go by string hash.
 TOGETHER = 4096
 
+#: Bytes of contexts from which an index is closed.
+INDEXED = 1 << 20
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -79,6 +84,79 @@ def contexts(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return anchor, starts, sizes, twice
 
 
+def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All suffixes of all contexts in order, by prefix doubling; the end of a context sorts before every byte, by place."""
+    n = len(text)
+    place = np.arange(n)
+    packed = np.zeros(n, np.int64)  # seven bytes to begin with
+    for k in range(7):
+        inside = place + k < ends
+        packed = packed * 257 + np.where(inside, text[np.minimum(place + k, n - 1)].astype(np.int64) + 1, 0)
+    size = 7
+    second = np.where(place + size <= ends, 0, ends)
+    order = np.lexsort((second, packed))
+    first, other = packed[order], second[order]
+    fresh = np.concatenate(([True], (first[1:] != first[:-1]) | (other[1:] != other[:-1])))
+    rank = np.empty(n, np.int64)
+    while True:
+        starts = np.flatnonzero(fresh)
+        rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+        alone = fresh & np.append(fresh[1:], True)
+        slots = np.flatnonzero(~alone)  # only suffixes that are not told apart yet are sorted on
+        if not len(slots):
+            return order
+        which = order[slots]
+        beyond = which + size
+        second = np.where(beyond < ends[which], rank[np.minimum(beyond, n - 1)] + n + 1, ends[which])
+        mixed = rank[which] * (2 * n + 2) + second
+        by = np.argsort(mixed, kind="stable")
+        order[slots], mixed = which[by], mixed[by]
+        fresh[slots] = np.concatenate(([True], mixed[1:] != mixed[:-1]))
+        size *= 2
+
+
+def common_lengths(text: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of the suffixes at each a and b."""
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    while len(live):
+        x, y = a[live] + out[live], b[live] + out[live]
+        same = (x < ends[a[live]]) & (y < ends[b[live]])
+        last = len(text) - 1
+        for _ in range(16):
+            same &= text[np.minimum(x, last)] == text[np.minimum(y, last)]
+            out[live] += same
+            x, y = x + 1, y + 1
+            same = same & (x < ends[a[live]]) & (y < ends[b[live]])
+        live = live[same]
+    return out
+
+
+def first_elsewhere(contexts: list[bytes], length: int) -> np.ndarray:
+    """For each byte of the joined contexts: does the string of ``length`` bytes that starts there start further left too?"""
+    text = np.frombuffer(b"".join(contexts), np.uint8)
+    n = len(text)
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    stops = np.cumsum(sizes)
+    ends = np.repeat(stops, sizes)
+    order = suffix_order(text, ends)
+    # The transform: the byte before each suffix, a context's first suffix having one of its own.
+    before = np.where(np.isin(order, stops - sizes), 256 + order, text[order - 1].astype(np.int64))
+    heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
+    # Sampled run ends: the suffix at the head of each run and the one above it, the end of the last run.
+    head, above = order[heads[1:]], order[heads[1:] - 1]
+    # Matching statistics: known at the samples, elsewhere one less than at the byte to the left.
+    known = np.zeros(n, np.int64)
+    known[head] = common_lengths(text, ends, head, above) + head
+    statistics = np.maximum.accumulate(known) - np.arange(n)
+    edges = np.flatnonzero(np.concatenate(([True], statistics[order[1:]] < length)))
+    first = np.minimum.reduceat(order, edges)
+    group = np.cumsum(np.bincount(edges, minlength=n)) - 1
+    marked = np.zeros(n, bool)
+    marked[order] = order != first[group]
+    return marked & (ends - np.arange(n) >= length)
+
+
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -131,27 +209,32 @@ def _compare(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     cuts = written(map_arrow(joined, cut, "h long, doc long, p long, hot boolean, piece binary"))
 
     def together(batches):
-        seen: set[bytes] = set()
-        last = None
+        held: list[tuple[int, int, bytes]] = []
+        size, last = 0, None
+
+        def marks():
+            out: list[list[int]] = [[], [], []]
+            again = first_elsewhere([x[2] for x in held], length)
+            at = 0
+            for d, p, piece in held:
+                inside = np.concatenate(([False], again[at : at + len(piece)], [False])).astype(np.int8)
+                turns = np.flatnonzero(np.diff(inside))
+                for s, e in zip(turns[::2].tolist(), turns[1::2].tolist()):
+                    for part, x in zip(out, (d, p + s, p + e + length - 1)):
+                        part.append(x)
+                at += len(piece)
+            return pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in zip(("doc", "s", "e"), out)})
+
         for batch in batches:
-            doc, s, e = [], [], []
             for h, d, p, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if h != last:
-                    seen, last = set(), h
-                start = None
-                for q in range(len(piece) - length + 1):
-                    string = piece[q : q + length]
-                    if string in seen:
-                        if start is None:
-                            start = q
-                    else:
-                        seen.add(string)
-                        if start is not None:
-                            doc.append(d), s.append(p + start), e.append(p + q + length - 1)
-                            start = None
-                if start is not None:
-                    doc.append(d), s.append(p + start), e.append(p + len(piece))
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "s": pa.array(s, pa.int64()), "e": pa.array(e, pa.int64())})
+                if h != last and size >= INDEXED:  # an anchor's contexts stay in one index
+                    yield marks()
+                    held, size = [], 0
+                last = h
+                held.append((d, p, piece))
+                size += len(piece)
+        if held:
+            yield marks()
 
     few = cuts.where("not hot").select("h", "doc", "p", "piece").repartition("h").sortWithinPartitions("h", "doc", "p").mapInArrow(together, "doc long, s long, e long")
 
