@@ -17,8 +17,12 @@ from tessera.llm.common import durable, table, word_count
 
 #: A source is passed over this often at most.
 PASSES = 3
-#: Documents of a range whose running sums one task makes, on average.
-RANGE = 20_000
+#: Documents in a range of the shuffle hash, on average: a source's running sums are made range by range.
+RANGE = 2_000
+#: Cells that the finish times are dealt into, over and over, to find the end of the mix.
+CELLS = 4096
+#: Finish times that are few enough to order in one task.
+FEW = 20_000
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -81,23 +85,22 @@ def plan_mix(docs: DataFrame) -> DataFrame:
     passes = F.transform(F.sequence(F.lit(0), F.lit(PASSES - 1)), lambda p: (p * F.col("source_size") + F.col("start") + F.col("upto")) / F.col("target"))
     served = durable(served.select("doc_id", "source", "key", "size", "source_size", "target", F.when(F.col("target") > 0, passes).otherwise(F.array()).alias("finish")))
 
-    copies = F.size(F.filter("finish", lambda t: t <= F.lit(_end(served, total["words"], ranges))))
+    copies = F.size(F.filter("finish", lambda t: t <= F.lit(_end(served, total["words"]))))
     return served.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"))
 
 
-def _end(served: DataFrame, budget: int, ranges: int) -> float:
+def _end(served: DataFrame, budget: int) -> float:
     """The finish time of the last document within the budget, all sources taken in order of time.
 
     Times are dealt into equal cells whose sums find the one that the budget falls into;
     that cell is dealt anew until it is small enough to order.
     """
     queue = served.where("size > 0").select("size", F.explode("finish").alias("time"))
-    cells = max(1024, 4 * ranges)
     low, high, used = 0.0, 4.0, 0  # at time 1 all sources have met their targets
     rising = Window.orderBy("cell")
     while True:
         part = queue.where((F.col("time") > low) & (F.col("time") <= high))
-        cell = F.floor((F.col("time") - F.lit(low)) * F.lit(cells / (high - low))).cast("long")
+        cell = F.floor((F.col("time") - F.lit(low)) * F.lit(CELLS / (high - low))).cast("long")
         sums = part.groupBy(cell.alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("time").alias("last"))
         row = (
             sums.withColumn("running", F.sum("words").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
@@ -111,7 +114,7 @@ def _end(served: DataFrame, budget: int, ranges: int) -> float:
             return high
         used += row[0]["running"] - row[0]["words"]
         low, high = low if row[0]["previous"] is None else row[0]["previous"], row[0]["last"]
-        if row[0]["n"] <= RANGE or high <= low * (1 + 1e-12):
+        if row[0]["n"] <= FEW or high <= low * (1 + 1e-12):
             break
     sums = queue.where((F.col("time") > low) & (F.col("time") <= high)).groupBy("time").agg(F.sum("size").alias("words"))
     running = F.sum("words").over(Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0))
