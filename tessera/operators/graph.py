@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolve_links(links: DataFrame, keys: DataFrame, strip_anchor: bool = True) -> DataFrame:
+def resolve_links(links: DataFrame, keys: DataFrame, strip_anchor: bool = True, normalize: Callable[[Column], Column] | None = None) -> DataFrame:
     """Targets of ``links(source, target, ...)`` by id, then slug, then alias of ``keys(tier, key, note_id)``.
 
-    Adds ``target_id``, null where nothing or, with ``ambiguous``, more than one note has the
-    name in the first tier that knows it. Owners are counted first, so that a name that many
-    notes share stays one row.
+    Ids (tier 0) are met as written, names of later tiers as ``normalize`` makes them. Adds
+    ``target_id``, null where nothing or, with ``ambiguous``, more than one note has the name
+    in the first tier that knows it. Owners are counted first, so that a name that many notes
+    share stays one row.
     """
     owners = keys.select("tier", "key", "note_id").distinct().groupBy("key", "tier").agg(F.count("*").alias("owners"), F.min("note_id").alias("owner"))
-    owners = owners.groupBy("key").agg(F.min(F.struct("tier", "owners", "owner")).alias("o"))
-    name = F.regexp_replace("target", r"#.*$", "") if strip_anchor else F.col("target")
-    joined = links.withColumn("key", name).join(owners, "key", "left")
-    return joined.withColumns({"target_id": F.when(F.col("o.owners") == 1, F.col("o.owner")), "ambiguous": F.coalesce(F.col("o.owners") > 1, F.lit(False))}).drop("key", "o")
+    ids = owners.where("tier = 0").select(F.col("key").alias("raw"), F.struct("owners", "owner").alias("i"))
+    names = owners.where("tier > 0").groupBy("key").agg(F.min(F.struct("tier", "owners", "owner")).alias("n")).select(F.col("key").alias("name"), F.struct("n.owners", "n.owner").alias("n"))
+    raw = F.regexp_replace("target", r"#.*$", "") if strip_anchor else F.col("target")
+    joined = links.withColumn("raw", raw).withColumn("name", normalize(F.col("raw")) if normalize else F.col("raw")).join(ids, "raw", "left").join(names, "name", "left")
+    o = F.coalesce("i", "n")
+    return joined.withColumns({"target_id": F.when(o["owners"] == 1, o["owner"]), "ambiguous": F.coalesce(o["owners"] > 1, F.lit(False))}).drop("raw", "name", "i", "n")
 
 
 def dangling(resolved: DataFrame) -> DataFrame:
