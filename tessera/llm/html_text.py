@@ -33,8 +33,10 @@ ROLES = _words("navigation banner contentinfo complementary search form alert al
 #: Parts of class and id names that mark what is not main text.
 MARKS = _words("""ad ads adv advert adverts advertisement advertising adsense banner promo promos promotion sponsor sponsored sponsors nav navbar navigation
 menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay
-newsletter subscribe subscription signup comment comments disqus reply replies respond related recommended recommendations share sharing social widget widgets toolbar
-pagination pager login signin copyright disclaimer topbar header""")
+newsletter subscribe subscription signup comment comments disqus reply replies respond related recommended recommendations share sharing social toolbar
+pagination pager login signin copyright disclaimer topbar""")
+#: Names of page headers; an article's own has the title.
+PAGE_HEADERS = _words("header site-header page-header main-header top-header global-header siteheader pageheader site_header page_header")
 #: Of these, what also marks an article element: readers' comments and teasers are often articles of their own.
 ARTICLE_MARKS = _words("ad ads advert comment comments reply replies related recommended sponsored promo")
 _NEGATED = _words("has with no without hide show")
@@ -47,6 +49,8 @@ _SCOPE = {"li": _words("ul ol menu"), "dt": _words("dl"), "dd": _words("dl"), "t
 
 def _named(value: str, marks: frozenset) -> bool:
     for name in value.split():
+        if name.lower() in PAGE_HEADERS:
+            return True
         parts = [p.lower() for p in _NAME_PART.findall(name)]
         if any(p in marks and not (k and parts[k - 1] in _NEGATED) for k, p in enumerate(parts)):
             return True
@@ -62,7 +66,7 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
-            if _named(value, marks):
+            if (name in BLOCKS or name == "td") and _named(value, marks):  # an inline element's names are about its looks
                 return True
         elif key == "role":
             if value.strip().lower() in ROLES and not (in_article and name == "header"):
