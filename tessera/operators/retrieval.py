@@ -40,14 +40,14 @@ def rank_chunks(scored: DataFrame, k: int, ascending: bool) -> DataFrame:
     """Chunks of the first k notes by their best chunk, with each chunk's place among all.
 
     ``scored(note_id, chunk_id, relevance, ...)`` is first cut to the k best notes by a
-    distributed top-k of each note's best, so that only these notes' chunks are ordered.
+    distributed top-k of each note's best; these k rows come to the driver and go into the
+    second pass as literals, so that only the few chunks that count are ordered.
     """
     key = F.col("relevance") if ascending else -F.col("relevance")
     best = scored.groupBy("note_id").agg(F.min(F.struct(key.alias("key"), "chunk_id")).alias("best"))
-    first = best.orderBy("best").limit(check_k(k))
-    edge = first.agg(F.max("best.key").alias("edge"))
-    kept = scored.join(F.broadcast(first.select("note_id")), "note_id").join(F.broadcast(edge))  # k rows, one row
-    kept = kept.where(key <= F.col("edge")).drop("edge")
+    first = best.orderBy("best").limit(check_k(k)).collect()
+    kept = scored.where(key <= max(r["best"]["key"] for r in first)) if first else scored.where("false")
+    kept = kept.where(F.col("note_id").isin([r["note_id"] for r in first]))
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(key, "chunk_id")))
 
 
