@@ -626,3 +626,113 @@ def accessibility_clean(spark, sf_dir) -> DataFrame:
 def sanitized_length(spark, sf_dir) -> DataFrame:
     raw = F.concat(F.lit("\x1b[31m"), F.coalesce("text", F.lit("")), F.lit("\x1b[0m\x07"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(text.sanitize_terminal(raw)).cast("long").alias("shown"))
+
+
+# --- more of maintenance and workflow --------------------------------------------------------
+
+
+@query("SELECT event_id::VARCHAR AS chunk_id, min(user_id) AS generation_id FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+def merge_chunks(spark, sf_dir) -> DataFrame:
+    """An idempotent write: rows that come twice or are stored already are appended once or not at all."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("chunk_id"), F.col("user_id").alias("generation_id"), "event_id")
+    return maintenance.merge_chunks(e.where("event_id % 3 = 0"), e.union(e).drop("event_id"))
+
+
+@query(f"WITH {_CHUNKS} SELECT generation_id, generation_id || '/0' AS chunk_id FROM c WHERE generation_id IN (SELECT active_generation_id FROM n)")
+def retired_index(spark, sf_dir) -> DataFrame:
+    n = adapters.notes(spark, sf_dir)
+    return maintenance.retire(_chunks(n), adapters.active_notes(n)).select("generation_id", "chunk_id")
+
+
+@query(f"WITH {_V1}, {_V2} SELECT 'doc-' || doc_id AS note_id, path, h AS content_hash FROM v2 UNION ALL SELECT 'doc-' || doc_id, path, h FROM v1 WHERE doc_id NOT IN (SELECT doc_id FROM v2)")
+def applied_notes(spark, sf_dir) -> DataFrame:
+    """The next version of a notes table: what is in the new snapshot replaces, the rest stays."""
+    return maintenance.apply_notes(*_versions(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'archived' ELSE 'active' END AS status, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def archived_notes(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.lit("active").alias("status"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    return maintenance.archive_missing(d, d.where("note_id % 6 = 0")).withColumnRenamed("note_id", "doc_id")
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT lower(c_mktsegment) || ' ' || (c_custkey % 500) AS key, c_custkey FROM customer), o AS (SELECT key FROM k GROUP BY key HAVING count(*) > 1)
+    SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM k JOIN o USING (key))"""
+)
+def without_colliders(spark, sf_dir) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("note_id"), F.concat_ws(" ", F.lower("c_mktsegment"), (F.col("c_custkey") % 500).cast("string")).alias("key"))
+    return graph.without_colliders(c.select("note_id"), c).select(F.col("note_id").alias("c_custkey"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'created' WHEN 'N' THEN 'planning' ELSE 'planned' END AS status FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
+    p AS (SELECT *, lag(status) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS previous FROM s)
+    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM p WHERE previous IS NOT NULL AND NOT (previous = 'created' AND status = 'planning' OR previous = 'planning' AND status = 'planned')"""
+)
+def invalid_transitions(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    status = F.when(F.col("l_returnflag") == "A", "created").when(F.col("l_returnflag") == "N", "planning").otherwise("planned")
+    x = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), status.alias("status"))
+    x = x.withColumn("same", F.count("*").over(Window.partitionBy("run_id", "seq"))).where("same = 1")
+    return workflow.invalid_transitions(x).select(F.col("run_id").alias("l_orderkey"), F.col("seq").cast("long").alias("l_linenumber"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F') <> (o_orderkey % 4 <> 0)")
+def failure_without_checkpoint(spark, sf_dir) -> DataFrame:
+    runs = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "failed").otherwise("created").alias("status"), F.when(F.col("o_orderkey") % 4 != 0, "apply").alias("failed_checkpoint"))
+    return validation.failure_without_checkpoint(runs).select("o_orderkey")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'started' WHEN user_id % 2 <> event_id % 2 THEN 'conflict' WHEN event_id % 3 = 0 THEN 'replay' ELSE 'in-progress' END AS verdict FROM events")
+def claimed_slots(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    slots = e.where("event_id % 5 <> 0").select(F.lit("sync").alias("command"), F.col("event_id").alias("idempotency_key"), (F.col("event_id") % 2).alias("request_hash"), F.when(F.col("event_id") % 3 == 0, "done").otherwise("in-progress").alias("state"))
+    asked = e.select(F.lit("sync").alias("command"), F.col("event_id").alias("idempotency_key"), (F.col("user_id") % 2).alias("request_hash"))
+    return workflow.claim_slot(asked, slots).select(F.col("idempotency_key").alias("event_id"), "verdict")
+
+
+@query("SELECT o_orderkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linestatus = 'O' AND o_orderstatus IN ('F', 'P')")
+def orphan_worktrees(spark, sf_dir) -> DataFrame:
+    git = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_partkey", F.lit("worktree").alias("op_type"), F.when(F.col("l_linestatus") == "O", "open").otherwise("closed").alias("status"))
+    runs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "cancelled").otherwise("planning").alias("status"))
+    return workflow.orphan_worktrees(git, runs).select(F.col("run_id").alias("o_orderkey"), "l_partkey")
+
+
+@query(
+    f"""WITH {_EVIDENCE} SELECT 'doc-' || doc_id AS note_id, 'orphan' AS issue FROM documents WHERE doc_id % 4 > 1
+    UNION SELECT 'doc-' || doc_id * 2, 'evidence-' || coalesce(status, 'unknown') FROM e WHERE status IS DISTINCT FROM 'resolved'"""
+)
+def maintenance_issues(spark, sf_dir) -> DataFrame:
+    n = adapters.notes(spark, sf_dir)
+    edges = n.where("doc_id % 4 = 0").select(F.col("note_id").alias("source"), F.concat(F.lit("doc-"), F.col("doc_id") + 1).alias("target"))
+    return workflow.maintenance_issues(n.select("note_id"), edges, _evidence(spark, sf_dir))
+
+
+@query("SELECT doc_id, coalesce(source, '') AS note_type, CASE WHEN doc_id % 2 = 0 THEN 'internal' ELSE 'restricted' END AS sensitivity, CASE WHEN doc_id % 2 = 0 THEN 'verified' ELSE 'unverified' END AS trust FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents)")
+def ranked_metadata(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.col("source").alias("type"), F.lit("internal").alias("sensitivity"))
+    return retrieval.with_metadata(d.select("note_id"), d.where("note_id % 2 = 0")).withColumnRenamed("note_id", "doc_id")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)
+    SELECT doc_id, len(list_filter(x, lambda y: NOT regexp_matches(y, '^[\\s\\x{0B}\\x{85}\\x{A0}]*$')))::BIGINT AS before, len(list_filter(x, lambda y: NOT regexp_matches(y, '^[\\s\\x{0B}\\x{85}\\x{A0}]*$')))::BIGINT + 1 AS after FROM l"""
+)
+def edit_summary(spark, sf_dir) -> DataFrame:
+    s = text.diff_summary(F.col("text"), F.concat("text", F.lit("\n \nmore\n")))
+    return read(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.col("s.before").cast("long").alias("before"), F.col("s.after").cast("long").alias("after"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'cancelled' WHEN 'view' THEN 'permanent' ELSE 'transient' END AS class FROM events")
+def error_classes(spark, sf_dir) -> DataFrame:
+    kind = F.when(F.col("event_type") == "click", "abort").when(F.col("event_type") == "view", "auth").otherwise(F.concat(F.lit("locked:"), "event_type"))
+    return read(spark, sf_dir, "events").select("event_id", text.error_class(kind).alias("class"))
+
+
+@query("SELECT doc_id, source || CASE doc_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/../' WHEN 2 THEN '/.git/' ELSE '//' END || doc_id || '.md' AS path, doc_id % 4 = 0 AS valid FROM documents WHERE source IS NOT NULL")
+def destination_paths(spark, sf_dir) -> DataFrame:
+    between = F.element_at(F.array(*map(F.lit, ("/", "/../", "/.git/", "//"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat("source", between, F.col("doc_id").cast("string"), F.lit(".md"))
+    return read(spark, sf_dir, "documents").where("source is not null").select("doc_id", path.alias("path"), text.valid_destination(path).alias("valid"))
