@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, raw_bytes, release, table, written
+from tessera.llm.common import discard, map_arrow, raw_bytes, release, table, written
 
 #: Strings that one context holds at most; longer runs of one anchor are cut.
 LONGEST = 512
@@ -191,8 +191,8 @@ def placed_contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     return map_arrow(docs, run, "h long, c long, doc long, p long, n int, twice boolean")
 
 
-def _compare(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Spans ``(doc, s, e)`` of strings of the contexts ``asked(h, c, doc, p, n, hot)`` that start earlier in another or the same."""
+def _compare(asked: DataFrame, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans ``(doc, s, e)`` of strings of the contexts ``asked(h, c, doc, p, n, hot)`` that start earlier in another or the same, and the table behind them."""
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "p", "n", "hot")).alias("asked"))
     joined = wanted.join(docs, wanted["doc"] == docs["doc_id"]).select("doc", "text", "asked")
 
@@ -250,7 +250,7 @@ def _compare(asked: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     each = map_arrow(cuts.where("hot").select("doc", "p", "piece"), strings, "x long, y long, doc long, q long", "piece")
     first = each.groupBy("x", "y").agg(F.min(F.struct("doc", "q")).alias("first"), F.count("*").alias("m")).where("m > 1")
     many = each.join(first, ["x", "y"]).where(F.struct("doc", "q") != F.col("first")).select("doc", F.col("q").alias("s"), (F.col("q") + length).alias("e"))
-    return few.unionByName(many)
+    return few.unionByName(many), cuts
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
@@ -267,8 +267,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
     whole = written(whole.select("doc", F.col("p").alias("s"), (F.col("p") + F.col("n") + length - 1).alias("e")))
     kinds = first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     asked = first.join(kinds, "h", "left").where("kinds > 1 or twice").select("h", "c", "first.doc", "first.p", "n", (F.coalesce("kinds", F.lit(1)) > TOGETHER).alias("hot"))
-    part = written(_compare(asked, docs, length))
-    release(docs.sparkSession)
+    part, cuts = _compare(asked, docs, length)
+    part = written(part)
+    discard(twice, placed, first, cuts)
     return whole.unionByName(part)
 
 
