@@ -72,7 +72,7 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``; a longer text stands alone."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -91,6 +91,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Let Spark send Python at most ``size`` at a time, where the session still has Spark's own bound of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", None):
+        spark.conf.set(key, size)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, column: str = "text") -> DataFrame:
     """``mapInArrow`` with one output batch for each input batch of bounded size."""
 
@@ -101,6 +108,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
             out = f(batch)
             yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
