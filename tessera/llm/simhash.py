@@ -76,19 +76,14 @@ def covering_masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
     ]
 
 
-def spanning_links(members: np.ndarray, radius: int, sketches: np.ndarray | None = None, agree: int = 0) -> tuple[list[int], list[int]]:
-    """A spanning forest, as pairs of places, of the graph of members within ``radius``; at most n - 1 links.
-
-    With ``sketches``, a row for each member, linked ones must also agree in ``agree`` columns.
-    """
+def spanning_links(members: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """A spanning forest, as pairs of places, of the graph of members within ``radius``; at most n - 1 links."""
     left, right, rest = [], [], np.arange(len(members))
     while len(rest):
         stack, rest = [int(rest[0])], rest[1:]
         while stack and len(rest):
             p = stack.pop()
             near = np.bitwise_count(members[rest] ^ members[p]) <= radius
-            if sketches is not None and near.any():
-                near[near] = (sketches[rest[near]] == sketches[p]).sum(1) >= agree
             found = rest[near]
             if len(found):
                 left += repeat(p, len(found))
@@ -181,38 +176,86 @@ def sketch(hashes: np.ndarray) -> bytes:
     return (low >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
-def similar_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` between ``nodes(node, fp, sketch)`` within ``radius`` whose sketches show ``similarity``.
+def prefix(grams: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's hashes, in an order that all sets share, of which similar sets have one at least in common.
+
+    Two sets of ``similarity`` share that part of the larger one or more, so with all but the
+    first n - ceil(similarity n) + 1 of either in other hands one is left (the prefix filter).
+    Hashes of ``common`` (sorted, with their ranks) come last, the rest by value; the order
+    decides how large groups are, not what is found.
+    """
+    n = len(grams)
+    keys, ranks = common
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        grams = grams[np.argsort(np.where(keys[at] == grams, ranks[at], 0), kind="stable")]
+    return grams[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else grams
+
+
+def common_shingles(texts: DataFrame, words: int, part: int = 50, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that several texts of a sample hold, sorted, and their ranks by how many do."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [np.unique(shingle_hashes(x, words)) for x in raw_bytes(batch.column(0))]
+        return {"h": pa.array(np.concatenate(sets).view(np.int64))}
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0)
+    rows = map_arrow(sample, run, "h long").groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(most).collect()
+    keys = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.arange(len(keys), 0, -1)[order]
+
+
+def sketch_forest(rows: np.ndarray, agree: int) -> tuple[list[int], list[int]]:
+    """As spanning_links(), of the graph of sketches that agree in ``agree`` columns."""
+    left, right, rest = [], [], np.arange(len(rows))
+    while len(rest):
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            p = stack.pop()
+            near = (rows[rest] == rows[p]).sum(1) >= agree
+            found = rest[near]
+            if len(found):
+                left += repeat(p, len(found))
+                right += found.tolist()
+                stack += found.tolist()
+                rest = rest[~near]
+    return left, right
+
+
+def similar_links(nodes: DataFrame, agree: int) -> DataFrame:
+    """Links ``(a, b)`` between ``nodes(node, sketch, prefix)`` that share a hash of their prefixes and ``agree`` columns.
 
     As in links(), every pair of blocks of a bucket is one task's work and gives a spanning forest.
     """
-    agree = int(np.floor((similarity - 0.04) * SKETCH))  # a little over one standard error below
-    signed = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
-    key = lambda fp: F.array(*(F.xxhash64(F.lit(t), fp.bitwiseAND(F.lit(m))) for t, m in enumerate(signed)))
-    keys = nodes.select("node", F.explode(key(F.col("fp"))).alias("g"))
+    keys = nodes.select("node", F.explode("prefix").alias("g"))
     buckets = keys.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("c"))
-    members = keys.join(buckets, "g").join(nodes, "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    members = keys.join(buckets, "g").join(nodes.select("node", "sketch"), "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    return _forests(members, "sketch", lambda node, rows: sketch_forest(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SKETCH), agree))
+
+
+def _forests(members: DataFrame, column: str, forest) -> DataFrame:
+    """Links that ``forest`` finds in each pair of blocks ``i`` of ``c`` of the groups ``g`` of ``members(g, c, i, node, column)``."""
     dealt = members.select(
-        "g", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))).alias("p"), "node", "fp", "sketch"
-    ).select("g", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "fp", "sketch")
+        "g", F.explode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))).alias("p"), "node", column
+    ).select("g", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", column)
     dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, list[bytes]]] = []
         last = None
 
         def close():
-            node, fp, rows = (np.concatenate(x) for x in zip(*held))
-            a, b = spanning_links(fp.view(np.uint64), radius, rows, agree)
+            node, rows = np.concatenate([x[0] for x in held]), [r for x in held for r in x[1]]
+            a, b = forest(node, rows)
             return node[a], node[b]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             group = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            node, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
-            rows = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), len(fp)]
+            node, rows = batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_pylist()
+            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), len(node)]
             found = []
             for s, e in zip(cuts, cuts[1:]):
                 key = tuple(group[:, s])
@@ -220,7 +263,7 @@ def similar_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame
                     found.append(close())
                     held = []
                 last = key
-                held.append((node[s:e], fp[s:e], rows[s:e]))
+                held.append((node[s:e], rows[s:e]))
             if found:
                 yield pa.RecordBatch.from_pydict({n: pa.array(np.concatenate(x)) for n, x in zip("ab", zip(*found))})
         if held:
@@ -229,36 +272,36 @@ def similar_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of near copies: ``similarity`` of their sets of ``words``-word shingles or more.
 
-    Fingerprints of whole shingles move by ten bits and more where a fiftieth of the words
-    is new, so the fingerprint here is of a document's distinct words, in which documents as
-    similar as this differ by few bits; covering hashing finds all pairs within ``radius``,
-    and their MinHash sketches decide. Nulls, repeats and ties as in near_duplicates().
+    Pairs that share a hash of their prefixes are candidates, which no similar pair fails
+    to do, and their MinHash sketches decide. Nulls, repeats and ties as in near_duplicates().
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    common = common_shingles(docs.select("text"), words)
 
     def run(batch: pa.RecordBatch) -> dict:
-        fp, rows = [], []
+        node, rows, first = [], [], []
         for text in raw_bytes(batch.column(1)):
-            fp.append(majority(np.fromiter({xxhash.xxh64_intdigest(w, 42) for w in text.lower().split()}, np.uint64)))
-            rows.append(sketch(np.unique(shingle_hashes(text, words))))
-        fp = np.array(fp, np.uint64)
-        node = np.fromiter((xxhash.xxh64_intdigest(r, int(f)) for r, f in zip(rows, fp)), np.uint64, len(rows))
-        return {"doc_id": batch.column(0), "node": pa.array(node.view(np.int64)), "fp": pa.array(fp.view(np.int64)), "sketch": pa.array(rows, pa.binary())}
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = written(map_arrow(docs, run, "doc_id long, node long, fp long, sketch binary"))
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
-    labels = connected_components(similar_links(nodes.select("node", "fp", "sketch"), radius, similarity))
+            grams = np.unique(shingle_hashes(text, words))
+            node.append(xxhash.xxh64_intdigest(grams.tobytes()))
+            rows.append(sketch(grams))
+            first.append(prefix(grams, similarity, common).view(np.int64))
+        return {"doc_id": batch.column(0), "node": pa.array(np.array(node, np.uint64).view(np.int64)), "sketch": pa.array(rows, pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))}
+
+    each = written(map_arrow(docs, run, "doc_id long, node long, sketch binary, prefix array<long>"))
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
+    agree = int(np.floor((similarity - 0.04) * SKETCH))  # a little over one standard error below
+    labels = connected_components(similar_links(nodes.select("node", "sketch", "prefix"), agree))
     named = nodes.join(labels, nodes["node"] == labels["id"], "left").select("node", "first", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return each.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its group of near copies, one row for each; rows without an id stay."""
-    groups = similar_documents(docs, words, similarity, radius)
+    groups = similar_documents(docs, words, similarity)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))

@@ -97,6 +97,45 @@ def test_similar_documents_follow_similarity(spark):
     assert all(got[4 * k + 3] == 4 * k + 3 for k in range(12))  # about 0.2
 
 
+def jaccard(a, b, k=5):
+    a, b = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("kind", ["block", "append", "scattered"])
+def test_every_kind_of_edit_is_joined(spark, kind):
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(40):
+        b = [draw.choice(vocabulary) for _ in range(300)]
+        c = b[:]
+        if kind == "block":
+            c[100:128] = [f"new{draw.random()}" for _ in range(28)]
+        elif kind == "append":
+            c += [f"new{draw.random()}" for _ in range(66)]
+        else:
+            for i in range(20, 280, 52):
+                c[i] = f"new{draw.random()}"
+        texts += [" ".join(b), " ".join(c)]
+    assert all(jaccard(texts[2 * k], texts[2 * k + 1]) >= 0.8 for k in range(40))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    joined = sum(got[2 * k + 1] == 2 * k for k in range(40))
+    assert joined >= 35  # the sketches refuse some
+
+
+@given(st.sets(st.integers(0, 200), min_size=1, max_size=60), st.sets(st.integers(0, 200), max_size=8), st.integers(0, 8), st.sets(st.integers(0, 200)))
+@settings(max_examples=300, deadline=None)
+def test_prefixes_of_similar_sets_meet(a, more, drop, hot):
+    b = set(sorted(a)[drop:]) | more
+    arrays = [np.array(sorted(x), np.uint64) for x in (a, b)]
+    common = np.array(sorted(hot), np.uint64), np.arange(len(hot), 0, -1)
+    if b and len(a & b) >= 0.8 * len(a | b):
+        p, q = (simhash.prefix(x, 0.8, common).tolist() for x in arrays)
+        assert set(p) & set(q)
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
