@@ -25,6 +25,8 @@ from tessera.llm.components import connected_components
 
 #: Fingerprints that one task compares at once, at most twice this many.
 BLOCK = 4096
+#: The same of shingle sets.
+SETS = 512
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
@@ -234,6 +236,58 @@ def similar_links(nodes: DataFrame, agree: int) -> DataFrame:
     return _forests(members, "sketch", lambda node, rows: sketch_forest(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, SKETCH), agree))
 
 
+def least_agreement(similarity: float, chance: float = 1e-12) -> int:
+    """Columns in which sketches of ``similarity`` agree, but for ``chance`` (Chernoff's bound)."""
+    for t in range(int(similarity * SKETCH), 0, -1):
+        q = t / SKETCH
+        if SKETCH * (q * np.log(q / similarity) + ((1 - q) * np.log((1 - q) / (1 - similarity)) if q < 1 else 0)) >= -np.log(chance):
+            return t
+    return 0
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """As spanning_links(), of the graph of sorted sets of ``similarity`` or more, counted exactly."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    left, right, rest = [], [], np.arange(len(sets))
+    while len(rest):
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            p = stack.pop()
+            near = (size[rest] >= similarity * size[p] - 1e-9) & (size[p] >= similarity * size[rest] - 1e-9)
+            if not near.any():
+                continue
+            asked = rest[near]
+            values = np.concatenate([sets[q] for q in asked])
+            at = np.minimum(np.searchsorted(sets[p], values), size[p] - 1)
+            shared = np.add.reduceat((sets[p][at] == values).astype(np.int64), np.concatenate(([0], np.cumsum(size[asked])[:-1])))
+            near[near] = shared >= similarity * (size[asked] + size[p] - shared) - 1e-9
+            found = rest[near]
+            if len(found):
+                left += repeat(p, len(found))
+                right += found.tolist()
+                stack += found.tolist()
+                rest = rest[~near]
+    return left, right
+
+
+def exact_links(docs: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that join the same nodes as all pairs of ``similarity`` within a component of ``loose(id, component)`` do.
+
+    Only documents that have a candidate are read for their sets, and those of one component are compared.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in raw_bytes(batch.column(1))]
+        node = np.fromiter(map(xxhash.xxh64_intdigest, sets), np.uint64, len(sets))
+        return {"node": pa.array(node.view(np.int64)), "grams": pa.array(sets, pa.binary())}
+
+    groups = loose.union(loose.select(F.col("component").alias("id"), "component").distinct())
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("c"))
+    groups = groups.join(sizes, "component").select(F.col("id").alias("node"), F.col("component").alias("g"), "c", F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("i"))
+    sets = map_arrow(docs, run, "node long, grams binary").join(groups, "node").dropDuplicates(["node"])
+    return _forests(sets, "grams", lambda node, rows: set_forest([np.frombuffer(r, np.uint64) for r in rows], similarity))
+
+
 def _forests(members: DataFrame, column: str, forest) -> DataFrame:
     """Links that ``forest`` finds in each pair of blocks ``i`` of ``c`` of the groups ``g`` of ``members(g, c, i, node, column)``."""
     dealt = members.select(
@@ -276,7 +330,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     """``(doc_id, component_id)`` of near copies: ``similarity`` of their sets of ``words``-word shingles or more.
 
     Pairs that share a hash of their prefixes are candidates, which no similar pair fails
-    to do, and their MinHash sketches decide. Nulls, repeats and ties as in near_duplicates().
+    to do. MinHash sketches drop those far below, a similar one with a chance under 1e-12;
+    within the components of what is left the sets decide. Nulls, repeats and ties as in near_duplicates().
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_shingles(docs.select("text"), words)
@@ -292,8 +347,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     each = written(map_arrow(docs, run, "doc_id long, node long, sketch binary, prefix array<long>"))
     nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
-    agree = int(np.floor((similarity - 0.04) * SKETCH))  # a little over one standard error below
-    labels = connected_components(similar_links(nodes.select("node", "sketch", "prefix"), agree))
+    loose = connected_components(similar_links(nodes.select("node", "sketch", "prefix"), least_agreement(similarity)))
+    labels = connected_components(exact_links(docs, loose, words, similarity))
     named = nodes.join(labels, nodes["node"] == labels["id"], "left").select("node", "first", F.coalesce("component", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return each.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
