@@ -22,8 +22,8 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: A run that may be a key: shorter ones are words, longer ones are data.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])"
+#: A run that may be a key, of any length from 20; shorter ones are words.
+RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Log-likelihood ratio, in nats, from which a run counts as random.
 LEAST = 15.0
 REDACTED = "[REDACTED]"

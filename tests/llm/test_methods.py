@@ -271,6 +271,16 @@ def test_models_tell_random_from_ordinary(spark):
     assert sum(got[i] for i in range(len(random_), len(rows))) == 0
 
 
+def test_long_runs_are_scored(spark):
+    import base64
+
+    key = base64.b64encode(b"".join(hashlib.sha256(str(i).encode()).digest() for i in range(38))).decode()
+    path = "/".join(secrets._WORDS[:120])
+    assert len(key) > 1600 and len(path) > 700
+    df = spark.createDataFrame([(1, f"a {key} b"), (2, f"a {path} b"), (3, f"a {key * 40} b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {1: "a [REDACTED] b", 2: f"a {path} b", 3: "a [REDACTED] b"}
+
+
 def test_redaction_hides_every_span(spark):
     rows = [(1, 'a token = "5bbf0274eef70e05c644ebfa24bebaa8d5fe62a0" z'), (2, "nothing"), (3, None)]
     out = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
