@@ -217,7 +217,7 @@ def identity_key_ascii(spark, sf_dir) -> DataFrame:
 
 @query()
 def identity_key_full(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", identity.identity_key(F.substring("text", 1, 200)).alias("key"))
+    return read(spark, sf_dir, "documents").select("doc_id", identity.identity_key(F.coalesce("text", F.lit(""))).alias("key"))
 
 
 _CONTENT = "'sha256:' || sha256(coalesce(text, ''))"

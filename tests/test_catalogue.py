@@ -35,6 +35,17 @@ def test_query(spark, duck, name):
         assert got
 
 
+def test_identity_keys_are_of_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import identity
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {tuple(r) for r in docs.select("doc_id", identity.identity_key(F.coalesce("text", F.lit("")))).collect()}
+    assert {tuple(r) for r in catalogue.QUERIES["identity_key_full"](spark, SF).collect()} == whole
+    assert sum(len(k) > 200 for _, k in whole) > 100
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
