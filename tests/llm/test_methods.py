@@ -368,6 +368,20 @@ def test_planted_passages_are_found(spark):
         assert abs(len(whole[r["start_char"] : r["end_char"]].split()) - 60) <= 3
 
 
+@pytest.mark.parametrize("gaps", [(100, 100), (200, 200), (400, 400), (0, 100), (150, 3)])
+def test_two_passages_of_one_pair(spark, gaps):
+    draw = random.Random(10)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randrange(2, 9))) for _ in range(4000)]
+    text = lambda n: draw.choices(words, k=n)
+    head, foot = text(60), text(60)
+    docs = [(1, head + text(gaps[0]) + foot), (2, head + text(gaps[1]) + foot)]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    whole = " ".join(docs[1][1])
+    found = sorted((r["start_char"], r["end_char"], r["n_matched"]) for r in rows)
+    assert len(found) == 2 and all(60 <= n <= 61 for *_, n in found)
+    assert whole[: found[0][1]].startswith(" ".join(head)) and whole[found[1][0] :].endswith(" ".join(foot))
+
+
 # --- toxicity and quality --------------------------------------------------------------------------
 
 
