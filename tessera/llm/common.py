@@ -72,6 +72,14 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def value_sizes(column: pa.Array) -> list[int]:
+    """Bytes of each value of a column of any type."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        return [x or 0 for x in pa.compute.binary_length(column).to_pylist()]
+    return [column.slice(k, 1).nbytes for k in range(len(column))]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``; a longer text stands alone."""
     for batch in batches:
@@ -81,7 +89,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if batch.column(i).nbytes <= limit or batch.num_rows == 1:
             yield batch
             continue
-        sizes = [x or 0 for x in pa.compute.binary_length(batch.column(i)).to_pylist()]
+        sizes = value_sizes(batch.column(i))
         start = total = 0
         for k, n in enumerate(sizes):
             if k > start and total + n > limit:
@@ -112,6 +120,31 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | dict
     return df.mapInArrow(run, schema)
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, underscored until no column of the tables has it."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of one key from which a join sends that key's other side to every task.
+HOT = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right(key, n, ...)``, one row a key, n being the rows of that key in ``left``.
+
+    Keys of over HOT rows and over a ten-thousandth of the ``total`` rows of left are ten
+    thousand at most; their rows of right are broadcast, so that no task gets all of a hot
+    key. n goes. Both sides are read twice: they should be tables or checkpoints.
+    """
+    most = max(HOT, total // 10_000)
+    hot = F.broadcast(right.where(F.col("n") > most).drop("n"))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= most).drop("n"), key, how)
+    return left.join(hot, key).unionByName(cold)
+
+
 def word_count(text):
     """Number of words of a text column, as a long; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,7 +2,8 @@
 
 Large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce
 and Beyond"): each round is two group-minimum joins, so no vertex's neighbours are ever
-gathered in one row, and the number of rounds grows with the logarithm of the longest path.
+gathered in one row (the centres of large stars are joined by broadcast, not in one task),
+and the number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,24 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import durable, join_counted
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("m"))
+    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     """Link each vertex's larger neighbours to the least of its neighbourhood."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = _least_neighbour(both).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = _least_neighbour(both).select("a", F.least("a", "m").alias("m"), "n")
+    return join_counted(both, low, "a", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     """Link each vertex and its smaller neighbours to the least of these. Edges are (larger, smaller)."""
     low = _least_neighbour(edges)
-    moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = join_counted(edges, low, "a", size).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -51,7 +52,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        edges = durable(_small_star(_large_star(edges)))
+        stars = durable(_large_star(edges, before[0]))
+        edges = durable(_small_star(stars, before[0]))
         after = state(edges)
         if after == before:
             break

@@ -13,80 +13,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, table, word_count
+from tessera.llm.common import durable, free_name, table, word_count
 
 #: A source is passed over this often at most.
 PASSES = 3
-#: Documents in a range of the shuffle hash, on average: a source's running sums are made range by range.
-RANGE = 2_000
+#: Documents in a range of the shuffle hash, on average, and ranges in a group of them: running sums are made in these three steps.
+RANGE = 250
+GROUP = 1000
 #: Cells that the finish times are dealt into, over and over, to find the end of the mix.
 CELLS = 4096
 #: Finish times that are few enough to order in one task.
 FEW = 20_000
 
 
-def shuffle_key(doc_id: Column) -> Column:
-    """A uniform number of 60 bits from a digest of the id; the same in any engine that has MD5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """A uniform number of 60 bits from a digest of id and text; the same in any engine that has MD5."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
+
+
+def _weighed(sizes: DataFrame) -> DataFrame:
+    """``(source, source_size, weight, most)``: weights 1, 2, 3 and again, in code point order of the sources, null last.
+
+    Sources are sorted over all partitions; a source's rank is its place in its partition and
+    the counts of the partitions before, which is one number a partition.
+    """
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = durable(ranged)
+    before, at = {}, 0
+    for part, n in sorted(map(tuple, ranged.groupBy("part").count().collect())):
+        before[part], at = at, at + n
+    offsets = sizes.sparkSession.createDataFrame(sorted(before.items()), "part int, before long")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
+    weighed = ranged.join(F.broadcast(offsets), "part").withColumn("weight", (rank % 3 + 1).cast("long"))
+    return durable(weighed.select("source", "source_size", "weight", (F.lit(PASSES) * F.col("source_size")).alias("most")))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """``(source, source_size, weight, target)`` from ``(source, source_size)``.
 
     Sources in code point order, null last, weigh 1, 2, 3 and so on again. They share the
-    total by weight; none gets over three times its size, and what it would is shared anew.
+    total by weight; none gets over three times its size, and what it would is shared anew
+    until none is above. Each sharing is one sum over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("long")).withColumn("most", F.lit(PASSES) * F.col("source_size"))
-    # By rising ratio of limit to weight, the first k sources are held at their limits and
-    # the others share the rest at one level; k is the first whose level its own ratio bears.
+    weighed = _weighed(sizes)
     ratio = F.col("most") / F.col("weight")
-    rising = Window.orderBy(ratio, F.col("source").asc_nulls_last())
-    level = weighed.select(
-        ratio.alias("ratio"),
-        (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rest"),
-        (F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("weights"),
-    ).select((F.col("rest") / F.col("weights")).alias("level"), "ratio").where("level <= ratio").agg(F.max("level").alias("level"))
-    level = level.first()["level"]  # one number
+    held, level = -1, None  # sources held at their limits, and what a unit of weight gets
+    while True:
+        limited = F.lit(False) if level is None else ratio < F.lit(level)
+        row = weighed.agg(
+            F.sum("source_size").alias("total"),
+            F.sum(F.when(limited, F.col("most")).otherwise(F.lit(0))).alias("held"),
+            F.sum(F.when(limited, F.lit(0)).otherwise(F.col("weight"))).alias("weights"),
+            F.sum(limited.cast("long")).alias("n"),
+        ).first()
+        if not row["weights"] or row["n"] == held:
+            break
+        held, level = row["n"], (row["total"] - row["held"]) / row["weights"]
     share = F.col("weight") * F.lit(level)
     return weighed.select("source", "source_size", "weight", F.when(share > F.col("most"), F.col("most").cast("double")).otherwise(share).cast("double").alias("target"))
 
 
-def plan_mix(docs: DataFrame) -> DataFrame:
-    """How often the mix takes each row of ``docs(doc_id, text, source)``.
-
-    Returns ``(doc_id, size, source_size, target, taken, copies)``, a row for each row of
-    docs. size is the number of words (null or empty text: 0) and taken is size times
-    copies. Documents without words finish with the one before them and count nothing.
-    Repeated ids are told apart by their size; rows that agree in all are taken in turn. A
-    null source is a source of its own. Other columns are ignored; no rows give no rows.
-    """
-    each = durable(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            word_count(F.col("text")).alias("size"),
-            shuffle_key(F.col("doc_id")).alias("key"),
-        )
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        word_count(F.col("text")).alias("size"),
+        shuffle_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
-    total = each.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    ranges = max(1, -(-total["n"] // RANGE))
+
+
+def _served(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, key, size, n, source_size, target, copies)`` of the different rows of ``docs(doc_id, text, source)``, n of each."""
+    each = durable(_keyed(docs).groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n")))
+    total = each.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("words")).first()
+    ranges = max(1, -(-total["rows"] // RANGE))
     each = each.withColumn("range", F.floor(F.col("key") / F.lit((1 << 60) / ranges)).cast("long"))
 
-    by_range = durable(each.groupBy("source", "range").agg(F.sum("size").alias("words")))
+    words = F.sum(F.col("size") * F.col("n"))
+    by_range = durable(each.groupBy("source", "range").agg(words.alias("words")).withColumn("group", F.floor(F.col("range") / GROUP).cast("long")))
+    by_group = by_range.groupBy("source", "group").agg(F.sum("words").alias("words"))
+    earlier = lambda *by, order: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_group = by_group.select(F.col("source").alias("s"), F.col("group").alias("g"), earlier("source", order="group").alias("base"))
+    starts = by_range.withColumn("start", earlier("source", "group", order="range"))
+    starts = starts.join(by_group, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).select("source", "range", (F.col("start") + F.col("base")).alias("start"))
     source = targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_range.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     starts = starts.join(source, starts["source"].eqNullSafe(source["source"])).select(starts["source"].alias("s"), F.col("range").alias("r"), "start", "source_size", "target")
 
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    served = each.withColumn("upto", F.sum("size").over(inside))
+    served = each.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(inside))
     served = served.join(starts, served["source"].eqNullSafe(starts["s"]) & (served["range"] == starts["r"]))
     passes = F.transform(F.sequence(F.lit(0), F.lit(PASSES - 1)), lambda p: (p * F.col("source_size") + F.col("start") + F.col("upto")) / F.col("target"))
-    served = durable(served.select("doc_id", "source", "key", "size", "source_size", "target", F.when(F.col("target") > 0, passes).otherwise(F.array()).alias("finish")))
-
+    served = durable(served.select("doc_id", "source", "key", "size", "n", "source_size", "target", F.when(F.col("target") > 0, passes).otherwise(F.array()).alias("finish")))
     copies = F.size(F.filter("finish", lambda t: t <= F.lit(_end(served, total["words"]))))
-    return served.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("long").alias("copies"))
+    return served.select("doc_id", "source", "key", "size", "n", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def plan_mix(docs: DataFrame) -> DataFrame:
+    """How often the mix takes each row of ``docs(doc_id, text, source)``.
+
+    Returns ``(doc_id, size, source_size, target, taken, copies)``, a row for each row of
+    docs. size is the number of words (null or empty text: 0) and taken is size times
+    copies. Documents without words finish with the one before them and count nothing. Rows
+    are told apart by id and text; rows that agree in both and in source finish together, at the
+    time of the last of them. A null source is a source of its own. Other columns are
+    ignored; no rows give no rows.
+    """
+    served = _served(docs)
+    each = served.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def _end(served: DataFrame, budget: int) -> float:
@@ -95,7 +130,7 @@ def _end(served: DataFrame, budget: int) -> float:
     Times are dealt into equal cells whose sums find the one that the budget falls into;
     that cell is dealt anew until it is small enough to order.
     """
-    queue = served.where("size > 0").select("size", F.explode("finish").alias("time"))
+    queue = served.where("size > 0").select((F.col("size") * F.col("n")).alias("size"), F.explode("finish").alias("time"))
     low, high, used = 0.0, 4.0, 0  # at time 1 all sources have met their targets
     rising = Window.orderBy("cell")
     while True:
@@ -125,11 +160,25 @@ def _end(served: DataFrame, budget: int) -> float:
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all their columns and ``(size, source_size, target, taken, copies)``.
 
-    doc_id must tell rows apart; rows without one are mixed as one document and left out.
+    A plan column whose name docs already has is called mix_ and its name, underscored while
+    that is taken too. Rows without an id, and rows that share one, are taken each by its own
+    text, as in plan_mix().
     """
-    plan = plan_mix(docs).where("copies > 0").withColumnRenamed("doc_id", "__id")
-    plan = plan.select("__id", *(F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in plan.columns if c != "__id"))
-    return docs.join(plan, F.col("doc_id") == F.col("__id")).drop("__id")
+    plan = _served(docs).where("copies > 0").withColumn("taken", F.col("size") * F.col("copies"))
+    shown = {c: c if c.lower() not in {x.lower() for x in docs.columns} else free_name(f"mix_{c}", docs) for c in ("size", "source_size", "target", "taken", "copies")}
+    own = {c: free_name(f"mix_row_{c}", docs) for c in ("doc_id", "source", "key", "size")}
+    of = {c: f"of_{own[c]}" for c in own}
+    keyed = docs.withColumns(
+        {
+            own["doc_id"]: F.col("doc_id").cast("long"),
+            own["source"]: F.col("source").cast("string"),
+            own["size"]: word_count(F.col("text").cast("string")),
+            own["key"]: shuffle_key(F.col("doc_id").cast("long"), F.col("text")),
+        }
+    )
+    plan = plan.select(*(F.col(c).alias(of[c]) for c in of), *(F.col(c).alias(f"plan {c}") for c in shown))
+    same = (F.col(own["key"]) == F.col(of["key"])) & (F.col(own["size"]) == F.col(of["size"])) & F.col(own["doc_id"]).eqNullSafe(F.col(of["doc_id"])) & F.col(own["source"]).eqNullSafe(F.col(of["source"]))
+    return keyed.join(plan, same).select(*docs.columns, *(F.col(f"`plan {c}`").alias(shown[c]) for c in shown))
 
 
 def op6_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -140,7 +189,7 @@ def op6_source_mix(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS key
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -156,7 +205,7 @@ t AS (
   FROM r),
 f AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, d.key, d.source,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size RANGE UNBOUNDED PRECEDING))::BIGINT AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (
   SELECT size, unnest([upto / target, (source_size + upto) / target, (2 * source_size + upto) / target]) AS time

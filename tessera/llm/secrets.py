@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import free_name, table
 
 #: Fixed patterns of the base kinds, in the order that breaks ties.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -119,24 +119,22 @@ def _score(run: str, ratios: str) -> str:
         a -> a.v)"""
 
 
-def with_spans(docs: DataFrame, ratios: list[float], least: float = LEAST) -> DataFrame:
-    """``docs`` with an array column ``__base`` of base spans and ``__all`` of all spans, by start and kind."""
+def with_spans(docs: DataFrame, ratios: list[float], least: float = LEAST) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with more columns, and the names of these: text, the base kinds' spans, base and all spans, by start and kind."""
     table = "cast(split(" + _quoted(",".join(f"{x:.9f}" for x in ratios)) + ", ',') as array<double>)"
     none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
     value = f"length(regexp_extract($, {_quoted(ASSIGN)}, 2)) >= 8"
-    base = [
-        (F.regexp_like("__text", F.lit(p)), _spans("__text", p, k, keep))
-        for k, (p, keep) in enumerate([(ASSIGN, value), (ACCESS, "true"), (HEX, "true")])
-    ]
-    found = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for k, (there, spans) in enumerate(base):
-        found = found.withColumn(f"__{k}", F.when(there, F.expr(spans)).otherwise(F.expr(none)))
-    random = f"exists(regexp_extract_all(__text, {_quoted(RUN)}, 0), t -> {_score('t', table)} >= {least}D)"
-    spans = _spans("__text", RUN, 3, f"{_score('$', table)} >= {least}D")
-    found = found.withColumn("__3", F.when(F.expr(random), F.expr(spans)).otherwise(F.expr(none)))
-    found = found.withColumn("__base", F.array_sort(F.concat("__0", "__1", "__2")))
-    clear = F.expr("filter(__3, x -> not exists(__base, b -> x.s < b.e and b.s < x.e))")
-    return found.withColumn("__all", F.array_sort(F.concat("__base", clear))).drop("__3")
+    own = {c: free_name(f"secret_{c}", docs) for c in ("text", *KINDS, "base", "all")}
+    text = f"`{own['text']}`"
+    found = docs.withColumn(own["text"], F.coalesce(F.col("text").cast("string"), F.lit("")))
+    for k, (p, keep) in enumerate([(ASSIGN, value), (ACCESS, "true"), (HEX, "true")]):
+        found = found.withColumn(own[KINDS[k]], F.when(F.regexp_like(text, F.lit(p)), F.expr(_spans(text, p, k, keep))).otherwise(F.expr(none)))
+    random = f"exists(regexp_extract_all({text}, {_quoted(RUN)}, 0), t -> {_score('t', table)} >= {least}D)"
+    spans = _spans(text, RUN, 3, f"{_score('$', table)} >= {least}D")
+    found = found.withColumn(own["random"], F.when(F.expr(random), F.expr(spans)).otherwise(F.expr(none)))
+    found = found.withColumn(own["base"], F.array_sort(F.concat(*(f"`{own[c]}`" for c in KINDS[:3]))))
+    beyond = F.expr(f"filter(`{own['random']}`, x -> not exists(`{own['base']}`, b -> b.s <= x.s and x.e <= b.e))")
+    return found.withColumn(own["all"], F.array_sort(F.concat(f"`{own['base']}`", beyond))), own
 
 
 def _joined(spans: str) -> Column:
@@ -149,17 +147,17 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, least: float
 
     Returns ``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random)``. Null
     counts as an empty text, which has no spans. Repeated rows repeat, a null doc_id stays
-    null, other columns are ignored, an empty table gives no rows. Runs that touch a base
-    span add nothing.
+    null, other columns are ignored, an empty table gives no rows. A run that holds a base
+    span, or goes on beyond one, adds its whole span; one inside a base span adds nothing.
     """
     ratios = ratio_table(samples if samples is not None else labelled_samples(docs.sparkSession))
-    found = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, least)
+    found, own = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ratios, least)
     return found.select(
         "doc_id",
-        *(F.size(f"__{k}").cast("long").alias(f"n_{KINDS[k]}") for k in range(3)),
-        F.sha2(_joined("__base"), 256).alias("base_sha256"),
-        _joined("__all").alias("spans"),
-        (F.size("__all") - F.size("__base")).cast("long").alias("n_random"),
+        *(F.size(own[k]).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
+        F.sha2(_joined(own["base"]), 256).alias("base_sha256"),
+        _joined(own["all"]).alias("spans"),
+        (F.size(own["all"]) - F.size(own["base"])).cast("long").alias("n_random"),
     )
 
 
@@ -169,15 +167,18 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, least: float = LEA
     Spans that overlap are replaced together. Null texts stay null.
     """
     ratios = ratio_table(samples if samples is not None else labelled_samples(docs.sparkSession))
-    found = with_spans(docs, ratios, least)
+    found, own = with_spans(docs, ratios, least)
+    text, spans = f"`{own['text']}`", f"`{own['all']}`"
     clean = F.expr(f"""
-      aggregate(__all, named_struct('at', 0, 'out', ''),
+      aggregate({spans}, named_struct('at', 0, 'out', ''),
         (a, x) -> named_struct('at', greatest(a.at, x.e),
-          'out', if(x.s >= a.at, concat(a.out, substring(__text, a.at + 1, x.s - a.at), '{REDACTED}'), a.out)),
-        a -> concat(a.out, substring(__text, a.at + 1)))""")
-    found = found.withColumn("__clean", F.when(F.size("__all") > 0, clean).otherwise(F.col("text")))
-    columns = {"text": F.col("__clean")} | ({"n_chars": F.when(F.size("__all") > 0, F.length("__clean").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.select(*(columns.get(c, F.col(c)).alias(c) for c in docs.columns))
+          'out', if(x.s >= a.at, concat(a.out, substring({text}, a.at + 1, x.s - a.at), '{REDACTED}'), a.out)),
+        a -> concat(a.out, substring({text}, a.at + 1)))""")
+    hit = F.size(spans) > 0
+    done = free_name("secret_clean", found)
+    found = found.withColumn(done, F.when(hit, clean).otherwise(F.col("text")))
+    columns = {"text": F.col(done)} | ({"n_chars": F.when(hit, F.length(done).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return found.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, map_arrow, raw_bytes, written
+from tessera.llm.common import durable, free_name, join_counted, map_arrow, raw_bytes, written
 from tessera.llm.components import connected_components
 
 #: Fingerprints that one task compares at once, at most twice this many.
@@ -158,11 +158,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     An empty table gives an empty result; other columns are ignored.
     """
     each = durable(fingerprints(docs, words))
-    distinct = durable(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected_components(links(distinct, radius))
-    named = distinct.join(labels, distinct["fp"] == labels["id"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return each.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = durable(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    named, rows = _named(distinct, connected_components(links(distinct.select("fp"), radius)), "fp")
+    return join_counted(each, named, "fp", rows).select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """``(key, label, component_id, n)`` of ``nodes(key, first, rows)``, n being rows, and their total.
+
+    component_id is the least ``first`` of the nodes of one component of ``labels(id, component)``.
+    """
+    label = F.coalesce("component", key).alias("label")
+    labelled = durable(nodes.join(labels, nodes[key] == labels["id"], "left").select(key, "first", "rows", label))
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    total = labelled.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    named = join_counted(labelled, least, "label", total["nodes"])
+    return durable(named.select(key, "label", "component_id", F.col("rows").alias("n"))), total["rows"]
 
 
 #: Columns of a document's MinHash sketch, a byte each.
@@ -326,14 +337,9 @@ def _forests(members: DataFrame, column: str, forest) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` of near copies: ``similarity`` of their sets of ``words``-word shingles or more.
-
-    Pairs that share a hash of their prefixes are candidates, which no similar pair fails
-    to do. MinHash sketches drop those far below, a similar one with a chance under 1e-12;
-    within the components of what is left the sets decide. Nulls, repeats and ties as in near_duplicates().
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(doc_id, digest, label, component_id)`` of every row of ``docs(doc_id, text)``; digest is a hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest"))
     common = common_shingles(docs.select("text"), words)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -343,23 +349,51 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             node.append(xxhash.xxh64_intdigest(grams.tobytes()))
             rows.append(sketch(grams))
             first.append(prefix(grams, similarity, common).view(np.int64))
-        return {"doc_id": batch.column(0), "node": pa.array(np.array(node, np.uint64).view(np.int64)), "sketch": pa.array(rows, pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))}
-
-    each = written(map_arrow(docs, run, "doc_id long, node long, sketch binary, prefix array<long>"))
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
+        return {
+            "doc_id": batch.column(0),
+            "digest": batch.column(2),
+            "node": pa.array(np.array(node, np.uint64).view(np.int64)),
+            "sketch": pa.array(rows, pa.binary()),
+            "prefix": pa.array(first, pa.list_(pa.int64())),
+        }
+
+    each = written(map_arrow(docs, run, "doc_id long, digest long, node long, sketch binary, prefix array<long>"))
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
     loose = connected_components(similar_links(nodes.select("node", "sketch", "prefix"), least_agreement(similarity)))
-    labels = connected_components(exact_links(docs, loose, words, similarity))
-    named = nodes.join(labels, nodes["node"] == labels["id"], "left").select("node", "first", F.coalesce("component", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return each.select("doc_id", "node").join(named.join(least, "label").select("node", "component_id"), "node").select("doc_id", "component_id")
+    labels = connected_components(exact_links(docs.select("doc_id", "text"), loose, words, similarity))
+    named, rows = _named(nodes.select("node", "first", "rows"), labels, "node")
+    return join_counted(each.select("doc_id", "digest", "node"), named, "node", rows).select("doc_id", "digest", "label", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` of near copies: ``similarity`` of their sets of ``words``-word shingles or more.
+
+    Pairs that share a hash of their prefixes are candidates, which no similar pair fails
+    to do. MinHash sketches drop those far below, a similar one with a chance under 1e-12;
+    within the components of what is left the sets decide. Nulls, repeats and ties as in near_duplicates().
+    """
+    return _grouped(docs, words, similarity).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group of near copies, one row for each; rows without an id stay."""
-    groups = similar_documents(docs, words, similarity)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` for each group of near copies, the one of least doc_id, with all its columns.
+
+    Rows are told apart by id and text, so that rows that share an id but not their words
+    are judged each by itself, and of rows without an id one stays where its group has no
+    other. Of rows that agree in id and text one stays. Ties of an id go to the text of
+    least hash. An empty table gives no rows.
+    """
+    rows = _grouped(docs, words, similarity).groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "digest", "n")).alias("r")
+    own, id_, of = (free_name(x, docs) for x in ("digest", "kept_id", "kept_digest"))
+    kept = durable(rows.groupBy("label").agg(least).select(F.col("r.id").alias(id_), F.col("r.digest").alias(of), "r.n"))
+    keyed = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(of))
+    out = keyed.join(kept.where("n = 1").drop("n"), same, "left_semi")
+    several = kept.where("n > 1").drop("n")
+    if not several.isEmpty():
+        out = out.unionByName(keyed.join(several, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return out.drop(own)
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
