@@ -11,6 +11,7 @@ Text is compared in lower case with white space runs as one space.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_arrow, table
+from tessera.llm.common import map_arrow, table, written
 
 _SPACE = re.compile(r"\S+")
 
@@ -73,18 +74,19 @@ def banded_distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[in
 
 @dataclass
 class Items:
-    """A block of benchmark items and the index of their q-grams."""
+    """Benchmark items and the index of their q-grams; ``exact`` ones may have no edit and must be whole words."""
 
     ids: list[int]
     texts: list[str]
     q: int
     rate: float
+    exact: bool = False
 
     def __post_init__(self) -> None:
         q = self.q
         sizes = np.array([len(x) for x in self.texts], np.int64)
         self.sizes = sizes
-        self.budget = np.minimum((sizes * self.rate).astype(np.int64), (sizes + 1) // q - 1)
+        self.budget = np.zeros_like(sizes) if self.exact else (sizes * self.rate).astype(np.int64)
         self.bound = sizes + 1 - q * (self.budget + 1)
         codes, starts = joined_codes(self.texts)
         grams = gram_hashes(codes, q)
@@ -129,6 +131,40 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def indexes(rows: list[tuple[int, str]], q: int, rate: float, min_chars: int) -> list[Items]:
+    """Normalised items ``(id, text)`` by the q that each can bear.
+
+    Of an item of m characters at least m + 1 - q (e + 1) q-grams outlast e edits; q is
+    lowered until that is 1, so that no edit of the budget is given up. Items under
+    ``min_chars`` have no budget.
+    """
+    kinds: dict[tuple[int, bool], list[tuple[int, str]]] = {}
+    for i, x in rows:
+        exact = len(x) < min_chars
+        edits = 0 if exact else int(len(x) * rate)
+        if x:
+            kinds.setdefault((max(1, min(q, len(x) // (edits + 1))), exact), []).append((i, x))
+    return [Items([i for i, _ in held], [x for _, x in held], own, rate, exact) for (own, exact), held in sorted(kinds.items())]
+
+
+def find_all(texts: list[str], parts: list[Items]) -> list[tuple[int, int, int, int, int]]:
+    """Matches in normalised texts by place and item id: (text, item id, edits, start, end)."""
+    return sorted((t, items.ids[i], e, s, end) for items in parts for t, i, e, s, end in find(texts, items))
+
+
+def whole_words(text: str, item: str, lo: int, hi: int) -> int:
+    """The first place of ``item`` in ``text[lo:hi]`` where no letter or digit goes on at either end of it, or -1."""
+    at = text.find(item, lo, hi)
+    while at >= 0:
+        end = at + len(item)
+        before = at > 0 and text[at - 1].isalnum() and item[0].isalnum()
+        after = end < len(text) and text[end].isalnum() and item[-1].isalnum()
+        if not before and not after:
+            return at
+        at = text.find(item, at + 1, hi)
+    return -1
+
+
 def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """Matches in normalised texts: (text, item, edits, start, end), the best one for each text and item."""
     if not texts or not len(items.keys):
@@ -188,8 +224,10 @@ def _bands(texts, codes, starts, items, pair, diagonal, place):
         size, base = len(texts[text]), int(starts[text])
         lo = max(0, b * (e + 1) - base - e)
         hi = min(size, (b + 2) * (e + 1) - base + m + e)
-        if (exact := texts[text].find(items.texts[i], lo, hi)) >= 0:
+        exact = whole_words(texts[text], items.texts[i], lo, hi) if items.exact else texts[text].find(items.texts[i], lo, hi)
+        if exact >= 0:
             best[p] = (0, exact, exact + m)
+        if exact >= 0 or items.exact:
             continue
         needle = np.frombuffer(items.texts[i].encode("utf-32-le", "surrogatepass"), np.uint32)
         edits, s, t = banded_distance(needle, codes[base + lo : base + hi], e)
@@ -198,17 +236,18 @@ def _bands(texts, codes, starts, items, pair, diagonal, place):
     return [(p // len(items.ids), p % len(items.ids), *x) for p, x in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, q: int, rate: float, min_chars: int, block_chars: int) -> list[Items]:
-    """The benchmark in blocks of about ``block_chars`` characters, each small enough to send to every task."""
+def item_blocks(benchmark: DataFrame, q: int, rate: float, min_chars: int, block_chars: int) -> tuple[int, Iterator[list[Items]]]:
+    """The benchmark in blocks of about ``block_chars`` characters, one on the driver at a time, and their number."""
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
-    out = []
-    for k in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        kept = sorted((r["item_id"], x) for r in rows if len(x := normalise(r["text"])) >= max(q, min_chars))
-        out.append(Items([i for i, _ in kept], [x for _, x in kept], q, rate))
-    return out
+
+    def each() -> Iterator[list[Items]]:
+        for k in range(blocks):
+            rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+            yield indexes(sorted((r["item_id"], normalise(r["text"])) for r in rows), q, rate, min_chars)
+
+    return blocks, each()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, min_chars: int = 20, block_chars: int = 2_000_000) -> DataFrame:
@@ -216,40 +255,49 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08
 
     Returns ``(doc_id, item_id, edits, start_char, end_char)``, one row for each pair, with
     the best occurrence as a code point span of the text. Null and empty texts hold nothing.
-    Items under ``min_chars`` characters are too common to tell a leak and match nothing.
-    Repeated documents repeat their rows; a null doc_id stays null; equal items with
-    different ids each match; ties go to the first occurrence. Empty tables give no rows.
+    Items under ``min_chars`` characters must occur exactly and as whole words; items without
+    a character match nothing. Repeated documents repeat their rows; a null doc_id stays null;
+    equal items with different ids each match; ties go to the first occurrence. Empty tables
+    give no rows. Of several blocks of items each is sent, matched and written before the next.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in item_blocks(benchmark, q, rate, min_chars, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    blocks, each = item_blocks(benchmark, q, rate, min_chars, block_chars)
+    for parts in each:
+        sent = docs.sparkSession.sparkContext.broadcast(parts)
 
         def run(batch: pa.RecordBatch, sent=sent) -> dict:
-            items, raw = sent.value, [x or "" for x in batch.column(1).to_pylist()]
-            ids = batch.column(0).to_pylist()
-            rows = [(ids[t], items.ids[i], edits, *original_span(raw[t], s, e)) for t, i, edits, s, e in find([normalise(x) for x in raw], items)]
+            raw, ids = [x or "" for x in batch.column(1).to_pylist()], batch.column(0).to_pylist()
+            rows = [(ids[t], item, edits, *original_span(raw[t], s, e)) for t, item, edits, s, e in find_all([normalise(x) for x in raw], sent.value)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             return {n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(("doc_id", "item_id", "edits", "start_char", "end_char"))}
 
         part = map_arrow(docs, run, "doc_id long, item_id long, edits long, start_char long, end_char long")
+        if blocks > 1:
+            part = written(part)
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, min_chars: int = 20, block_chars: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns and no shuffle."""
+    """The rows of ``docs`` that hold no benchmark item, as leaks() finds them, with all their columns and no shuffle."""
     at = docs.columns.index("text")
-    for items in item_blocks(benchmark, q, rate, min_chars, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    blocks, each = item_blocks(benchmark, q, rate, min_chars, block_chars)
+    for parts in each:
+        sent = docs.sparkSession.sparkContext.broadcast(parts)
 
         def run(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            hit = {x[0] for x in find([normalise(x or "") for x in batch.column(at).to_pylist()], sent.value)}
+            hit = {x[0] for x in find_all([normalise(x or "") for x in batch.column(at).to_pylist()], sent.value)}
             return batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 
         docs = map_arrow(docs, run, docs.schema)
+        if blocks > 1:
+            docs = written(docs)
+            sent.destroy()
     return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """leaks() of the whole documents table against the whole benchmark."""
     return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))

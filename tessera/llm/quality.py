@@ -5,8 +5,11 @@ conditional random field labels each line as content or boilerplate from a few b
 features of the line; Viterbi decoding gives the best labelling of the whole document,
 and the share of words on content lines decides whether it stays. The field is trained
 here, on a bounded sample of labelled documents, by gradient ascent on its conditional
-likelihood; every line takes its document's quality label. Weights start from, and are
-drawn towards, a stated prior, which stands alone where nothing is labelled.
+likelihood. Labels are known of documents only, so the labels of lines are hidden: a stated
+share of a document's lines must be expected to have its label, and the field learns by
+what it expects of the lines with that constraint and without (posterior regularisation,
+Ganchev et al.). Weights start from, and are drawn towards, a stated prior, which stands
+alone where nothing is labelled.
 """
 
 from __future__ import annotations
@@ -88,41 +91,60 @@ def viterbi(codes: list[int], odds: list[float], stay: float) -> list[int]:
     return out[::-1] if codes else []
 
 
-def train(sequences: list[list[int]], labels: list[int], rounds: int = 120, pull: float = 1.0, cut: int = 64) -> np.ndarray:
-    """Weights of the field (features, bias, stay) from feature codes and a label for each sequence, 1 for boilerplate."""
+def expectations(unary: np.ndarray, stay: float, live: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of boilerplate of each line, and of each two neighbours having one label, by forward and backward log-odds.
+
+    A column is a sequence, the longest first; ``live`` has the number that reach each row.
+    """
+    ahead, behind = np.zeros_like(unary), np.zeros_like(unary)
+    bad, kept = np.zeros_like(unary), np.zeros_like(unary)
+    pass_on = lambda d: np.logaddexp(d + stay, 0) - np.logaddexp(d, stay)
+    for j in range(1, len(live)):
+        n = live[j]
+        ahead[j, :n] = pass_on(ahead[j - 1, :n] + unary[j - 1, :n])
+    for j in range(len(live) - 2, -1, -1):
+        n = live[j + 1]
+        behind[j, :n] = pass_on(behind[j + 1, :n] + unary[j + 1, :n])
+        left, right = ahead[j, :n] + unary[j, :n], unary[j + 1, :n] + behind[j + 1, :n]
+        same = np.logaddexp(left + right, 0) + stay - np.logaddexp(left, right)
+        kept[j, :n] = 1 / (1 + np.exp(-np.clip(same, -40, 40)))
+    for j, n in enumerate(live):
+        bad[j, :n] = 1 / (1 + np.exp(-np.clip(ahead[j, :n] + unary[j, :n] + behind[j, :n], -40, 40)))
+    return bad, kept
+
+
+def train(sequences: list[list[int]], labels: list[int], agree: float = 0.6, rounds: int = 100, pull: float = 1.0, cut: int = 64) -> np.ndarray:
+    """Weights of the field (features, bias, stay) from feature codes and a label for each sequence, 1 for boilerplate.
+
+    Which lines have their sequence's label is hidden; of each sequence the share ``agree`` of
+    the lines must be expected to. Where it falls short, all lines of the sequence are
+    urged towards the label, the more the longer that lasts. The slope is what the field
+    expects of each feature so urged less what it expects by itself.
+    """
     pieces = [(s[i : i + cut], y) for s, y in zip(sequences, labels) for i in range(0, len(s), cut)]
     weights = PRIOR.copy()
     if not pieces:
         return weights
-    k, n, t = len(FEATURES), len(pieces), max(len(s) for s, _ in pieces)
-    codes = np.zeros((n, t), np.int64)
-    mask = np.zeros((n, t), bool)
+    pieces.sort(key=lambda p: -len(p[0]))
+    k, n, t = len(FEATURES), len(pieces), len(pieces[0][0])
+    codes = np.zeros((t, n), np.int64)
     for i, (s, _) in enumerate(pieces):
-        codes[i, : len(s)] = s
-        mask[i, : len(s)] = True
-    y = np.array([v for _, v in pieces], float)[:, None]
+        codes[: len(s), i] = s
+    live = [sum(len(s) > j for s, _ in pieces) for j in range(t)]
+    is_bad = np.array([bool(v) for _, v in pieces])
+    sizes = np.array([len(s) for s, _ in pieces])
+    urged = np.zeros(n)
     bits = np.concatenate([((np.arange(1 << k)[:, None] >> np.arange(k)) & 1), np.ones((1 << k, 1))], axis=1)
-    both = mask[:, 1:] & mask[:, :-1]
-    lines = mask.sum()
+    lines = sum(live)
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
         unary = (bits @ weights[:-1])[codes]
-        stay = weights[-1]
-        # Forward and backward log-odds of a two-state chain.
-        ahead = np.zeros((n, t))
-        behind = np.zeros((n, t))
-        pass_on = lambda d: np.logaddexp(d + stay, 0) - np.logaddexp(d, stay)
-        for j in range(1, t):
-            ahead[:, j] = np.where(mask[:, j], pass_on(ahead[:, j - 1] + unary[:, j - 1]), 0)
-        for j in range(t - 2, -1, -1):
-            behind[:, j] = np.where(both[:, j], pass_on(behind[:, j + 1] + unary[:, j + 1]), 0)
-        bad = 1 / (1 + np.exp(-np.clip(ahead + unary + behind, -40, 40)))
-        left, right = (ahead + unary)[:, :-1], (unary + behind)[:, 1:]
-        same = np.logaddexp(left + right, 0) + stay
-        kept = 1 / (1 + np.exp(-np.clip(same - np.logaddexp(left, right), -40, 40)))
-        miss = np.where(mask, y - bad, 0)
-        by_code = np.bincount(codes.ravel(), miss.ravel(), minlength=1 << k)
-        slope = np.append(by_code @ bits, np.where(both, 1 - kept, 0).sum()) / lines - pull * (weights - PRIOR) / max(lines, 1000)
+        known_bad, known_kept = expectations(unary + np.where(is_bad, urged, -urged), weights[-1], live)
+        share = known_bad.sum(0) / sizes
+        urged = np.clip(urged + 2 * (agree - np.where(is_bad, share, 1 - share)), 0, 8)
+        bad, kept = expectations(unary, weights[-1], live)
+        by_code = np.bincount(codes.ravel(), (known_bad - bad).ravel(), minlength=1 << k)
+        slope = np.append(by_code @ bits, (known_kept - kept).sum()) / lines - pull * (weights - PRIOR) / max(lines, 1000)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         weights = weights + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     weights[-1] = max(weights[-1], 0.0)
@@ -177,7 +199,7 @@ def labelled_lines(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[lis
 
     def run(batch: pa.RecordBatch) -> dict:
         codes = [line_codes(x)[0] for x in raw_bytes(batch.column(2))]
-        return {"id": batch.column(0), "quality": batch.column(1), "codes": pa.array([c[:256] for c in codes], pa.list_(pa.int32()))}
+        return {"id": batch.column(0), "quality": batch.column(1), "codes": pa.array(codes, pa.list_(pa.int32()))}
 
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("__id", "__quality", F.col("text").cast("string").alias("text"))
     rows = sorted(map(tuple, map_arrow(joined, run, "id long, quality int, codes array<int>").collect()))[:sample]
@@ -187,8 +209,8 @@ def labelled_lines(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[lis
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, least_share: float = 0.5) -> DataFrame:
     """Rule counts and verdict of every row of ``docs(doc_id, text)``.
 
-    At most ``sample`` labelled documents (256 lines of each) train the field; all rows are
-    judged, over their whole texts. Null counts as an empty text, which fails. Repeated rows
+    At most ``sample`` labelled documents, with all their lines, train the field; all rows
+    are judged, over their whole texts. Null counts as an empty text, which fails. Repeated rows
     get equal verdicts, a null doc_id stays null, other columns are ignored, an empty table
     gives an empty result, and empty labels leave the prior weights.
     """
@@ -218,4 +240,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 3000, least_shar
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """score_quality() of the whole documents table, trained on a sample of its labels."""
     return score_quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
