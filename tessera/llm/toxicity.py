@@ -59,8 +59,8 @@ class Machine:
         return float(1 / (1 + np.exp(-min(max(z, -40.0), 40.0))))
 
 
-def telling(documents: list[np.ndarray], labels: np.ndarray, least: int, chi: float, most: int) -> np.ndarray:
-    """Hashes, in rising order, of the terms whose presence goes with the label: chi-squared of ``chi`` or more, the ``most`` largest."""
+def telling(documents: list[np.ndarray], labels: np.ndarray, least: int, chi: float) -> np.ndarray:
+    """Hashes, in rising order, of the terms whose presence goes with the label: chi-squared of ``chi`` or more."""
     if not documents:
         return np.empty(0, np.uint64)
     whole = np.concatenate(documents)
@@ -70,19 +70,54 @@ def telling(documents: list[np.ndarray], labels: np.ndarray, least: int, chi: fl
     n, all_bad = len(documents), labels.sum()
     off = n * bad - have * all_bad
     value = off**2 / np.maximum(have * (n - have) * all_bad * (n - all_bad), 1e-9) * n
-    value[(have < least) | (value < chi)] = -1
-    chosen = np.argsort(-value, kind="stable")[:most]
-    return np.sort(keys[chosen[value[chosen] > 0]])
+    return keys[(have >= least) & (value >= chi)]
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 40, rate: float = 0.03, decay: tuple[float, float] = (3e-4, 3e-3), least: int = 5, chi: float = 15.0, most: int = 4096, floor: float = 3e-3, batch: int = 256, seed: int = 5) -> Machine:
-    """Train on arrays of distinct term hashes, of which only the telling ones are known.
+def telling_pairs(documents: list[np.ndarray], labels: np.ndarray, cell: int, chi: float, block: int = 1024) -> np.ndarray:
+    """Hashes, in rising order, of the terms that tell together: of some pair the label's share with both, with one, the other and none departs from a sum.
+
+    The departure's square over its variance must be ``chi`` or more, and each of the four
+    cases hold ``cell`` documents. Terms that alone tell nothing are found so. Only terms that
+    chance puts with one as frequent in ``cell`` documents can be judged; all of these are.
+    """
+    n = len(documents)
+    if not n:
+        return np.empty(0, np.uint64)
+    keys, have = np.unique(np.concatenate(documents), return_counts=True)
+    keys = keys[(have >= np.sqrt(cell * n)) & (have <= n - cell)]
+    share = float(labels.mean())
+    if not len(keys) or share in (0.0, 1.0):
+        return np.empty(0, np.uint64)
+    present = np.zeros((n, len(keys)), np.float32)
+    for i, d in enumerate(documents):
+        at = np.minimum(np.searchsorted(keys, d), len(keys) - 1)
+        present[i, at[keys[at] == d]] = 1
+    bad = labels.astype(np.float32)[:, None]
+    have, have_bad = present.sum(0), (present * bad).sum(0)
+    found = np.zeros(len(keys), bool)
+    for s in range(0, len(keys), block):
+        part = present[:, s : s + block]
+        both, both_bad = part.T @ present, (part * bad).T @ present
+        mine, mine_bad = have[s : s + block, None], have_bad[s : s + block, None]
+        counts = np.stack([both, mine - both, have - both, n - mine - have + both])
+        bads = np.stack([both_bad, mine_bad - both_bad, have_bad - both_bad, bad.sum() - mine_bad - have_bad + both_bad])
+        rate = bads / np.maximum(counts, 1)
+        off = rate[0] - rate[1] - rate[2] + rate[3]
+        value = off**2 / (share * (1 - share) * (1 / np.maximum(counts, 1)).sum(0))
+        tells = (value >= chi) & (counts.min(0) >= cell)
+        found[s : s + block] |= tells.any(1)
+        found |= tells.any(0)
+    return keys[found]
+
+
+def fit(documents: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 40, rate: float = 0.03, decay: tuple[float, float] = (3e-4, 3e-3), least: int = 5, chi: float = 15.0, cell: int = 10, pair_chi: float = 40.0, floor: float = 3e-3, batch: int = 256, seed: int = 5) -> Machine:
+    """Train on arrays of distinct term hashes, of which those that tell, alone or in a pair, are known.
 
     ``decay`` pulls the linear weights and the factors to zero; factors move a fifth as fast.
     Steps shrink for terms whose slopes stay below ``floor``, the rare ones.
     """
     draw = np.random.default_rng(seed)
-    keys = telling(documents, labels, least, chi, most)
+    keys = np.union1d(telling(documents, labels, least, chi), telling_pairs(documents, labels, cell, pair_chi))
     n, share = len(keys), float(np.mean(labels)) if len(labels) else 0.0
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3))) if len(labels) else -3.0
     params = np.concatenate([np.zeros((n, 1)), draw.normal(0, 0.01, (n, factors))], axis=1)
@@ -123,7 +158,7 @@ def fit(documents: list[np.ndarray], labels: np.ndarray, factors: int = 4, epoch
     return Machine(keys, bias, params[:, 0], params[:, 1:])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int, most_terms: int) -> tuple[list[np.ndarray], np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Term hashes and labels of at most ``sample`` documents outside the held-out fold, drawn by a hash of the id."""
     drawn = (
         labels.where("toxic is not null and doc_id is not null")
@@ -134,25 +169,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int, most_terms:
     )
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [hashes(x) for x in raw_bytes(batch.column(2))]
-        kept = [len(x) <= most_terms for x in found]
-        blobs = [x.tobytes() for x, k in zip(found, kept) if k]
-        return {"id": batch.column(0).filter(pa.array(kept)), "toxic": batch.column(1).filter(pa.array(kept)), "terms": pa.array(blobs, pa.binary())}
+        blobs = [hashes(x).tobytes() for x in raw_bytes(batch.column(2))]
+        return {"id": batch.column(0), "toxic": batch.column(1), "terms": pa.array(blobs, pa.binary())}
 
     joined = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("__id", "__toxic", F.col("text").cast("string").alias("text"))
     rows = sorted(map(tuple, map_arrow(joined, run, "id long, toxic int, terms binary").collect()))[:sample]
     return [np.frombuffer(r[2], np.uint64) for r in rows], np.array([float(r[1] == 1) for r in rows])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, most_terms: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs(doc_id, text)``, over the whole text.
 
-    At most ``sample`` labelled documents of at most ``most_terms`` distinct hashes train the
-    machine. Null and empty texts score as a document without terms. Repeated rows score
+    At most ``sample`` labelled documents, with all their terms, train the machine. Null and empty texts score as a document without terms. Repeated rows score
     alike, a null doc_id stays null and counts as held out, other columns are ignored, an
     empty table gives no rows; without labels every score is the one of no knowledge, low.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, sample, most_terms)))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels, sample)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known: dict[int, int] = {}
     places: dict[bytes, list[int]] = {}  # of a term's hashes among the known ones
@@ -176,4 +208,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, most_
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """score_toxicity() of the whole documents table, trained on a sample of its labels."""
     return score_toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))

@@ -409,27 +409,33 @@ def test_two_passages_of_one_pair(spark, gaps):
 # --- toxicity and quality --------------------------------------------------------------------------
 
 
-def test_pairs_of_terms_are_learnt():
+@pytest.mark.parametrize("label", ["both", "equal", "unequal"])
+def test_pairs_of_terms_are_learnt(label):
     draw = np.random.default_rng(0)
     docs, labels = [], []
+    rule = {"both": lambda a, b: a and b, "equal": lambda a, b: a == b, "unequal": lambda a, b: a != b}[label]
     for _ in range(1500):
         d = set(draw.integers(10, 400, 40).tolist())
         a, b = draw.random(2) < 0.5
         d |= {1} if a else set()
         d |= {2} if b else set()
         docs.append(np.array(sorted(d), np.uint64))
-        labels.append(float(a and b))
+        labels.append(float(rule(a, b)))
     m = toxicity.fit(docs, np.array(labels), epochs=120)
-    one, two = np.searchsorted(m.keys, np.array([1, 2], np.uint64))
-    assert m.score(np.array([one, two])) > 0.8
-    assert max(m.score(np.array([one])), m.score(np.array([two])), m.score(np.array([], int))) < 0.3
+    for a, b in itertools.product((0, 1), repeat=2):
+        have = np.array([h for h, there in ((1, a), (2, b)) if there], np.uint64)
+        assert (m.score(np.searchsorted(m.keys, have)) > 0.7) == bool(rule(a, b)), (a, b)
+        assert rule(a, b) or m.score(np.searchsorted(m.keys, have)) < 0.3
 
 
 def test_toxicity_on_the_held_out_fold(spark):
     folder = "/root/testdata/sf0.1"
     out = toxicity.op9_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic is not null")
-    right, n = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.count("*")).first()
-    assert n > 300 and right > 0.97
+    rows = [tuple(r) for r in out.select("toxic", "predicted", "score").collect()]
+    bad, good = ([x for t, _, x in rows if t == k] for k in (1, 0))
+    auc = sum((b > g) + 0.5 * (b == g) for g in good for b in bad) / (len(good) * len(bad))
+    right = sum(t == p for t, p, _ in rows) / len(rows)
+    assert len(rows) > 300 and right > 0.97 > max(len(good), len(bad)) / len(rows) and auc > 0.97
 
 
 @given(st.lists(st.integers(0, 4095), max_size=9), st.floats(0, 4))
