@@ -53,12 +53,17 @@ def written(df: DataFrame) -> DataFrame:
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of written() that no plan still to run reads, and let Spark delete the shuffle files behind them."""
+    delete(*tables)
+    if tables:
+        release(tables[0].sparkSession)
+
+
+def delete(*tables: DataFrame) -> None:
+    """Delete tables of written() that no plan still to run reads."""
     for df in tables:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -128,23 +133,6 @@ def free_name(name: str, *tables: DataFrame) -> str:
     return name
 
 
-#: Rows of one key from which a join sends that key's other side to every task.
-HOT = 1000
-
-
-def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right(key, n, ...)``, one row a key, n being the rows of that key in ``left``.
-
-    Keys of over HOT rows and over a ten-thousandth of the ``total`` rows of left are ten
-    thousand at most; their rows of right are broadcast, so that no task gets all of a hot
-    key. n goes. Both sides are read twice: they should be tables or checkpoints.
-    """
-    most = max(HOT, total // 10_000)
-    hot = F.broadcast(right.where(F.col("n") > most).drop("n"))
-    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= most).drop("n"), key, how)
-    return left.join(hot, key).unionByName(cold)
-
-
 def word_count(text):
     """Number of words of a text column, as a long; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -2,8 +2,9 @@
 
 Large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce
 and Beyond"): each round is two group-minimum joins, so no vertex's neighbours are ever
-gathered in one row (the centres of large stars are joined by broadcast, not in one task),
-and the number of rounds grows with the logarithm of the longest path.
+gathered in one row, and the number of rounds grows with the logarithm of the longest path.
+The minima are tables of their own, so that both sides of a join are read through a shuffle
+and Spark may split the centre of a large star over several tasks.
 """
 
 from __future__ import annotations
@@ -11,25 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, join_counted
+from tessera.llm.common import delete, written
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return written(edges.groupBy("a").agg(F.min("b").alias("m")))
 
 
-def _large_star(edges: DataFrame, size: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link each vertex's larger neighbours to the least of its neighbourhood."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = _least_neighbour(both).select("a", F.least("a", "m").alias("m"), "n")
-    return join_counted(both, low, "a", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least_neighbour(both)
+    low = least.select("a", F.least("a", "m").alias("m"))
+    out = written(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    delete(least)
+    return out
 
 
-def _small_star(edges: DataFrame, size: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link each vertex and its smaller neighbours to the least of these. Edges are (larger, smaller)."""
     low = _least_neighbour(edges)
-    moved = join_counted(edges, low, "a", size).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+    moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = written(moved.union(low.select("a", F.col("m").alias("b"))).distinct())
+    delete(low)
+    return out
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -38,22 +44,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-loops and rows with a null end are ignored; an empty edge list gives no rows.
     Returns ``(id, component)`` for vertices other than the least of each component.
     """
-    edges = durable(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def state(df):
-        row = df.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
-        ).first()
+        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
 
     before = state(edges)
     for _ in range(max_rounds):
         if not before[0]:
             break
-        stars = durable(_large_star(edges, before[0]))
-        edges = durable(_small_star(stars, before[0]))
+        stars = _large_star(edges)
+        after_small = _small_star(stars)
+        delete(edges, stars)
+        edges = after_small
         after = state(edges)
         if after == before:
             break

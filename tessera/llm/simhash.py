@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, free_name, join_counted, map_arrow, raw_bytes, written
+from tessera.llm.common import durable, free_name, map_arrow, raw_bytes, written
 from tessera.llm.components import connected_components
 
 #: Fingerprints that one task compares at once, at most twice this many.
@@ -157,23 +157,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     keeps its row and never names a component, unless all ids of the component are null.
     An empty table gives an empty result; other columns are ignored.
     """
-    each = durable(fingerprints(docs, words))
-    distinct = durable(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
-    named, rows = _named(distinct, connected_components(links(distinct.select("fp"), radius)), "fp")
-    return join_counted(each, named, "fp", rows).select("doc_id", "fp", "component_id")
+    each = written(fingerprints(docs, words))
+    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    named = _named(distinct, connected_components(links(distinct.select("fp"), radius)), "fp")
+    return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _named(nodes: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """``(key, label, component_id, n)`` of ``nodes(key, first, rows)``, n being rows, and their total.
+def _named(nodes: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``(key, label, component_id)`` of ``nodes(key, first)``: the least ``first`` of the component of ``labels(id, component)``.
 
-    component_id is the least ``first`` of the nodes of one component of ``labels(id, component)``.
+    Both sides of each join are tables, so that Spark may split a hot label or key over several tasks.
     """
-    label = F.coalesce("component", key).alias("label")
-    labelled = durable(nodes.join(labels, nodes[key] == labels["id"], "left").select(key, "first", "rows", label))
-    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    total = labelled.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
-    named = join_counted(labelled, least, "label", total["nodes"])
-    return durable(named.select(key, "label", "component_id", F.col("rows").alias("n"))), total["rows"]
+    labelled = written(nodes.join(labels, nodes[key] == labels["id"], "left").select(key, "first", F.coalesce("component", key).alias("label")))
+    least = written(labelled.groupBy("label").agg(F.min("first").alias("component_id")))
+    return written(labelled.join(least, "label").select(key, "label", "component_id"))
 
 
 #: Columns of a document's MinHash sketch, a byte each.
@@ -358,11 +355,11 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         }
 
     each = written(map_arrow(docs, run, "doc_id long, digest long, node long, sketch binary, prefix array<long>"))
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
     loose = connected_components(similar_links(nodes.select("node", "sketch", "prefix"), least_agreement(similarity)))
     labels = connected_components(exact_links(docs.select("doc_id", "text"), loose, words, similarity))
-    named, rows = _named(nodes.select("node", "first", "rows"), labels, "node")
-    return join_counted(each.select("doc_id", "digest", "node"), named, "node", rows).select("doc_id", "digest", "label", "component_id")
+    named = _named(nodes.select("node", "first"), labels, "node")
+    return each.select("doc_id", "digest", "node").join(named, "node").select("doc_id", "digest", "label", "component_id")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -397,5 +394,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
 
 
 def op5_simhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole documents table, the fingerprint in hexadecimal digits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

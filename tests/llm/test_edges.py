@@ -21,7 +21,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for their own columns.
-CLASHES = ("id", "h", "p", "fp", "key", "doc", "score", "kept", "size", "component_id", "spans", "node", "range", "taken", "x", "n", "__text", "html_", "held_out")
+CLASHES = ("id", "h", "p", "fp", "key", "doc", "score", "kept", "size", "component_id", "spans", "node", "range", "taken", "x", "n", "__text", "html_", "held_out", "digest", "kept_id", "label", "secret_text", "secret_base", "mix_size", "mix_row_key", "copies", "__id", "__kept")
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,7 @@ OPERATORS = {
     "without_leaks": lambda d, x, b: decontaminate.without_leaks(d, b),
     "tokens": lambda d, x, b: token_counts.count_tokens(d, [b" the", b" qu", b"ick"]),
     "secrets": lambda d, x, b: secrets.find_secrets(d),
-    "redact": lambda d, x, b: secrets.redact(d.drop("__text")),
+    "redact": lambda d, x, b: secrets.redact(d),
     "simhash": lambda d, x, b: simhash.near_duplicates(d),
     "similar": lambda d, x, b: simhash.similar_documents(d),
     "keep_one": lambda d, x, b: simhash.keep_one(d),
@@ -95,4 +95,37 @@ def test_defined_results(docs, labels, benchmark):
     plan = mixing.plan_mix(docs).collect()
     assert all(r["taken"] <= 3 * r["size"] for r in plan) and {r["size"] for r in plan if r["doc_id"] in (2, 3, 7)} == {0}
     out = OPERATORS["redact"](docs, labels, benchmark)
-    assert out.columns == [c for c in docs.columns if c != "__text"]
+    assert out.columns == docs.columns
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    other = " ".join(f"z{i}" for i in range(80))
+    rows = [(1, TEXT), (1, other), (1, other), (2, TEXT), (None, other + " y"), (None, LONG), (None, LONG), (None, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, TEXT), (1, other), (None, LONG), (9, "")], key=repr)
+
+
+def test_the_mix_takes_each_row_by_its_own_text(spark):
+    rows = [(1, "a b c", "s"), (1, "d e f", "s"), (1, "d e f", "s"), (None, "g h", "s"), (None, "i j", None), (None, "i j", None), (2, "k " * 9, "t"), (3, None, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, out = mixing.plan_mix(df).collect(), mixing.mix(df).collect()
+    assert len(plan) == len(rows) and sum(r["taken"] for r in plan) == sum(r["taken"] for r in out)
+    assert sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in plan if r["copies"]) == sorted((r["doc_id"] or 0, r["size"], r["taken"]) for r in out)
+
+
+def test_redaction_covers_a_run_around_a_base_span(spark):
+    key = "Zk3Qx9Lp2Vb7Rt5Yw8" + "0123456789abcdef0123456789abcdef" + "Hj4Nm6Kd1Sf3Gc8Xz5QwErTyUiOp" * 3
+    df = spark.createDataFrame([(1, f"see {key} here")], "doc_id long, text string")
+    assert secrets.redact(df).first()["text"] == "see [REDACTED] here"
+    assert {"hex", "random"} == {x.split(":")[0] for x in secrets.find_secrets(df).first()["spans"].split(",")}
+
+
+def test_the_pipeline_takes_odd_tables(spark, tmp_path, docs, labels, benchmark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, df in {"documents": docs, "labels": labels, "benchmark": benchmark}.items():
+        df.write.parquet(str(tmp_path / "odd" / f"{name}.parquet"))
+        df.where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd"))
+    assert set(docs.columns) <= set(out.columns) and all(r["text"] for r in out.collect())
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
