@@ -386,7 +386,7 @@ def test_planted_passages_are_found(spark):
     del fuzzy[33]
     docs = [(1, text(80) + passage + text(30)), (2, text(300)), (3, text(10) + fuzzy + text(99)), (4, passage), (5, text(50) + passage[:20] + text(50))]
     rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
-    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(3, 1), (4, 1)}
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(3, 1), (4, 1), (4, 3)}
     for r in rows:
         whole = " ".join(dict(docs)[r["doc_id"]])
         assert abs(len(whole[r["start_char"] : r["end_char"]].split()) - 60) <= 3
@@ -406,6 +406,54 @@ def test_two_passages_of_one_pair(spark, gaps):
     assert whole[: found[0][1]].startswith(" ".join(head)) and whole[found[1][0] :].endswith(" ".join(foot))
 
 
+def _prose(seed):
+    draw = random.Random(seed)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randrange(2, 9))) for _ in range(4000)]
+    return lambda n: draw.choices(words, k=n)
+
+
+@pytest.mark.parametrize("few", [2, 8])
+def test_pieces_in_earlier_documents_hide_no_copy(spark, monkeypatch, few):
+    monkeypatch.setattr(passages, "FEW", few)
+    text = _prose(31)
+    whole = text(90)
+    docs = [(i, text(40) + whole[15 * (i - 1) : 15 * (i - 1) + 30] + text(40)) for i in range(1, 6)]
+    docs += [(11, text(50) + whole + text(20)), (12, text(9) + whole + text(70)), (13, text(33) + whole)]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} >= {(12, 11), (13, 11)} and {r["doc_id"] for r in rows} == {12, 13}
+    assert all(r["n_words"] >= 88 for r in rows if r["source_id"] == 11)
+
+
+def test_a_passage_may_go_on_far_beyond_its_seeds(spark):
+    text = _prose(32)
+    passage = text(60) + [w for _ in range(120) for w in text(4)]
+    fuzzy = [("other" if i >= 60 and i % 5 == 0 else w) for i, w in enumerate(passage)]
+    df = spark.createDataFrame([(1, " ".join(text(300) + passage + text(300))), (2, " ".join(text(200) + fuzzy + text(200)))], "doc_id long, text string")
+    rows = passages.repeated_passages(df).collect()
+    assert len(rows) == 1 and rows[0]["n_words"] > 500
+
+
+def test_batches_of_any_column_are_split(spark):
+    import pyarrow as pa
+
+    from tessera.llm import common
+
+    lists = pa.array([[{"x": j} for j in range(i % 50)] for i in range(400)], pa.list_(pa.struct([("x", pa.int64())])))
+    for column in (lists, pa.array(["x" * (i % 90) for i in range(400)]), pa.array([b"x" * (i % 90) for i in range(400)])):
+        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(400)), "c": column})
+        parts = list(common.pieces([batch], "c", limit=900))
+        assert len(parts) > 5 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+@given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_matched_words_are_the_longest_common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j: max(left, row[j], row[j - 1] + (x == b[j - 1])), initial=0))
+    assert passages._matched(a, b) == row[-1]
+
+
 # --- toxicity and quality --------------------------------------------------------------------------
 
 
