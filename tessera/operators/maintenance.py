@@ -38,7 +38,7 @@ def apply_notes(stored: DataFrame, touched: DataFrame) -> DataFrame:
 
 def archive_missing(stored: DataFrame, gone: DataFrame) -> DataFrame:
     """Notes that are gone keep their hash and become archived."""
-    marked = gone.select("note_id", F.lit(True).alias("gone"))
+    marked = gone.select("note_id", F.lit(True).alias("gone")).distinct()
     return stored.join(marked, "note_id", "left").withColumn("status", F.when(F.col("gone"), "archived").otherwise(F.col("status"))).drop("gone")
 
 
@@ -50,8 +50,13 @@ def config_epochs(adoptions: DataFrame) -> DataFrame:
 
 
 def activate(notes: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Each proposal ``(note_id, generation_id, content_hash, revision)`` taken if the note's hash is still that and no newer revision is active."""
-    p = proposals.select("note_id", F.col("generation_id").alias("proposed"), F.col("content_hash").alias("seen_hash"), "revision")
+    """Each proposal ``(note_id, generation_id, content_hash, revision)`` taken if the note's hash is still that and no newer revision is active.
+
+    Of several proposals for a note the one of the newest revision stands, of equal ones the least generation.
+    """
+    last = F.min_by(F.struct("generation_id", "content_hash", "revision"), F.struct(-F.col("revision"), "generation_id", "content_hash"))
+    p = proposals.groupBy("note_id").agg(last.alias("p")).select("note_id", "p.*")
+    p = p.select("note_id", F.col("generation_id").alias("proposed"), F.col("content_hash").alias("seen_hash"), "revision")
     ok = (F.col("seen_hash") == F.col("content_hash")) & (F.col("revision") >= F.coalesce("active_generation", F.lit(0)))
     return notes.join(p, "note_id").select(
         "note_id",
@@ -114,12 +119,15 @@ def divergences(notes: DataFrame, chunks: DataFrame, expected: DataFrame) -> Dat
 def index_plan(notes: DataFrame, chunks: DataFrame, expected: DataFrame) -> DataFrame:
     """What indexing does for each note, decided for all at once: empty, tombstone, unchanged, reattach or embed.
 
-    ``expected(note_id, generation_id, n_chunks)``; ``chunks(generation_id, chunk_id)``. Only
-    notes to embed go to the embedder.
+    ``expected(note_id, generation_id, chunk_id)`` has a row for each chunk that a note ought
+    to have; ``chunks(generation_id, chunk_id)``. A generation is whole when every expected id
+    is stored. Only notes to embed go to the embedder.
     """
-    have = chunks.groupBy("generation_id").agg(F.countDistinct("chunk_id").alias("present"))
-    joined = notes.join(expected.select("note_id", F.col("generation_id").alias("want"), "n_chunks"), "note_id", "left").join(have, F.col("want") == F.col("generation_id"), "left")
-    whole = F.coalesce(F.col("present") >= F.col("n_chunks"), F.lit(False))
+    stored = chunks.select("generation_id", "chunk_id", F.lit(1).alias("there")).distinct()
+    counts = expected.distinct().join(stored, ["generation_id", "chunk_id"], "left").groupBy("note_id", F.col("generation_id").alias("want"))
+    counts = counts.agg(F.count("chunk_id").alias("n_chunks"), (F.count("chunk_id") - F.count("there")).alias("lacking"))
+    joined = notes.join(counts, "note_id", "left")
+    whole = F.coalesce(F.col("lacking") == 0, F.lit(False))
     action = (
         F.when(F.col("status") == "archived", "tombstone")
         .when(F.coalesce("n_chunks", F.lit(0)) == 0, "empty")

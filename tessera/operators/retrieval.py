@@ -131,8 +131,9 @@ def identity_matches(queries: DataFrame, keys: DataFrame) -> DataFrame:
     1 normalised slugs and 2 normalised aliases. More than one note in a tier is ambiguous.
     """
     asked = queries.select("query", F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), F.col("exact" if t == 0 else "normalized").alias("key")) for t in range(3)))).alias("a")).select("query", "a.tier", "a.key").where("key <> ''")
-    hits = asked.join(keys, ["tier", "key"]).select("query", "tier", "note_id").distinct()
-    by_tier = hits.groupBy("query", "tier").agg(F.count("*").alias("owners"), F.min("note_id").alias("note_id"))
+    # Owners are counted for each key before the join, so that a shared name asked often is one row a question.
+    owned = keys.groupBy("tier", "key").agg(F.countDistinct("note_id").alias("owners"), F.min("note_id").alias("note_id"))
+    by_tier = asked.join(owned, ["tier", "key"])
     return by_tier.groupBy("query").agg(F.min(F.struct("tier", "owners", "note_id")).alias("m")).select(
         "query", "m.tier", F.when(F.col("m.owners") == 1, F.col("m.note_id")).alias("note_id"), (F.col("m.owners") > 1).alias("ambiguous")
     )

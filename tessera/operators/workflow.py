@@ -104,11 +104,16 @@ def recover(jobs: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def with_last_error(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Each job with the error of its last attempt, newest jobs first: the correlated lookup as one group and a left join."""
+    """Each job with the error of its last attempt: the correlated lookup as one group and a left join. newest_first() orders them."""
     last = attempts.groupBy("job_id").agg(F.max_by("error_code", "attempt_no").alias("last_error"))
     return jobs.join(last, "job_id", "left")
 
 
+def newest_first(at: str, id_: str) -> list[Column]:
+    """The order of lists and histories: latest first, without a time last, then by id."""
+    return [F.col(at).desc_nulls_last(), F.col(id_).asc()]
+
+
 def rollup(outcomes: DataFrame) -> DataFrame:
     """Counts of a drain's outcomes and the exit code that stands for all."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, EXIT_ORDER)), F.col("exit_code").cast("int")), F.lit(0)), F.lit(99))
@@ -124,7 +129,7 @@ def event_kind(status: Column) -> Column:
 
 
 def note_history(runs: DataFrame, git_operations: DataFrame) -> DataFrame:
-    """Runs with the commit that integrated each, newest first. What the join asks of the right side stays in the join."""
+    """Runs with the commit that integrated each; newest_first() orders them. What the join asks of the right side stays in the join."""
     g = git_operations.where("op_type = 'integrate' and status = 'done'").select("run_id", "commit_id")
     return runs.join(g, "run_id", "left").select("run_id", "note_id", "started_at", event_kind(F.col("status")).alias("kind"), "commit_id")
 

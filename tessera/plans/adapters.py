@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +72,53 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("event_id") / 3).cast("long").alias("job_id"), (F.col("event_id") % 3).cast("long").alias("attempt_no"), F.concat(F.col("event_type"), F.lit("-error")).alias("error_code"))
 
 
+def _marked_lines():
+    """Lines of a document; every third of every seventh document's as a heading."""
+    mark = lambda line, i: F.when((F.col("doc_id") % 7 == 0) & (i % 3 == 0), F.concat(F.repeat(F.lit("#"), (i % 6 + 1).cast("int")), F.lit(" "), line, F.lit(" ##"))).otherwise(line)
+    return F.transform(F.split("text", "\n"), mark)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of each document; every seventh document's first line as a heading."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    marked = F.when((F.col("doc_id") % 7 == 0) & (F.col("ord") % 3 == 0), F.concat(F.repeat(F.lit("#"), (F.col("ord") % 6 + 1).cast("int")), F.lit(" "), "line", F.lit(" ##"))).otherwise(F.col("line"))
-    return d.select(F.concat(F.lit("doc-"), "doc_id").alias("note_id"), F.col("ord").cast("long").alias("ord"), marked.alias("line"))
+    """Each line of each document, some as headings."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(_marked_lines()).alias("ord", "line"))
+    return d.select(F.concat(F.lit("doc-"), "doc_id").alias("note_id"), F.col("ord").cast("long").alias("ord"), "line")
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as one text for each document, made in place."""
+    return read(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("doc-"), "doc_id").alias("note_id"), F.array_join(_marked_lines(), "\n").alias("body"))
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct supplier-to-part links of lineitem."""
     x = read(spark, sf_dir, "lineitem")
     return x.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct().withColumn("predicate", F.lit(None).cast("string"))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The stored text index of documents, written on first use and again when the table's files change.
+
+    It lies in the shared folder of ``spark.checkpoint.dir``; in a temporary one only where
+    that is unset and all of Spark runs in this process.
+    """
+    from tessera.operators import index
+
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = f"{java}:{files.getFileStatus(java).getModificationTime()}:{files.getContentSummary(java).getLength()}:{kind}"
+    key = (spark.sparkContext.applicationId, state)
+    if key not in _INDEXES:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="index-")
+        folder = f"{shared}/text-index-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
+        d = read(spark, sf_dir, "documents")
+        chunks = d.select(F.col("doc_id").alias("note_id"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("section_path"), "text")
+        index.write_index((index.analyzed_postings if kind == "analyzed" else index.plain_postings)(chunks), folder)
+        _INDEXES[key] = folder
+    return _INDEXES[key]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding, hashing, identity, stemmer, text
-from tessera.operators import evaluation, graph, maintenance, retrieval, validation, workflow
+from tessera.operators import evaluation, graph, index, maintenance, retrieval, validation, workflow
 from tessera.plans import adapters
 from tessera.plans.adapters import read
 
@@ -64,13 +64,8 @@ def vector_topk_distinct_notes(spark, sf_dir) -> DataFrame:
 
 
 def _scored_documents(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    chunks = d.select(F.col("doc_id").alias("note_id"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("section_path"), retrieval.plain_terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    # Only the query's terms are taken from each document's list; the other postings are never made.
-    hits = chunks.withColumn("length", F.size("terms")).withColumn("terms", F.filter("terms", lambda t: t.isin(*TERMS)))
-    index = hits.select("note_id", "chunk_id", "section_path", "length", F.explode("terms").alias("term")).groupBy("term", "note_id", "chunk_id", "section_path", "length").agg(F.count("*").alias("tf"))
-    return retrieval.bm25(index, stats, TERMS)
+    """Scores of the documents that hold a query term, from the stored index."""
+    return index.scored(spark, adapters.index_folder(spark, sf_dir, "plain"), TERMS)
 
 
 _FTS = f"""t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS terms FROM documents),
@@ -88,6 +83,26 @@ def fts_topk_plain(spark, sf_dir) -> DataFrame:
     return ranked.select(F.col("note_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Words of the documents' language that the analyzer gives the stems of TERMS; "there" is a function word.
+_FORMS = "(worthless(ly|ness)?|clown(s|ed|ing)?|idiot(s|ic|ically)?)"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS terms FROM documents),
+    s AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM t),
+    p AS (SELECT doc_id, len(terms) AS length, regexp_extract(unnest(terms), '^{_FORMS}$', 1) AS word FROM t),
+    f AS (SELECT doc_id, length, regexp_extract(word, '^(worthless|clown|idiot)', 1) AS term, count(*) AS tf FROM p WHERE word <> '' GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    score AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS relevance FROM f JOIN df USING (term), s GROUP BY doc_id)
+    SELECT doc_id, row_number() OVER (ORDER BY relevance DESC, doc_id)::BIGINT AS rank FROM score ORDER BY relevance DESC, doc_id LIMIT 10"""
+)
+def fts_topk_analyzed(spark, sf_dir) -> DataFrame:
+    """Documents and query both folded, without function words and stemmed."""
+    terms = stemmer.analyze(" ".join(TERMS), frozenset(retrieval.STOP_WORDS))
+    ranked = retrieval.rank_chunks(index.scored(spark, adapters.index_folder(spark, sf_dir, "analyzed"), terms), 10, False)
+    return ranked.where("rank <= 10").select(F.col("note_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+
+
 def _layers(spark, sf_dir) -> DataFrame:
     fts = retrieval.rank_chunks(_scored_documents(spark, sf_dir), 10, False).select(F.lit("fts").alias("layer"), "note_id", "section_path", "rank")
     e, q = _vectors(spark, sf_dir)
@@ -246,10 +261,9 @@ def backoff_delay(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", hashing.backoff_delay(F.col("event_id"), F.col("event_id") % 9 + 1).alias("delay"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[ \\t]+\\n', chr(10), 'g'), '^\\n+|\\s+$', '', 'g')) AS section_hash FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'")
+@query("SELECT doc_id, sha256(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+$', '')), chr(10)), '^\\n+|\\n+$', '', 'g')) AS section_hash FROM documents")
 def section_hash(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where(~F.col("text").contains("\r"))
-    return d.select("doc_id", hashing.section_content_hash(F.col("text")).alias("section_hash"))
+    return read(spark, sf_dir, "documents").select("doc_id", hashing.section_content_hash(F.col("text")).alias("section_hash"))
 
 
 @query("SELECT doc_id, ceil((length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]'))) / 4.0)::BIGINT AS tokens FROM documents")
@@ -344,14 +358,19 @@ def index_verify(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""WITH {_CHUNKS}, g AS (SELECT generation_id, count(*) AS present FROM c GROUP BY 1)
-    SELECT note_id, CASE WHEN doc_id % 19 = 0 THEN 'tombstone' WHEN doc_id % 23 = 0 THEN 'empty' WHEN g.present IS NOT NULL AND active_generation_id IS NOT DISTINCT FROM want THEN 'unchanged' WHEN g.present IS NOT NULL THEN 'reattach' ELSE 'embed' END AS action
+    SELECT note_id, CASE WHEN doc_id % 19 = 0 THEN 'tombstone' WHEN doc_id % 23 = 0 THEN 'empty' WHEN g.present IS NOT NULL AND doc_id % 4 <> 0 AND active_generation_id IS NOT DISTINCT FROM want THEN 'unchanged' WHEN g.present IS NOT NULL AND doc_id % 4 <> 0 THEN 'reattach' ELSE 'embed' END AS action
     FROM n LEFT JOIN g ON g.generation_id = n.want"""
 )
 def index_plan(spark, sf_dir) -> DataFrame:
+    """Every fourth note expects a second chunk that is not stored, though another one is."""
     n = adapters.notes(spark, sf_dir)
-    expected = adapters.document_generations(n).select("note_id", "generation_id", F.when(F.col("doc_id") % 23 == 0, 0).otherwise(1).alias("n_chunks"))
+    chunk = lambda i: F.concat("generation_id", F.lit(f"/{i}"))
+    g = adapters.document_generations(n)
+    ids = F.when(F.col("doc_id") % 23 == 0, F.array().cast("array<string>")).when(F.col("doc_id") % 4 == 0, F.array(chunk(0), chunk(1))).otherwise(F.array(chunk(0)))
+    expected = g.select("note_id", "generation_id", F.explode(ids).alias("chunk_id"))
+    chunks = _chunks(n).unionByName(g.where("doc_id % 4 = 0").select("generation_id", chunk("x").alias("chunk_id")))
     held = adapters.active_notes(n).withColumn("status", F.when(F.col("doc_id") % 19 == 0, "archived").otherwise("active"))
-    return maintenance.index_plan(held, _chunks(n), expected).select("note_id", "action")
+    return maintenance.index_plan(held, chunks, expected).select("note_id", "action")
 
 
 @query(f"WITH {_ACTIVE} SELECT note_id FROM n WHERE active_generation < 2 OR active_generation_id IS NULL")
@@ -373,11 +392,11 @@ def schema_version_histogram(spark, sf_dir) -> DataFrame:
 # --- graph ---------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = c_custkey)")
+@query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = p_partkey) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = p_partkey)")
 def orphan_notes(spark, sf_dir) -> DataFrame:
-    notes = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("note_id"))
+    notes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("note_id"))
     ends = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_custkey").alias("target")).union(read(spark, sf_dir, "supplier").select("s_suppkey", "s_suppkey"))
-    return graph.orphan_notes(notes, ends).select(F.col("note_id").alias("c_custkey"))
+    return graph.orphan_notes(notes, ends).select(F.col("note_id").alias("p_partkey"))
 
 
 @query(
@@ -573,7 +592,7 @@ def section_paths(spark, sf_dir) -> DataFrame:
     """Headings with unique paths and breadcrumbs, by one pass over each note."""
     from tessera.functions.markdown import sections
 
-    notes = adapters.lines(spark, sf_dir).groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    notes = adapters.bodies(spark, sf_dir)
 
     def run(batches):
         import pandas as pd
@@ -613,19 +632,27 @@ def patched_notes(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", patched(raw, patch).alias("p")).select("item_id", "p.ok", "p.code", "p.next")
 
 
-@query("SELECT item_id, 'a [link](x)' || chr(10) || '# One' AS text FROM benchmark WHERE false")
-def accessibility_clean(spark, sf_dir) -> DataFrame:
-    """No benchmark item has a finding, so none comes back."""
-    x = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("note_id"), "text")
-    lines = x.select("note_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    bad = validation.accessibility(lines).select("note_id").distinct()
-    return x.join(bad, "note_id", "left_semi").select(F.col("note_id").alias("item_id"), "text")
+@query(
+    """WITH c AS (SELECT conv_id, turn, (conv_id * 7 + turn) % 6 AS kind FROM conversations)
+    SELECT conv_id, turn, 1::BIGINT AS ord, 'accessibility:' || (['vague-link-label', 'missing-alt-text', 'skipped-heading-level', 'list-jump', 'multiple-top-headings'])[kind::INT] AS code FROM c WHERE kind > 0"""
+)
+def accessibility_findings(spark, sf_dir) -> DataFrame:
+    """Notes of two lines each, of which one in six has nothing to find."""
+    second = F.element_at(F.array(*map(F.lit, ("see [the report](x.md) ![a plot](y.png)", "see [ Click here ](x)", "![ ](x.png)", "### deep", "      - far in", "# again"))), (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(6)) + 1).cast("int"))
+    first = F.when(F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(6)) == 4, "- top").otherwise("# One")
+    c = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("note_id"), F.posexplode(F.array(first, second)).alias("ord", "line"))
+    found = validation.accessibility(c)
+    return found.select("note_id.conv_id", "note_id.turn", F.col("ord").cast("long").alias("ord"), "code")
+
 
+_SHOWN = "regexp_replace(regexp_replace(chr(27) || '[31m' || coalesce(c.text, '') || chr(27) || '[0m' || chr(7), chr(27) || '\\[[0-9;]*m', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{80}-\\x{9F}\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g')"
 
-@query("SELECT c.conv_id, c.turn, length(regexp_replace(regexp_replace(chr(27) || '[31m' || coalesce(c.text, '') || chr(27) || '[0m' || chr(7), chr(27) || '\\[[0-9;]*m', '', 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{80}-\\x{9F}\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g'))::BIGINT AS shown FROM conversations c")
-def sanitized_length(spark, sf_dir) -> DataFrame:
+
+@query(f"SELECT c.conv_id, c.turn, length({_SHOWN})::BIGINT AS shown, md5({_SHOWN}) AS digest FROM conversations c")
+def sanitized_text(spark, sf_dir) -> DataFrame:
     raw = F.concat(F.lit("\x1b[31m"), F.coalesce("text", F.lit("")), F.lit("\x1b[0m\x07"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(text.sanitize_terminal(raw)).cast("long").alias("shown"))
+    shown = text.sanitize_terminal(raw)
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(shown).cast("long").alias("shown"), F.md5(shown).alias("digest"))
 
 
 # --- more of maintenance and workflow --------------------------------------------------------
@@ -666,17 +693,14 @@ def without_colliders(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'created' WHEN 'N' THEN 'planning' ELSE 'planned' END AS status FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
-    p AS (SELECT *, lag(status) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS previous FROM s)
-    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM p WHERE previous IS NOT NULL AND NOT (previous = 'created' AND status = 'planning' OR previous = 'planning' AND status = 'planned')"""
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN 'created' WHEN 'N' THEN 'planning' ELSE 'planned' END AS status FROM lineitem),
+    p AS (SELECT *, lag(status) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, status) AS previous FROM s)
+    SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey FROM p WHERE previous IS NOT NULL AND NOT (previous = 'created' AND status = 'planning' OR previous = 'planning' AND status = 'planned')"""
 )
 def invalid_transitions(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
     status = F.when(F.col("l_returnflag") == "A", "created").when(F.col("l_returnflag") == "N", "planning").otherwise("planned")
-    x = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("seq"), status.alias("status"))
-    x = x.withColumn("same", F.count("*").over(Window.partitionBy("run_id", "seq"))).where("same = 1")
-    return workflow.invalid_transitions(x).select(F.col("run_id").alias("l_orderkey"), F.col("seq").cast("long").alias("l_linenumber"))
+    x = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", status).alias("seq"), status.alias("status"))
+    return workflow.invalid_transitions(x).select(F.col("run_id").alias("l_orderkey"), F.col("seq.l_linenumber").cast("long").alias("l_linenumber"), "seq.l_partkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F') <> (o_orderkey % 4 <> 0)")
@@ -731,8 +755,79 @@ def error_classes(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", text.error_class(kind).alias("class"))
 
 
-@query("SELECT doc_id, source || CASE doc_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/../' WHEN 2 THEN '/.git/' ELSE '//' END || doc_id || '.md' AS path, doc_id % 4 = 0 AS valid FROM documents WHERE source IS NOT NULL")
+@query("SELECT doc_id, source || CASE doc_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '/../' WHEN 2 THEN '/.git/' ELSE '//' END || doc_id || '.md' AS path, doc_id % 4 = 0 AND source IS NOT NULL AS valid FROM documents")
 def destination_paths(spark, sf_dir) -> DataFrame:
     between = F.element_at(F.array(*map(F.lit, ("/", "/../", "/.git/", "//"))), (F.col("doc_id") % 4 + 1).cast("int"))
     path = F.concat("source", between, F.col("doc_id").cast("string"), F.lit(".md"))
-    return read(spark, sf_dir, "documents").where("source is not null").select("doc_id", path.alias("path"), text.valid_destination(path).alias("valid"))
+    return read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), text.valid_destination(path).alias("valid"))
+
+
+# --- operators over single values, orders and fences ---------------------------------------------
+
+
+@query(f"WITH {_JOBS} SELECT job_id, state, row_number() OVER (ORDER BY created_at DESC, job_id)::BIGINT AS place FROM j WHERE workflow = 'click' QUALIFY place > 20 AND place <= 70")
+def jobs_page(spark, sf_dir) -> DataFrame:
+    """The second page of one workflow's jobs, newest first."""
+    from pyspark.sql import Window
+
+    jobs = workflow.matching(adapters.jobs(spark, sf_dir), workflow="click", state=None)
+    order = workflow.newest_first("created_at", "job_id")
+    rows, _ = workflow.page(jobs, order, 50, 20)
+    return rows.select("job_id", "state", (F.row_number().over(Window.orderBy(*order)) + 20).cast("long").alias("place"))
+
+
+@query(f"WITH {_CHUNKS} SELECT generation_id, generation_id || '/0' AS chunk_id FROM c WHERE generation_id IN (SELECT active_generation_id FROM n WHERE active_generation_id IS NOT NULL)")
+def fenced_chunks(spark, sf_dir) -> DataFrame:
+    n = adapters.active_notes(adapters.notes(spark, sf_dir)).where("active_generation_id is not null")
+    active = n.select(F.col("active_generation_id").alias("generation_id"))
+    return retrieval.fence(_chunks(adapters.notes(spark, sf_dir)), active).select("generation_id", "chunk_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN '%00' ELSE replace(replace(p_name || '%/' || p_brand, '%', '%25'), '/', '%2F') END AS segment FROM part")
+def encoded_segments(spark, sf_dir) -> DataFrame:
+    heading = F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.concat("p_name", F.lit("%/"), "p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.encode_segment(heading).alias("segment"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'Title › ' || role || chr(10) || chr(10) END || CASE WHEN turn % 2 = 0 THEN '' ELSE 'id: ' || conv_id || chr(10) || chr(10) END || 'body ' || turn AS chunk FROM conversations"""
+)
+def composed_chunks(spark, sf_dir) -> DataFrame:
+    crumb = F.when(F.col("conv_id") % 3 == 0, "").otherwise(text.compose_breadcrumb(F.array(F.lit(" Title "), F.lit(" "), "role")))
+    block = F.when(F.col("turn") % 2 != 0, F.concat(F.lit("id: "), F.col("conv_id").cast("string")))
+    body = F.concat(F.lit("body "), F.col("turn").cast("string"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.compose_chunk_text(crumb, block, body).alias("chunk"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id || '.notes' ELSE 'README' END AS slug FROM documents")
+def file_slugs(spark, sf_dir) -> DataFrame:
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a/b.md/"), F.col("doc_id").cast("string"), F.lit(".notes.MD"))).otherwise("x\\\\README.md")
+    return read(spark, sf_dir, "documents").select("doc_id", identity.file_slug(path).alias("slug"))
+
+
+@query(
+    """WITH h AS (SELECT page_id, sha256(url) AS d FROM pages)
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'content' WHEN 1 THEN 'rendition' END AS kind, CASE WHEN page_id % 3 < 2 THEN d END AS digest, CASE WHEN page_id % 3 = 1 THEN 2 END AS extractor_version FROM h"""
+)
+def source_handles(spark, sf_dir) -> DataFrame:
+    head = F.concat(F.lit("sha256:"), F.sha2("url", 256), F.lit(":text/html"))
+    handle = F.when(F.col("page_id") % 3 == 0, head).when(F.col("page_id") % 3 == 1, F.concat(head, F.lit(":2:7"))).otherwise(F.concat(head, F.lit(":2")))
+    return read(spark, sf_dir, "pages").select("page_id", identity.source_handle(handle).alias("h")).select("page_id", "h.kind", "h.digest", "h.extractor_version")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN url END AS text, CASE page_id % 3 WHEN 1 THEN 'decorative' WHEN 2 THEN 'image-no-alt' END AS gap, CASE WHEN page_id % 2 = 0 THEN 'public' ELSE 'internal' END AS sensitivity, CASE WHEN page_id % 5 = 0 THEN 'project' ELSE 'loose' END AS type FROM pages"""
+)
+def gate_values(spark, sf_dir) -> DataFrame:
+    """Alternative texts and their gaps, mapped sensitivities and types."""
+    p = read(spark, sf_dir, "pages")
+    alt = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "")
+    kind = F.when(F.col("page_id") % 5 == 0, "project").when(F.col("page_id") % 5 == 1, "memo")
+    declared = F.when(F.col("page_id") % 2 == 0, "public").otherwise("restricted")
+    return p.select("page_id", text.media_alt(alt).alias("m"), text.map_sensitivity(declared).alias("sensitivity"), text.resolve_type(kind).alias("type")).select("page_id", "m.text", "m.gap", "sensitivity", "type")
+
+
+@query("SELECT doc_id, coalesce(source, '') || '/' || doc_id || '.md' AS path FROM documents WHERE regexp_matches(coalesce(source, '') || '/' || doc_id || '.md', '^([^/]+/)*[^/]*1[^/]\\.md$')")
+def globbed_paths(spark, sf_dir) -> DataFrame:
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return read(spark, sf_dir, "documents").select("doc_id", path.alias("path")).where(F.col("path").rlike(text.glob_pattern("**/*1?.md")))

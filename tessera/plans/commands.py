@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.functions.embedding import embed, hash_vector
 from tessera.functions.hashing import chunk_id, config_key, generation_id
 from tessera.functions.identity import identity_key, normalize_identity_key
-from tessera.operators import graph, maintenance, retrieval, validation, workflow
+from tessera.functions.stemmer import analyze
+from tessera.operators import graph, index, maintenance, retrieval, validation, workflow
 from tessera.sources import vault as v
 
 
@@ -104,10 +105,10 @@ def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[
         chunks = chunks.join(vault.notes.where(F.col("type") == kind).select("note_id"), "note_id", "left_semi")
     vector = (embedder or (lambda texts: [hash_vector(t, dimensions) for t in texts]))([question])[0]
     near = retrieval.vector_layer(chunks.select("note_id", "chunk_id", "section_path", "embedding"), vector, k)
-    terms = retrieval.plain_terms(F.col("text"))
-    words = [w for w in normalize_identity_key(question).split() if w not in retrieval.STOP_WORDS]
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("mean_length"))
-    scored = retrieval.bm25(retrieval.postings(chunks.select("note_id", "chunk_id", "section_path", "text"), terms), stats, words)
+    words = analyze(question, frozenset(retrieval.STOP_WORDS))
+    postings = index.analyzed_postings(chunks.select("note_id", "chunk_id", "section_path", "text"))
+    stats = postings.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    scored = retrieval.bm25(postings, stats, words)
     text = retrieval.rank_chunks(scored, k, False)
     columns = ("note_id", "section_path", "rank")
     folded = retrieval.fold(near.select(F.lit("vector").alias("layer"), *columns).unionByName(text.select(F.lit("fts").alias("layer"), *columns)))
