@@ -39,6 +39,10 @@ pagination pager login signin copyright disclaimer topbar""")
 PAGE_HEADERS = _words("header site-header page-header main-header top-header global-header siteheader pageheader site_header page_header")
 #: Of these, what also marks an article element: readers' comments and teasers are often articles of their own.
 ARTICLE_MARKS = _words("ad ads advert comment comments reply replies related recommended sponsored promo")
+#: Beside a mark these leave a name as it was; any other part makes it the name of something else.
+NEUTRAL = _words("section box container wrapper block list area bar widget link links button buttons panel inner outer item items group slot unit top bottom left right posts articles stories content title head body icons media text js")
+#: Blocks of text: what they are named after is seldom what they are, unless it is the whole name.
+TEXTUAL = _words("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure figcaption table tbody thead tr td th")
 _NEGATED = _words("has with no without hide show")
 LANDMARKS = _words("article main header footer nav aside form")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
@@ -47,11 +51,14 @@ _CLOSES = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr
 _SCOPE = {"li": _words("ul ol menu"), "dt": _words("dl"), "dd": _words("dl"), "tr": _words("table"), "td": _words("tr table"), "th": _words("tr table"), "option": _words("select")}
 
 
-def _named(value: str, marks: frozenset) -> bool:
+def _named(value: str, marks: frozenset, whole: bool) -> bool:
+    """Does a class or id name a mark? ``whole``: only if all parts of the name are marks or neutral."""
     for name in value.split():
         if name.lower() in PAGE_HEADERS:
             return True
         parts = [p.lower() for p in _NAME_PART.findall(name)]
+        if whole and not all(p in marks or p in NEUTRAL or p.isdigit() for p in parts):
+            continue
         if any(p in marks and not (k and parts[k - 1] in _NEGATED) for k, p in enumerate(parts)):
             return True
     return False
@@ -66,7 +73,7 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
-            if (name in BLOCKS or name == "td") and _named(value, marks):  # an inline element's names are about its looks
+            if (name in BLOCKS or name == "td") and _named(value, marks, in_article or name in TEXTUAL):  # an inline element's names are about its looks
                 return True
         elif key == "role":
             if value.strip().lower() in ROLES and not (in_article and name == "header"):
@@ -76,21 +83,22 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """``(text, weight, inside)`` of each block in page order, inside an article or main element or not.
+def lines_of(html: str) -> list[tuple[str, int, int]]:
+    """``(text, weight, article)`` of each block in page order, with the number of the article or main element around it, or 0.
 
-    A line of no text stands for a dropped element; three stand between landmarks.
+    Outside of articles a line of no text stands for a dropped element, and three stand
+    between landmarks. Of an article's own header headings and whole sentences stay.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped here, link
     buffer: list[str] = []
-    linked = dropped = links = inside = heads = headings = 0
+    linked = dropped = links = inside = heads = headings = articles = paragraphs = 0
     end = len(html)
     lowered = None
 
     def text(s: str) -> None:
         nonlocal linked
-        if dropped or (heads and not headings):
+        if dropped:
             return
         buffer.append(s)
         if links:
@@ -100,16 +108,16 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         if buffer:
             whole = " ".join(unescape("".join(buffer)).split())
-            if whole:
-                lines.append((whole, 0 if linked * 5 >= len(whole) * 3 else len(whole), inside > 0))
+            if whole and (not heads or headings or whole.rstrip("\"'”’»)").endswith((".", "!", "?", "…", "。"))):
+                lines.append((whole, 0 if linked * 5 >= len(whole) * 3 else len(whole), articles if inside else 0))
             buffer.clear()
         linked = 0
 
     def gap(n: int) -> None:
-        lines.extend([("", 0, inside > 0)] * n)
+        lines.extend([("", 0, 0)] * (0 if inside else n))
 
     def close(k: int) -> None:
-        nonlocal dropped, links, inside, heads, headings
+        nonlocal dropped, links, inside, heads, headings, paragraphs
         while len(stack) > k:
             name, drop, kind = stack.pop()
             if name in BLOCKS:
@@ -120,6 +128,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                 if not dropped:
                     gap(1)
             links -= name == "a"
+            paragraphs -= name == "p"
             headings -= name in HEADINGS
             if name in ("article", "main") and kind:
                 inside -= 1
@@ -142,7 +151,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         name = name.lower()
         if m[1] or m[4]:  # end tag
-            if name == "p" and not any(x[0] == "p" for x in stack[-8:]):
+            if name == "p" and not paragraphs:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -156,7 +165,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         attributes = m[3] if m[2] else m[6]
         if name in BLOCKS:
             flush()
-            for k in range(len(stack) - 1, max(-1, len(stack) - 12), -1):  # a paragraph ends where a block begins
+            for k in range(len(stack) - 1 if paragraphs else -1, -1, -1):  # a paragraph ends where a block begins
                 if stack[k][0] == "p":
                     close(k)
                     break
@@ -196,6 +205,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if not dropped and not inside:
                 gap(3)
             if not dropped:
+                articles += not inside
                 inside += 1
             stack.append((name, False, not dropped))
             continue
@@ -214,6 +224,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         elif name in ("div", "section", "table") and not inside and not dropped and stack and stack[-1][0] == "body":
             gap(3)
         links += name == "a"
+        paragraphs += name == "p"
         headings += name in HEADINGS
         stack.append((name, drop, name == "header" and inside > 0 and not drop))
     close(0)
@@ -221,23 +232,27 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_lines(lines: list[tuple[str, int, bool]], width: int = 3, surge: int = 86) -> list[str]:
+def main_lines(lines: list[tuple[str, int, int]], width: int = 3, surge: int = 86) -> list[str]:
     """Lines between each surge and dive of the text in windows of ``width`` lines.
 
-    Where an article element holds text, lines outside of one count as empty. On a page
-    whose fullest window is below ``surge``, that window is the surge.
+    Where articles hold text, each is looked at alone and what is outside of them is not.
+    Where the fullest window is below ``surge``, that window is the surge. Lines without
+    weight that stand alone between two kept stretches, such as a list of links, stay too.
     """
-    named = any(w and inside for _, w, inside in lines)
-    weights = [w if inside or not named else 0 for _, w, inside in lines]
-    if not any(weights):
-        return []
+    numbers = sorted({article for _, w, article in lines if w and article})
+    if numbers:
+        return [x for number in numbers for x in _stretches([line for line in lines if line[2] == number], width, surge)]
+    return _stretches(lines, width, surge)
+
+
+def _stretches(lines: list[tuple[str, int, int]], width: int, surge: int) -> list[str]:
     total = [0]
-    for w in weights:
+    for _, w, _ in lines:
         total.append(total[-1] + w)
-    n = len(weights)
+    n = len(lines)
     windows = [total[min(n, i + width)] - total[i] for i in range(n)]
-    surge = min(surge, max(windows))
-    kept: list[str] = []
+    surge = min(surge, max(windows, default=0))
+    kept: list[tuple[int, int]] = []
     i = 0
     while i < n:
         if not windows[i]:
@@ -247,9 +262,17 @@ def main_lines(lines: list[tuple[str, int, bool]], width: int = 3, surge: int =
         while j < n and windows[j]:
             j += 1
         if max(windows[i:j]) >= surge:
-            kept += [text for (text, _, inside), w in zip(lines[i : j + width - 1], weights[i : j + width - 1]) if w or text and inside]
+            weighty = [m for m in range(i, min(n, j + width - 1)) if lines[m][1]]
+            first, last = weighty[0], weighty[-1]
+            if lines[first][2]:  # in an article, from where the last stretch ended
+                first = i
+            if kept and all(lines[m][0] for m in range(kept[-1][1] + 1, first)):
+                first = kept.pop()[0]
+            kept.append((first, last))
         i = j
-    return kept
+    if kept and lines[kept[-1][1]][2]:
+        kept[-1] = kept[-1][0], n - 1
+    return [lines[m][0] for first, last in kept for m in range(first, last + 1) if lines[m][0]]
 
 
 def main_text(html: str | None) -> str:
@@ -272,4 +295,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op2_html_text(spark, sf_dir: str) -> DataFrame:
+    """extract() of the whole pages table."""
     return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))

@@ -238,6 +238,26 @@ def test_main_text_of_pages():
         html_text.main_text(odd)
 
 
+PARA = "A sentence of the article that goes on for a while, long enough to matter, and then some more of it."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article><p class="share-price">{PARA}</p><div class="related-work">{PARA}</div><p id="comment-policy">{PARA}</p></article>', [PARA, PARA, PARA]),
+        (f'<article><p>{PARA}</p><div class="ad">x</div><div class="ad-slot">y</div><div class="ad">z</div><p>The end.</p></article>', [PARA, "The end."]),
+        (f"<article><p>{PARA}</p></article><article><p>A short second one.</p></article>", [PARA, "A short second one."]),
+        (f"<article><header><h1>Title</h1><p>What it is about, in one sentence.</p><p>by A. Writer</p></header><p>{PARA}</p></article>", ["Title", "What it is about, in one sentence.", PARA]),
+        (f"<body><div><p>{PARA}</p><ul>" + "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(5)) + f"</ul><p>{PARA}</p></div></body>", [PARA, *[f"Link number {i}" for i in range(5)], PARA]),
+        (f'<body><div class="sidebar-nav"><a href=/>Home</a> and more of it</div><div><p class="share-price">{PARA}</p></div><div class="share-buttons">Tell your friends about us, all of them.</div></body>', [PARA]),
+        (f'<article><p>{PARA}</p><div class="comments-section"><p>{PARA}</p></div><div class="share-buttons">{PARA}</div><ul class="related-posts"><li>{PARA}</li></ul></article>', [PARA]),
+        (f"<article>{'<i><b>' * 9}<p>{PARA}{'<i>' * 20}x<p>{PARA}</article>", [PARA + "x", PARA]),
+    ],
+)
+def test_pages_of_known_content(page, text):
+    assert html_text.main_text(page) == "\n\n".join(text)
+
+
 @given(st.text(alphabet="<>/ap\"'= !-&;div", max_size=200))
 @settings(max_examples=300, deadline=None)
 def test_no_markup_breaks_the_parser(s):
