@@ -5,7 +5,8 @@ down to what can repeat, by a rule that loses nothing: every string of 100 bytes
 anchor, the piece of 32 bytes in it whose hash is least. Equal strings have equal anchors,
 so only strings around an anchor that occurs twice can repeat. Consecutive strings with one
 anchor form a context; of equal contexts all but the first go whole. Where an anchor stands
-in different contexts, these are indexed together: their Burrows-Wheeler transform is run
+in different contexts, these are indexed together; where it stands in too many, the contexts
+are cut finer, by the two least hashes, the three least and so on, until few are together. Their Burrows-Wheeler transform is run
 compressed, the suffixes at the ends of its runs are sampled, the matching statistics of
 all other places stream from the samples, and strings that match for 100 bytes or more are
 marked unless theirs is the first place.
@@ -13,7 +14,6 @@ marked unless theirs is the first place.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,9 +24,8 @@ from tessera.llm.common import discard, map_arrow, raw_bytes, release, table, wr
 
 #: Strings that one context holds at most; longer runs of one anchor are cut.
 LONGEST = 512
-#: Contexts of one anchor that one task compares; anchors with more go by string hash.
+#: Contexts of one anchor that one index holds; where there are more, they are cut finer.
 TOGETHER = 4096
-
 #: Bytes of contexts from which an index is closed.
 INDEXED = 1 << 20
 
@@ -84,6 +83,21 @@ def contexts(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray,
     return anchor, starts, sizes, twice
 
 
+def finer(piece: bytes, length: int, k: int, least: int) -> list[tuple[int, int, int]]:
+    """(key, first string, strings) of each run of strings of a context with the same ``least`` least hashes.
+
+    Equal strings have equal hashes, so that no two of them get different keys.
+    """
+    grams = gram_hashes(np.frombuffer(piece, np.uint8), k)
+    rows = np.sort(np.lib.stride_tricks.sliding_window_view(grams, length - k + 1), axis=1)[:, :least]
+    key = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        key = (key ^ rows[:, j]) * np.uint64(_MULTIPLIER)
+        key ^= key >> np.uint64(29)
+    starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+    return list(zip(key[starts].view(np.int64).tolist(), starts.tolist(), np.diff(np.append(starts, len(key))).tolist()))
+
+
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All suffixes of all contexts in order, by prefix doubling; the end of a context sorts before every byte, by place."""
     n = len(text)
@@ -191,9 +205,9 @@ def placed_contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
     return map_arrow(docs, run, "h long, c long, doc long, p long, n int, twice boolean")
 
 
-def _compare(asked: DataFrame, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Spans ``(doc, s, e)`` of strings of the contexts ``asked(h, c, doc, p, n, hot)`` that start earlier in another or the same, and the table behind them."""
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "p", "n", "hot")).alias("asked"))
+def _compare(asked: DataFrame, docs: DataFrame, length: int, k: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans ``(doc, s, e)`` of strings of the contexts ``asked(h, c, doc, p, n)`` that start earlier in another or the same, and the tables behind them."""
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("h", "c", "p", "n")).alias("asked"))
     joined = wanted.join(docs, wanted["doc"] == docs["doc_id"]).select("doc", "text", "asked")
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -202,11 +216,11 @@ def _compare(asked: DataFrame, docs: DataFrame, length: int) -> tuple[DataFrame,
             for a in asked:
                 piece = text[a["p"] : a["p"] + a["n"] + length - 1]
                 if xxhash.xxh64_intdigest(piece) == a["c"] & (1 << 64) - 1:  # else of another row with this id
-                    rows.append((a["h"], doc, a["p"], a["hot"], piece))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        return {n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(("h", "doc", "p", "hot", "piece"))}
+                    rows.append((a["h"], doc, a["p"], piece))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return {n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(("h", "doc", "p", "piece"))}
 
-    cuts = written(map_arrow(joined, cut, "h long, doc long, p long, hot boolean, piece binary"))
+    cuts = written(map_arrow(joined, cut, "h long, doc long, p long, piece binary"))
 
     def together(batches):
         held: list[tuple[int, int, bytes]] = []
@@ -236,21 +250,30 @@ def _compare(asked: DataFrame, docs: DataFrame, length: int) -> tuple[DataFrame,
         if held:
             yield marks()
 
-    few = cuts.where("not hot").select("h", "doc", "p", "piece").repartition("h").sortWithinPartitions("h", "doc", "p").mapInArrow(together, "doc long, s long, e long")
-
-    def strings(batch: pa.RecordBatch) -> dict:
-        out: list[list] = [[], [], [], []]
-        for d, p, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for q in range(len(piece) - length + 1):
-                digest = xxhash.xxh3_128_intdigest(piece[q : q + length])
-                for part, x in zip(out, (digest & (1 << 63) - 1, digest >> 65, d, p + q)):
-                    part.append(x)
-        return {n: pa.array(x, pa.int64()) for n, x in zip(("x", "y", "doc", "q"), out)}
-
-    each = map_arrow(cuts.where("hot").select("doc", "p", "piece"), strings, "x long, y long, doc long, q long", "piece")
-    first = each.groupBy("x", "y").agg(F.min(F.struct("doc", "q")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    many = each.join(first, ["x", "y"]).where(F.struct("doc", "q") != F.col("first")).select("doc", F.col("q").alias("s"), (F.col("q") + length).alias("e"))
-    return few.unionByName(many), cuts
+    def recut(batch: pa.RecordBatch, least: int) -> dict:
+        rows = []
+        for h, d, p, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            rows += [(key, d, p + at, piece[at : at + n + length - 1]) for key, at, n in finer(piece, length, k, least)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return {n: pa.array([r[i] for r in rows], kinds[i]) for i, n in enumerate(("h", "doc", "p", "piece"))}
+
+    indexed = lambda df: df.repartition("h").sortWithinPartitions("h", "doc", "p").mapInArrow(together, "doc long, s long, e long")
+    found, tables, least, place = [], [cuts], 1, F.struct("doc", "p")
+    while least < length - k + 1:
+        hot = written(cuts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER).select("h"))
+        tables.append(hot)
+        if hot.isEmpty():
+            break
+        least = min(2 * least, length - k + 1)
+        found.append(indexed(cuts.join(hot, "h", "left_anti")))
+        pieces = written(map_arrow(cuts.join(hot, "h", "left_semi"), lambda batch, n=least: recut(batch, n), "h long, doc long, p long, piece binary", "piece"))
+        first = written(pieces.groupBy("h", "piece").agg(F.min(place).alias("first"), F.count("*").alias("m")))
+        again = pieces.join(first.where("m > 1").drop("m"), ["h", "piece"]).where(place != F.col("first"))
+        found.append(again.select("doc", F.col("p").alias("s"), (F.col("p") + F.length("piece")).alias("e")))
+        cuts = first.select("h", "first.doc", "first.p", "piece")
+        tables += [pieces, first]
+    found.append(indexed(cuts))
+    return found, tables
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
@@ -266,11 +289,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
     whole = placed.join(first.where("m > 1").select("h", "c", "first"), ["h", "c"]).where(place != F.col("first"))
     whole = written(whole.select("doc", F.col("p").alias("s"), (F.col("p") + F.col("n") + length - 1).alias("e")))
     kinds = first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    asked = first.join(kinds, "h", "left").where("kinds > 1 or twice").select("h", "c", "first.doc", "first.p", "n", (F.coalesce("kinds", F.lit(1)) > TOGETHER).alias("hot"))
-    part, cuts = _compare(asked, docs, length)
-    part = written(part)
-    discard(twice, placed, first, cuts)
-    return whole.unionByName(part)
+    asked = first.join(kinds, "h", "left").where("kinds > 1 or twice").select("h", "c", "first.doc", "first.p", "n")
+    found, tables = _compare(asked, docs, length, k)
+    for df in found:
+        whole = whole.unionByName(written(df))
+    discard(twice, placed, first, *tables)
+    return whole
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame:
@@ -307,5 +331,6 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 32) -> DataFrame
 
 
 def op7_repeated_strings(spark, sf_dir: str) -> DataFrame:
+    """remove_repeats() of the whole documents table, what is left as a digest."""
     left = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

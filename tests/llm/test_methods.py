@@ -371,7 +371,7 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("together", [1, 4096])
+@pytest.mark.parametrize("together", [1, 3, 4096])
 def test_repeats_equal_brute_force(spark, monkeypatch, together):
     monkeypatch.setattr(repeats, "TOGETHER", together)
     monkeypatch.setattr(repeats, "LONGEST", 20)
@@ -381,6 +381,16 @@ def test_repeats_equal_brute_force(spark, monkeypatch, together):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_repeats(rows, 12)
 
 
+def test_a_hot_anchor_is_cut_finer(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "TOGETHER", 8)
+    draw = random.Random(17)
+    line = "common line of the corpus"
+    tails = ["".join(draw.choice("abc") for _ in range(60)) for _ in range(6)]
+    rows = [(i, draw.choice(tails) + "".join(draw.choice("abc") for _ in range(9)) + line + draw.choice(tails)) for i in range(120)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 30, 8).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == brute_repeats(rows, 30)
+
+
 def test_chains_equal_brute_force():
     draw = random.Random(8)
     for _ in range(60):
