@@ -1,4 +1,9 @@
-"""Text of simple PDF files. What can't be read in full is refused, never half returned."""
+"""Text of simple PDF files. What can't be read in full is refused, never half returned.
+
+The trailer that the file's end points at, with those it was appended to, names the catalogue
+and tells encryption. Fonts must map their bytes plainly: WinAnsi, or ASCII under any other
+base encoding; composite fonts, maps of their own and remapped codes are refused.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +17,15 @@ class PdfRejected(ValueError):
         self.code = code
 
 
+def _partial(detail: str) -> PdfRejected:
+    return PdfRejected("partial-extraction", detail)
+
+
+_STRING = rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()]|\([^()]*\))*\))*\)|<[0-9A-Fa-f\s]*>"
 _OBJECT = re.compile(rb"(?<![0-9])(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b", re.S)
 _REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R\b")
-_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()]|\([^()]*\))*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+[0-9]*", re.S)
+_TOKEN = re.compile(_STRING + rb"|%[^\r\n]*|<<|>>|\[|\]|/[^\s/<>\[\]()]*|[-+]?\d*\.?\d+|[A-Za-z'\"*]+[0-9]*", re.S)
+_ENTRY = re.compile(_STRING + rb"|%[^\r\n]*|<<|>>|\[|\]|/[^\s/<>\[\]()%]*|[^\s/<>\[\]()%]+", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -32,94 +43,175 @@ def _string(token: bytes) -> bytes:
     return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", escape, token[1:-1], flags=re.S)
 
 
+def _entries(body: bytes) -> dict[bytes, bytes]:
+    """The entries of the dictionary that ``body`` begins with, those of inner ones left out; none if it begins otherwise."""
+    out: dict[bytes, bytes] = {}
+    depth, key, start, end = 0, None, None, 0
+    for m in _ENTRY.finditer(body):
+        token = m[0]
+        if token[:1] == b"%":
+            continue
+        if depth == 0 and token != b"<<":
+            break
+        closes = token in (b">>", b"]")
+        if depth == 1 and key is not None and start is not None and (token[:1] == b"/" or token == b">>"):
+            out.setdefault(key, body[start:end])
+            key = start = None
+        if depth == 1 and key is None and token[:1] == b"/":
+            key = token[1:]
+        elif depth >= 1 and start is None and not closes:
+            start = m.start()
+        depth += (token in (b"<<", b"[")) - closes
+        end = m.end()
+        if depth == 0:
+            break
+    return out
+
+
 class _File:
     def __init__(self, data: bytes) -> None:
         self.data = data
         self.objects: dict[int, bytes] = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
         for body in list(self.objects.values()):
-            if re.search(rb"/Type\s*/ObjStm\b", body):
+            if _entries(body).get(b"Type") == b"/ObjStm":
                 self._unpack(body)
 
     def _unpack(self, body: bytes) -> None:
-        content = self.stream(body)
-        count, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", body)[1]) for k in (b"N", b"First"))
-        head = list(map(int, content[:first].split()[: 2 * count]))
-        for i in range(count):
-            end = first + head[2 * i + 3] if i + 1 < count else len(content)
-            self.objects.setdefault(head[2 * i], content[first + head[2 * i + 1] : end])
+        content, head = self.stream(body), _entries(body)
+        try:
+            count, first = int(head[b"N"]), int(head[b"First"])
+            numbers = list(map(int, content[:first].split()[: 2 * count]))
+            places = [*numbers[1::2], len(content) - first]
+            for i in range(count):
+                self.objects.setdefault(numbers[2 * i], content[first + places[i] : first + places[i + 1]])
+        except (KeyError, ValueError, IndexError):
+            raise _partial("a stream of objects is broken") from None
+
+    def resolve(self, value: bytes | None) -> bytes | None:
+        """What a value refers to, or the value itself; None if that is not there."""
+        if value is not None and (r := _REFERENCE.match(value)):
+            return self.objects.get(int(r[1]))
+        return value
+
+    def declared(self, entries: dict[bytes, bytes], key: bytes) -> bytes:
+        """An entry's value, empty if there is none; one that refers to nothing is refused."""
+        if key not in entries:
+            return b""
+        value = self.resolve(entries[key])
+        if value is None:
+            raise _partial(f"{key.decode('latin-1')} refers to nothing")
+        return value
 
     def stream(self, body: bytes) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
+        head = _entries(body)
+        m = re.search(rb"\bstream\r?\n", body)
         if not m:
-            raise PdfRejected("partial-extraction", "a stream is missing")
-        filters = re.findall(rb"/(\w+)", (re.search(rb"/Filter\s*(\[[^\]]*\]|/\w+)", body[: m.start()]) or [b"", b""])[1])
-        data = m[1]
-        for name in filters:
-            if name not in (b"FlateDecode", b"Fl") or b"/Predictor" in body[: m.start()]:
-                raise PdfRejected("partial-extraction", f"filter {name.decode()}")
+            raise _partial("a stream is missing")
+        data = body[m.end() :]
+        length = (self.resolve(head.get(b"Length")) or b"").strip()
+        if length.isdigit() and data[int(length) :].lstrip(b"\r\n").startswith(b"endstream"):
+            data = data[: int(length)]
+        elif b"endstream" in data:
+            data = data[: data.rindex(b"endstream")]
+        else:
+            raise _partial("a stream has no end")
+        for name in re.findall(rb"/(\w+)", self.declared(head, b"Filter")):
+            if name not in (b"FlateDecode", b"Fl") or b"/Predictor" in self.declared(head, b"DecodeParms"):
+                raise _partial(f"filter {name.decode()}")
+            inflate = zlib.decompressobj()
             try:
-                data = zlib.decompressobj().decompress(data)
+                data = inflate.decompress(data)
             except zlib.error as e:
-                raise PdfRejected("partial-extraction", str(e)) from None
+                raise _partial(str(e)) from None
+            if not inflate.eof:
+                raise _partial("a stream is cut short")
         return data
 
-    def value(self, body: bytes, key: bytes) -> bytes | None:
-        """A dictionary's entry: the object it refers to, or the bytes from the value on."""
-        m = re.search(rb"/" + key + rb"(?![A-Za-z])\s*", body)
-        if not m:
-            return None
-        if r := _REFERENCE.match(body, m.end()):
-            return self.objects.get(int(r[1]))
-        return body[m.end() :]
-
-
-def _nested(body: bytes) -> bytes:
-    """The dictionary that ``body`` begins with."""
-    depth = 0
-    for m in re.finditer(rb"<<|>>", body):
-        depth += 1 if m[0] == b"<<" else -1
-        if not depth:
-            return body[: m.end()]
-    return body
-
-
-def _page_text(file: _File, page: bytes) -> str:
-    fonts: dict[bytes, bool] = {}
-    resources = file.value(page, b"Resources")
-    font_dict = file.value(_nested(resources), b"Font") if resources else None
-    if font_dict:
-        for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", _nested(font_dict)):
-            fonts[name] = re.search(rb"/Subtype\s*/Type0\b", file.objects.get(int(number), b"")) is None
-    m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
-    if not m:
+    def trailer(self) -> dict[bytes, bytes]:
+        """The active trailer: that of the last cross-reference section, then what older ones add; else the last in the text."""
+        merged: dict[bytes, bytes] = {}
+        starts = re.findall(rb"\bstartxref\s+(\d+)", self.data)
+        at, seen = int(starts[-1]) if starts else None, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            section = self._section(at)
+            for k, v in section.items():
+                merged.setdefault(k, v)
+            previous = section.get(b"Prev", b"").strip()
+            at = int(previous) if previous.isdigit() else None
+        if merged:
+            return merged
+        last = self.data.rfind(b"trailer")
+        return _entries(self.data[last + 7 :]) if last >= 0 else {}
+
+    def _section(self, at: int) -> dict[bytes, bytes]:
+        if re.compile(rb"\s*xref\b").match(self.data, at):
+            found = self.data.find(b"trailer", at)
+            return _entries(self.data[found + 7 :]) if found >= 0 else {}
+        if m := re.compile(rb"\s*\d+\s+\d+\s+obj\b").match(self.data, at):
+            head = _entries(self.data[m.end() :])
+            return head if head.get(b"Type") == b"/XRef" else {}
+        return {}
+
+
+def _number(token: bytes) -> float:
+    try:
+        return float(token)
+    except ValueError:
+        raise _partial("an operand is no number") from None
+
+
+def _fonts(file: _File, resources: bytes) -> dict[bytes, str]:
+    """The codec of each font's bytes; a font whose bytes are not plainly characters is refused."""
+    out = {}
+    declared = _entries(file.declared(_entries(resources), b"Font"))
+    for name in declared:
+        font = _entries(file.declared(declared, name))
+        encoding = file.declared(font, b"Encoding").strip()
+        base = _entries(encoding)
+        if font.get(b"Subtype") == b"/Type0" or b"ToUnicode" in font or b"Differences" in base:
+            raise _partial(f"font {name.decode('latin-1')} maps its codes itself")
+        out[name] = "cp1252" if b"/WinAnsiEncoding" in (encoding, base.get(b"BaseEncoding")) else "ascii"
+    return out
+
+
+def _page_text(file: _File, page: bytes, resources: bytes) -> str:
+    fonts = _fonts(file, resources)
+    contents = _entries(page).get(b"Contents")
+    if contents is None:
         return ""
+    if _REFERENCE.match(contents) and (file.resolve(contents) or b"").lstrip()[:1] == b"[":
+        contents = file.resolve(contents)
     parts = []
-    for r in _REFERENCE.finditer(m[1]):
+    for r in _REFERENCE.finditer(contents):
         if int(r[1]) not in file.objects:
-            raise PdfRejected("partial-extraction", "page content is missing")
+            raise _partial("page content is missing")
         parts.append(file.stream(file.objects[int(r[1])]))
     out: list[str] = []
     stack: list[bytes] = []
-    simple = True
+    codec = "ascii"
     for token in _TOKEN.findall(b"\n".join(parts)):
         first = token[:1]
-        if first in b"(<[]/+-.0123456789":
+        if first == b"%":
+            continue
+        if first in b"(<>[]/+-.0123456789":
             stack.append(token)
             continue
         if token == b"Tf":
             name = next((x[1:] for x in stack if x[:1] == b"/"), b"")
-            simple = fonts.get(name, True)
+            codec = fonts.get(name, "ascii")
         elif token in (b"Tj", b"TJ", b"'", b'"'):
-            if not simple:
-                raise PdfRejected("partial-extraction", "composite font")
             if token in (b"'", b'"'):
                 out.append("\n")
             for x in stack:
-                if x[:1] in b"(<":
-                    out.append(_string(x).decode("cp1252", "replace"))
-                elif token == b"TJ" and x[:1] in b"-" and float(x) < -200:
+                if x[:1] in b"(<" and x != b"<<":
+                    try:
+                        out.append(_string(x).decode(codec))
+                    except UnicodeDecodeError:
+                        raise _partial("a byte without a character in its font") from None
+                elif token == b"TJ" and x[:1] in b"-" and _number(x) < -200:
                     out.append(" ")
-        elif token in (b"T*", b"ET") or token in (b"Td", b"TD") and len(stack) >= 2 and float(stack[-1]) != 0:
+        elif token in (b"T*", b"ET") or token in (b"Td", b"TD") and len(stack) >= 2 and _number(stack[-1]) != 0:
             out.append("\n")
         elif token in (b"Td", b"TD"):
             out.append(" ")
@@ -129,30 +221,35 @@ def _page_text(file: _File, page: bytes) -> str:
 
 def pdf_text(data: bytes) -> str:
     """Text of all pages in order, a form feed between two."""
-    if re.search(rb"/Encrypt\b", data):
-        raise PdfRejected("encrypted-source", "the file is encrypted")
     file = _File(data)
-    root = next((b for b in file.objects.values() if re.search(rb"/Type\s*/Catalog\b", b)), None)
+    trailer = file.trailer()
+    if b"Encrypt" in trailer:
+        raise PdfRejected("encrypted-source", "the file is encrypted")
+    root = file.resolve(trailer.get(b"Root"))
     if root is None:
-        raise PdfRejected("partial-extraction", "no catalogue")
-    pages: list[bytes] = []
-    seen: set[int] = set()
-
-    def walk(body: bytes | None) -> None:
+        raise _partial("no catalogue")
+    pages: list[str] = []
+    seen: set[bytes] = set()
+
+    def walk(node: bytes, inherited: bytes) -> None:
+        if node in seen:
+            raise _partial("the page tree has a loop")
+        seen.add(node)
+        body = file.resolve(node)
         if body is None:
-            raise PdfRejected("partial-extraction", "a page is missing")
-        if re.search(rb"/Type\s*/Pages\b", body):
-            kids = re.search(rb"/Kids\s*\[([^\]]*)\]", body)
-            for r in _REFERENCE.finditer(kids[1] if kids else b""):
-                if int(r[1]) in seen:
-                    raise PdfRejected("partial-extraction", "the page tree has a loop")
-                seen.add(int(r[1]))
-                walk(file.objects.get(int(r[1])))
+            raise _partial("a page is missing")
+        entries = _entries(body)
+        resources = file.declared(entries, b"Resources") or inherited
+        if entries.get(b"Type") == b"/Page":
+            pages.append(_page_text(file, body, resources))
+        elif b"Kids" in entries:
+            for r in _REFERENCE.finditer(file.declared(entries, b"Kids")):
+                walk(r[0], resources)
         else:
-            pages.append(body)
+            raise _partial("neither a page nor a list of pages")
 
-    walk(file.value(root, b"Pages"))
-    text = "\f".join(_page_text(file, p) for p in pages)
+    walk(_entries(root).get(b"Pages", b"0 0 R"), b"")
+    text = "\f".join(pages)
     if not text.strip("\f\n "):
         raise PdfRejected("no-extractable-text", "no text layer")
     return text

@@ -81,6 +81,49 @@ def test_pdf():
         assert e.value.code == code
 
 
+def refused(data):
+    with pytest.raises(PdfRejected) as e:
+        pdf_text(data)
+    return e.value.code
+
+
+def test_pdf_is_never_half_read():
+    text = b"BT /F1 1 Tf " + b"".join(b"(line %d) Tj T* " % i for i in range(400)) + b"ET"
+    packed = zlib.compress(text)
+    flate = b"/Filter /FlateDecode"
+    assert pdf_text(pdf(packed, filters=flate)).count("line") == 400
+    assert refused(pdf(packed[: len(packed) // 2], filters=flate)) == "partial-extraction"
+    shown = b"BT /F1 1 Tf (caf\xe9 \x81) Tj ET"
+    win = b"/Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding"
+    assert refused(pdf(shown, font=win)) == "partial-extraction"
+    assert pdf_text(pdf(shown.replace(b" \x81", b""), font=win)) == "café"
+    assert refused(pdf(shown.replace(b" \x81", b""))) == "partial-extraction"
+    for own in (b"/ToUnicode 9 0 R", b"/Encoding <</BaseEncoding /WinAnsiEncoding /Differences [65 /B]>>"):
+        assert refused(pdf(font=b"/Type /Font /Subtype /Type1 " + own)) == "partial-extraction"
+
+
+def test_pdf_resources_are_inherited():
+    moved = b"/Resources <</Font <</F1 5 0 R>>>>"
+    tree = pdf().replace(b" " + moved, b"").replace(b"/Count 1", b"/Count 1 " + moved)
+    assert pdf_text(tree) == "Hello\nW(o)rld"
+    assert refused(tree.replace(b"/Type1", b"/Type0")) == "partial-extraction"
+    assert refused(tree.replace(b"/F1 5 0 R", b"/F1 8 0 R")) == "partial-extraction"
+
+
+def test_pdf_goes_by_the_active_trailer():
+    assert pdf_text(pdf(b"BT /F1 1 Tf (about /Encrypt) Tj ET % /Encrypt")) == "about /Encrypt"
+    assert pdf_text(pdf(extra=b"/Info <</Encrypt 9 0 R>>")).startswith("Hello")
+    other = b"7 0 obj <</Type /Catalog /Pages 6 0 R>> endobj\n"
+    old = pdf().replace(b"%PDF-1.4\n", b"%PDF-1.4\n" + other)
+    assert pdf_text(old) == "Hello\nW(o)rld"
+    newer = old + b"\n8 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\nxref\n0 0\ntrailer <</Root 8 0 R>>\nstartxref\nAT"
+    at = b"%d" % newer.index(b"xref\n0 0")
+    assert pdf_text(newer.replace(b"AT", at)) == "Hello\nW(o)rld"
+    assert refused(newer.replace(b"8 0 R", b"9 0 R").replace(b"AT", at)) == "partial-extraction"
+    assert refused(newer.replace(b"/Root 8 0 R", b"/Root 8 0 R /Encrypt 3 0 R").replace(b"AT", at)) == "encrypted-source"
+    assert refused(pdf().replace(b"/Kids [3 0 R]", b"/Kids [3 0 R 2 0 R]")) == "partial-extraction"
+
+
 CASES = [
     ("a.md", "é".encode(), None, "é"),
     ("a.txt", b"\xef\xbb\xbfx", None, "x"),
