@@ -136,3 +136,66 @@ def index_plan(notes: DataFrame, chunks: DataFrame, expected: DataFrame) -> Data
         .otherwise("embed")
     )
     return joined.select("note_id", action.alias("action"), F.col("want").alias("generation_id"))
+
+
+#: Outcomes of indexing that leave a note to be looked at, fixed values.
+FAILED = ("embedding-failed", "write-incomplete")
+
+
+def repaired(outcomes: DataFrame) -> DataFrame:
+    """``(note_id, action)`` of the notes that a pass mended, for ``outcomes(note_id, kind, reattached, retired_chunks, chunk_count)``, one row a note.
+
+    Notes that were right already, or that another writer got to first, need no entry.
+    """
+    retired = F.coalesce("retired_chunks", F.lit(0)) > 0
+    action = F.when(F.col("kind") == "indexed", F.when(F.col("reattached"), "re-activated").otherwise("re-embedded")).when((F.col("kind") == "empty") & retired, "retired-orphan")
+    return outcomes.select("note_id", action.alias("action")).where("action is not null")
+
+
+def unresolved(outcomes: DataFrame) -> DataFrame:
+    return outcomes.where(F.col("kind").isin(*FAILED))
+
+
+def rebuild_tally(outcomes: DataFrame) -> DataFrame:
+    """One row: notes indexed, chunks written, generations retired, notes unresolved, and whether the pass converged."""
+    done = F.col("kind") == "indexed"
+    failed = F.count_if(F.col("kind").isin(*FAILED))
+    return outcomes.agg(
+        F.count_if(done | (F.col("kind") == "unchanged")).alias("notes_indexed"),
+        F.coalesce(F.sum(F.when(done, F.col("chunk_count"))), F.lit(0)).cast("long").alias("chunks_written"),
+        F.count_if(done & (F.col("retired_chunks") > 0)).alias("generations_retired"),
+        failed.alias("unresolved"),
+        F.when(failed > 0, "partial").otherwise("converged").alias("outcome"),
+    )
+
+
+def reconciled(asked: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``(note_id, result)`` of the notes asked for: reembedded, unchanged or removed.
+
+    A note without an outcome is not in the vault any more; one that could not be indexed fails the whole.
+    """
+    found = asked.select("note_id").distinct().join(outcomes, "note_id", "left")
+    retired = F.coalesce("retired_chunks", F.lit(0)) > 0
+    result = (
+        F.when(F.col("kind").isNull() | (F.col("kind") == "empty") & retired, "removed")
+        .when(F.col("kind") == "indexed", "reembedded")
+        .when(F.col("kind").isin(*FAILED), F.raise_error(F.concat_ws(" ", F.lit("not converged:"), F.col("note_id").cast("string"), "kind")).cast("string"))
+        .otherwise("unchanged")
+    )
+    return found.select("note_id", result.alias("result"))
+
+
+def reconcile_tally(results: DataFrame) -> DataFrame:
+    count = lambda r: F.count_if(F.col("result") == r).alias(r)
+    return results.agg(F.count("*").alias("scanned"), *map(count, ("reembedded", "unchanged", "removed")))
+
+
+def retire_superseded(chunks: DataFrame, active: DataFrame) -> DataFrame:
+    """Chunks without those of a note's other generations; a note that has none active keeps all."""
+    a = active.where("generation_id is not null").groupBy("note_id").agg(F.min("generation_id").alias("now"))
+    return chunks.join(a, "note_id", "left").where("now is null or generation_id = now").drop("now")
+
+
+def remove_notes(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Chunks without any generation of the notes that are gone."""
+    return chunks.join(gone.select("note_id"), "note_id", "left_anti")

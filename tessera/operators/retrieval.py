@@ -6,8 +6,10 @@ the frames carry a ``query_id``; every window and group below then includes it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,34 @@ def vector_layer(chunks: DataFrame, query: Sequence[float], k: int = 10) -> Data
     return rank_chunks(chunks.withColumn("relevance", squared_distance(F.col("embedding"), query)).drop("embedding"), k, True)
 
 
+@dataclass(frozen=True)
+class Layers:
+    """What each layer found; ``text`` is None where full text is switched off or failed."""
+
+    vector: DataFrame
+    text: DataFrame | None
+    degraded: bool
+    used: tuple[str, ...]
+
+
+def search_layers(chunks: DataFrame, active: DataFrame, query: Sequence[float], text_layer: Callable[[DataFrame, int], DataFrame] | None, k: int = 10) -> Layers:
+    """Both layers over chunks of active generations; without ``text_layer``, or if it fails, vectors alone answer.
+
+    ``text_layer`` takes the fenced chunks and k. Without active generations nothing is served and no layer is asked.
+    """
+    served = fence(chunks, active)
+    if active.isEmpty():
+        none = served.withColumn("rank", F.lit(0)).where("false")
+        return Layers(none, none if text_layer else None, text_layer is None, ())
+    near = vector_layer(served, query, k)
+    if text_layer is not None:
+        try:
+            return Layers(near, text_layer(served, k), False, ("fts", "vector"))
+        except PySparkException:  # the index is missing or can't be read
+            pass
+    return Layers(near, None, True, ("vector",))
+
+
 def plain_terms(text: Column) -> Column:
     """Lower-case runs of letters and digits without function words."""
     words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")

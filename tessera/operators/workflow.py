@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from tessera.functions.hashing import backoff_delay
 #: Exit codes from most to least urgent, fixed values.
 EXIT_ORDER = (4, 2, 1, 7, 6, 5, 0)
 TERMINAL = ("succeeded", "failed", "cancelled")
+#: Operations that a change plan may hold, and those kept for later, fixed values.
+OPERATIONS = ("CreateNote", "UpdateSection", "AppendSection", "SetFrontmatterField", "AddAlias", "SetLink", "CreateRelationship", "ProposeMerge", "ProposeRename", "ProposeArchive")
+RESERVED = ("CreateTask", "UpdateTaskState")
 
 
 def page(df: DataFrame, order: Sequence[Column | str], limit: int = 50, offset: int = 0, total: int | None = None) -> tuple[DataFrame, dict]:
@@ -124,6 +128,53 @@ def rollup(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def _run_once(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder, so that what made them isn't run again."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="jobs-"))
+    return df.checkpoint()
+
+
+def run_all(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], now: Column) -> tuple[DataFrame, DataFrame]:
+    """(the next jobs table, ``items(job_id, outcome, error_code, exit_code)``) of one drain of the queue.
+
+    Every job that is due is claimed once and given, with those of its workflow, to the
+    workflow's handler, which returns ``(job_id, outcome, error_class, error_code)``. A job
+    without a handler or without an answer fails as ``internal``, to be tried again while
+    attempts are left; of several answers the least counts. A lost executor may have a handler
+    see a job twice, so handlers must be idempotent.
+    """
+    claimed = eligible(jobs, now).withColumn("state", F.lit("running")).withColumn("attempts", F.col("attempts") + 1)
+    answers = claimed.where("false").select("job_id", *(F.lit(None).cast("string").alias(c) for c in ("outcome", "error_class", "error_code")))
+    for workflow, handler in handlers.items():
+        answers = answers.unionByName(handler(claimed.where(F.col("workflow") == workflow)).select(*answers.columns))
+    answers = answers.where("outcome is not null").groupBy("job_id").agg(F.min(F.struct("outcome", "error_class", "error_code")).alias("a")).select("job_id", "a.*")
+    missing = F.col("outcome").isNull()
+    answered = claimed.join(answers, "job_id", "left").select(
+        *claimed.columns,
+        F.coalesce("outcome", F.lit("failed")).alias("outcome"),
+        F.when(missing, "transient").otherwise(F.col("error_class")).alias("error_class"),
+        F.when(missing, "internal").otherwise(F.col("error_code")).alias("error_code"),
+    )
+    answered = _run_once(answered)
+    settled = settle(answered.select(*jobs.columns), answered.select("job_id", F.col("attempts").alias("attempt"), "outcome", "error_class"), now)
+    code = F.coalesce("error_code", F.lit("internal"))
+    exit_code = F.when(F.col("state") != "failed", 0).when(code == "internal", 4).when(code.startswith("locked:"), 2).when(F.col("error_class") == "transient", 7).otherwise(1)
+    items = settled.select("job_id", "state").join(answered.select("job_id", "error_class", "error_code"), "job_id")
+    items = items.select("job_id", F.when(F.col("state") == "pending", "retry-scheduled").otherwise(F.col("state")).alias("outcome"), "error_code", exit_code.alias("exit_code"))
+    return jobs.join(answered.select("job_id"), "job_id", "left_anti").select(*jobs.columns).unionByName(settled), items
+
+
+def refused_operations(operations: DataFrame) -> DataFrame:
+    """Operations of ``(op, ...)`` that may not run, each with its ``code``; an unknown or missing name is refused."""
+    op = F.coalesce("op", F.lit(""))
+    return operations.withColumn("code", F.when(op.isin(*RESERVED), "reserved-operation").when(~op.isin(*OPERATIONS), "operation-forbidden")).where("code is not null")
+
+
 def event_kind(status: Column) -> Column:
     return F.when(status == "integrated", "changed").when(status == "failed", "attempt-failed").when(status == "cancelled", "attempt-cancelled").otherwise("in-progress")
 

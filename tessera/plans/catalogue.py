@@ -831,3 +831,82 @@ def gate_values(spark, sf_dir) -> DataFrame:
 def globbed_paths(spark, sf_dir) -> DataFrame:
     path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return read(spark, sf_dir, "documents").select("doc_id", path.alias("path")).where(F.col("path").rlike(text.glob_pattern("**/*1?.md")))
+
+
+# --- what passes over the index and the queue come to ---------------------------------------------
+
+_OUTCOMES = """o AS (SELECT doc_id, (['indexed', 'unchanged', 'empty', 'superseded', 'embedding-failed', 'write-incomplete'])[doc_id % 6 + 1] AS kind,
+    doc_id % 4 = 0 AS reattached, doc_id % 5 AS retired_chunks, doc_id % 7 AS chunk_count FROM documents)"""
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("indexed", "unchanged", "empty", "superseded", "embedding-failed", "write-incomplete"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("note_id"), kind.alias("kind"), (F.col("doc_id") % 4 == 0).alias("reattached"), (F.col("doc_id") % 5).alias("retired_chunks"), (F.col("doc_id") % 7).alias("chunk_count"))
+
+
+@query(
+    f"""WITH {_OUTCOMES} SELECT doc_id, CASE WHEN kind = 'empty' THEN 'retired-orphan' WHEN reattached THEN 're-activated' ELSE 're-embedded' END AS action
+    FROM o WHERE kind = 'indexed' OR kind = 'empty' AND retired_chunks > 0"""
+)
+def index_repairs(spark, sf_dir) -> DataFrame:
+    return maintenance.repaired(_outcomes(spark, sf_dir)).withColumnRenamed("note_id", "doc_id")
+
+
+@query(
+    f"""WITH {_OUTCOMES} SELECT (count(*) FILTER (kind IN ('indexed', 'unchanged')))::BIGINT AS notes_indexed, coalesce(sum(chunk_count) FILTER (kind = 'indexed'), 0)::BIGINT AS chunks_written,
+    (count(*) FILTER (kind = 'indexed' AND retired_chunks > 0))::BIGINT AS generations_retired, (count(*) FILTER (kind IN ('embedding-failed', 'write-incomplete')))::BIGINT AS unresolved, 'partial' AS outcome FROM o"""
+)
+def index_rebuild_tally(spark, sf_dir) -> DataFrame:
+    return maintenance.rebuild_tally(_outcomes(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_OUTCOMES}, r AS (SELECT CASE WHEN doc_id % 9 = 0 OR kind LIKE '%-failed' OR kind = 'write-incomplete' OR kind = 'empty' AND retired_chunks > 0 THEN 'removed' WHEN kind = 'indexed' THEN 'reembedded' ELSE 'unchanged' END AS result FROM o)
+    SELECT count(*)::BIGINT AS scanned, (count(*) FILTER (result = 'reembedded'))::BIGINT AS reembedded, (count(*) FILTER (result = 'unchanged'))::BIGINT AS unchanged, (count(*) FILTER (result = 'removed'))::BIGINT AS removed FROM r"""
+)
+def index_reconcile_tally(spark, sf_dir) -> DataFrame:
+    """Of all notes asked for, every ninth and those that could not be indexed are taken to have left the vault."""
+    o = _outcomes(spark, sf_dir)
+    there = o.where((F.col("note_id") % 9 != 0) & ~F.col("kind").isin(*maintenance.FAILED))
+    return maintenance.reconcile_tally(maintenance.reconciled(o.select("note_id"), there))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id % 3 = 0 OR event_id % 4 = user_id % 4")
+def superseded_retired(spark, sf_dir) -> DataFrame:
+    """Chunks of four generations a user; those of every third user have none active and stay."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("user_id").alias("note_id"), (F.col("event_id") % 4).alias("generation_id"))
+    active = e.where("note_id % 3 <> 0").select("note_id", (F.col("note_id") % 4).alias("generation_id")).distinct()
+    return maintenance.retire_superseded(e, active).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+def removed_notes(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("note_id"))
+    gone = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("note_id"))
+    return maintenance.remove_notes(e, gone).withColumnRenamed("note_id", "user_id")
+
+
+@query(
+    f"""WITH {_JOBS}, due AS (SELECT * FROM j WHERE state = 'pending' AND attempts < max_attempts AND (next_run_at IS NULL OR next_run_at <= (SELECT max(created_at) FROM j))),
+    i AS (SELECT job_id, workflow, CASE WHEN workflow = 'click' AND job_id % 4 = 0 THEN 'succeeded' WHEN workflow = 'view' THEN 'failed' WHEN attempts + 1 < max_attempts THEN 'retry-scheduled' ELSE 'failed' END AS outcome FROM due)
+    SELECT job_id, outcome, CASE WHEN outcome <> 'failed' THEN 0 WHEN workflow = 'click' THEN 2 WHEN workflow = 'view' THEN 1 ELSE 4 END AS exit_code FROM i"""
+)
+def jobs_drained(spark, sf_dir) -> DataFrame:
+    """One drain: clicks succeed or find a lock, views are refused, other workflows have no handler."""
+    jobs = adapters.jobs(spark, sf_dir)
+    now = jobs.agg(F.max("created_at")).first()[0]
+    ok = F.col("job_id") % 4 == 0
+    clicks = lambda d: d.select("job_id", F.when(ok, "ok").otherwise("failed").alias("outcome"), F.when(~ok, "transient").alias("error_class"), F.when(~ok, "locked:vault").alias("error_code"))
+    views = lambda d: d.select("job_id", F.lit("failed").alias("outcome"), F.lit("permanent").alias("error_class"), F.lit("validation").alias("error_code"))
+    _, items = workflow.run_all(jobs, {"click": clicks, "view": views}, F.lit(now))
+    return items.select("job_id", "outcome", "exit_code")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'reserved-operation' ELSE 'operation-forbidden' END AS code FROM events WHERE event_id % 5 IN (1, 2, 4)"""
+)
+def refused_operations(spark, sf_dir) -> DataFrame:
+    op = F.element_at(F.array(*map(F.lit, ("CreateNote", "CreateTask", "DropVault", "AddAlias"))), F.least(F.col("event_id") % 5 + 1, F.lit(4)).cast("int"))
+    e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 4, op).alias("op"))
+    return workflow.refused_operations(e).select("event_id", "code")

@@ -179,3 +179,33 @@ def related(vault: Vault, seed: str, depth: int = 1, limit: int = 50, offset: in
 def issues_in_order(issues: DataFrame) -> DataFrame:
     """By note and issue in the order of the Unicode collation, as readers expect it."""
     return issues.orderBy(F.collate("note_id", "UNICODE"), F.collate("issue", "UNICODE"))
+
+
+@dataclass(frozen=True)
+class Migration:
+    """A step of the tables' schema; ``up`` gives the tables' next version."""
+
+    id: str
+    checksum: str
+    up: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+
+
+def migrate(tables: dict[str, DataFrame], applied: DataFrame, migrations: Sequence[Migration]) -> tuple[dict[str, DataFrame], list[tuple[str, str, str]]]:
+    """(the tables' next version, ``(id, checksum, applied or skipped)`` in order of id).
+
+    ``applied(id, checksum)`` is what ran before. A step runs once: the same id with another
+    checksum, or an id given twice, refuses the whole. A gap is filled in its place. The caller
+    publishes the tables and the report together.
+    """
+    ids = [m.id for m in migrations]
+    if twice := sorted({i for i in ids if ids.count(i) > 1}):
+        raise Invalid("duplicate migrations", twice)
+    known = {r["id"]: r["checksum"] for r in applied.where(F.col("id").isin(ids)).select("id", "checksum").distinct().collect()}
+    if changed := sorted(m.id for m in migrations if known.get(m.id, m.checksum) != m.checksum):
+        raise Invalid("migrations changed after they ran", changed)
+    report = []
+    for m in sorted(migrations, key=lambda m: m.id):
+        if m.id not in known:
+            tables = m.up(dict(tables))
+        report.append((m.id, m.checksum, "skipped" if m.id in known else "applied"))
+    return tables, report

@@ -85,3 +85,17 @@ def test_reads(spark, parsed):
     assert row.asDict() == {"notes": 4, "errors": 0, "stale_notes": 0, "missing_notes": 0, "chunks": 5, "pending_jobs": 1, "open_evidence": 1, "ok": True}
     issues = spark.createDataFrame([("b", "x"), ("A", "x"), ("a", "x"), ("B", "x")], "note_id string, issue string")
     assert [r["note_id"] for r in commands.issues_in_order(issues).collect()] == ["a", "A", "b", "B"] and F
+
+
+def test_migrations_run_once_and_in_order(spark):
+    t = {"notes": spark.range(2).withColumnRenamed("id", "n")}
+    add = lambda name: lambda tables: tables | {"notes": tables["notes"].withColumn(name, F.lit(1))}
+    steps = [commands.Migration("0003", "c", add("z")), commands.Migration("0001", "a", add("x")), commands.Migration("0002", "b", add("y"))]
+    before = spark.createDataFrame([("0001", "a"), ("0000", "?")], "id string, checksum string")
+    after, report = commands.migrate(t, before, steps)
+    assert after["notes"].columns == ["n", "y", "z"] and t["notes"].columns == ["n"]
+    assert report == [("0001", "a", "skipped"), ("0002", "b", "applied"), ("0003", "c", "applied")]
+    with pytest.raises(commands.Invalid, match="changed"):
+        commands.migrate(t, before.withColumn("checksum", F.lit("q")), steps)
+    with pytest.raises(commands.Invalid, match="duplicate"):
+        commands.migrate(t, before, [*steps, steps[0]])

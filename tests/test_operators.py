@@ -160,3 +160,72 @@ def test_orphans_are_a_hash_join(spark):
     plan = graph.orphan_notes(spark.range(20).withColumnRenamed("id", "note_id"), edges)._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "LeftAnti" in plan
+
+
+def test_passes_over_the_index(spark):
+    o = spark.createDataFrame(
+        [("a", "indexed", True, 0, 2), ("b", "indexed", False, 3, 1), ("c", "empty", None, 2, 0), ("d", "empty", None, None, 0), ("e", "superseded", None, 0, 0), ("f", "write-incomplete", None, 0, 0)],
+        "note_id string, kind string, reattached boolean, retired_chunks int, chunk_count int",
+    )
+    assert rows(maintenance.repaired(o)) == [("a", "re-activated"), ("b", "re-embedded"), ("c", "retired-orphan")]
+    assert rows(maintenance.rebuild_tally(o)) == [(2, 3, 1, 1, "partial")]
+    assert rows(maintenance.rebuild_tally(o.where("false"))) == [(0, 0, 0, 0, "converged")]
+    asked = spark.createDataFrame([("a",), ("a",), ("c",), ("d",), ("e",), ("gone",)], "note_id string")
+    got = maintenance.reconciled(asked, o)
+    assert rows(got) == [("a", "reembedded"), ("c", "removed"), ("d", "unchanged"), ("e", "unchanged"), ("gone", "removed")]
+    assert rows(maintenance.reconcile_tally(got)) == [(5, 1, 2, 2)]
+    with pytest.raises(Exception, match="not converged: f"):
+        maintenance.reconciled(o.select("note_id"), o).collect()
+
+
+def test_retired_generations(spark):
+    c = spark.createDataFrame([("a", "g1"), ("a", "g2"), ("b", "g3"), ("b", "g4")], "note_id string, generation_id string")
+    active = spark.createDataFrame([("a", "g2"), ("b", None)], "note_id string, generation_id string")
+    assert rows(maintenance.retire_superseded(c, active)) == [("a", "g2"), ("b", "g3"), ("b", "g4")]
+    assert rows(maintenance.remove_notes(c, active.where("note_id = 'a'"))) == [("b", "g3"), ("b", "g4")]
+
+
+def test_a_drain_runs_each_due_job_once(spark, tmp_path):
+    jobs = spark.createDataFrame(
+        [("a", "sync", "pending", 0, 3, None), ("b", "sync", "pending", 2, 3, 5), ("c", "none", "pending", 2, 3, 5), ("d", "sync", "pending", 0, 3, 50), ("e", "sync", "running", 1, 3, None), ("f", "sync", "pending", 0, 3, None), ("g", "sync", "pending", 0, 3, None)],
+        "job_id string, workflow string, state string, attempts int, max_attempts int, next_run_at long",
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def handler(due):
+        def run(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b[["job_id"]]
+
+        ran = due.mapInPandas(run, "job_id string").where("job_id <> 'g'")  # g gets no answer
+        told = {"a": ("ok", None, None), "b": ("failed", "transient", "timeout"), "f": ("failed", "transient", "locked:x")}
+        pick = lambda i: F.coalesce(*(F.when(F.col("job_id") == k, F.lit(v[i])) for k, v in told.items()))
+        return ran.select("job_id", pick(0).alias("outcome"), pick(1).alias("error_class"), pick(2).alias("error_code"))
+
+    after, items = workflow.run_all(jobs, {"sync": handler}, F.lit(10))
+    assert rows(items) == [("a", "succeeded", None, 0), ("b", "failed", "timeout", 7), ("c", "failed", "internal", 4), ("f", "retry-scheduled", "locked:x", 0), ("g", "retry-scheduled", "internal", 0)]
+    left = {r["job_id"]: r for r in after.collect()}
+    assert {k: (r["state"], r["attempts"]) for k, r in left.items()} == {"a": ("succeeded", 1), "b": ("failed", 3), "c": ("failed", 3), "d": ("pending", 0), "e": ("running", 1), "f": ("pending", 1), "g": ("pending", 1)}
+    assert left["f"]["next_run_at"] >= 10 and seen.value == 4
+    drained = workflow.rollup(items.withColumnRenamed("outcome", "state")).first()
+    assert drained["exit_code"] == 4
+    assert workflow.run_all(jobs.where("false"), {}, F.lit(10))[1].count() == 0
+
+
+def test_refused_operations(spark):
+    ops = spark.createDataFrame([("AddAlias",), ("UpdateTaskState",), ("Erase",), (None,)], "op string")
+    assert rows(workflow.refused_operations(ops)) == [("Erase", "operation-forbidden"), ("UpdateTaskState", "reserved-operation"), (None, "operation-forbidden")]
+
+
+def test_layers_degrade(spark):
+    chunks = spark.createDataFrame([("n1", "c1", "", "g", [1.0, 0.0]), ("n2", "c2", "", "old", [1.0, 0.0])], "note_id string, chunk_id string, section_path string, generation_id string, embedding array<double>")
+    active = spark.createDataFrame([("g",)], "generation_id string")
+    text = lambda served, k: served.select("note_id", F.lit(1).alias("rank"))
+    both = retrieval.search_layers(chunks, active, [1.0, 0.0], text)
+    assert (both.used, both.degraded, [r["note_id"] for r in both.vector.collect()]) == (("fts", "vector"), False, ["n1"])
+    for broken in (None, lambda served, k: spark.read.parquet("/no/such/index")):
+        x = retrieval.search_layers(chunks, active, [1.0, 0.0], broken)
+        assert (x.used, x.degraded, x.text) == (("vector",), True, None)
+    none = retrieval.search_layers(chunks, active.where("false"), [1.0, 0.0], text)
+    assert (none.used, none.degraded, none.vector.count(), none.text.count()) == ((), False, 0, 0)
