@@ -68,13 +68,14 @@ class Layers:
     used: tuple[str, ...]
 
 
-def search_layers(chunks: DataFrame, active: DataFrame, query: Sequence[float], text_layer: Callable[[DataFrame, int], DataFrame] | None, k: int = 10) -> Layers:
+def search_layers(chunks: DataFrame, active: DataFrame | None, query: Sequence[float], text_layer: Callable[[DataFrame, int], DataFrame] | None, k: int = 10) -> Layers:
     """Both layers over chunks of active generations; without ``text_layer``, or if it fails, vectors alone answer.
 
-    ``text_layer`` takes the fenced chunks and k. Without active generations nothing is served and no layer is asked.
+    ``text_layer`` takes the fenced chunks and k. Where ``active`` has no generations nothing is
+    served and no layer is asked; None fences nothing.
     """
-    served = fence(chunks, active)
-    if active.isEmpty():
+    served = chunks if active is None else fence(chunks, active)
+    if active is not None and active.isEmpty():
         none = served.withColumn("rank", F.lit(0)).where("false")
         return Layers(none, none if text_layer else None, text_layer is None, ())
     near = vector_layer(served, query, k)

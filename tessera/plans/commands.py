@@ -86,11 +86,12 @@ def expected_generations(notes: DataFrame, model: str = "hash-embed", dimensions
     return notes.select("note_id", "content_hash", generation_id(F.col("note_id"), F.col("content_hash"), *parts).alias("generation_id"), config_key(*parts).alias("config_key"))
 
 
-def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, k: int = 10, kind: str | None = None, dimensions: int = 64) -> DataFrame:
+def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, k: int = 10, kind: str | None = None, dimensions: int = 64, active: DataFrame | None = None, full_text: bool = True) -> DataFrame:
     """Ranked notes ``(rank, note_id, score, channel, section_path, mode)`` for a question.
 
     A question that names one note by id, slug or alias gets that note and is not embedded;
-    one that names several is an error. A type filters before ranking.
+    one that names several is an error. A type filters before ranking. Only chunks of ``active``
+    generations are served, all if None; without full text, or where it fails, vectors answer alone.
     """
     retrieval.check_k(k)
     spark = chunks.sparkSession
@@ -104,14 +105,18 @@ def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[
     if kind is not None:
         chunks = chunks.join(vault.notes.where(F.col("type") == kind).select("note_id"), "note_id", "left_semi")
     vector = (embedder or (lambda texts: [hash_vector(t, dimensions) for t in texts]))([question])[0]
-    near = retrieval.vector_layer(chunks.select("note_id", "chunk_id", "section_path", "embedding"), vector, k)
-    words = analyze(question, frozenset(retrieval.STOP_WORDS))
-    postings = index.analyzed_postings(chunks.select("note_id", "chunk_id", "section_path", "text"))
-    stats = postings.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    scored = retrieval.bm25(postings, stats, words)
-    text = retrieval.rank_chunks(scored, k, False)
+
+    def text_layer(served: DataFrame, k: int) -> DataFrame:
+        postings = index.analyzed_postings(served.select("note_id", "chunk_id", "section_path", "text"))
+        stats = postings.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+        return retrieval.rank_chunks(retrieval.bm25(postings, stats, analyze(question, frozenset(retrieval.STOP_WORDS))), k, False)
+
+    found = retrieval.search_layers(chunks, active, vector, text_layer if full_text else None, k)
     columns = ("note_id", "section_path", "rank")
-    folded = retrieval.fold(near.select(F.lit("vector").alias("layer"), *columns).unionByName(text.select(F.lit("fts").alias("layer"), *columns)))
+    layers = found.vector.select(F.lit("vector").alias("layer"), *columns)
+    if found.text is not None:
+        layers = layers.unionByName(found.text.select(F.lit("fts").alias("layer"), *columns))
+    folded = retrieval.fold(layers)
     fused = retrieval.fuse(folded).where(F.col("rank") <= k)
     mode = F.when(F.size(F.array_distinct(F.transform("contributions", lambda c: c["layer"]))) > 1, "hybrid").otherwise(F.col("contributions")[0]["layer"])
     return fused.join(retrieval.primary_channel(folded), "note_id").select("rank", "note_id", "score", "channel", "section_path", mode.alias("mode"))

@@ -54,6 +54,11 @@ def test_retrieve(parsed):
     assert commands.retrieve(vault, chunks, "meridian").first()["mode"] == "id"
     ranked = commands.retrieve(vault, chunks, "gardening notes", k=2).orderBy("rank").collect()
     assert "alone" in {r["note_id"] for r in ranked} and len(ranked) <= 2
+    alone = commands.retrieve(vault, chunks, "gardening notes", k=2, full_text=False).collect()
+    assert alone and {r["mode"] for r in alone} == {"vector"}
+    current = vault.notes.where("note_id = 'meridian'").join(chunks, "note_id").select("generation_id")
+    assert {r["note_id"] for r in commands.retrieve(vault, chunks, "gardening notes", active=current).collect()} == {"meridian"}
+    assert commands.retrieve(vault, chunks, "gardening notes", active=current.where("false")).count() == 0
     only = commands.retrieve(vault, chunks, "launch in spring", kind="project").collect()
     assert {r["note_id"] for r in only} == {"meridian"}
 
