@@ -105,6 +105,29 @@ def add_alias(text: str, alias: str) -> str:
     return text if alias in have else set_field(text, "aliases", [*have, alias])
 
 
+def set_evidence(text: str, entry_id: str, fields: dict) -> str:
+    """Fields of one entry of the frontmatter's ``evidence``, changed in place; all other characters stay."""
+    span = frontmatter_span(text)
+    block = text[span[0] : span[1]] if span else ""
+    root = yaml.compose(block)
+    entries = [e for k, v in getattr(root, "value", None) or [] if k.value == "evidence" and isinstance(v, yaml.SequenceNode) for e in v.value if isinstance(e, yaml.MappingNode)]
+    entry = next((e for e in entries if any(k.value == "id" and v.value == entry_id for k, v in e.value)), None)
+    if entry is None:
+        raise PatchFailed("evidence-not-found", entry_id)
+    held = {k.value: v for k, v in entry.value}
+    end = len(block[: entry.value[-1][1].end_mark.index].rstrip())
+    between = ", " if entry.flow_style else "\n" + " " * entry.value[0][0].start_mark.column
+    edits = []
+    for name, value in fields.items():
+        if name in held:
+            s, e = held[name].start_mark.index, held[name].end_mark.index
+            edits.append((s, e, _scalar(value) if e > s else " " + _scalar(value)))
+    edits += [(end, end, f"{between}{name}: {_scalar(value)}") for name, value in fields.items() if name not in held]
+    for s, e, new in sorted(edits, key=lambda x: x[0])[::-1]:
+        block = block[:s] + new + block[e:]
+    return text[: span[0]] + block + text[span[1] :]
+
+
 def check(text: str, pre: dict) -> None:
     """Raise if a precondition does not hold."""
     kind = pre["kind"]
@@ -142,6 +165,8 @@ def apply_patch(raw: str, preconditions: list[dict], ops: list[dict]) -> str:
             text = set_field(text, op["field"], op["value"])
         elif kind == "add-alias":
             text = add_alias(text, op["alias"])
+        elif kind == "set-evidence-fields":
+            text = set_evidence(text, op["id"], op["fields"])
         else:
             raise PatchFailed("unknown-operation", kind)
     return text

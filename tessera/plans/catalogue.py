@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding, hashing, identity, stemmer, text
-from tessera.operators import evaluation, graph, index, maintenance, retrieval, validation, workflow
+from tessera.operators import changes, evaluation, graph, index, maintenance, retrieval, validation, workflow
 from tessera.plans import adapters
 from tessera.plans.adapters import read
 
@@ -910,3 +910,121 @@ def refused_operations(spark, sf_dir) -> DataFrame:
     op = F.element_at(F.array(*map(F.lit, ("CreateNote", "CreateTask", "DropVault", "AddAlias"))), F.least(F.col("event_id") % 5 + 1, F.lit(4)).cast("int"))
     e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 4, op).alias("op"))
     return workflow.refused_operations(e).select("event_id", "code")
+
+
+# --- changes before they are written ---------------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '/' ELSE '' END || 'new/' || (CASE WHEN doc_id % 11 = 0 THEN doc_id - doc_id % 2 ELSE doc_id END) || '.md' AS path, CASE WHEN doc_id % 13 = 0 THEN 'source-' ELSE 'n' END || doc_id AS note_id,
+        lang || ' ' || (doc_id % 100) AS alias, CASE WHEN doc_id % 5 = 0 THEN 'invalid-frontmatter' END AS bad FROM documents WHERE doc_id % 3 = 0),
+    n AS (SELECT 'n' || doc_id AS note_id, 'new/' || (doc_id + 3) || '.md' AS path, lang || ' ' || (doc_id % 50) AS key FROM documents WHERE doc_id % 6 = 0),
+    c AS (SELECT path, lower(alias) AS key FROM f WHERE bad IS NULL UNION SELECT path, trim(regexp_replace(lower(note_id), '[[:punct:]\\s]+', ' ', 'g')) FROM f WHERE bad IS NULL),
+    k AS (SELECT lower(key) AS key FROM n UNION SELECT key FROM c GROUP BY key HAVING count(*) > 1)
+    SELECT doc_id, CASE WHEN path LIKE '/%' THEN 'invalid-destination' WHEN bad IS NOT NULL THEN bad WHEN note_id LIKE 'source-%' THEN 'reserved-identity' WHEN note_id IN (SELECT note_id FROM n) THEN 'duplicate-id'
+        WHEN path IN (SELECT path FROM n) OR path IN (SELECT path FROM f GROUP BY path HAVING count(*) > 1) THEN 'duplicate-path' WHEN path IN (SELECT path FROM c JOIN k USING (key)) THEN 'duplicate-identity' END AS code FROM f"""
+)
+def judged_additions(spark, sf_dir) -> DataFrame:
+    """Every third document as a new note beside those of every sixth; ids, paths and aliases collide by rules of the id."""
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    number = F.when(i % 11 == 0, i - i % 2).otherwise(i).cast("string")
+    fresh = d.where("doc_id % 3 = 0").select(
+        F.concat(F.when(i % 7 == 0, "/").otherwise(""), F.lit("new/"), number, F.lit(".md")).alias("path"),
+        F.concat(F.when(i % 13 == 0, "source-").otherwise("n"), i.cast("string")).alias("note_id"),
+        F.lit("concept").alias("type"),
+        F.array(F.concat_ws(" ", "lang", (i % 100).cast("string"))).alias("aliases"),
+        F.when(i % 5 == 0, "invalid-frontmatter").alias("error_kind"),
+    )
+    held = d.where("doc_id % 6 = 0")
+    notes = held.select(F.concat(F.lit("n"), i.cast("string")).alias("note_id"), F.concat(F.lit("new/"), (i + 3).cast("string"), F.lit(".md")).alias("path"))
+    keys = held.select(F.concat_ws(" ", "lang", (i % 50).cast("string")).alias("key"))
+    judged = changes.judged_additions(fresh, notes, keys, identity.identity_key_ascii)
+    return judged.select(F.regexp_extract("note_id", "[0-9]+$", 0).cast("long").alias("doc_id"), "code")
+
+
+@query(
+    """SELECT event_id AS id, CASE WHEN event_id % 4 = 0 THEN 'not-found' WHEN event_id % 3 = 0 THEN 'target-missing' ELSE 'resolved' END AS outcome,
+    CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'needs-review' ELSE 'resolved' END AS status,
+    CASE WHEN event_id % 4 <> 0 THEN event_id % 5 + (event_id % 3 <> 0 AND event_id % 2 = 0)::BIGINT END AS attempts FROM events"""
+)
+def reverified_evidence(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("note_id"), (F.col("event_id") % 5).alias("attempts"))
+    asked = e.select("id", (F.col("id") % 2 == 0).alias("retry"))
+    return changes.reverified(e.where("id % 4 <> 0"), e.where("id % 3 <> 0").select("note_id", "id"), asked.union(asked)).select("id", "outcome", "status", "attempts")
+
+
+_PLAN_OPS = ("CreateNote", "AppendSection", "SetLink", "CreateTask", "Unknown", "AddAlias", "CreateRelationship")
+_PLANS = f"""p AS (SELECT event_id AS plan_id, ({list(_PLAN_OPS)})[event_id % 7 + 1] AS op, user_id AS target, event_id % 50 AS object, 'k' || (event_id % 40) AS alias, event_id % 3 = 0 AS bare, event_id % 5 = 0 AS untyped, event_id % 4 = 0 AS doubtful FROM events),
+    f AS (SELECT plan_id, 'reserved-operation' AS code, 'error' AS severity FROM p WHERE op = 'CreateTask' UNION ALL SELECT plan_id, 'schema-invalid', 'error' FROM p WHERE op = 'Unknown'
+    UNION ALL SELECT plan_id, 'path-policy-violation', 'error' FROM p WHERE op = 'CreateNote' AND untyped UNION ALL SELECT plan_id, 'missing-provenance', 'error' FROM p WHERE op IN ('CreateNote', 'AppendSection') AND bare
+    UNION ALL SELECT plan_id, 'evidence-not-valid', 'gate' FROM p WHERE doubtful)"""
+_HELD = "h AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 <> 0), k AS (SELECT c_custkey, 'k' || (c_custkey % 60) AS key FROM customer WHERE c_custkey <= 70 AND c_custkey % 3 <> 0)"
+
+
+def _plans(spark, sf_dir) -> DataFrame:
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    return e.select(
+        i.alias("plan_id"),
+        F.element_at(F.array(*map(F.lit, _PLAN_OPS)), (i % 7 + 1).cast("int")).alias("op"),
+        F.col("user_id").cast("string").alias("target"),
+        (i % 50).cast("string").alias("object"),
+        F.concat(F.lit("K"), (i % 40).cast("string")).alias("alias"),
+        F.when(i % 5 == 0, " ").otherwise("concept").alias("note_type"),
+        F.when(i % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("src"))).alias("sources"),
+        F.when(i % 4 == 0, F.array(F.lit("valid"), F.lit("stale"))).otherwise(F.array(F.lit("valid"))).alias("evidence_states"),
+    )
+
+
+@query(f"WITH {_PLANS} SELECT plan_id, code, severity FROM f")
+def plan_findings(spark, sf_dir) -> DataFrame:
+    return changes.plan_findings(_plans(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_PLANS}, {_HELD} SELECT DISTINCT plan_id, 'identity-collision' AS code FROM p LEFT JOIN k ON k.key = p.alias WHERE op = 'AddAlias' AND k.c_custkey <> target OR op = 'CreateNote' AND target IN (SELECT c_custkey FROM h)
+    UNION ALL SELECT plan_id, 'dangling-note' FROM p WHERE op IN ('AppendSection', 'SetLink', 'AddAlias', 'CreateRelationship') AND (target NOT IN (SELECT c_custkey FROM h) OR op = 'CreateRelationship' AND object NOT IN (SELECT c_custkey FROM h))"""
+)
+def plan_target_findings(spark, sf_dir) -> DataFrame:
+    held = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    notes = held.select(F.col("c_custkey").cast("string").alias("note_id"))
+    keys = held.where("c_custkey <= 70").select(F.concat(F.lit("k"), (F.col("c_custkey") % 60).cast("string")).alias("key"), F.col("c_custkey").cast("string").alias("note_id"))
+    return changes.target_findings(_plans(spark, sf_dir), notes, keys, identity.identity_key_ascii).select("plan_id", "code")
+
+
+@query(
+    f"""WITH {_PLANS}, {_HELD}, v AS (SELECT plan_id, NOT coalesce(bool_or(severity = 'error'), false) AS ok, NOT coalesce(bool_or(severity IS NOT NULL), false) AS unattended FROM p LEFT JOIN f USING (plan_id) GROUP BY plan_id)
+    SELECT plan_id, ok, unattended, CASE WHEN NOT ok THEN 'refused' WHEN target NOT IN (SELECT c_custkey FROM h) THEN 'target-missing' WHEN plan_id % 6 = 0 THEN 'stale' ELSE 'ready' END AS outcome FROM p JOIN v USING (plan_id)"""
+)
+def grounded_plans(spark, sf_dir) -> DataFrame:
+    """Plans by whether they may be applied to the notes that they were made from; every sixth was made from an older text."""
+    p = _plans(spark, sf_dir)
+    notes = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("note_id"), F.lit("h").alias("content_hash"))
+    verdicts = changes.plan_verdicts(p, changes.plan_findings(p))
+    grounded = p.select("plan_id", F.col("target").alias("note_id"), F.when(F.col("plan_id") % 6 == 0, "g").otherwise("h").alias("grounded_hash"))
+    return changes.applicable(grounded, verdicts, notes).join(verdicts, "plan_id").select("plan_id", "ok", "unattended", "outcome")
+
+
+_SOURCES = "s AS (SELECT 'src_' || substr(sha256(url), 1, 16) AS id, CASE WHEN regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN 'url' ELSE 'file' END AS kind, url AS locator, min(page_id) AS added_at FROM pages GROUP BY url)"
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    fresh = read(spark, sf_dir, "pages").select(F.col("url").alias("locator"), F.lit(None).cast("string").alias("title"), F.col("page_id").alias("added_at"))
+    return workflow.register_sources(fresh.where("false"), fresh)
+
+
+@query(f"WITH {_SOURCES} SELECT id, kind, locator, added_at, row_number() OVER (ORDER BY added_at DESC, id)::BIGINT AS place FROM s ORDER BY added_at DESC, id LIMIT 30 OFFSET 10")
+def sources_page(spark, sf_dir) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = workflow.newest_first("added_at", "id")
+    rows, _ = workflow.page(_sources(spark, sf_dir), order, 30, 10)
+    return rows.select("id", "kind", "locator", "added_at", (F.row_number().over(Window.orderBy(*order)) + 10).cast("long").alias("place"))
+
+
+@query(
+    f"""WITH {_SOURCES}, h AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'src_' || substr(sha256(url), 1, 16) ELSE 'none-' || page_id END AS handle FROM pages)
+    SELECT handle, s.id IS NOT NULL AS found, s.id, kind, locator, added_at FROM h LEFT JOIN s ON handle IN (s.id, s.locator)"""
+)
+def shown_sources(spark, sf_dir) -> DataFrame:
+    named = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("src_"), F.substring(F.sha2("url", 256), 1, 16))).otherwise(F.concat(F.lit("none-"), F.col("page_id").cast("string")))
+    return changes.shown_sources(_sources(spark, sf_dir), read(spark, sf_dir, "pages").select(named.alias("handle"))).select("handle", "found", "id", "kind", "locator", "added_at")

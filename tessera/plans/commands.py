@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tessera.functions.embedding import embed, hash_vector
 from tessera.functions.hashing import chunk_id, config_key, generation_id
 from tessera.functions.identity import identity_key, normalize_identity_key
+from tessera.functions.patch import patched
 from tessera.functions.stemmer import analyze
-from tessera.operators import graph, index, maintenance, retrieval, validation, workflow
+from tessera.operators import changes, graph, index, maintenance, retrieval, validation, workflow
+from tessera.sources import normalize, revision
 from tessera.sources import vault as v
 
 
@@ -72,6 +74,33 @@ def rebuild_projection(parsed: DataFrame, drop_colliders: bool = False) -> dict[
     }
 
 
+#: Tables of operations, which notes can't give back; fixed values.
+LEDGERS = {
+    "agent_runs": "run history is operational state",
+    "workflow_idempotency": "idempotency of callers is operational state",
+}
+
+
+def rebuild_from_revision(spark: SparkSession, repository: str, at: str, include: Sequence[str] = ("**/*.md",)) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(the derived tables as of a revision, gaps ``(table, reason, detail)``).
+
+    Files that can't be read, notes whose identity collides and links that lead nowhere are
+    gaps and left out; the tables of operations always are.
+    """
+    parsed = v.parse_notes(revision.scan_revision(spark, repository, at, include))
+    vault = derive(parsed)
+    survivors = graph.without_colliders(vault.notes, vault.keys.select("key", "note_id"))
+    survivors = survivors.join(graph.duplicate_ids(survivors).select("path"), "path", "left_anti")
+    kept = parsed.join(survivors.select("path"), "path", "left_semi")
+    gap = lambda df, table, reason, detail: df.select(F.lit(table).alias("table"), F.lit(reason).alias("reason"), detail.alias("detail"))
+    gaps = gap(vault.errors, "notes", "unreadable", F.concat_ws(": ", "path", "kind"))
+    gaps = gaps.unionByName(gap(vault.notes.join(survivors.select("path"), "path", "left_anti"), "notes", "identity-collision", F.concat_ws(": ", "path", "note_id")))
+    gaps = gaps.unionByName(gap(graph.dangling(derive(kept).links), "note_links", "dangling", F.concat_ws(" -> ", "source", "target")))
+    for table, reason in LEDGERS.items():
+        gaps = gaps.unionByName(gap(spark.range(1), table, reason, F.lit(None).cast("string")))
+    return rebuild_projection(kept, drop_colliders=True), gaps
+
+
 def build_index(notes: DataFrame, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, model: str = "hash-embed", dimensions: int = 64, version: int = 1) -> DataFrame:
     """``search_chunks`` of notes: chunks with content-addressed ids and vectors."""
     chunks = v.chunk_notes(notes)
@@ -176,6 +205,80 @@ def resolve_seed(vault: Vault, seed: str) -> str:
     return hit["note_id"]
 
 
+def add_notes(vault: Vault, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the notes to write, refused ones ``(path, note_id, code)``) of ``files(path, content)`` that are new to the vault."""
+    parsed = v.parse_notes(files)
+    judged = changes.judged_additions(parsed, vault.notes, vault.keys.where("tier > 0"), identity_key)
+    return parsed.join(judged.where("code is null").select("path"), "path", "left_semi"), judged.where("code is not null")
+
+
+def ingest(spark: SparkSession, files: DataFrame, apply: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(what ``files(path, content, length)`` would give, the normalised texts to store or None): without ``apply`` a preview.
+
+    Files over their format's limit are refused by their length, before they are read.
+    """
+    small, large = normalize.within_limits(files)
+    texts = normalize.normalize(small)
+    report = texts.select("path", "format", F.col("reject_code").alias("code"), "size_bytes").unionByName(
+        large.select("path", F.lit(None).cast("string").alias("format"), F.lit("too-large").alias("code"), F.col("length").alias("size_bytes"))
+    )
+    return report, texts.where("reject_code is null") if apply else None
+
+
+def list_sources(sources: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, dict]:
+    """A page of the registered sources, newest first."""
+    return workflow.page(sources, workflow.newest_first("added_at", "id"), limit, offset)
+
+
+def show_source(sources: DataFrame, handle: str) -> dict:
+    """The source of an id or else a locator, without the fields that it lacks."""
+    asked = sources.sparkSession.createDataFrame([(handle,)], "handle string")
+    row = changes.shown_sources(sources, asked).first()
+    if not row["found"]:
+        raise LookupError(f"{handle!r} names no source")
+    return {k: x for k, x in row.asDict().items() if x is not None and k not in ("handle", "found")}
+
+
+def settle_evidence(vault: Vault, evidence: DataFrame, asked: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """(the report of reverified(), next texts ``(note_id, path, ok, code, next)``) of evidence to resolve or retry, ``asked(id, retry)``.
+
+    All entries of a note are changed in one edit.
+    """
+    entries = vault.notes.select("note_id", F.explode("evidence.id").alias("id"))
+    report = changes.reverified(evidence, entries, asked)
+    fields = F.struct(F.lit("resolved").alias("status"), F.lit("re-anchored to the current note").alias("verdict"), F.lit(at).alias("lastCheckedAt"), F.when(F.col("retry"), F.col("attempts")).alias("attempts"))
+    retried = asked.groupBy("id").agg(F.max("retry").alias("retry"))
+    ops = report.where("outcome = 'resolved'").join(retried, "id").select("note_id", F.struct(F.lit("set-evidence-fields").alias("kind"), "id", fields.alias("fields")).alias("op"))
+    patches = ops.groupBy("note_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list("op")).alias("ops"))).alias("patch"))
+    edited = vault.notes.select("note_id", "path", "raw").join(patches, "note_id").withColumn("p", patched(F.col("raw"), F.col("patch")))
+    return report, edited.select("note_id", "path", "p.ok", "p.code", "p.next")
+
+
+def preview_plans(vault: Vault, plans: DataFrame, require_sources: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(findings ``(plan_id, code, severity)``, plans with ``outcome`` and the text that each would write, ``next``); nothing is written.
+
+    ``plans(plan_id, op, target, note_type, alias, object, sources, evidence_states, grounded_hash, patch)``;
+    a plan is ready if it has no error, its note is there and still the one that it was made
+    from, and its JSON ``patch``, if any, applies.
+    """
+    claimed = vault.keys.where("tier > 0").select("key", "note_id")
+    findings = changes.plan_findings(plans, require_sources).unionByName(changes.target_findings(plans, vault.notes, claimed, identity_key))
+    grounded = changes.applicable(plans.withColumnRenamed("target", "note_id"), changes.plan_verdicts(plans, findings), vault.notes)
+    ready = grounded.where("outcome = 'ready' and patch is not null").join(vault.notes.select("note_id", "path", "raw"), "note_id")
+    edits = ready.select("plan_id", "path", patched(F.col("raw"), F.col("patch")).alias("p"))
+    out = grounded.select("plan_id", "note_id", "outcome").join(edits, "plan_id", "left")
+    outcome = F.when(F.col("p.ok") == F.lit(False), F.col("p.code")).otherwise(F.col("outcome"))
+    return findings, out.select("plan_id", "note_id", outcome.alias("outcome"), "path", F.col("p.next").alias("next"))
+
+
+def enrich(vault: Vault, chunks: DataFrame, note_id: str, generate: Callable[[DataFrame], DataFrame], k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """preview_plans() of what ``generate`` plans for a note from the ranked notes on it; without any there is no plan."""
+    context = retrieve(vault, chunks, f"enrich note {note_id}", k=k)
+    if context.isEmpty():
+        raise LookupError(f"nothing was found to enrich {note_id!r} from")
+    return preview_plans(vault, generate(context))
+
+
 def related(vault: Vault, seed: str, depth: int = 1, limit: int = 50, offset: int = 0) -> tuple[DataFrame, dict]:
     found = graph.related(vault.edges, resolve_seed(vault, seed), depth)
     return workflow.page(found, ["distance", "note_id"], limit, offset)
