@@ -109,8 +109,12 @@ def set_evidence(text: str, entry_id: str, fields: dict) -> str:
     """Fields of one entry of the frontmatter's ``evidence``, changed in place; all other characters stay."""
     span = frontmatter_span(text)
     block = text[span[0] : span[1]] if span else ""
-    root = yaml.compose(block)
-    entries = [e for k, v in getattr(root, "value", None) or [] if k.value == "evidence" and isinstance(v, yaml.SequenceNode) for e in v.value if isinstance(e, yaml.MappingNode)]
+    try:
+        root = yaml.compose(block)
+    except yaml.YAMLError as e:
+        raise PatchFailed("invalid-frontmatter", str(e)) from None
+    fields_of_note = root.value if isinstance(root, yaml.MappingNode) else []
+    entries = [e for k, v in fields_of_note if k.value == "evidence" and isinstance(v, yaml.SequenceNode) for e in v.value if isinstance(e, yaml.MappingNode)]
     entry = next((e for e in entries if any(k.value == "id" and v.value == entry_id for k, v in e.value)), None)
     if entry is None:
         raise PatchFailed("evidence-not-found", entry_id)

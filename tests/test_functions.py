@@ -185,3 +185,19 @@ def test_dates_of_frontmatter():
 
     f = parse_frontmatter("id: a\ntype: t\nschema_version: 1\ntitle: T\ncreated: 2026-01-02\nupdated: '2026'\nextra: 1")
     assert f["created"] == "2026-01-02" and f["status"] == "active" and f["sensitivity"] == "internal" and datetime
+
+
+@pytest.mark.parametrize("raw", ["no fields", "---\n---\nx", "---\njust text\n---\n", "---\nevidence: none\n---\n", "---\nevidence:\n  - id: other\n---\n", "---\na: [\n---\n"])
+def test_evidence_that_is_not_there_is_a_code(raw):
+    from tessera.functions.patch import PatchFailed, set_evidence
+
+    with pytest.raises(PatchFailed):
+        set_evidence(raw, "e", {"status": "resolved"})
+
+
+def test_evidence_fields_are_set_in_place():
+    from tessera.functions.patch import set_evidence
+
+    raw = "---\nid: n # c\nevidence:\n- status:\n  id: e\n- id: f\n  attempts: 1\nz: 1\n---\nbody\n"
+    assert set_evidence(raw, "e", {"status": "resolved", "attempts": 2}) == raw.replace("status:\n  id: e\n", 'status: "resolved"\n  id: e\n  attempts: 2\n')
+    assert set_evidence(raw, "f", {"attempts": 2, "verdict": "ok"}) == raw.replace("attempts: 1\n", 'attempts: 2\n  verdict: "ok"\n')
