@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, fill_middle, html_text, mixing, passages, quality, repeats, secrets, simhash, token_counts, toxicity
+from tessera.llm import chat, decontaminate, fill_middle, html_text, mixing, passages, quality, repeats, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_fuzzy_passages": passages.op8_fuzzy_passages,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op12_chat_formatting": chat.op12_chat_formatting,
     "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mix": mixing.OP6_SQL,
+    "op12_chat_formatting": chat.OP12_SQL,
     "op13_fill_in_middle": fill_middle.OP13_SQL,
 }
