@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, decontaminate, fill_middle, html_text, mixing, passages, quality, repeats, secrets, simhash, token_counts, toxicity
+from tessera.llm import chat, cobucket, decontaminate, fill_middle, html_text, mixing, passages, quality, repeats, secrets, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fuzzy_passages": passages.op8_fuzzy_passages,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_bucketed_pair": cobucket.op11_bucketed_pair,
     "op12_chat_formatting": chat.op12_chat_formatting,
     "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
