@@ -23,20 +23,40 @@ def hash_embed(text: Column, dimensions: int = 64) -> Column:
     return embed(text, lambda texts: [hash_vector(t, dimensions) for t in texts])
 
 
-def embed(text: Column, embedder: Callable[[Sequence[str]], list[list[float]]], batch: int = 256) -> Column:
-    """Vectors from any function of a list of texts; nulls and failures of a batch give null."""
-
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        out: list = [None] * len(s)
+def embedded(text: Column, embedder: Callable[[Sequence[str]], list[list[float]]], batch: int = 256) -> Column:
+    """``struct<vector, code>`` of any function of a list of texts; a null text has neither.
+
+    A batch that fails is tried text by text, so that one bad text costs no other its vector; a
+    text that fails alone, or gets no list of finite numbers, has the code ``embedding-failed:``
+    and the name of the error.
+    """
+
+    def one(texts: list[str]) -> list[list[float]]:
+        out = [[float(x) for x in v] for v in embedder(texts)]
+        if len(out) != len(texts) or not all(v and np.isfinite(v).all() for v in out):
+            raise ValueError("an embedder must give a vector of finite numbers for each text")
+        return out
+
+    @F.pandas_udf("vector array<float>, code string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        vectors, codes = [None] * len(s), [None] * len(s)
         there = [i for i, t in enumerate(s) if t is not None]
-        for k in range(0, len(there), batch):
-            part = there[k : k + batch]
+        todo = [there[k : k + batch] for k in range(0, len(there), batch)]
+        while todo:
+            part = todo.pop()
             try:
-                for i, v in zip(part, embedder([s.iloc[i] for i in part])):
-                    out[i] = v
-            except Exception:  # noqa: BLE001  a model's failure is data: the rows stay without a vector
-                continue
-        return pd.Series(out)
+                for i, v in zip(part, one([s.iloc[i] for i in part]), strict=True):
+                    vectors[i] = v
+            except Exception as e:  # noqa: BLE001  whatever a model raises, its rows say so
+                if len(part) > 1:
+                    todo += [[i] for i in part]
+                else:
+                    codes[part[0]] = f"embedding-failed:{type(e).__name__}"
+        return pd.DataFrame({"vector": vectors, "code": codes})
 
     return run(text)
+
+
+def embed(text: Column, embedder: Callable[[Sequence[str]], list[list[float]]], batch: int = 256) -> Column:
+    """The vectors of embedded(); null where there is none. Keep embedded() where the reason counts."""
+    return embedded(text, embedder, batch)["vector"]

@@ -1,8 +1,7 @@
 """The English (Porter2) stemmer and the full-text analyzer built on it.
 
 Stems are found once for each distinct word and joined back, so that Python sees the
-vocabulary and not the text. Of the algorithm's exceptions one invariant word is left out;
-index and query stem alike, so matching is not affected.
+vocabulary and not the text.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ _LI = "cdeghkmnrt"
 #: Words with stems of their own, fixed values of the published algorithm.
 _SPECIAL = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
-    "sky": "sky", "news": "news", "howe": "howe", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
 _KEPT = frozenset("inning outing canning herring earring proceed exceed succeed".split())
 #: Suffixes of steps 2, 3 and 4, fixed values of the published algorithm.
@@ -126,6 +125,17 @@ def analyze(text: str | None, stop: frozenset[str] | set[str] = frozenset()) ->
     return [stem(w) for t in _TOKEN.findall(text or "") if (w := fold_ascii(t.lower())) and w not in stop]
 
 
+def analyzed_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """The terms of each text, null for null: for questions, which are few; analyzed_postings() is for chunks."""
+    words = frozenset(stop)
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else analyze(t, words))
+
+    return run(text)
+
+
 def stemmed(words: DataFrame, stop: tuple[str, ...]) -> DataFrame:
     """``(word, term)`` of ``words(word)``: folded and stemmed, without those that fold to a stop word."""
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.durable import run_once
+
 
 def resolve_links(links: DataFrame, keys: DataFrame, strip_anchor: bool = True, normalize: Callable[[Column], Column] | None = None) -> DataFrame:
     """Targets of ``links(source, target, ...)`` by id, then slug, then alias of ``keys(tier, key, note_id)``.
@@ -45,28 +47,46 @@ def via_rank(via: Column) -> Column:
     return F.array_position(F.array(F.lit("typed"), F.lit("link"), F.lit("backlink")), via)
 
 
-def related(stored: DataFrame, seed: Column | str, depth: int = 1) -> DataFrame:
-    """Notes within ``depth`` steps of a seed, each as it is first found.
+def related_to_each(stored: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
+    """``(seed, note_id, distance, from_id, via)``: notes within ``depth`` steps of each of ``seeds(seed)``, as each is first found.
 
-    Breadth first: a level's frontier in order, each note's edges by target, kind and
-    predicate. The frontier is joined to the edges; the seed is at distance 0 and left out.
+    Breadth first, all seeds at once: a level's frontier in order, each note's edges by target,
+    kind and predicate. Each level is a checkpoint in the shared folder, so the next one starts
+    from stored rows, whatever the depth; a lost executor costs one level's task. The search
+    ends where no seed finds anything new. A seed is at distance 0 and left out.
     """
-    steps = neighbours(stored)
-    start = stored.sparkSession.range(1).select(F.lit(seed).alias("note_id"))
-    seen = start
-    frontier = start
-    out = None
+    start = seeds.select("seed", F.col("seed").alias("note_id")).where("seed is not null").distinct()
+    empty = start.where("false").select("seed", "note_id", F.lit(0).alias("distance"), F.col("note_id").alias("from_id"), F.lit("").alias("via"))
+    if depth < 1:
+        return empty
+    steps = neighbours(stored) if depth == 1 else run_once(neighbours(stored))
+    order = F.struct("from_id", via_rank(F.col("via")).alias("r"), F.coalesce("predicate", F.lit("")).alias("p"), "via")
+    levels: list[DataFrame] = []
+    seen = frontier = start
     for d in range(1, depth + 1):
-        reached = frontier.select(F.col("note_id").alias("from_id")).join(steps, F.col("from_id") == F.col("note_id")).drop("note_id")
-        fresh = reached.join(seen.select(F.col("note_id").alias("target")), "target", "left_anti")
-        order = F.struct("from_id", via_rank(F.col("via")).alias("r"), F.coalesce("predicate", F.lit("")).alias("p"), "via")
-        found = fresh.groupBy("target").agg(F.min(order).alias("o")).select(F.col("target").alias("note_id"), F.lit(d).alias("distance"), F.col("o.from_id").alias("from_id"), F.col("o.via").alias("via"))
-        out = found if out is None else out.unionByName(found)
+        reached = frontier.select("seed", F.col("note_id").alias("from_id")).join(steps, F.col("from_id") == F.col("note_id")).drop("note_id")
+        first = reached.groupBy("seed", "target").agg(F.min(order).alias("o"))  # before the anti-join: one row for each note reached
+        fresh = first.join(seen.select("seed", F.col("note_id").alias("target")), ["seed", "target"], "left_anti")
+        found = fresh.select("seed", F.col("target").alias("note_id"), F.lit(d).alias("distance"), F.col("o.from_id").alias("from_id"), F.col("o.via").alias("via"))
+        if d < depth:
+            found = run_once(found)
+            if found.isEmpty():
+                break
+        levels.append(found)
         frontier = found
-        seen = seen.unionByName(found.select("note_id"))
+        seen = seen.unionByName(found.select("seed", "note_id"))
+    out = levels[0] if levels else empty
+    for level in levels[1:]:
+        out = out.unionByName(level)
     return out
 
 
+def related(stored: DataFrame, seed: Column | str, depth: int = 1) -> DataFrame:
+    """related_to_each() of one seed, without its name."""
+    start = stored.sparkSession.range(1).select(F.lit(seed).alias("seed"))
+    return related_to_each(stored, start, depth).drop("seed")
+
+
 def orphan_notes(notes: DataFrame, stored: DataFrame) -> DataFrame:
     """Notes at neither end of any edge. Both ends become one column, so that the OR is one hash anti-join."""
     ends = stored.select(F.explode(F.array("source", "target")).alias("note_id"))

@@ -21,6 +21,11 @@ STOP_WORDS = (
 ).split()
 
 
+def keyed(df: DataFrame, *names: str) -> list[str]:
+    """The columns to group by: the names, and the question before them where the frame has many."""
+    return [*(["query_id"] if "query_id" in df.columns else []), *names]
+
+
 def check_k(k: int, most: int = 100) -> int:
     if not 1 <= k <= most:
         raise ValueError(f"k must be from 1 to {most}")
@@ -43,9 +48,17 @@ def rank_chunks(scored: DataFrame, k: int, ascending: bool) -> DataFrame:
 
     ``scored(note_id, chunk_id, relevance, ...)`` is first cut to the k best notes by a
     distributed top-k of each note's best; these k rows come to the driver and go into the
-    second pass as literals, so that only the few chunks that count are ordered.
+    second pass as literals, so that only the few chunks that count are ordered. With a
+    ``query_id`` each question has its own k notes, found and joined without the driver.
     """
     key = F.col("relevance") if ascending else -F.col("relevance")
+    if "query_id" in scored.columns:
+        top = Window.partitionBy("query_id").orderBy("best")
+        notes = scored.groupBy("query_id", "note_id").agg(F.min(F.struct(key.alias("key"), "chunk_id")).alias("best"))
+        notes = notes.withColumn("place", F.row_number().over(top)).where(F.col("place") <= check_k(k))
+        notes = notes.select("query_id", "note_id", F.max("best.key").over(Window.partitionBy("query_id")).alias("edge"))
+        kept = scored.join(notes, ["query_id", "note_id"]).where(key <= F.col("edge")).drop("edge")
+        return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(key, "chunk_id")))
     best = scored.groupBy("note_id").agg(F.min(F.struct(key.alias("key"), "chunk_id")).alias("best"))
     first = best.orderBy("best").limit(check_k(k)).collect()
     kept = scored.where(key <= max(r["best"]["key"] for r in first)) if first else scored.where("false")
@@ -118,8 +131,8 @@ def bm25(index: DataFrame, stats: DataFrame, query_terms: Sequence[str], k1: flo
 
 def fold(layers: DataFrame) -> DataFrame:
     """Chunks to notes: in each layer a note's best chunk, with dense ranks from 1."""
-    best = layers.groupBy("layer", "note_id").agg(F.min("rank").alias("raw_rank"), F.min_by("section_path", "rank").alias("section_path"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("layer").orderBy("raw_rank")))
+    best = layers.groupBy(*keyed(layers, "layer", "note_id")).agg(F.min("rank").alias("raw_rank"), F.min_by("section_path", "rank").alias("section_path"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(*keyed(layers, "layer")).orderBy("raw_rank")))
 
 
 def fuse(folded: DataFrame, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
@@ -128,24 +141,24 @@ def fuse(folded: DataFrame, k: int = 60, weights: dict[str, float] | None = None
     for layer, w in (weights or {}).items():
         weight = F.when(F.col("layer") == layer, F.lit(float(w))).otherwise(weight)
     parts = folded.withColumn("contribution", weight / (k + F.col("rank")))
-    fused = parts.groupBy("note_id").agg(
+    fused = parts.groupBy(*keyed(folded, "note_id")).agg(
         F.round(F.sum("contribution"), 12).alias("score"),
         F.sort_array(F.collect_list(F.struct("layer", "rank", "contribution"))).alias("contributions"),
         F.min_by("section_path", F.struct("rank", "layer")).alias("section_path"),
     )
-    return fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "note_id")))
+    return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*keyed(folded)).orderBy(F.desc("score"), "note_id")))
 
 
 def primary_channel(folded: DataFrame, order: Sequence[str] = ("fts", "vector"), k: int = 60) -> DataFrame:
     """The layer that gave a note most; of equal ones the earlier in ``order``."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("layer"))
-    return folded.groupBy("note_id").agg(F.max_by("layer", F.struct(1 / (k + F.col("rank")), -place)).alias("channel"))
+    return folded.groupBy(*keyed(folded, "note_id")).agg(F.max_by("layer", F.struct(1 / (k + F.col("rank")), -place)).alias("channel"))
 
 
 def best_sections(layers: DataFrame) -> DataFrame:
     """Each note's sections by their best rank in any layer, ties by path."""
-    best = layers.groupBy("note_id", "section_path").agg(F.min("rank").alias("best_rank"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("note_id").orderBy("best_rank", "section_path")))
+    best = layers.groupBy(*keyed(layers, "note_id", "section_path")).agg(F.min("rank").alias("best_rank"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(*keyed(layers, "note_id")).orderBy("best_rank", "section_path")))
 
 
 def run_mode(identity: str | None, layers: Sequence[str]) -> str:
@@ -183,13 +196,13 @@ def pack_context(sections: DataFrame, budget: int = 6000) -> DataFrame:
 
     ``sections(item_rank, section_rank, text, ...)`` are those of one answer, at most some hundred.
     """
-    order = Window.orderBy("item_rank", "section_rank").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keyed(sections)).orderBy("item_rank", "section_rank").rowsBetween(Window.unboundedPreceding, 0)
     counted = sections.withColumn("tokens", estimate_tokens(F.col("text")))
     return counted.withColumn("running", F.sum("tokens").over(order)).where(F.col("running") <= budget)
 
 
 def provenance(ranked: DataFrame, retrieval_id: str) -> DataFrame:
-    return ranked.select(F.lit(retrieval_id).alias("retrieval_id"), "rank", "note_id", "score")
+    return ranked.select(F.lit(retrieval_id).alias("retrieval_id"), *keyed(ranked, "rank", "note_id", "score"))
 
 
 def answer_prompt(question: str, context: DataFrame) -> DataFrame:

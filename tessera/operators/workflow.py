@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import backoff_delay
+from tessera.operators.durable import run_once
 
 #: Exit codes from most to least urgent, fixed values.
 EXIT_ORDER = (4, 2, 1, 7, 6, 5, 0)
@@ -108,8 +108,8 @@ def recover(jobs: DataFrame, cancelled: DataFrame) -> DataFrame:
 
 
 def with_last_error(jobs: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Each job with the error of its last attempt: the correlated lookup as one group and a left join. newest_first() orders them."""
-    last = attempts.groupBy("job_id").agg(F.max_by("error_code", "attempt_no").alias("last_error"))
+    """Each job with the error of the last attempt that had one: the correlated lookup as one group and a left join. job_order() orders them."""
+    last = attempts.where("error_code is not null").groupBy("job_id").agg(F.max_by("error_code", "attempt_no").alias("last_error"))
     return jobs.join(last, "job_id", "left")
 
 
@@ -118,6 +118,16 @@ def newest_first(at: str, id_: str) -> list[Column]:
     return [F.col(at).desc_nulls_last(), F.col(id_).asc()]
 
 
+def job_order() -> list[Column]:
+    """The order of the list of jobs: newest first, of equal ones the greater id."""
+    return [F.col("created_at").desc_nulls_last(), F.col("job_id").desc()]
+
+
+def evidence_order() -> list[Column]:
+    """The order of evidence in projections: by note, then oldest first, without a time before all, then by id."""
+    return [F.col("note_id").asc(), F.col("created_at").asc_nulls_first(), F.col("id").asc()]
+
+
 def rollup(outcomes: DataFrame) -> DataFrame:
     """Counts of a drain's outcomes and the exit code that stands for all."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, EXIT_ORDER)), F.col("exit_code").cast("int")), F.lit(0)), F.lit(99))
@@ -128,17 +138,6 @@ def rollup(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def _run_once(df: DataFrame) -> DataFrame:
-    """The rows as a checkpoint in the shared folder, so that what made them isn't run again."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="jobs-"))
-    return df.checkpoint()
-
-
 def run_all(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame]], now: Column) -> tuple[DataFrame, DataFrame]:
     """(the next jobs table, ``items(job_id, outcome, error_code, exit_code)``) of one drain of the queue.
 
@@ -160,7 +159,7 @@ def run_all(jobs: DataFrame, handlers: dict[str, Callable[[DataFrame], DataFrame
         F.when(missing, "transient").otherwise(F.col("error_class")).alias("error_class"),
         F.when(missing, "internal").otherwise(F.col("error_code")).alias("error_code"),
     )
-    answered = _run_once(answered)
+    answered = run_once(answered)
     settled = settle(answered.select(*jobs.columns), answered.select("job_id", F.col("attempts").alias("attempt"), "outcome", "error_class"), now)
     code = F.coalesce("error_code", F.lit("internal"))
     exit_code = F.when(F.col("state") != "failed", 0).when(code == "internal", 4).when(code.startswith("locked:"), 2).when(F.col("error_class") == "transient", 7).otherwise(1)

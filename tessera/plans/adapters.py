@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import config_key, content_hash, generation_id
+from tessera.operators.durable import shared_folder
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,8 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    return e.select((F.col("event_id") / 3).cast("long").alias("job_id"), (F.col("event_id") % 3).cast("long").alias("attempt_no"), F.concat(F.col("event_type"), F.lit("-error")).alias("error_code"))
+    error = F.when(F.col("event_id") % 5 > 1, F.concat(F.col("event_type"), F.lit("-error")))  # other attempts went well
+    return e.select((F.col("event_id") / 3).cast("long").alias("job_id"), (F.col("event_id") % 3).cast("long").alias("attempt_no"), error.alias("error_code"))
 
 
 def _marked_lines():
@@ -111,12 +112,7 @@ def index_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
     state = f"{java}:{files.getFileStatus(java).getModificationTime()}:{files.getContentSummary(java).getLength()}:{kind}"
     key = (spark.sparkContext.applicationId, state)
     if key not in _INDEXES:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="index-")
-        folder = f"{shared}/text-index-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
+        folder = f"{shared_folder(spark)}/text-index-{hashlib.sha256(repr(key).encode()).hexdigest()[:24]}"
         d = read(spark, sf_dir, "documents")
         chunks = d.select(F.col("doc_id").alias("note_id"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("section_path"), "text")
         index.write_index((index.analyzed_postings if kind == "analyzed" else index.plain_postings)(chunks), folder)

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import embedding, hashing, identity, stemmer, text
-from tessera.operators import changes, evaluation, graph, index, maintenance, retrieval, validation, workflow
+from tessera.operators import batch, cells, changes, evaluation, graph, index, maintenance, retrieval, segments, validation, workflow
+from tessera.operators.durable import shared_folder
+from tessera.operators.publication import Store
 from tessera.plans import adapters
 from tessera.plans.adapters import read
+from tessera.streaming import lifecycle
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -172,30 +176,76 @@ def retrieval_identity_tiers(spark, sf_dir) -> DataFrame:
     return found.select("query", F.col("tier").cast("long").alias("tier"), "note_id", "ambiguous")
 
 
-def _query_terms(df, id_, name):
-    terms = F.array_distinct(F.filter(retrieval.plain_terms(F.col("text")), lambda w: F.length(w) >= 9))
-    return df.select(F.col(id_).alias(name), F.explode(terms).alias("term"))
+# --- many questions at once ------------------------------------------------------------------
+
+_BATCH = f"""t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS terms FROM documents),
+    s AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM t),
+    bt AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_STOP}))) AS term FROM benchmark),
+    p AS (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM t),
+    f AS (SELECT doc_id, length, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM bt) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    score AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS relevance FROM bt JOIN f USING (term) JOIN df USING (term), s GROUP BY item_id, doc_id),
+    fts AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY relevance DESC, doc_id) AS rank FROM score QUALIFY rank <= 10),
+    vec AS (SELECT item_id, e.vec_id AS doc_id, row_number() OVER (PARTITION BY item_id ORDER BY list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), e.vec_id) AS rank
+        FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e QUALIFY rank <= 10),
+    layers AS (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM fts UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM vec),
+    sums AS (SELECT item_id, doc_id, sum(part) AS score FROM layers GROUP BY item_id, doc_id),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM sums QUALIFY rank <= 10)"""
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    """Every item of benchmark as a question: its terms, and the vector of its number."""
+    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", retrieval.plain_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return b.join(vectors, "query_id", "left")
+
+
+def _batch_fts(spark, sf_dir) -> DataFrame:
+    return batch.text_layer(spark.read.parquet(adapters.index_folder(spark, sf_dir, "plain")), _questions(spark, sf_dir))
+
+
+def _batch_vectors(spark, sf_dir) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), F.col("vec_id").alias("chunk_id"), F.lit("v").alias("section_path"), "embedding")
+    return batch.vector_layer(e, _questions(spark, sf_dir))
+
+
+def _asked(df, *columns) -> DataFrame:
+    return df.select(F.col("query_id").alias("item_id"), F.col("note_id").alias("doc_id"), *columns, F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {_BATCH} SELECT item_id, doc_id, rank::BIGINT AS rank FROM fts")
+def batch_fts_topk(spark, sf_dir) -> DataFrame:
+    return _asked(_batch_fts(spark, sf_dir))
+
+
+@query(f"WITH {_BATCH} SELECT item_id, doc_id, rank::BIGINT AS rank FROM vec")
+def batch_vector_topk(spark, sf_dir) -> DataFrame:
+    return _asked(_batch_vectors(spark, sf_dir))
+
+
+@query(f"WITH {_BATCH} SELECT item_id, doc_id, round(score, 9) AS score, rank::BIGINT AS rank FROM fused")
+def batch_hybrid_rrf(spark, sf_dir) -> DataFrame:
+    fused = batch.hybrid({"fts": _batch_fts(spark, sf_dir), "vector": _batch_vectors(spark, sf_dir)})
+    return _asked(fused, F.round("score", 9).alias("score"))
 
 
 @query(
-    """WITH bt AS (SELECT DISTINCT item_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM benchmark),
-    dt AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents),
-    r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank FROM bt JOIN dt USING (term) WHERE length(term) >= 9 GROUP BY item_id, doc_id QUALIFY rank <= 10),
-    x AS (SELECT DISTINCT doc_id % (SELECT count(*) FROM benchmark) AS item_id, doc_id FROM labels WHERE quality = 1),
+    f"""WITH {_BATCH},
+    bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM benchmark),
+    dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+    br AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS run FROM bw WHERE len(w) >= 8),
+    dr AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS run FROM dw WHERE len(w) >= 8),
+    x AS (SELECT DISTINCT item_id, doc_id FROM br JOIN dr USING (run)),
     w AS (SELECT item_id, count(*) AS labels FROM x GROUP BY item_id),
-    h AS (SELECT item_id, count(*) AS hits, min(rank) AS first FROM r JOIN x USING (item_id, doc_id) GROUP BY item_id)
+    h AS (SELECT item_id, count(*) AS hits, min(rank) AS first FROM fused JOIN x USING (item_id, doc_id) GROUP BY item_id)
     SELECT count(*)::BIGINT AS queries, round(avg(coalesce(hits / labels, 0)), 9) AS recall, round(avg(coalesce(1 / first, 0)), 9) AS mrr FROM benchmark LEFT JOIN w USING (item_id) LEFT JOIN h USING (item_id)"""
 )
 def eval_recall_mrr(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    items = read(spark, sf_dir, "benchmark")
-    shared = _query_terms(items, "item_id", "query_id").join(_query_terms(read(spark, sf_dir, "documents"), "doc_id", "note_id"), "term").groupBy("query_id", "note_id").agg(F.count("*").alias("n"))
-    top = Window.partitionBy("query_id").orderBy(F.desc("n"), "note_id")
-    retrieved = shared.withColumn("rank", F.row_number().over(top)).where("rank <= 10")
-    n = items.count()
-    expected = read(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("note_id")).distinct()
-    return evaluation.recall_and_mrr(items.select(F.col("item_id").alias("query_id")), retrieved, expected)
+    """Both layers fused, for every item of benchmark, against the documents that quote it."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    retrieved = batch.hybrid({"fts": _batch_fts(spark, sf_dir), "vector": _batch_vectors(spark, sf_dir)})
+    return evaluation.recall_and_mrr(items, retrieved, evaluation.quoted(items, docs))
 
 
 @query(
@@ -210,6 +260,88 @@ def citations_resolved(spark, sf_dir) -> DataFrame:
     return cited.join(adapters.notes(spark, sf_dir).select("note_id"), "note_id", "left_semi").select("conv_id", "turn", "note_id")
 
 
+_CELLS: dict[str, str] = {}
+
+
+@query(f"SELECT vec_id, row_number() OVER (ORDER BY d, vec_id)::BIGINT AS rank FROM (SELECT vec_id, {_DISTANCE} AS d FROM embeddings) ORDER BY d, vec_id LIMIT 10")
+def vector_topk_by_cells(spark, sf_dir) -> DataFrame:
+    """The same nearest vectors, from the cells that can hold them."""
+    e, q = _vectors(spark, sf_dir)
+    chunks = e.select(F.col("vec_id").alias("note_id"), F.col("vec_id").alias("chunk_id"), F.lit("v").alias("section_path"), "embedding")
+    folder = f"{shared_folder(spark)}/cells-{uuid4().hex}"
+    cells.write_cells(chunks, folder)
+    found = cells.nearest(spark, folder, q, 10).ranked
+    return found.where("rank <= 10").select(F.col("note_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, source, text FROM documents), n AS (SELECT e.vec_id, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.source = (SELECT min(source) FROM documents)),
+    """
+    + f"d AS (SELECT vec_id, {_DISTANCE} AS d FROM n) SELECT vec_id, row_number() OVER (ORDER BY d, vec_id)::BIGINT AS rank FROM d ORDER BY d, vec_id LIMIT 10"
+)
+def vector_topk_of_a_type(spark, sf_dir) -> DataFrame:
+    """The nearest of one type of notes: the type filters before the layer is ranked."""
+    e, q = _vectors(spark, sf_dir)
+    d = read(spark, sf_dir, "documents")
+    kind = d.agg(F.min("source")).first()[0]
+    typed = d.where(F.col("source") == kind).select(F.col("doc_id").alias("vec_id"))
+    chunks = e.join(typed, "vec_id", "left_semi").select(F.col("vec_id").alias("note_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    return retrieval.vector_layer(chunks, q, 10).where("rank <= 10").select(F.col("note_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
+def _edited(spark, sf_dir):
+    """documents as a first and a second state: some edited, some gone, some new."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    after = d.where("doc_id % 17 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("clown "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    chunk = lambda df: df.select(F.col("doc_id").alias("note_id"), F.col("doc_id").alias("chunk_id"), F.lit("").alias("section_path"), F.concat_ws("-", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("generation_id"), "text")
+    return chunk(d.where("doc_id % 13 <> 0")), chunk(after)
+
+
+@query(
+    "WITH "
+    + _FTS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'clown ' ELSE '' END || coalesce(text, '') AS text FROM documents WHERE doc_id % 17 <> 0))", 1)
+    + " SELECT doc_id, rank::BIGINT AS rank FROM fts"
+)
+def fts_topk_after_edits(spark, sf_dir) -> DataFrame:
+    """The ranking of edited documents from two segments and tombstones: nothing that stayed is indexed again."""
+    before, after = _edited(spark, sf_dir)
+    dead = before.join(after.select("generation_id"), "generation_id", "left_anti")
+    fresh = after.join(before.select("generation_id"), "generation_id", "left_anti").select(*before.columns)
+    postings = segments.live(segments.postings_of(before, False).unionByName(segments.postings_of(fresh, False)), dead)
+    ranked = segments.ranked(postings.where(F.col("term").isin("", *TERMS)), TERMS)
+    return ranked.where("rank <= 10").select(F.col("note_id").alias("doc_id"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def stored_index_topk(spark, sf_dir) -> DataFrame:
+    """The same through a store: two passes, a merge and the answer of the last version, all in a new folder."""
+    store = Store(spark, f"{shared_folder(spark)}/index-{uuid4().hex}")
+    for state in _edited(spark, sf_dir):
+        named = state.select(F.col("note_id").cast("string").alias("note_id"), F.col("chunk_id").cast("string").alias("chunk_id"), "section_path", "generation_id", "text")
+        wanted = named.select("note_id", F.concat("note_id", F.lit(".md")).alias("path"), F.col("generation_id").alias("content_hash"), "generation_id", "text", "section_path", "chunk_id")
+        segments.index_pass(store, wanted, lambda needed: needed.select("note_id", "chunk_id", "section_path", "generation_id", "text"), analyzed=False)
+    segments.merge(store, most=1)
+    _, postings = segments.served(store)
+    ranked = segments.ranked(postings.where(F.col("term").isin("", *TERMS)), TERMS)
+    return ranked.where("rank <= 10").select(F.col("note_id").cast("long").alias("doc_id"), F.round("relevance", 9).alias("relevance"))
+
+
+@query()
+def job_lifecycle(spark, sf_dir) -> DataFrame:
+    """events as the log of jobs, four events a job, followed as a stream into a new folder: each job's last state."""
+    folder = f"{shared_folder(spark)}/jobs-{uuid4().hex}"
+    kinds = F.element_at(F.array(*map(F.lit, ("queued", "claimed", "ended", "cancel"))), (F.col("event_id") % 4 + 1).cast("int"))
+    told = F.element_at(F.array(*map(F.lit, ("ok", "failed", "failed"))), (F.col("event_id") % 3 + 1).cast("int"))
+    log = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: the table may be one file
+    log = log.select(
+        F.floor(F.col("event_id") / 4).alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kinds.alias("kind"), F.lit(1).cast("long").alias("attempt"), told.alias("outcome"),
+        F.when(F.col("event_id") % 5 < 3, "transient").otherwise("permanent").alias("error_class"), (F.col("event_id") % 2 + 1).cast("long").alias("max_attempts"),
+    )
+    lifecycle.follow_jobs(spark, log, folder).awaitTermination()
+    changes = spark.read.parquet(f"{folder}/changes").where("kind <> 'due'")
+    return workflow.latest_by(changes, "job_id", ("seq",), "seq", "state", "attempts", "next_run_at")
+
+
 # --- identity and hashing ------------------------------------------------------------------
 
 
@@ -410,6 +542,21 @@ def graph_related_depth2(spark, sf_dir) -> DataFrame:
     return found.select("note_id", F.col("distance").cast("long").alias("distance"), "from_id")
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), s AS (SELECT a, b, 2 AS via FROM e UNION ALL SELECT b, a, 3 FROM e),
+    seeds AS (SELECT 's' || min(s_suppkey) AS seed FROM supplier GROUP BY s_nationkey),
+    r(seed, note_id, distance) AS (SELECT seed, seed, 0 FROM seeds UNION SELECT seed, s.b, distance + 1 FROM r JOIN s ON s.a = r.note_id WHERE distance < 4),
+    d AS (SELECT seed, note_id, min(distance) AS distance FROM r GROUP BY seed, note_id)
+    SELECT d.seed, d.note_id, d.distance::BIGINT AS distance, min(s.a) AS from_id, CASE WHEN min(s.via) = 2 THEN 'link' ELSE 'backlink' END AS via
+    FROM d JOIN s ON s.b = d.note_id JOIN d p ON p.seed = d.seed AND p.note_id = s.a AND p.distance = d.distance - 1 WHERE d.distance > 0 GROUP BY d.seed, d.note_id, d.distance"""
+)
+def graph_related_seeds_depth4(spark, sf_dir) -> DataFrame:
+    """Four steps from the first supplier of each nation."""
+    seeds = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("s"), F.min("s_suppkey")).alias("seed"))
+    found = graph.related_to_each(adapters.part_edges(spark, sf_dir), seeds, 4)
+    return found.select("seed", "note_id", F.col("distance").cast("long").alias("distance"), "from_id", "via")
+
+
 @query("WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem) SELECT a AS note_id, b AS target, 'link' AS via FROM e UNION ALL SELECT b, a, 'backlink' FROM e")
 def links_backlinks(spark, sf_dir) -> DataFrame:
     return graph.neighbours(adapters.part_edges(spark, sf_dir)).select("note_id", "target", "via")
@@ -443,7 +590,7 @@ def jobs_claim_order(spark, sf_dir) -> DataFrame:
     return first.select("job_id", F.row_number().over(Window.orderBy(F.col("next_run_at").asc_nulls_first(), "job_id")).cast("long").alias("place"))
 
 
-@query(f"WITH {_JOBS}, a AS (SELECT event_id // 3 AS job_id, arg_max(event_type || '-error', event_id % 3) AS last_error FROM events GROUP BY 1) SELECT job_id, state, last_error FROM j LEFT JOIN a USING (job_id)")
+@query(f"WITH {_JOBS}, a AS (SELECT event_id // 3 AS job_id, arg_max(event_type || '-error', event_id % 3) AS last_error FROM events WHERE event_id % 5 > 1 GROUP BY 1) SELECT job_id, state, last_error FROM j LEFT JOIN a USING (job_id)")
 def jobs_list_last_error(spark, sf_dir) -> DataFrame:
     return workflow.with_last_error(adapters.jobs(spark, sf_dir), adapters.attempts(spark, sf_dir)).select("job_id", "state", "last_error")
 
@@ -491,6 +638,14 @@ def run_report_pivot(spark, sf_dir) -> DataFrame:
     return workflow.run_report(e, ("click", "purchase", "view")).withColumnRenamed("run_id", "user_id")
 
 
+@query("""WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS a FROM documents), b AS (SELECT doc_id, a || sha256(unhex(a)) AS h FROM h)
+    SELECT doc_id, array_to_string(list_transform(range(64), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT), ',') AS bytes FROM b""")
+def hash_embed_bytes(spark, sf_dir) -> DataFrame:
+    """The vectors of the default embedder, as the bytes that they are made of."""
+    d = read(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.coalesce("text", F.lit(""))).alias("v"))
+    return d.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(x * 127.5 + 127.5).cast("int").cast("string")), ",").alias("bytes"))
+
+
 _EVIDENCE = "e AS (SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'resolved' WHEN quality = 1 THEN 'pending' END AS status FROM labels)"
 
 
@@ -765,13 +920,13 @@ def destination_paths(spark, sf_dir) -> DataFrame:
 # --- operators over single values, orders and fences ---------------------------------------------
 
 
-@query(f"WITH {_JOBS} SELECT job_id, state, row_number() OVER (ORDER BY created_at DESC, job_id)::BIGINT AS place FROM j WHERE workflow = 'click' QUALIFY place > 20 AND place <= 70")
+@query(f"WITH {_JOBS} SELECT job_id, state, row_number() OVER (ORDER BY created_at DESC, job_id DESC)::BIGINT AS place FROM j WHERE workflow = 'click' QUALIFY place > 20 AND place <= 70")
 def jobs_page(spark, sf_dir) -> DataFrame:
     """The second page of one workflow's jobs, newest first."""
     from pyspark.sql import Window
 
     jobs = workflow.matching(adapters.jobs(spark, sf_dir), workflow="click", state=None)
-    order = workflow.newest_first("created_at", "job_id")
+    order = workflow.job_order()
     rows, _ = workflow.page(jobs, order, 50, 20)
     return rows.select("job_id", "state", (F.row_number().over(Window.orderBy(*order)) + 20).cast("long").alias("place"))
 
@@ -1028,3 +1183,31 @@ def sources_page(spark, sf_dir) -> DataFrame:
 def shown_sources(spark, sf_dir) -> DataFrame:
     named = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("src_"), F.substring(F.sha2("url", 256), 1, 16))).otherwise(F.concat(F.lit("none-"), F.col("page_id").cast("string")))
     return changes.shown_sources(_sources(spark, sf_dir), read(spark, sf_dir, "pages").select(named.alias("handle"))).select("handle", "found", "id", "kind", "locator", "added_at")
+
+
+_EVIDENCE = "e AS (SELECT doc_id AS id, 'doc-' || (doc_id % 97) AS note_id, nullif(doc_id * 7 % 11, 3) AS created_at FROM labels)"
+
+
+def _evidence_rows(spark, sf_dir) -> DataFrame:
+    created = F.nullif(F.col("doc_id") * 7 % 11, F.lit(3).cast("long"))
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id") % 97).alias("note_id"), created.alias("created_at"))
+
+
+def _placed(df, order, limit, offset) -> DataFrame:
+    """A page of rows with their places in the whole order."""
+    from pyspark.sql import Window
+
+    rows, _ = workflow.page(df, order, limit, offset)
+    return rows.withColumn("place", (F.row_number().over(Window.orderBy(*order)) + offset).cast("long"))
+
+
+@query(f"WITH {_EVIDENCE} SELECT id, note_id, created_at, row_number() OVER (ORDER BY note_id, created_at NULLS FIRST, id)::BIGINT AS place FROM e QUALIFY place > 25 AND place <= 425")
+def evidence_in_order(spark, sf_dir) -> DataFrame:
+    """A page of evidence as projections list it."""
+    return _placed(_evidence_rows(spark, sf_dir), workflow.evidence_order(), 400, 25)
+
+
+@query(f"WITH {_EVIDENCE} SELECT id, note_id, created_at, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id)::BIGINT AS place FROM e QUALIFY place <= 500")
+def evidence_review_page(spark, sf_dir) -> DataFrame:
+    """The first page of evidence as it is reviewed, newest first."""
+    return _placed(_evidence_rows(spark, sf_dir), workflow.newest_first("created_at", "id"), 500, 0)

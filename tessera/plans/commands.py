@@ -16,8 +16,9 @@ from tessera.functions.embedding import embed, hash_vector
 from tessera.functions.hashing import chunk_id, config_key, generation_id
 from tessera.functions.identity import identity_key, normalize_identity_key
 from tessera.functions.patch import patched
-from tessera.functions.stemmer import analyze
-from tessera.operators import changes, graph, index, maintenance, retrieval, validation, workflow
+from tessera.functions.stemmer import analyze, analyzed_terms
+from tessera.operators import batch, changes, evaluation, graph, index, maintenance, retrieval, segments, validation, workflow
+from tessera.operators.publication import Snapshot, Store
 from tessera.sources import normalize, revision
 from tessera.sources import vault as v
 
@@ -115,12 +116,14 @@ def expected_generations(notes: DataFrame, model: str = "hash-embed", dimensions
     return notes.select("note_id", "content_hash", generation_id(F.col("note_id"), F.col("content_hash"), *parts).alias("generation_id"), config_key(*parts).alias("config_key"))
 
 
-def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, k: int = 10, kind: str | None = None, dimensions: int = 64, active: DataFrame | None = None, full_text: bool = True) -> DataFrame:
+def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, k: int = 10, kind: str | None = None, dimensions: int = 64, active: DataFrame | None = None, full_text: bool = True, postings: DataFrame | None = None) -> DataFrame:
     """Ranked notes ``(rank, note_id, score, channel, section_path, mode)`` for a question.
 
     A question that names one note by id, slug or alias gets that note and is not embedded;
     one that names several is an error. A type filters before ranking. Only chunks of ``active``
     generations are served, all if None; without full text, or where it fails, vectors answer alone.
+    ``postings`` are those of a stored index, of which the question's terms are read; without
+    them the chunks are indexed for this question alone, which suits a few notes.
     """
     retrieval.check_k(k)
     spark = chunks.sparkSession
@@ -136,9 +139,12 @@ def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[
     vector = (embedder or (lambda texts: [hash_vector(t, dimensions) for t in texts]))([question])[0]
 
     def text_layer(served: DataFrame, k: int) -> DataFrame:
-        postings = index.analyzed_postings(served.select("note_id", "chunk_id", "section_path", "text"))
-        stats = postings.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-        return retrieval.rank_chunks(retrieval.bm25(postings, stats, analyze(question, frozenset(retrieval.STOP_WORDS))), k, False)
+        terms = analyze(question, frozenset(retrieval.STOP_WORDS))
+        if postings is None:
+            return segments.ranked(index.analyzed_postings(served.select("note_id", "chunk_id", "section_path", "text")), terms, k)
+        hits = postings.where(F.col("term").isin("", *terms))
+        narrowed = kind is not None or active is not None
+        return segments.ranked(hits.join(served.select("chunk_id"), "chunk_id", "left_semi") if narrowed else hits, terms, k)
 
     found = retrieval.search_layers(chunks, active, vector, text_layer if full_text else None, k)
     columns = ("note_id", "section_path", "rank")
@@ -151,6 +157,35 @@ def retrieve(vault: Vault, chunks: DataFrame, question: str, embedder: Callable[
     return fused.join(retrieval.primary_channel(folded), "note_id").select("rank", "note_id", "score", "channel", "section_path", mode.alias("mode"))
 
 
+def index_vault(store: Store, notes: DataFrame, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, facts: dict[str, str] | None = None, **config) -> tuple[Snapshot, DataFrame]:
+    """(the version, its tally) of a pass that brings a stored index to ``notes``: only what differs is chunked and embedded.
+
+    Chunks, postings, activation and retirement become visible in one version; where another
+    writer was first the pass is made again on what it left.
+    """
+    wanted = notes.join(expected_generations(notes, **config).select("note_id", "generation_id"), "note_id")
+    return segments.index_pass(store, wanted, lambda needed: build_index(needed.drop("generation_id"), embedder, **config), facts=facts)
+
+
+def ask(store: Store, vault: Vault, question: str, **options) -> DataFrame:
+    """retrieve() over a stored index as of its latest version."""
+    chunks, postings = segments.served(store)
+    return retrieve(vault, chunks, question, postings=postings, **options)
+
+
+def ask_many(store: Store, questions: DataFrame, embedder: Callable[[Sequence[str]], list[list[float]]] | None = None, k: int = 10, dimensions: int = 64) -> DataFrame:
+    """The fused ranking ``(query_id, note_id, rank, score, ...)`` of ``questions(query_id, text)`` over a stored index, in a few passes for all."""
+    chunks, postings = segments.served(store)
+    asked = questions.select("query_id", analyzed_terms(F.col("text"), tuple(retrieval.STOP_WORDS)).alias("terms"), embed(F.col("text"), embedder or (lambda texts: [hash_vector(t, dimensions) for t in texts])).alias("vector"))
+    return batch.hybrid({"fts": batch.text_layer(postings, asked, k), "vector": batch.vector_layer(chunks, asked, k)}, k)
+
+
+def evaluate(store: Store, questions: DataFrame, labels: DataFrame, k: int = 10, least_recall: float = 0.85, least_mrr: float = 0.7, **options) -> DataFrame:
+    """Recall and MRR of both layers for ``questions(query_id, text)`` against ``labels(query_id, note_id)``, and whether they pass."""
+    metrics = evaluation.recall_and_mrr(questions, ask_many(store, questions, k=k, **options), labels, k)
+    return evaluation.passes(metrics, least_recall, least_mrr)
+
+
 def sync(stored: DataFrame, vault: Vault, dry_run: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(changes, the next notes table or None): edited, new and moved notes replaced, dropped ones removed."""
     fresh = vault.notes.select("note_id", "path", "content_hash")

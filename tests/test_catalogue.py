@@ -58,3 +58,26 @@ def test_scans_are_pruned_and_pushed_down(spark):
     assert "ReadSchema: struct<o_custkey:bigint>" in plan and "NestedLoop" not in plan
     plan = catalogue.QUERIES["evidence_attention"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,quality:int>" in plan
+
+
+def test_the_stored_index_answers_as_the_segments_do(spark):
+    stored = catalogue.QUERIES["stored_index_topk"](spark, SF).collect()
+    fresh = catalogue.QUERIES["fts_topk_after_edits"](spark, SF).collect()
+    assert stored and {r["doc_id"] for r in stored} == {r["doc_id"] for r in fresh}
+
+
+def test_the_lifecycle_of_all_events_by_brute_force(spark):
+    from tessera.streaming import lifecycle
+
+    states = {}
+
+    class Event:
+        pass
+
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: r["event_id"]):
+        e, i = Event(), r["event_id"]
+        e.seq, e.at, e.attempt, e.max_attempts = i, r["ts"], 1, i % 2 + 1
+        e.kind, e.outcome, e.error_class = ("queued", "claimed", "ended", "cancel")[i % 4], ("ok", "failed", "failed")[i % 3], "transient" if i % 5 < 3 else "permanent"
+        states[i // 4] = lifecycle.step(i // 4, states.get(i // 4), e)
+    got = {r["job_id"]: (r["state"], r["attempts"]) for r in catalogue.QUERIES["job_lifecycle"](spark, SF).collect()}
+    assert got == {j: s[:2] for j, s in states.items() if s is not None} and len(got) > 100
