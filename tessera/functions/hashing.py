@@ -45,6 +45,45 @@ def canonical_json(s: pd.Series) -> pd.Series:
     return s.map(lambda x: canonical_serialize(json.loads(x)), na_action="ignore")
 
 
+#: Texts whose canonical form the JVM writes itself: no exponents, no long numbers, no tiny fractions, nothing that NFC could change.
+_BEYOND = r"[0-9][eE]|[0-9.]{16,}|0\.000000|[\u0300-\x{10FFFF}]|\\u"
+
+
+def _once(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is given twice")
+    return out
+
+
+def _or_null(text: str) -> str | None:
+    try:
+        return canonical_serialize(json.loads(text, object_pairs_hook=_once))
+    except (ValueError, RecursionError):
+        return None
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form of any JSON text, null for what has none: broken JSON, a key given twice, numbers out of range.
+
+    A variant keeps an object's keys in the order of their UTF-16 units, so writing it out again
+    is the canonical form, at any depth and without leaving the JVM. Only texts with numbers or
+    characters that the two write differently go to Python.
+    """
+
+    @F.pandas_udf(StringType())
+    def elsewhere(s: pd.Series) -> pd.Series:
+        return s.map(_or_null, na_action="ignore")
+
+    odd = text.rlike(_BEYOND)
+    return F.coalesce(elsewhere(F.when(odd, text)), F.to_json(F.try_parse_json(F.when(~odd, text))))
+
+
+def canonical_value(value: Column) -> Column:
+    """The canonical form of a struct, array or map column, nested as it may be."""
+    return canonical(F.to_json(F.to_variant_object(value)))
+
+
 def digest_of(**fields: Column) -> Column:
     """SHA-256 of the canonical JSON of an object of these fields, which must be NFC."""
     return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256)

@@ -12,8 +12,9 @@ from tessera.functions import embedding, hashing, identity, stemmer, text
 from tessera.operators import batch, cells, changes, evaluation, graph, index, maintenance, retrieval, segments, validation, workflow
 from tessera.operators.durable import shared_folder
 from tessera.operators.publication import Store
-from tessera.plans import adapters
+from tessera.plans import adapters, commands
 from tessera.plans.adapters import read
+from tessera.sources import vault
 from tessera.streaming import lifecycle
 
 QUERIES: dict[str, Callable] = {}
@@ -1211,3 +1212,174 @@ def evidence_in_order(spark, sf_dir) -> DataFrame:
 def evidence_review_page(spark, sf_dir) -> DataFrame:
     """The first page of evidence as it is reviewed, newest first."""
     return _placed(_evidence_rows(spark, sf_dir), workflow.newest_first("created_at", "id"), 500, 0)
+
+
+# --- notes made of documents, and what is read from them ---------------------------------------------
+
+#: A note file of each document: every ninth without frontmatter, every seventh of another version.
+_RAW = "CASE WHEN doc_id % 9 = 0 THEN '' ELSE '---' || chr(10) || 'id: doc-' || doc_id || chr(10) || 'type: ' || source || chr(10) || 'schema_version: ' || CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END || chr(10) || 'title: Note ' || doc_id || chr(10) || 'created: 2026-01-01' || chr(10) || 'updated: 2026-02-03' || chr(10) || 'aliases: [' || lang || '-' || doc_id || ']' || chr(10) || CASE WHEN doc_id % 4 = 0 THEN 'evidence: [{id: e' || doc_id || ', status: failed, attempts: 2}]' || chr(10) ELSE '' END || '---' || chr(10) END || text || chr(10) || '[[doc-' || (doc_id + 1) || '|next]] [[nowhere]]'"
+_NOTE_FILES = f"f AS (SELECT doc_id, source, lang, text, {_RAW} AS raw, CASE WHEN doc_id % 9 = 0 THEN 'missing-frontmatter' WHEN doc_id % 7 = 0 THEN 'unsupported-schema-version' END AS error FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, 'xx') AS lang, coalesce(source, 'none') AS source FROM documents) WHERE NOT starts_with(text, '---'))"
+
+
+def _note_files(spark, sf_dir) -> DataFrame:
+    """documents as files of a vault; one whose text begins like frontmatter is left to itself."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source")).where("not startswith(text, '---')")
+    i = F.col("doc_id").cast("string")
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("\n"))
+    head = F.concat(
+        line("---"), line("id: doc-", i), line("type: ", F.col("source")), line("schema_version: ", F.when(F.col("doc_id") % 7 == 0, "2").otherwise("1")), line("title: Note ", i), line("created: 2026-01-01"), line("updated: 2026-02-03"),
+        line("aliases: [", F.col("lang"), "-", i, "]"), F.when(F.col("doc_id") % 4 == 0, line("evidence: [{id: e", i, ", status: failed, attempts: 2}]")).otherwise(""), line("---"),
+    )
+    raw = F.concat(F.when(F.col("doc_id") % 9 == 0, "").otherwise(head), "text", F.lit("\n[[doc-"), (F.col("doc_id") + 1).cast("string"), F.lit("|next]] [[nowhere]]"))
+    return d.select(F.concat("source", F.lit("/"), i, F.lit(".md")).alias("path"), raw.cast("binary").alias("content"), F.length(raw.cast("binary")).cast("long").alias("length"))
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    return vault.parse_notes(_note_files(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_NOTE_FILES} SELECT source || '/' || doc_id || '.md' AS path, error AS error_kind, CASE WHEN error IS NULL THEN 'doc-' || doc_id END AS note_id, CASE WHEN error IS NULL THEN source END AS type, CASE WHEN error IS NULL THEN 'Note ' || doc_id END AS title,
+    CASE WHEN error IS NULL THEN lang || '-' || doc_id END AS aliases, CASE WHEN error IS NULL THEN '2026-02-03' END AS updated, CASE WHEN error IS NULL THEN 'sha256:' || sha256(raw) END AS content_hash, sha256(raw) AS raw_sha256 FROM f"""
+)
+def parsed_notes(spark, sf_dir) -> DataFrame:
+    """Every file as a note or as an error."""
+    p = _parsed(spark, sf_dir)
+    return p.select("path", "error_kind", "note_id", "type", "title", F.when(F.col("error_kind").isNull(), F.array_join("aliases", ",")).alias("aliases"), "updated", "content_hash", F.sha2("raw", 256).alias("raw_sha256"))
+
+
+@query(f"WITH {_NOTE_FILES} SELECT coalesce(error, 'note') AS kind, count(*)::BIGINT AS files, count(DISTINCT source)::BIGINT AS types, sum(strlen(raw))::BIGINT AS bytes FROM f GROUP BY 1")
+def vault_tally(spark, sf_dir) -> DataFrame:
+    """Notes and errors of a vault, by kind."""
+    sizes = _note_files(spark, sf_dir).select("path", "length")
+    kinds = _parsed(spark, sf_dir).select("path", F.coalesce("error_kind", F.lit("note")).alias("kind"))
+    return kinds.join(sizes, "path").groupBy("kind").agg(F.count("*").alias("files"), F.countDistinct(F.substring_index("path", "/", 1)).alias("types"), F.sum("length").alias("bytes"))
+
+
+@query(f"WITH {_NOTE_FILES} SELECT 'e' || doc_id AS id, 'doc-' || doc_id AS note_id, 'sha256:' || sha256(raw) AS source_note_hash, 'failed' AS status, 2::BIGINT AS attempts FROM f WHERE error IS NULL AND doc_id % 4 = 0")
+def folded_evidence(spark, sf_dir) -> DataFrame:
+    """Evidence in the frontmatter of notes, with the hash of the note that it was read from."""
+    e = workflow.fold_evidence(vault.snapshot(_parsed(spark, sf_dir))[0])
+    return e.select("id", "note_id", "source_note_hash", "status", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query(
+    f"""WITH {_NOTE_FILES}, n AS (SELECT doc_id, 'doc-' || doc_id AS note_id FROM f WHERE error IS NULL),
+    l AS (SELECT n.note_id AS source, 'doc-' || (n.doc_id + 1) AS target FROM n JOIN n t ON t.doc_id = n.doc_id + 1)
+    SELECT 'notes' AS "table", note_id AS k FROM n UNION ALL SELECT 'note_links', source || '>' || target FROM l UNION ALL SELECT 'note_identity_keys', 'doc-' || doc_id FROM n UNION ALL SELECT 'vault_schema_migrations', '1' FROM (SELECT count(*) AS c FROM n) WHERE c > 0"""
+)
+def rebuilt_projection(spark, sf_dir) -> DataFrame:
+    """The tables of a whole rebuild that leaves out what it can't read and links that lead nowhere."""
+    tables = commands.rebuild_projection(_parsed(spark, sf_dir), drop_colliders=True)
+    one = lambda name, key: tables[name].select(F.lit(name).alias("table"), key.alias("k"))
+    links = tables["note_links"].where(F.col("target").startswith("doc-"))
+    ids = tables["note_identity_keys"].where("tier = 0").select(F.lit("note_identity_keys").alias("table"), F.col("key").alias("k"))
+    out = one("notes", F.col("note_id")).unionByName(links.select(F.lit("note_links").alias("table"), F.concat_ws(">", "source", "target").alias("k")))
+    return out.unionByName(ids).unionByName(one("vault_schema_migrations", F.col("schema_version").cast("string")))
+
+
+@query(
+    f"WITH {_NOTE_FILES} SELECT source || '/' || doc_id || '.md' AS note_id, 1::BIGINT AS findings FROM f WHERE error IS NOT NULL"
+)
+def vault_findings(spark, sf_dir) -> DataFrame:
+    """How often validation names each file that is no note."""
+    found = commands.validate(commands.derive(_parsed(spark, sf_dir)))
+    return found.where("code in ('missing-frontmatter', 'unsupported-schema-version', 'duplicate-id')").groupBy(F.col("subject").alias("note_id")).agg(F.count("*").alias("findings"))
+
+
+@query(
+    f"""WITH {_NOTE_FILES}, n AS (SELECT 'doc-' || doc_id AS note_id, source || '/' || doc_id || '.md' AS path, 'sha256:' || sha256(raw) AS content_hash FROM f WHERE error IS NULL) SELECT note_id, path, content_hash FROM n"""
+)
+def synced_notes(spark, sf_dir) -> DataFrame:
+    """The notes table after a sync from an older state: some were edited, some moved, some are new or gone."""
+    v = commands.derive(_parsed(spark, sf_dir))
+    d = read(spark, sf_dir, "documents")
+    old = v.notes.select("note_id", "path", "content_hash").join(d.select(F.concat(F.lit("doc-"), "doc_id").alias("note_id"), "doc_id"), "note_id")
+    old = old.where("doc_id % 5 <> 1").select("note_id", F.when(F.col("doc_id") % 5 == 2, F.concat(F.lit("old/"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("doc_id") % 5 == 3, "sha256:old").otherwise(F.col("content_hash")).alias("content_hash"))
+    gone = d.where("doc_id % 7 = 0").select(F.concat(F.lit("gone-"), "doc_id").alias("note_id"), F.lit("x.md").alias("path"), F.lit("sha256:x").alias("content_hash"))
+    return commands.sync(old.unionByName(gone), v)[1]
+
+
+@query(
+    """WITH c AS (SELECT click_id, props, CASE WHEN json_valid(props) THEN props END AS p FROM clicks),
+    t AS (SELECT click_id, CASE WHEN p IS NOT NULL THEN '{' || concat_ws(',', '"device":' || json_extract(p, '$.device')::VARCHAR,
+        CASE WHEN json_extract(p, '$.items') IS NOT NULL THEN '"items":[' || array_to_string(list_transform(json_extract(p, '$.items[*]'), lambda x: '{"qty":' || json_extract(x, '$.qty')::VARCHAR || ',"sku":' || json_extract(x, '$.sku')::VARCHAR || '}'), ',') || ']' END,
+        '"k":' || json_extract(p, '$.k')::VARCHAR, '"tags":' || json_extract(p, '$.tags')::VARCHAR) || '}' END AS canonical FROM c)
+    SELECT click_id, canonical IS NOT NULL AS has_form, sha256(canonical) AS payload_sha256 FROM t"""
+)
+def payload_hashes(spark, sf_dir) -> DataFrame:
+    """Digests of the canonical form of every click's payload; a broken one has none."""
+    form = hashing.canonical(F.col("props"))
+    return read(spark, sf_dir, "clicks").select("click_id", form.isNotNull().alias("has_form"), hashing.payload_hash(form).alias("payload_sha256"))
+
+
+@query("SELECT DISTINCT lang, source, sha256('{\"chunkerVersion\":1,\"embeddingDimensions\":64,\"embeddingModel\":\"' || lang || '/' || source || '\"}') AS config_key FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def config_keys(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").where("lang is not null and source is not null").select("lang", "source").distinct()
+    return d.select("lang", "source", hashing.config_key(F.concat_ws("/", "lang", "source"), F.lit(64), F.lit(1)).alias("config_key"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(' ' || chr(9) || chr(160) || text || chr(10), '^[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')) AS value_hash FROM documents")
+def frontmatter_value_hashes(spark, sf_dir) -> DataFrame:
+    value = F.concat(F.lit(" \t\u00a0"), "text", F.lit("\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", hashing.frontmatter_value_hash(value).alias("value_hash"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(chr(10) || '  ' || chr(10) || text || chr(10) || ' ' || chr(10), '^([ \\t\\x0B\\f\\r\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]*\\n)+', ''), '(\\n[ \\t\\x0B\\f\\r\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]*)+$|^\\s+$', '')) AS body_sha256 FROM documents")
+def normalized_bodies(spark, sf_dir) -> DataFrame:
+    from tessera.functions.text import normalize_body
+
+    body = F.concat(F.lit("\n  \n"), "text", F.lit("\n \n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize_body(body), 256).alias("body_sha256"))
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, CASE WHEN l_partkey % 3 = 0 THEN 'supplies' END AS predicate FROM lineitem),
+    a AS (SELECT ps.s AS source, ps.p AS target, CASE WHEN ps.p % 2 = 0 THEN 'supplies' END AS predicate, CASE WHEN ps.p % 5 = 0 THEN 'other' END AS alias, ps.p % 7 = 0 AS remove FROM (SELECT s_suppkey AS s, p_partkey AS p FROM part JOIN supplier ON s_suppkey % 25 = p_partkey % 25) ps)
+    SELECT a.source, a.target, a.predicate, CASE WHEN a.remove THEN CASE WHEN e.source IS NOT NULL THEN 'removed' ELSE 'noop' END WHEN e.source IS NULL THEN CASE WHEN a.predicate IS NULL THEN 'added' ELSE 'related' END
+        WHEN a.alias IS NULL THEN 'noop' ELSE 'updated' END AS change FROM a LEFT JOIN e ON e.source = a.source AND e.target = a.target AND e.predicate IS NOT DISTINCT FROM a.predicate"""
+)
+def link_requests(spark, sf_dir) -> DataFrame:
+    """What each request to link a part and a supplier would change."""
+    p, s, x = (read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    stored = x.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.when(F.col("l_partkey") % 3 == 0, "supplies").alias("predicate"), F.lit(None).cast("string").alias("alias")).distinct()
+    asked = p.join(s, F.col("s_suppkey") % 25 == F.col("p_partkey") % 25).select(
+        F.col("s_suppkey").alias("source"), F.col("p_partkey").alias("target"), F.when(F.col("p_partkey") % 2 == 0, "supplies").alias("predicate"), F.when(F.col("p_partkey") % 5 == 0, "other").alias("alias"), (F.col("p_partkey") % 7 == 0).alias("remove")
+    )
+    return graph.classify_link(stored, asked)
+
+
+@query(f"WITH {_JOBS}, q AS (SELECT workflow, job_id % 50 AS k FROM j WHERE job_id % 4 = 0), f AS (SELECT workflow, job_id % 70 AS k, min(job_id) AS job_id FROM j WHERE job_id % 4 <> 0 GROUP BY ALL) SELECT workflow, k::VARCHAR AS idempotency_key, job_id FROM f WHERE (workflow, k) NOT IN (SELECT workflow, k FROM q)")
+def enqueued_jobs(spark, sf_dir) -> DataFrame:
+    """Jobs to append to a queue that has some of their keys already."""
+    j = adapters.jobs(spark, sf_dir)
+    queued = j.where("job_id % 4 = 0").select("workflow", (F.col("job_id") % 50).cast("string").alias("idempotency_key"))
+    fresh = j.where("job_id % 4 <> 0").select("workflow", (F.col("job_id") % 70).cast("string").alias("idempotency_key"), "job_id")
+    return workflow.enqueue(queued, fresh)
+
+
+@query("SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def missing_chunks(spark, sf_dir) -> DataFrame:
+    expected = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return maintenance.missing_chunks(expected, read(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")))
+
+
+@query(
+    f"""WITH {_LAYERS}, r AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s FROM layers GROUP BY doc_id) SELECT 'r-1' AS retrieval_id, row_number() OVER (ORDER BY round(s, 12) DESC, doc_id)::BIGINT AS rank, doc_id AS note_id, round(s, 9) AS score FROM r"""
+)
+def retrieval_provenance(spark, sf_dir) -> DataFrame:
+    """The record of one retrieval: each note that it gave, in order."""
+    fused = retrieval.fuse(retrieval.fold(_layers(spark, sf_dir)))
+    return retrieval.provenance(fused, "r-1").select("retrieval_id", F.col("rank").cast("long").alias("rank"), "note_id", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"""WITH {_FTS}, b AS (SELECT rank, '[[' || doc_id || ']]' || chr(10) || coalesce(text, '') AS t FROM fts JOIN documents USING (doc_id))
+    SELECT sha256('Answer from the context alone and cite notes as [[id]].' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: who?') AS prompt_sha256 FROM b"""
+)
+def answer_prompts(spark, sf_dir) -> DataFrame:
+    """The prompt over the whole texts of the best notes."""
+    ranked = retrieval.rank_chunks(_scored_documents(spark, sf_dir), 10, False).where("rank <= 10").select(F.col("note_id").alias("doc_id"), F.col("rank").alias("item_rank"))
+    context = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ranked), "doc_id")  # ten rows
+    prompt = retrieval.answer_prompt("who?", context.select(F.col("doc_id").cast("string").alias("note_id"), "item_rank", F.lit(1).alias("section_rank"), "text"))
+    return prompt.select(F.sha2("prompt", 256).alias("prompt_sha256"))

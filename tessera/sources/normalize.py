@@ -61,6 +61,14 @@ def signature_matches(form: str, data: bytes) -> bool:
     return b"\0" not in body[:8192]
 
 
+#: Elements that an end tag, or the start of a block, does not look beyond; fixed values of the HTML standard.
+_SCOPE = frozenset("applet caption html table td th marquee object template".split())
+_BUTTON_SCOPE = _SCOPE | {"button"}
+_TABLE_SCOPE = frozenset(("html", "table", "template"))
+_TABLE_PARTS = frozenset("table caption colgroup thead tbody tfoot tr td th".split())
+_FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+
+
 class _Charset(HTMLParser):
     """The first charset that a meta element outside raw text declares."""
 
@@ -150,10 +158,8 @@ class _HtmlText(HTMLParser):
         if tag in ("html", "body", "head") and tag in self.open:
             return
         self._body(tag)
-        if tag in _CLOSES_P and "p" in self.open[-6:]:
-            while self.open[-1] != "p":
-                self._pop()
-            self._pop()
+        if tag in _CLOSES_P:
+            self._end(self._within("p", _BUTTON_SCOPE))
         if tag in _ENDS:
             ends, stops = (x.split() for x in _ENDS[tag])
             for k in range(len(self.open) - 1, -1, -1):
@@ -177,11 +183,32 @@ class _HtmlText(HTMLParser):
             return
         self._push(tag)
 
+    def _within(self, tag: str, stops: frozenset[str]) -> int | None:
+        """Where the nearest open element of that name is, if none of the stops lies above it."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k] == tag:
+                return k
+            if self.open[k] in stops:
+                return None
+        return None
+
+    def _end(self, k: int | None) -> None:
+        while k is not None and len(self.open) > k:
+            self._pop()
+
     def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open[-1] != tag:
-                self._pop()
+        if tag in ("html", "body"):  # what follows still belongs to the body
+            return
+        if tag in ("p", "br") and self._within("p", _BUTTON_SCOPE) is None:
+            self._body("p")  # such an end tag stands for an empty element
+            self._push(tag)
             self._pop()
+            return
+        k = self._within(tag, _TABLE_SCOPE if tag in _TABLE_PARTS else _BUTTON_SCOPE if tag == "p" else _SCOPE)
+        if k is not None and tag in _FORMATTING and any(x in _BREAKS for x in self.open[k + 1 :]):
+            del self.open[k], self.paths[k + 1], self.counts[k + 1]  # a block inside stays open
+            return
+        self._end(k)
 
     def handle_data(self, data):
         if self.dropped or not data:

@@ -201,3 +201,37 @@ def test_evidence_fields_are_set_in_place():
     raw = "---\nid: n # c\nevidence:\n- status:\n  id: e\n- id: f\n  attempts: 1\nz: 1\n---\nbody\n"
     assert set_evidence(raw, "e", {"status": "resolved", "attempts": 2}) == raw.replace("status:\n  id: e\n", 'status: "resolved"\n  id: e\n  attempts: 2\n')
     assert set_evidence(raw, "f", {"attempts": 2, "verdict": "ok"}) == raw.replace("attempts: 1\n", 'attempts: 2\n  verdict: "ok"\n')
+
+
+JSON_TEXTS = [
+    '{"b":1,"a":2}', '{"b":1.0,"a":1.50,"c":1e3,"e":0.1,"f":-0.0,"g":1e-7,"m":123456789.125,"p":-5E-7}', '[ 1 , {"y":{"b":[{"d":1,"c":2}],"a":0}} ]', "null", '"a"', "-0", "12.340",
+    '{"\\u00e9":"\\u001f\\n\\t\\"\\\\/\\u2028","z":[1,[],{},null,true,false,"x"],"😀":1,"￿":2,"":3}', '{"é":1}', '{"a":1,"a":2}', '{"é":1,"é":2}', "{broken", "", '{"a": 9007199254740993}', '{"n": 123456789.123456789}', '{"n": 0.00000001}',
+    '{"k": "\\\\u001F", "j": "\x7f"}', '{"x": 1e400}', "[" * 300 + "]" * 300,
+]
+
+
+def test_canonical_json_in_the_jvm_is_that_of_the_plain_function(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import hashing
+
+    def plain(text):
+        try:
+            return hashing.canonical_serialize(json.loads(text, object_pairs_hook=hashing._once))
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in [*JSON_TEXTS, None]], "t string")
+    got = {r["t"]: r["c"] for r in df.select("t", hashing.canonical(F.col("t")).alias("c")).collect()}
+    assert got == {t: plain(t) for t in JSON_TEXTS} | {None: None}
+
+
+def test_canonical_form_of_nested_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import hashing
+
+    df = spark.sql("SELECT named_struct('b', array(map('z', 1, 'a', 2)), 'a', named_struct('y', 'é', 'x', 1.50D, 'w', cast(null as string))) AS v")
+    assert df.select(hashing.canonical_value(F.col("v"))).first()[0] == '{"a":{"w":null,"x":1.5,"y":"é"},"b":[{"a":2,"z":1}]}'

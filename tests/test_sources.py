@@ -177,3 +177,30 @@ def test_stream_follows_a_vault(spark, root, tmp_path):
     assert {"alpha", "beta", "gamma"} <= set(seen)
     events = spark.createDataFrame([("2026-01-01 00:10:00", "a", 1.0), ("2026-01-01 00:20:00", "a", 2.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert [tuple(r)[1:] for r in windowed_outcomes(events).collect()] == [("a", 2, 3.0)]
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<p>one" + "<span>" * 9 + "two<div>three</div>", "onetwo\nthree"),  # a block ends a paragraph however deep
+        ("<p>one<button>two<div>three</div></button>four", "onetwo\nthree\nfour"),
+        ("<b>one<p>two</b>three</p>", "one\ntwothree"),  # a block inside formatting stays open
+        ("<table><tr><td>a</p>b<td>c</table>d", "a\nb\nc\nd"),
+        ("<ul><li>a<ul><li>b</ul></li><li>c</ul>", "a\nb\nc"),
+        ("<div>a</span></p>b</div>", "a\nb"),
+        ("<td>a<table><tr><td>x</td></tr></td></table>b", "a\nx\nb"),
+        ("a</body></html><p>b", "a\nb"),
+        ("<dl><dt>t<dd>d<dt>u</dl>", "t\nd\nu"),
+        ("<p>a<table><tr><td>b</table>", "a\nb"),
+    ],
+)
+def test_elements_end_by_their_scopes(body, text):
+    from tessera.sources.normalize import html_text
+
+    assert html_text(f"<!doctype html><html><body>{body}".encode())[0] == text
+
+
+def test_what_follows_the_body_is_in_it():
+    from tessera.sources.normalize import html_text
+
+    assert html_text(b"<!doctype html><body>a</body></html><p><img src=x>")[1] == [("image-no-alt", "dom:/html[1]/body[1]/p[1]/img[1]")]
