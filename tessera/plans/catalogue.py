@@ -1383,3 +1383,93 @@ def answer_prompts(spark, sf_dir) -> DataFrame:
     context = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ranked), "doc_id")  # ten rows
     prompt = retrieval.answer_prompt("who?", context.select(F.col("doc_id").cast("string").alias("note_id"), "item_rank", F.lit(1).alias("section_rank"), "text"))
     return prompt.select(F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+#: Bodies with headings around the text of each document, from which marks of headings and fences are taken.
+_PLAIN = "nfc_normalize(translate(coalesce(text, ''), '#`~' || chr(13), ''))"
+_TRIMMED = "regexp_replace(regexp_replace({}, '^([ \\t\\x0B\\f\\r\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]*\\n)+', ''), '(\\n[ \\t\\x0B\\f\\r\\x{{85}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]*)+$|^\\s+$', '')"
+_TAIL = "\n\n## Sub 50%/x\nwords\n### Deep\n## Sub 50%/x\n\nmore\n\n# Part A\n```\n# no heading\n```\n"
+
+
+def _outlined(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "#`~\r", "").alias("t"))
+    i = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("---\nid: doc-"), i, F.lit("\ntype: t\nschema_version: 1\ntitle: Note "), i, F.lit("\ncreated: 2026-01-01\nupdated: 2026-01-01\naliases: [Alias "), i, F.lit("]\n---\n"), "t", F.lit("\n# Part A ##\n\n"), "t", F.lit(_TAIL))
+    return vault.parse_notes(d.select(F.concat(i, F.lit(".md")).alias("path"), raw.cast("binary").alias("content")))
+
+
+@query(
+    """SELECT 'doc-' || doc_id AS note_id, s.ord::BIGINT AS ord, s.level::BIGINT AS level, s.heading, s.path FROM documents, (VALUES (0, 1, 'Part A', 'Part A'), (1, 2, 'Sub 50%/x', 'Part A/Sub 50%25%2Fx'), (2, 3, 'Deep', 'Part A/Sub 50%25%2Fx/Deep'), (3, 2, 'Sub 50%/x', 'Part A/Sub 50%25%2Fx-2'), (4, 1, 'Part A', 'Part A-2')) s(ord, level, heading, path)"""
+)
+def note_sections(spark, sf_dir) -> DataFrame:
+    """The sections of every note: paths of equal siblings told apart, nothing found inside a fence."""
+    s = _outlined(spark, sf_dir).select("note_id", F.explode("sections").alias("s"))
+    return s.select("note_id", F.col("s.ord").cast("long").alias("ord"), F.col("s.level").cast("long").alias("level"), "s.heading", "s.path")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {_TRIMMED.format(_PLAIN)} AS body FROM documents),
+    c AS (SELECT doc_id, '' AS path, '' AS crumb, body FROM t UNION ALL SELECT doc_id, 'Part A', 'Part A', body FROM t
+        UNION ALL SELECT doc_id, 'Part A/Sub 50%25%2Fx', 'Part A › Sub 50%/x', 'words' FROM t UNION ALL SELECT doc_id, 'Part A/Sub 50%25%2Fx-2', 'Part A › Sub 50%/x', 'more' FROM t
+        UNION ALL SELECT doc_id, 'Part A-2', 'Part A', '```' || chr(10) || '# no heading' || chr(10) || '```' FROM t)
+    SELECT 'doc-' || doc_id AS note_id, path AS section_path, sha256(CASE WHEN crumb = '' THEN '' ELSE crumb || chr(10) || chr(10) END || 'Note ' || doc_id || chr(10) || 'Alias ' || doc_id || chr(10) || chr(10) || body) AS text_sha256 FROM c WHERE body <> ''"""
+)
+def note_chunks(spark, sf_dir) -> DataFrame:
+    """The chunks of every note: heading path, names and own prose; sections without prose have none."""
+    return vault.chunk_notes(_outlined(spark, sf_dir)).select("note_id", "section_path", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id || '.txt' AS path,
+    CASE WHEN doc_id % 5 = 4 THEN 'unsupported-encoding' WHEN t = '' THEN 'no-extractable-text' END AS reject_code, CASE WHEN doc_id % 5 <> 4 AND t <> '' THEN 'sha256:' || sha256(t) END AS text_hash FROM f"""
+)
+def decoded_files(spark, sf_dir) -> DataFrame:
+    """Texts of files in UTF-8 with and without a mark, in both orders of UTF-16, and with a byte that is neither."""
+    from tessera.sources import normalize
+
+    t, n = F.coalesce("text", F.lit("")), F.col("doc_id") % 5
+    mark = lambda h: F.unhex(F.lit(h))
+    content = (
+        F.when(n == 0, F.encode(t, "UTF-8")).when(n == 1, F.concat(mark("EFBBBF"), F.encode(t, "UTF-8"))).when(n == 2, F.concat(mark("FFFE"), F.encode(t, "UTF-16LE"))).when(n == 3, F.concat(mark("FEFF"), F.encode(t, "UTF-16BE"))).otherwise(F.concat(F.encode(t, "UTF-8"), mark("FF")))
+    )
+    files = read(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("path"), content.alias("content"))
+    return normalize.normalize(files).select("path", "reject_code", "text_hash")
+
+
+@query(
+    """WITH f AS (SELECT doc_id || (['.md', '.txt', '.pdf', '.html', '.TXT'])[doc_id % 5 + 1] AS path, strlen(coalesce(text, '')) * 4000 AS length, ([5, 5, 50, 10, 5])[doc_id % 5 + 1] * 1048576 AS most FROM documents)
+    SELECT path, length::BIGINT AS length, length <= most AS readable FROM f"""
+)
+def readable_files(spark, sf_dir) -> DataFrame:
+    """Which files of a listing are read at all, by their formats' limits."""
+    from tessera.sources import normalize
+
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".txt", ".pdf", ".html", ".TXT"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), ext).alias("path"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * 4000).alias("length"))
+    small, large = normalize.within_limits(files)
+    return small.select("path", "length", F.lit(True).alias("readable")).unionByName(large.select("path", "length", F.lit(False).alias("readable")))
+
+
+@query(
+    f"""WITH docs AS (SELECT 'doc-' || doc_id AS id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+    t AS (SELECT id, list_filter(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN ({_STOP})) AS terms FROM docs),
+    s AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM t),
+    p AS (SELECT id, len(terms) AS length, regexp_extract(unnest(terms), '^{_FORMS}$', 1) AS word FROM t),
+    f AS (SELECT id, length, regexp_extract(word, '^(worthless|clown|idiot)', 1) AS term, count(*) AS tf FROM p WHERE word <> '' GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    score AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean_length))), 9) AS relevance FROM f JOIN df USING (term), s GROUP BY id),
+    fts AS (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) AS rank FROM score ORDER BY relevance DESC, id LIMIT 10),
+    vec AS (SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM (SELECT id, {_DISTANCE} AS d FROM docs) ORDER BY d, id LIMIT 10),
+    l AS (SELECT 'fts' AS layer, id, 1.0::DOUBLE / (60 + rank) AS part FROM fts UNION ALL SELECT 'vector', id, 1.0::DOUBLE / (60 + rank) FROM vec),
+    u AS (SELECT id, sum(part) AS score, count(*) AS n, arg_max(layer, part * 2 + CASE WHEN layer = 'fts' THEN 1e-9 ELSE 0 END) AS channel, min(layer) AS only_layer FROM l GROUP BY id)
+    SELECT id AS note_id, row_number() OVER (ORDER BY round(score, 12) DESC, id)::BIGINT AS rank, round(score, 9) AS score, channel, CASE WHEN n > 1 THEN 'hybrid' ELSE only_layer END AS mode FROM u QUALIFY rank <= 10"""
+)
+def retrieved_notes(spark, sf_dir) -> DataFrame:
+    """A question through the command: no note has its name, so both layers rank, fuse and say who found what."""
+    e, q = _vectors(spark, sf_dir)
+    n = adapters.notes(spark, sf_dir)
+    keys = n.select(F.lit(0).alias("tier"), F.col("note_id").alias("key"), "note_id")
+    held = commands.Vault(n, n.where("false"), keys, n.where("false"), n.where("false"))
+    chunks = n.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("note_id", F.col("note_id").alias("chunk_id"), F.lit("").alias("section_path"), "text", "embedding")
+    found = commands.retrieve(held, chunks, " ".join(TERMS), embedder=lambda texts: [q])
+    return found.select("note_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "channel", "mode")
