@@ -64,7 +64,7 @@ def _named(value: str, marks: frozenset, whole: bool) -> bool:
     return False
 
 
-def _drops(name: str, attributes: str, in_article: bool) -> bool:
+def _drops(name: str, attributes: str, in_article: bool, whole: bool = False) -> bool:
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body", "main"):
@@ -73,7 +73,7 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key in ("class", "id"):
-            if (name in BLOCKS or name == "td") and _named(value, marks, in_article or name in TEXTUAL):  # an inline element's names are about its looks
+            if (name in BLOCKS or name == "td") and _named(value, marks, whole or in_article or name in TEXTUAL):  # an inline element's names are about its looks
                 return True
         elif key == "role":
             if value.strip().lower() in ROLES and not (in_article and name == "header"):
@@ -83,11 +83,12 @@ def _drops(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
+def lines_of(html: str, whole: bool = False) -> list[tuple[str, int, int]]:
     """``(text, weight, article)`` of each block in page order, with the number of the article or main element around it, or 0.
 
     Outside of articles a line of no text stands for a dropped element, and three stand
-    between landmarks. Of an article's own header headings and whole sentences stay.
+    between landmarks. Of an article's own header headings and whole sentences stay. With
+    ``whole`` a name marks only if all of it is a mark, so that "social-policy" holds text.
     """
     lines: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped here, link
@@ -182,7 +183,7 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
                 if stack[k][0] in _CLOSES[name]:
                     close(k)
                     break
-        drop = _drops(name, attributes, inside > 0)
+        drop = _drops(name, attributes, inside > 0, whole)
         if name in RAW:
             if lowered is None:
                 lowered = html.lower() if len(html.lower()) == end else "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
@@ -275,8 +276,20 @@ def _stretches(lines: list[tuple[str, int, int]], width: int, surge: int) -> lis
     return [lines[m][0] for first, last in kept for m in range(first, last + 1) if lines[m][0]]
 
 
+def surges(lines: list[tuple[str, int, int]], width: int = 3, surge: int = 86) -> bool:
+    """Does any window of lines hold as much text as a surge?"""
+    weights = [w for _, w, _ in lines]
+    return any(sum(weights[i : i + width]) >= surge for i in range(len(weights)))
+
+
 def main_text(html: str | None) -> str:
-    return "\n\n".join(main_lines(lines_of(html))) if html else ""
+    """The kept lines of a page. Where nothing surges, what a part of a name marked is read as text, if it then does."""
+    if not html:
+        return ""
+    lines = lines_of(html)
+    if not surges(lines) and surges(again := lines_of(html, True)):
+        lines = again
+    return "\n\n".join(main_lines(lines))
 
 
 def extract(pages: DataFrame) -> DataFrame:

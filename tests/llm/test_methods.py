@@ -586,3 +586,12 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     sizes = {i: len(docs[i]["text"].encode().split()) for i in docs}
     assert 0.9 * sum(sizes[i] for i in must) < taken < 1.1 * sum(sizes[i] for i in left)
     assert all("AKIA" not in r["text"] or len(re.findall("AKIA[A-Z0-9]{12,}", r["text"])) == 0 for r in out.values())
+
+
+@pytest.mark.parametrize("name", "social-policy share-price-analysis comments-on-budget menu-of-the-day alert-fatigue sponsor-story related-work".split())
+def test_a_wrapper_named_after_its_subject_keeps_its_text(name):
+    article = "".join(f"<p>This is sentence {i} of a long text about the subject, with words enough to be one.</p>" for i in range(6))
+    aside = "Subscribe to all of our many newsletters today and get the best of everything, every single week of the year."
+    rest = "".join(f"<div class='{c}'>{aside}</div>" for c in ("sidebar", "related-posts", "comments-area", "cookie-notice", "footer"))
+    text = html_text.main_text(f"<html><body><div class='top-menu'><a href=/>Home</a></div><div class='{name}'>{article}</div>{rest}</body></html>")
+    assert [text.count("sentence"), text.count("newsletters"), text.count("Home")] == [6, 0, 0]
