@@ -1,7 +1,6 @@
 """The English (Porter2) stemmer and the full-text analyzer built on it.
 
-Stems are found once for each distinct word and joined back, so that Python sees the
-vocabulary and not the text.
+Stems are found once for each distinct word of a batch and remembered; nothing is shuffled by word.
 """
 
 from __future__ import annotations
@@ -9,7 +8,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,20 +138,37 @@ def analyzed_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
     return run(text)
 
 
-def stemmed(words: DataFrame, stop: tuple[str, ...]) -> DataFrame:
-    """``(word, term)`` of ``words(word)``: folded and stemmed, without those that fold to a stop word."""
+#: Words whose stems a worker remembers at most; then it begins anew.
+REMEMBERED = 1 << 18
 
-    def run(batches):
-        for b in batches:
-            folded = b["word"].map(fold_ascii)
-            keep = ~folded.isin(stop)
-            yield pd.DataFrame({"word": b["word"][keep], "term": folded[keep].map(stem)})
 
-    return words.mapInPandas(run, "word string, term string")
+def stem_terms(words: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Arrays of words folded and stemmed, without those that fold to a stop word or to nothing.
+
+    Each batch stems its distinct words once and each worker remembers them, so nothing is
+    shuffled by word, however frequent one is. A null array is empty.
+    """
+    left_out, memory = frozenset(stop), {}
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        coded = lists.flatten().dictionary_encode()
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        distinct = coded.dictionary.to_pylist()
+        for w in distinct:
+            if w is not None and w not in memory:
+                folded = fold_ascii(w)
+                memory[w] = stem(folded) if folded and folded not in left_out else None
+        terms = pa.array([memory.get(w) for w in distinct], pa.string()).take(coded.indices)
+        kept = np.concatenate([[0], np.cumsum(terms.is_valid().to_numpy(zero_copy_only=False))])
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+        return pa.ListArray.from_arrays(pa.array(kept[ends], pa.int32()), terms.drop_null())
+
+    return run(words)
 
 
 def analyzed_postings(chunks: DataFrame, text: Column, stop: tuple[str, ...]) -> DataFrame:
-    """``(chunk_id, term, tf)`` of chunks; each distinct word is folded and stemmed once, stop words go before any shuffle."""
+    """``(chunk_id, term, tf)`` of chunks; stop words go before anything leaves the JVM."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*stop))
-    counted = chunks.select("chunk_id", F.explode(words).alias("word")).groupBy("chunk_id", "word").agg(F.count("*").alias("n"))
-    return counted.join(stemmed(counted.select("word").distinct(), stop), "word").groupBy("chunk_id", "term").agg(F.sum("n").alias("tf"))
+    return chunks.select("chunk_id", F.explode(stem_terms(words, stop)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))

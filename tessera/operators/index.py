@@ -10,35 +10,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.stemmer import stemmed
+from tessera.functions.stemmer import stem_terms
 from tessera.operators import retrieval
 
 _KEYS = ("note_id", "chunk_id", "section_path")
 
 
-def plain_postings(chunks: DataFrame, keys: Sequence[str] = _KEYS) -> DataFrame:
-    """``(term, note_id, chunk_id, section_path, length, tf)`` of ``chunks(note_id, chunk_id, section_path, text)``, lower-case words; ``keys`` may name more columns."""
-    tokens = chunks.select(*keys, retrieval.plain_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+def _postings(chunks: DataFrame, keys: Sequence[str], terms: Column) -> DataFrame:
+    tokens = chunks.select(*keys, terms.alias("terms"))
     each = tokens.select(*keys, F.size("terms").alias("length"), F.explode(F.array_append("terms", "")).alias("term"))
     return each.groupBy("term", *keys, "length").agg(F.count("*").alias("tf"))
 
 
+def plain_postings(chunks: DataFrame, keys: Sequence[str] = _KEYS) -> DataFrame:
+    """``(term, note_id, chunk_id, section_path, length, tf)`` of ``chunks(note_id, chunk_id, section_path, text)``, lower-case words; ``keys`` may name more columns."""
+    return _postings(chunks, keys, retrieval.plain_terms(F.coalesce("text", F.lit(""))))
+
+
 def analyzed_postings(chunks: DataFrame, keys: Sequence[str] = _KEYS) -> DataFrame:
-    """The same of folded and stemmed words without function words; each distinct word is stemmed once.
-
-    Function words go before anything is shuffled, words are counted in each chunk first, and
-    the vocabulary of stems is joined to these counts, broadcast where it is small.
-    """
-    terms = retrieval.plain_terms(F.coalesce("text", F.lit("")))
-    counted = chunks.select(*keys, F.explode(terms).alias("word")).groupBy("word", *keys).agg(F.count("*").alias("n"))
-    counts = counted.join(stemmed(counted.select("word").distinct(), tuple(retrieval.STOP_WORDS)), "word").groupBy("term", *keys).agg(F.sum("n").alias("tf"))
-    length = counts.groupBy("chunk_id").agg(F.sum("tf").cast("int").alias("length"))
-    lengths = chunks.select(*keys).join(length, "chunk_id", "left").withColumn("length", F.coalesce("length", F.lit(0)))
-    own = lengths.select(F.lit("").alias("term"), *keys, "length", F.lit(1).cast("long").alias("tf"))
-    return counts.join(lengths.select("chunk_id", "length"), "chunk_id").select("term", *keys, "length", "tf").unionByName(own)
+    """The same of folded and stemmed words without function words."""
+    terms = stem_terms(retrieval.plain_terms(F.coalesce("text", F.lit(""))), tuple(retrieval.STOP_WORDS))
+    return _postings(chunks, keys, terms)
 
 
 def write_index(postings: DataFrame, folder: str) -> None:

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import estimate_tokens
+from tessera.operators.durable import run_once
 
 #: English function words that the plain analyzer leaves out, fixed values.
 STOP_WORDS = (
@@ -94,8 +96,9 @@ def search_layers(chunks: DataFrame, active: DataFrame | None, query: Sequence[f
     near = vector_layer(served, query, k)
     if text_layer is not None:
         try:
-            return Layers(near, text_layer(served, k), False, ("fts", "vector"))
-        except PySparkException:  # the index is missing or can't be read
+            # The few chunks that the layer gives are computed here, so that a read that fails is met here too.
+            return Layers(near, run_once(text_layer(served, k)), False, ("fts", "vector"))
+        except (PySparkException, Py4JJavaError):  # the index is missing or can't be read
             pass
     return Layers(near, None, True, ("vector",))
 

@@ -1473,3 +1473,37 @@ def retrieved_notes(spark, sf_dir) -> DataFrame:
     chunks = n.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").select("note_id", F.col("note_id").alias("chunk_id"), F.lit("").alias("section_path"), "text", "embedding")
     found = commands.retrieve(held, chunks, " ".join(TERMS), embedder=lambda texts: [q])
     return found.select("note_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), "channel", "mode")
+
+
+@query(
+    f"""WITH {_NOTE_FILES}, {_JOBS} SELECT (SELECT count(*) FROM f WHERE error IS NULL)::BIGINT AS notes, (SELECT count(*) FROM f WHERE error IS NOT NULL)::BIGINT AS errors,
+    (SELECT count(*) FROM f WHERE error IS NULL AND doc_id % 11 <> 0 AND doc_id % 5 = 0)::BIGINT AS stale_notes, (SELECT count(*) FROM f WHERE error IS NULL AND doc_id % 11 = 0)::BIGINT AS missing_notes,
+    (SELECT count(*) FROM embeddings)::BIGINT AS chunks, (SELECT count(*) FROM j WHERE state = 'pending')::BIGINT AS pending_jobs, (SELECT count(*) FROM labels WHERE quality IS DISTINCT FROM 1)::BIGINT AS open_evidence, false AS ok"""
+)
+def vault_status(spark, sf_dir) -> DataFrame:
+    """One row of what there is and what needs work."""
+    v = commands.derive(_parsed(spark, sf_dir))
+    n = F.substring_index("note_id", "-", -1).cast("long")
+    active = F.when(n % 11 != 0, F.when(n % 5 == 0, "old").otherwise(F.col("generation_id")))
+    notes = commands.expected_generations(v.notes).withColumn("active_generation_id", active)
+    evidence = read(spark, sf_dir, "labels").select(F.when(F.col("quality") == 1, "resolved").otherwise("failed").alias("status"))
+    return commands.status(v, notes, read(spark, sf_dir, "embeddings"), adapters.jobs(spark, sf_dir), evidence)
+
+
+#: The pads of an HMAC with the key "salt": it, filled with zeros to 64 bytes, against 0x36 and 0x5c.
+_PADS = ["".join(f"{b ^ x:02x}" for b in b"salt".ljust(64, b"\0")) for x in (0x36, 0x5C)]
+
+
+@query(f"SELECT doc_id, 'n_' || substr(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode('doc-' || doc_id)))), 1, 16) AS opaque FROM documents")
+def opaque_ids(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("note_id"))
+    return d.select("doc_id", identity.opaque_id(F.col("note_id"), "salt").alias("opaque"))
+
+
+@query("SELECT 'current' AS flag, count(*)::BIGINT AS rows FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 1")
+def current_configs(spark, sf_dir) -> DataFrame:
+    """Of configurations of which one may be current, those that are."""
+    from tessera.operators import validation
+
+    configs = read(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "P").alias("is_current"))
+    return validation.several_current(configs).select("flag", "rows")

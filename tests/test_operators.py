@@ -229,3 +229,32 @@ def test_layers_degrade(spark):
         assert (x.used, x.degraded, x.text) == (("vector",), True, None)
     none = retrieval.search_layers(chunks, active.where("false"), [1.0, 0.0], text)
     assert (none.used, none.degraded, none.vector.count(), none.text.count()) == ((), False, 0, 0)
+
+
+def test_a_text_layer_that_fails_when_it_is_read_is_left_out(spark, tmp_path):
+    chunks = spark.createDataFrame([("n", "c", "s", "words", [1.0])], "note_id string, chunk_id string, section_path string, text string, embedding array<float>")
+    folder = tmp_path / "index"
+    scored = chunks.select("note_id", "chunk_id", "section_path", F.lit(1.0).alias("relevance"))
+    scored.write.parquet(str(folder))
+    stored = spark.read.parquet(str(folder))
+    for f in folder.glob("*.parquet"):
+        f.write_bytes(b"broken")
+    for f in folder.glob(".*.crc"):
+        f.unlink()
+    found = retrieval.search_layers(chunks, None, [1.0], lambda served, k: retrieval.rank_chunks(stored.where("relevance > 0"), k, False).where("chunk_id is not null"))
+    assert found.degraded and found.text is None and found.vector.count() == 1
+    late = retrieval.search_layers(chunks, None, [1.0], lambda served, k: stored.withColumn("rank", F.lit(1)))
+    assert late.degraded and late.used == ("vector",)
+
+
+def test_words_are_stemmed_without_a_shuffle(spark):
+    from tessera.functions import stemmer
+    from tessera.operators import index
+
+    df = spark.createDataFrame([(1, ["Running".lower(), "the", "naïve", "atlas", None, "runs"]), (2, []), (3, None), (4, ["the"])], "id int, w array<string>").coalesce(1)
+    got = {r["id"]: r["t"] for r in df.select("id", stemmer.stem_terms(F.col("w"), ("the",)).alias("t")).collect()}
+    assert got == {1: ["run", "naiv", "atlas", "run"], 2: [], 3: [], 4: []}
+    chunks = spark.createDataFrame([(1, 1, "", "The runner runs, the runners run."), (2, 2, "", None)], "note_id int, chunk_id int, section_path string, text string")
+    rows_ = {(r["term"], r["chunk_id"]): (r["tf"], r["length"]) for r in index.analyzed_postings(chunks).collect()}
+    assert rows_ == {("runner", 1): (2, 4), ("run", 1): (2, 4), ("", 1): (1, 4), ("", 2): (1, 0)}
+    assert "Join" not in index.analyzed_postings(chunks)._jdf.queryExecution().executedPlan().toString()
