@@ -131,17 +131,17 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def indexes(rows: list[tuple[int, str]], q: int, rate: float, min_chars: int) -> list[Items]:
+def indexes(rows: list[tuple[int, str]], q: int, rate: float) -> list[Items]:
     """Normalised items ``(id, text)`` by the q that each can bear.
 
     Of an item of m characters at least m + 1 - q (e + 1) q-grams outlast e edits; q is
-    lowered until that is 1, so that no edit of the budget is given up. Items under
-    ``min_chars`` have no budget.
+    lowered until that is 1, so that no edit of the budget is given up. An item whose budget
+    is none must occur as it is, and as whole words.
     """
     kinds: dict[tuple[int, bool], list[tuple[int, str]]] = {}
     for i, x in rows:
-        exact = len(x) < min_chars
-        edits = 0 if exact else int(len(x) * rate)
+        edits = int(len(x) * rate)
+        exact = edits == 0
         if x:
             kinds.setdefault((max(1, min(q, len(x) // (edits + 1))), exact), []).append((i, x))
     return [Items([i for i, _ in held], [x for _, x in held], own, rate, exact) for (own, exact), held in sorted(kinds.items())]
@@ -165,6 +165,10 @@ def whole_words(text: str, item: str, lo: int, hi: int) -> int:
     return -1
 
 
+#: Postings that are expanded at a time.
+PART = 4_000_000
+
+
 def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
     """Matches in normalised texts: (text, item, edits, start, end), the best one for each text and item."""
     if not texts or not len(items.keys):
@@ -180,25 +184,69 @@ def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]
         return []
     text = np.searchsorted(starts, at, side="right") - 1
     much = items.first[key + 1] - items.first[key]
-    # In parts of some million postings, cut between texts. First by text and item: fewer
-    # hits than the bound can't reach it in any band.
-    parts = np.flatnonzero(np.diff(np.concatenate(([-1], np.cumsum(much) // 4_000_000))))
-    cuts = np.searchsorted(text, text[parts]) if len(parts) else np.array([0])
-    cuts = [*np.unique(np.append(cuts, 0)).tolist(), len(at)]
-    out: list[tuple[int, int, int, int, int]] = []
+    own = np.bincount(text, weights=much, minlength=len(texts))
+    heavy = own > PART  # long and repetitive texts, each by itself
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    light = np.flatnonzero(~heavy[text])
+    # In parts of some million postings, cut between texts.
+    edges = np.flatnonzero(np.diff(np.concatenate(([-1], np.cumsum(much[light]) // PART))))
+    cuts = np.searchsorted(text[light], text[light][edges]) if len(edges) else np.array([0])
+    cuts = [*np.unique(np.append(cuts, 0)).tolist(), len(light)]
     for s, e in zip(cuts, cuts[1:]):
-        if s == e:
-            continue
-        n = much[s:e]
-        posting = np.repeat(items.first[key[s:e]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        item, place = items.item[posting], items.place[posting]
-        pair = np.repeat(text[s:e], n) * len(items.ids) + item
-        kinds, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = (count >= items.bound[kinds % len(items.ids)])[inverse]
-        if enough.any():
-            pos = np.repeat(at[s:e], n)[enough]
-            out += _bands(texts, codes, starts, items, pair[enough], pos - place[enough], place[enough])
-    return out
+        _part(texts, codes, starts, items, text, at, key, light[s:e], items.first, items.item, items.place, best)
+    for t in np.flatnonzero(heavy).tolist():
+        _heavy(texts, codes, starts, items, text, at, key, t, best)
+    return [(t, i, *x) for (t, i), x in sorted(best.items())]
+
+
+def _heavy(texts, codes, starts, items, text, at, key, t, best) -> None:
+    """A text whose q-grams repeat: items that it holds as they are need no bands; the rest is cut inside the text.
+
+    A match spans no more than the longest item and its budget, so parts that overlap by that
+    hold each match whole, and memory is that of one part however long the text is.
+    """
+    own = np.flatnonzero(text == t)
+    postings = np.concatenate([np.arange(items.first[k], items.first[k + 1]) for k in np.unique(key[own])])
+    open_ = np.zeros(len(items.ids), bool)
+    for i in np.unique(items.item[postings]).tolist():
+        m = int(items.sizes[i])
+        found = whole_words(texts[t], items.texts[i], 0, len(texts[t])) if items.exact else texts[t].find(items.texts[i])
+        if found >= 0:
+            best[t, i] = (0, found, found + m)
+        elif not items.exact:
+            open_[i] = True
+    kept = open_[items.item]
+    if not kept.any():
+        return
+    item, place = items.item[kept], items.place[kept]
+    first = np.concatenate(([0], np.cumsum(kept)))[items.first]
+    span = int((items.sizes + 2 * items.budget)[open_].max()) + items.q
+    much = first[key[own] + 1] - first[key[own]]
+    total = np.cumsum(much)
+    s = 0
+    while s < len(own):
+        e = max(s + 1, int(np.searchsorted(total, (total[s - 1] if s else 0) + PART, side="right")))
+        back = int(np.searchsorted(at[own], at[own[s]] - span))
+        _part(texts, codes, starts, items, text, at, key, own[back:e], first, item, place, best)
+        s = e
+
+
+def _part(texts, codes, starts, items, text, at, key, own, first, item_of, place_of, best) -> None:
+    """Matches among the hits ``own``, with the postings of ``first``, into ``best``."""
+    if not len(own):
+        return
+    n = first[key[own] + 1] - first[key[own]]
+    posting = np.repeat(first[key[own]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+    item, place = item_of[posting], place_of[posting]
+    pair = np.repeat(text[own], n) * len(items.ids) + item
+    # First by text and item: fewer hits than the bound can't reach it in any band.
+    kinds, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+    enough = (count >= items.bound[kinds % len(items.ids)])[inverse]
+    if enough.any():
+        pos = np.repeat(at[own], n)[enough]
+        for t, i, *x in _bands(texts, codes, starts, items, pair[enough], pos - place[enough], place[enough]):
+            if (t, i) not in best or x[:2] < list(best[t, i][:2]):
+                best[t, i] = tuple(x)
 
 
 def _bands(texts, codes, starts, items, pair, diagonal, place):
@@ -236,7 +284,7 @@ def _bands(texts, codes, starts, items, pair, diagonal, place):
     return [(p // len(items.ids), p % len(items.ids), *x) for p, x in sorted(best.items())]
 
 
-def item_blocks(benchmark: DataFrame, q: int, rate: float, min_chars: int, block_chars: int) -> tuple[int, Iterator[list[Items]]]:
+def item_blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> tuple[int, Iterator[list[Items]]]:
     """The benchmark in blocks of about ``block_chars`` characters, one on the driver at a time, and their number."""
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -245,24 +293,24 @@ def item_blocks(benchmark: DataFrame, q: int, rate: float, min_chars: int, block
     def each() -> Iterator[list[Items]]:
         for k in range(blocks):
             rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-            yield indexes(sorted((r["item_id"], normalise(r["text"])) for r in rows), q, rate, min_chars)
+            yield indexes(sorted((r["item_id"], normalise(r["text"])) for r in rows), q, rate)
 
     return blocks, each()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, min_chars: int = 20, block_chars: int = 2_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """Every document and benchmark item that it holds with at most ``rate`` edits a character.
 
     Returns ``(doc_id, item_id, edits, start_char, end_char)``, one row for each pair, with
     the best occurrence as a code point span of the text. Null and empty texts hold nothing.
-    Items under ``min_chars`` characters must occur exactly and as whole words; items without
-    a character match nothing. Repeated documents repeat their rows; a null doc_id stays null;
+    Items too short for one edit must occur exactly and as whole words; items without a
+    character match nothing. Long and repetitive texts are cut inside, with memory of one part. Repeated documents repeat their rows; a null doc_id stays null;
     equal items with different ids each match; ties go to the first occurrence. Empty tables
     give no rows. Of several blocks of items each is sent, matched and written before the next.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    blocks, each = item_blocks(benchmark, q, rate, min_chars, block_chars)
+    blocks, each = item_blocks(benchmark, q, rate, block_chars)
     for parts in each:
         sent = docs.sparkSession.sparkContext.broadcast(parts)
 
@@ -280,10 +328,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, min_chars: int = 20, block_chars: int = 2_000_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block_chars: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, as leaks() finds them, with all their columns and no shuffle."""
     at = docs.columns.index("text")
-    blocks, each = item_blocks(benchmark, q, rate, min_chars, block_chars)
+    blocks, each = item_blocks(benchmark, q, rate, block_chars)
     for parts in each:
         sent = docs.sparkSession.sparkContext.broadcast(parts)
 

@@ -169,8 +169,8 @@ def edits(item, text):
 @pytest.mark.parametrize("rate", [0.08, 0.12])
 def test_leaks_keep_their_whole_budget(rate):
     draw = random.Random(22)
-    items = sorted({n: decontaminate.normalise("".join(draw.choice("abcdefghij klm") for _ in range(3 * n)))[:n].strip() for n in (18, 19, 20, 24, 25, 28, 29, 37, 38, 39, 49, 50, 90)}.items())
-    parts = decontaminate.indexes([(n, x) for n, x in items], 10, rate, 20)
+    items = sorted({n: decontaminate.normalise("".join(draw.choice("abcdefghij klm") for _ in range(3 * n)))[:n].strip() for n in (6, 8, 11, 12, 13, 14, 18, 19, 20, 24, 25, 28, 29, 37, 38, 39, 49, 50, 90)}.items())
+    parts = decontaminate.indexes([(n, x) for n, x in items], 10, rate)
     budget = {p.ids[i]: int(p.budget[i]) for p in parts for i in range(len(p.ids))}
     texts = []
     for _, item in items:
@@ -179,13 +179,13 @@ def test_leaks_keep_their_whole_budget(rate):
             changed = "".join("Q" if hits and i % step == step - 1 and i // step < hits else c for i, c in enumerate(item))
             texts.append(f"xx yy {changed} zz ww")
     found = {(t, i): e for t, i, e, _, _ in decontaminate.find_all(texts, parts)}
-    exact = {(t, n): e for t, x in enumerate(texts) for n, item in items if len(item) >= 20 and (e := edits(item, x)) <= budget[n]}
-    short = {(t, n): 0 for t, x in enumerate(texts) for n, item in items if len(item) < 20 and re.search(rf"(?<!\w){re.escape(item)}(?!\w)", x)}
-    assert found == exact | short and len(short) >= 1 and all(budget[n] == int(len(x) * rate) for n, x in items if len(x) >= 20)
+    exact = {(t, n): e for t, x in enumerate(texts) for n, item in items if budget[n] and (e := edits(item, x)) <= budget[n]}
+    short = {(t, n): 0 for t, x in enumerate(texts) for n, item in items if not budget[n] and re.search(rf"(?<!\w){re.escape(item)}(?!\w)", x)}
+    assert found == exact | short and len(short) >= 1 and all(budget[n] == int(len(x) * rate) for n, x in items)
 
 
 def test_short_items_are_whole_words():
-    parts = decontaminate.indexes([(1, "ate"), (2, "he ate"), (3, "a"), (4, "?"), (5, "")], 10, 0.08, 20)
+    parts = decontaminate.indexes([(1, "ate"), (2, "he ate"), (3, "a"), (4, "?"), (5, "")], 10, 0.08)
     found = [(t, i) for t, i, *_ in decontaminate.find_all(["he ate it", "the ate", "plate", "ate.", "", "who?"], parts)]
     assert found == [(0, 1), (0, 2), (1, 1), (3, 1), (5, 4)]
 
@@ -207,6 +207,34 @@ def test_leaks_equal_brute_force():
     assert found == exact and len(exact) > 20
 
 
+def test_a_short_item_with_one_letter_changed_is_found():
+    for n in (13, 15, 19, 20):
+        item = "the quick brown fox j"[:n]
+        parts = decontaminate.indexes([(1, item)], 10, 0.08)
+        assert [x[:3] for x in decontaminate.find_all([f"so {item[:6]}#{item[7:]} it is", "nothing here at all"], parts)] == [(0, 1, 1)]
+
+
+@pytest.mark.parametrize("part", [60, 700])
+def test_texts_cut_inside_give_the_same_matches(monkeypatch, part):
+    draw = random.Random(4)
+    items = [decontaminate.normalise("".join(draw.choice("ab c") for _ in range(n)))[:n].strip() for n in (12, 30, 45, 60, 61)] + ["ab" * 20, "a" * 35]
+    texts = [decontaminate.normalise("".join(draw.choice("ab c") for _ in range(400))) + " " + x[: len(x) // 2] + "z" + x[len(x) // 2 + 1 :] for x in items] + ["a" * 90 + "b" + "a" * 90, "ab" * 80, ""]
+    parts = decontaminate.indexes(list(enumerate(items)), 10, 0.08)
+    whole = decontaminate.find_all(texts, parts)
+    monkeypatch.setattr(decontaminate, "PART", part)
+    cut = decontaminate.find_all(texts, parts)
+    assert [x[:3] for x in cut] == [x[:3] for x in whole] and len(whole) >= 8
+
+
+def test_a_long_repetitive_text_takes_little_memory():
+    import resource
+
+    parts = decontaminate.indexes([(1, "a" * 600), (2, "unlike any of it, " * 12)], 10, 0.08)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert [x[:3] for x in decontaminate.find_all(["a" * 10_000_000, "b" * 200_000], parts)] == [(0, 1, 0)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 2_500_000  # kB
+
+
 def test_spans_point_into_the_text():
     raw = "Ähm  SOME Öther\n\ttext that is here"
     text = decontaminate.normalise(raw)
