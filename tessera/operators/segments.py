@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import index, maintenance, retrieval
+from tessera.operators.durable import run_once
 from tessera.operators.publication import Snapshot, Store
 
 NOTES = "note_id string, path string, content_hash string, generation_id string"
@@ -61,10 +62,11 @@ def prepared(store: Store, base: Snapshot, touched: DataFrame, gone: DataFrame,
     spark, known = store.spark, "notes" in base.tables
     table = lambda name, schema: store.read(name, base) if known else spark.createDataFrame([], schema)
     stored, held = table("notes", NOTES), table("chunks", "note_id string, generation_id string")
-    asked = touched.select("note_id", "path", "content_hash", "generation_id")
+    # Who is touched is found once; what is embedded is written once, so that nothing after it asks the embedder again.
+    asked, gone = run_once(touched.select("note_id", "path", "content_hash", "generation_id")), run_once(gone.select("note_id"))
     present = held.select("generation_id").distinct()
-    # What is embedded is written once, so that nothing after it asks the embedder again.
-    chunks = make_chunks(touched.join(present, "generation_id", "left_anti"))
+    needed = asked.join(present, "generation_id", "left_anti").select("note_id", "generation_id")
+    chunks = make_chunks(touched.join(needed, ["note_id", "generation_id"], "left_semi"))
     attempt = spark.read.schema(chunks.schema).parquet(f"{store.root}/{store.stage('attempts', chunks)[0]}")
     failed = attempt.where("embedding is null" if "embedding" in attempt.columns else "false").select("note_id", "generation_id").distinct()
     wanted = asked.join(failed.select("generation_id"), "generation_id", "left_anti").select(*asked.columns)
@@ -109,7 +111,7 @@ def index_changes(store: Store, delta: Callable[[DataFrame], tuple[DataFrame, Da
         if done is not None and done(base):
             return None
         touched, gone = delta(store.read("notes", base) if "notes" in base.tables else store.spark.createDataFrame([], NOTES))
-        if "notes" in base.tables and touched.isEmpty() and gone.isEmpty():
+        if "notes" in base.tables and touched.select("note_id").unionByName(gone.select("note_id")).isEmpty():
             return {"facts": facts} if facts else None
         staged, held["outcomes"] = prepared(store, base, touched, gone, make_chunks, analyzed)
         return staged | {"facts": facts}

@@ -1507,3 +1507,36 @@ def current_configs(spark, sf_dir) -> DataFrame:
 
     configs = read(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "P").alias("is_current"))
     return validation.several_current(configs).select("flag", "rows")
+
+
+def _pdf_of(line) -> tuple:
+    """(objects, table of their places, end) of a PDF of one page that shows a line of ASCII letters and digits."""
+    content = F.concat(F.lit("BT /F1 12 Tf ("), line, F.lit(") Tj ET"))
+    objects = [
+        F.lit("1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"),
+        F.lit("2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n"),
+        F.lit("3 0 obj\n<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /Font << /F1 5 0 R >> >> >>\nendobj\n"),
+        F.concat(F.lit("4 0 obj\n<< /Length "), F.length(content).cast("string"), F.lit(" >>\nstream\n"), content, F.lit("\nendstream\nendobj\n")),
+        F.lit("5 0 obj\n<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>\nendobj\n"),
+    ]
+    at, places = F.lit(9), []
+    for o in objects:
+        places.append(F.concat(F.lpad(at.cast("string"), 10, "0"), F.lit(" 00000 n \n")))
+        at = at + F.length(o)
+    return objects, places, at
+
+
+@query(
+    """WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS line FROM documents)
+    SELECT doc_id || '.pdf' AS path, CASE WHEN doc_id % 6 = 5 THEN 'encrypted-source' WHEN line = '' THEN 'no-extractable-text' END AS reject_code, CASE WHEN doc_id % 6 <> 5 AND line <> '' THEN 'sha256:' || sha256(line) END AS text_hash FROM f"""
+)
+def pdf_texts(spark, sf_dir) -> DataFrame:
+    """The letters and digits of every document as a PDF and back; every sixth is encrypted."""
+    from tessera.sources import normalize
+
+    line = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    objects, places, end = _pdf_of(F.col("line"))
+    locked = F.when(F.col("doc_id") % 6 == 5, " /Encrypt 9 0 R").otherwise("")
+    tail = F.concat(F.lit("xref\n0 6\n0000000000 65535 f \n"), *places, F.lit("trailer\n<< /Size 6 /Root 1 0 R"), locked, F.lit(" >>\nstartxref\n"), end.cast("string"), F.lit("\n%%EOF\n"))
+    files = read(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select(F.concat("doc_id", F.lit(".pdf")).alias("path"), F.concat(F.lit("%PDF-1.4\n"), *objects, tail).cast("binary").alias("content"))
+    return normalize.normalize(files).select("path", "reject_code", "text_hash")

@@ -101,7 +101,11 @@ class Lifecycle(StatefulProcessor):
 
 
 def changes(events: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """The changes of state of a stream of ``events``; timers go by the events' own time."""
+    """The changes of state of a stream of ``events``; timers go by the events' own time.
+
+    The events of one job in one batch are put in order in memory; the source's options, such as
+    ``maxFilesPerTrigger``, bound a batch. Events that come again, or after later ones, change nothing.
+    """
     watched = events.withWatermark("at", late)
     return watched.groupBy("job_id").transformWithStateInPandas(Lifecycle(), CHANGES, "Append", "EventTime")
 
