@@ -202,7 +202,7 @@ def test_a_revision_is_read_without_a_checkout(spark, tmp_path):
     (tmp_path / "alone.md").write_text("changed later")
     from tessera.sources import revision
 
-    scanned = revision.scan_revision(spark, str(tmp_path), "HEAD", files_a_task=2)
+    scanned = revision.scan_revision(spark, str(tmp_path), "HEAD", partitions=3)
     assert {r["path"]: bytes(r["content"]).decode() for r in scanned.collect()}["alone.md"] == NOTES["alone.md"] and scanned.count() == 6
     assert {(r["note_id"], r["path"]) for r in revision.first_of_each_id(v.parse_notes(scanned)).collect()} >= {("alone", "a b/twin.md"), ("meridian", "meridian.md")}
     assert revision.scan_revision(spark, str(tmp_path), "nowhere").count() == 0
