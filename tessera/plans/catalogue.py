@@ -152,7 +152,7 @@ def pack_budget(spark, sf_dir) -> DataFrame:
 
 @query(
     """WITH ids AS (SELECT 'doc-' || doc_id AS note_id, doc_id FROM documents),
-    q AS (SELECT 'doc-' || doc_id AS query FROM documents WHERE doc_id % 100 = 0 UNION SELECT DISTINCT upper(source) || '.' || doc_id FROM documents WHERE doc_id % 100 = 1 UNION SELECT DISTINCT lang || '-' || (doc_id % 100) FROM documents),
+    q AS (SELECT 'doc-' || doc_id AS query FROM documents WHERE doc_id % 100 = 0 UNION SELECT DISTINCT upper(source) || '.' || doc_id FROM documents WHERE doc_id % 100 = 0 UNION SELECT DISTINCT lang || '-' || (doc_id % 100) FROM documents),
     k AS (SELECT 0 AS tier, 'doc-' || doc_id AS key, 'doc-' || doc_id AS note_id FROM documents UNION ALL SELECT 1, source || ' ' || doc_id, 'doc-' || doc_id FROM documents UNION ALL SELECT 2, lang || ' ' || (doc_id % 100), 'doc-' || doc_id FROM documents),
     a AS (SELECT query, 0 AS tier, query AS key FROM q UNION ALL SELECT query, t, trim(regexp_replace(lower(query), '[[:punct:]\\s]+', ' ', 'g')) FROM q, (VALUES (1), (2)) v(t)),
     h AS (SELECT query, tier, count(DISTINCT note_id) AS owners, min(note_id) AS note_id FROM a JOIN k USING (tier, key) GROUP BY query, tier)
@@ -163,7 +163,7 @@ def retrieval_identity_tiers(spark, sf_dir) -> DataFrame:
     slug = F.concat_ws(" ", "type", F.col("doc_id").cast("string"))
     asked = (
         n.where("doc_id % 100 = 0").select(F.col("note_id").alias("query"))
-        .union(n.where("doc_id % 100 = 1").select(F.concat(F.upper("type"), F.lit("."), "doc_id")))
+        .union(n.where("doc_id % 100 = 0").select(F.concat(F.upper("type"), F.lit("."), "doc_id")))
         .union(n.select("alias"))
         .distinct()
     )
@@ -946,13 +946,12 @@ def encoded_segments(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'Title › ' || role || chr(10) || chr(10) END || CASE WHEN turn % 2 = 0 THEN '' ELSE 'id: ' || conv_id || chr(10) || chr(10) END || 'body ' || turn AS chunk FROM conversations"""
+    """SELECT conv_id, turn, sha256(array_to_string(list_filter([CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'Title › ' || role END, CASE WHEN turn % 2 = 0 THEN '' ELSE 'id: ' || conv_id END, coalesce(text, '')], lambda x: x <> ''), chr(10) || chr(10))) AS chunk FROM conversations"""
 )
 def composed_chunks(spark, sf_dir) -> DataFrame:
     crumb = F.when(F.col("conv_id") % 3 == 0, "").otherwise(text.compose_breadcrumb(F.array(F.lit(" Title "), F.lit(" "), "role")))
     block = F.when(F.col("turn") % 2 != 0, F.concat(F.lit("id: "), F.col("conv_id").cast("string")))
-    body = F.concat(F.lit("body "), F.col("turn").cast("string"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.compose_chunk_text(crumb, block, body).alias("chunk"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.compose_chunk_text(crumb, block, F.col("text")), 256).alias("chunk"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id || '.notes' ELSE 'README' END AS slug FROM documents")
@@ -1114,7 +1113,7 @@ _PLANS = f"""p AS (SELECT event_id AS plan_id, ({list(_PLAN_OPS)})[event_id % 7
     f AS (SELECT plan_id, 'reserved-operation' AS code, 'error' AS severity FROM p WHERE op = 'CreateTask' UNION ALL SELECT plan_id, 'schema-invalid', 'error' FROM p WHERE op = 'Unknown'
     UNION ALL SELECT plan_id, 'path-policy-violation', 'error' FROM p WHERE op = 'CreateNote' AND untyped UNION ALL SELECT plan_id, 'missing-provenance', 'error' FROM p WHERE op IN ('CreateNote', 'AppendSection') AND bare
     UNION ALL SELECT plan_id, 'evidence-not-valid', 'gate' FROM p WHERE doubtful)"""
-_HELD = "h AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 <> 0), k AS (SELECT c_custkey, 'k' || (c_custkey % 60) AS key FROM customer WHERE c_custkey <= 70 AND c_custkey % 3 <> 0)"
+_HELD = "h AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 <> 0), k AS (SELECT c_custkey, 'k' || c_custkey AS key FROM customer WHERE c_custkey % 3 <> 0)"
 
 
 def _plans(spark, sf_dir) -> DataFrame:
@@ -1143,7 +1142,7 @@ def plan_findings(spark, sf_dir) -> DataFrame:
 def plan_target_findings(spark, sf_dir) -> DataFrame:
     held = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
     notes = held.select(F.col("c_custkey").cast("string").alias("note_id"))
-    keys = held.where("c_custkey <= 70").select(F.concat(F.lit("k"), (F.col("c_custkey") % 60).cast("string")).alias("key"), F.col("c_custkey").cast("string").alias("note_id"))
+    keys = held.select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_custkey").cast("string").alias("note_id"))
     return changes.target_findings(_plans(spark, sf_dir), notes, keys, identity.identity_key_ascii).select("plan_id", "code")
 
 
@@ -1540,3 +1539,36 @@ def pdf_texts(spark, sf_dir) -> DataFrame:
     tail = F.concat(F.lit("xref\n0 6\n0000000000 65535 f \n"), *places, F.lit("trailer\n<< /Size 6 /Root 1 0 R"), locked, F.lit(" >>\nstartxref\n"), end.cast("string"), F.lit("\n%%EOF\n"))
     files = read(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select(F.concat("doc_id", F.lit(".pdf")).alias("path"), F.concat(F.lit("%PDF-1.4\n"), *objects, tail).cast("binary").alias("content"))
     return normalize.normalize(files).select("path", "reject_code", "text_hash")
+
+
+@query("SELECT l_orderkey AS run_id, max(l_linenumber)::BIGINT AS created_at, arg_max(l_partkey, l_linenumber * 10000000 + l_partkey)::BIGINT AS patch_id FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
+def latest_plan_patches(spark, sf_dir) -> DataFrame:
+    """Each run's newest patch of those whose plan is known: lines as patches, those of known parts as plans."""
+    x = read(spark, sf_dir, "lineitem")
+    plan = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey")
+    patches = x.select(F.col("l_partkey").alias("patch_id"), plan.alias("plan_id"), F.col("l_linenumber").alias("created_at"))
+    plans = x.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select(plan.alias("plan_id"), F.col("l_orderkey").alias("run_id")).distinct()
+    return workflow.latest_plans(patches, plans).select("run_id", F.col("created_at").cast("long").alias("created_at"), F.col("patch_id").cast("long").alias("patch_id"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN conv_id = conv_id * 7 + turn THEN 'doc-' || conv_id ELSE 'doc-' || (conv_id * 7 + turn) || ',doc-' || conv_id END AS cited FROM conversations WHERE text IS NULL OR NOT contains(text, '[[')
+    UNION ALL SELECT conv_id, turn, '' FROM conversations WHERE contains(text, '[[')"""
+)
+def answer_citations(spark, sf_dir) -> DataFrame:
+    """What each answer cites of what was retrieved, once each, in order."""
+    c, n = read(spark, sf_dir, "conversations"), F.col("conv_id") * 7 + F.col("turn")
+    one, two = F.concat(F.lit("doc-"), n.cast("string")), F.concat(F.lit("doc-"), F.col("conv_id").cast("string"))
+    answer = F.concat(F.coalesce("text", F.lit("")), F.lit(" [["), one, F.lit("]] [[ "), two, F.lit(" ]] [[nope]] [["), one, F.lit("]]"))
+    cited = F.array_join(text.citations(answer, F.array(F.lit("other"), two, one)), ",")
+    return c.select("conv_id", "turn", F.when(F.coalesce("text", F.lit("")).contains("[["), "").otherwise(cited).alias("cited"))
+
+
+_CLEAN = "regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0B-\\x1F\\x7F\\x{80}-\\x{9F}\\x{061C}\\x{200E}\\x{200F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '', 'g')"
+
+
+@query(f"SELECT conv_id, turn, md5({_CLEAN}) AS digest FROM conversations")
+def sanitized_controls(spark, sf_dir) -> DataFrame:
+    """Texts between commands to a terminal: titles, links, colours in one byte and two, resets and overrides of direction."""
+    raw = F.concat(F.lit("\x1b]0;title\x07\x9b31m"), F.coalesce("text", F.lit("")), F.lit("\x1bM\x85\u202e\x1b]8;;http://x\x1b\\\x9d52;c;eA==\x9c\x1b(B\x1b[?25l\u2066"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.sanitize_terminal(raw)).alias("digest"))
