@@ -778,7 +778,7 @@ def hash_embed(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", embedding.hash_embed(F.coalesce("text", F.lit(""))).alias("embedding"))
 
 
-@query()
+@query("SELECT item_id, true AS ok, NULL::VARCHAR AS code, '---' || chr(10) || 'id: b' || item_id || chr(10) || 'aliases: [\"x\"]' || chr(10) || '---' || chr(10) || '# Item' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Seen' || chr(10) || chr(10) || 'yes' || chr(10) AS next FROM benchmark")
 def patched_notes(spark, sf_dir) -> DataFrame:
     """A section appended to each benchmark item as a note, on condition that it is there."""
     from tessera.functions.patch import patched
@@ -1572,3 +1572,56 @@ def sanitized_controls(spark, sf_dir) -> DataFrame:
     """Texts between commands to a terminal: titles, links, colours in one byte and two, resets and overrides of direction."""
     raw = F.concat(F.lit("\x1b]0;title\x07\x9b31m"), F.coalesce("text", F.lit("")), F.lit("\x1bM\x85\u202e\x1b]8;;http://x\x1b\\\x9d52;c;eA==\x9c\x1b(B\x1b[?25l\u2066"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.sanitize_terminal(raw)).alias("digest"))
+
+
+_SPACES = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '{_SPACES}', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents)
+    SELECT doc_id || '.html' AS path, 'sha256:' || sha256(array_to_string(list_concat(['Doc ' || doc_id], list_concat(lines, ['a < b & c', 'pic ' || doc_id])), chr(10))) AS text_hash, 'image-no-alt@dom:/html[1]/body[1]/div[1]/img[2]' AS gaps FROM l"""
+)
+def html_renditions(spark, sf_dir) -> DataFrame:
+    """The lines of every document as paragraphs of a page with scripts, references, unclosed elements and images, and back."""
+    from tessera.sources import normalize
+
+    i = F.col("doc_id").cast("string")
+    safe = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("é"), F.lit("&#xE9;"))
+    body = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("<p><span>")))
+    page = F.concat(
+        F.lit("<!DOCTYPE html><html><head><meta charset=utf-8><script>var a = '<p>no</p>';</script><style>p {}</style></head><body><h1>Doc "), i, F.lit("</h1>\n<!-- <p>no --><template><p>no</template>"), body,
+        F.lit("<table><tr><td>a &lt; b &amp;   c</table><div><img alt='pic "), i, F.lit("'><img src=\"a>b\"></div></body></html>"),
+    )
+    files = read(spark, sf_dir, "documents").select(F.concat(i, F.lit(".html")).alias("path"), page.cast("binary").alias("content"))
+    out = normalize.normalize(files)
+    return out.select("path", "text_hash", F.array_join(F.transform("gaps", lambda g: F.concat_ws("@", g["kind"], g["locator"])), ",").alias("gaps"))
+
+
+_TYPED = "e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b, CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_returnflag = 'A' THEN 'kept' END AS predicate FROM lineitem)"
+
+
+def _typed_edges(spark, sf_dir) -> DataFrame:
+    x = read(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_returnflag") == "A", "kept")
+    return x.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), kind.alias("predicate")).distinct()
+
+
+@query(f"WITH {_TYPED} SELECT a AS note_id, b AS target, CASE WHEN predicate IS NULL THEN 'link' ELSE 'typed' END AS via, predicate FROM e UNION ALL SELECT b, a, 'backlink', predicate FROM e")
+def typed_links(spark, sf_dir) -> DataFrame:
+    """Both directions of plain and typed edges."""
+    return graph.neighbours(_typed_edges(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_TYPED}, seeds AS (SELECT 's' || min(s_suppkey) AS seed FROM supplier GROUP BY s_nationkey),
+    s AS (SELECT a, b, CASE WHEN predicate IS NULL THEN 2 ELSE 1 END AS r FROM e UNION ALL SELECT b, a, 3 FROM e),
+    d1 AS (SELECT seed, b AS note_id, a AS from_id, min(r) AS r FROM seeds JOIN s ON s.a = seed GROUP BY ALL),
+    n2 AS (SELECT seed, s.b AS note_id, min(struct_pack(f := s.a, r := s.r)) AS o FROM d1 JOIN s ON s.a = d1.note_id WHERE s.b <> seed GROUP BY ALL),
+    d2 AS (SELECT seed, note_id, o.f AS from_id, o.r AS r FROM n2 WHERE (seed, note_id) NOT IN (SELECT seed, note_id FROM d1))
+    SELECT seed, note_id, distance::BIGINT AS distance, from_id, (['typed', 'link', 'backlink'])[r] AS via FROM (SELECT 1 AS distance, * FROM d1 UNION ALL SELECT 2, * FROM d2)"""
+)
+def graph_related_typed(spark, sf_dir) -> DataFrame:
+    """Two steps along typed edges before plain ones, from the first supplier of each nation."""
+    seeds = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("s"), F.min("s_suppkey")).alias("seed"))
+    found = graph.related_to_each(_typed_edges(spark, sf_dir), seeds, 2)
+    return found.select("seed", "note_id", F.col("distance").cast("long").alias("distance"), "from_id", "via")
