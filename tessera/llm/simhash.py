@@ -278,16 +278,34 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], li
     return left, right
 
 
+#: Bits of the filter of nodes that have a candidate: 8 MB, however many there are. With more of them it lets more through.
+FILTER_BITS = 1 << 26
+
+
+def member_bits(nodes: DataFrame) -> np.ndarray:
+    """``nodes(node)`` as bits of 64-bit words; what comes to the driver is a row a word, at most 2^20."""
+    at = nodes.select((F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1))).alias("at"))
+    rows = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS int)))").alias("b")).collect()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[np.array([r["w"] for r in rows], np.int64)] = np.array([r["b"] for r in rows], np.int64).view(np.uint64)
+    return bits
+
+
 def exact_links(docs: DataFrame, loose: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` that join the same nodes as all pairs of ``similarity`` within a component of ``loose(id, component)`` do.
 
-    Only documents that have a candidate are read for their sets, and those of one component are compared.
+    Only sets of documents that have a candidate are sent on, but for a few that share a bit of
+    a bounded filter with one, and those of one component are compared.
     """
+    loose = written(loose)
+    sent = docs.sparkSession.sparkContext.broadcast(member_bits(loose.select(F.explode(F.array("id", "component")).alias("node"))))
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(shingle_hashes(x, words)).tobytes() for x in raw_bytes(batch.column(1))]
         node = np.fromiter(map(xxhash.xxh64_intdigest, sets), np.uint64, len(sets))
-        return {"node": pa.array(node.view(np.int64)), "grams": pa.array(sets, pa.binary())}
+        at = node & np.uint64(FILTER_BITS - 1)
+        there = (sent.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return {"node": pa.array(node[there].view(np.int64)), "grams": pa.array([x for x, t in zip(sets, there.tolist()) if t], pa.binary())}
 
     groups = loose.union(loose.select(F.col("component").alias("id"), "component").distinct())
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("c"))

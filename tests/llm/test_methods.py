@@ -634,6 +634,14 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert {i: r["text"] for i, r in out.items()} == {i: clean[i] for i in taken}
 
 
+def test_the_filter_of_candidates_lets_all_of_them_through(spark):
+    nodes = [-1, 0, 1, 63, 64, -(2**63), 2**63 - 1, 12345678901234567, (5 << 26) + 64]
+    bits = simhash.member_bits(spark.createDataFrame([(n,) for n in nodes], "node long"))
+    held = lambda n: bool(bits[(n & (simhash.FILTER_BITS - 1)) >> 6] >> np.uint64(n & 63) & np.uint64(1))
+    assert all(map(held, nodes)) and not any(map(held, (2, 65, 130, 99999)))
+    assert not simhash.member_bits(spark.createDataFrame([], "node long")).any()
+
+
 @pytest.mark.parametrize("name", "social-policy share-price-analysis comments-on-budget menu-of-the-day alert-fatigue sponsor-story related-work".split())
 def test_a_wrapper_named_after_its_subject_keeps_its_text(name):
     article = "".join(f"<p>This is sentence {i} of a long text about the subject, with words enough to be one.</p>" for i in range(6))
