@@ -26,18 +26,28 @@ def recall_and_mrr(queries: DataFrame, retrieved: DataFrame, expected: DataFrame
     )
 
 
+#: Runs of words of the items that are broadcast at most: some 24 MB.
+BROADCAST_RUNS = 1 << 20
+
+
 def quoted(items: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
     """``(query_id, note_id)``: which of ``docs(note_id, text)`` quote ``items(query_id, text)``, by a run of so many words in both.
 
-    Items of fewer words are quoted by nothing. Runs are met once for each side before the join.
+    Items of fewer words are quoted by nothing. Runs are compared by 64-bit hashes, once each
+    on either side. Where those of the items are few, by count, they go to the documents and
+    no document is shuffled; else both sides meet by hash.
     """
 
-    def runs(df: DataFrame, key: str, name: str) -> DataFrame:
+    def runs(df: DataFrame, key: str) -> DataFrame:
         w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        each = df.select(F.col(key).alias(name), w.alias("w")).where(F.size("w") >= words)
-        return each.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("run"))
-
-    return runs(items, "query_id", "query_id").join(runs(docs, "note_id", "note_id"), "run").select("query_id", "note_id").distinct()
+        each = df.select(key, w.alias("w")).where(F.size("w") >= words)
+        starts = F.sequence(F.lit(1), F.size("w") - (words - 1))
+        return each.select(key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))).alias("run"))
+
+    asked = runs(items, "query_id")
+    if asked.count() <= BROADCAST_RUNS:
+        asked = F.broadcast(asked)
+    return runs(docs, "note_id").join(asked, "run").select("query_id", "note_id").distinct()
 
 
 def passes(metrics: DataFrame, least_recall: float = 0.85, least_mrr: float = 0.7) -> DataFrame:
