@@ -81,3 +81,14 @@ def test_the_lifecycle_of_all_events_by_brute_force(spark):
         states[i // 4] = lifecycle.step(i // 4, states.get(i // 4), e)
     got = {r["job_id"]: (r["state"], r["attempts"]) for r in catalogue.QUERIES["job_lifecycle"](spark, SF).collect()}
     assert got == {j: s[:2] for j, s in states.items() if s is not None} and len(got) > 100
+
+
+def test_analyzed_postings_of_all_documents_by_brute_force(spark):
+    from collections import Counter
+
+    from tessera.functions.stemmer import analyze
+    from tessera.operators.retrieval import STOP_WORDS
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {(i, t): n for i, x in docs.items() for t, n in Counter(analyze(x, frozenset(STOP_WORDS))).items()}
+    assert {(r["chunk_id"], r["term"]): r["tf"] for r in catalogue.QUERIES["fts_analyzed"](spark, SF).collect()} == want
