@@ -484,6 +484,45 @@ def test_pieces_in_earlier_documents_hide_no_copy(spark, monkeypatch, few):
     assert all(r["n_words"] >= 88 for r in rows if r["source_id"] == 11)
 
 
+def test_frequent_seeds_drop_no_partner(spark):
+    text = _prose(33)
+    whole, docs = text(72), []
+    for i in range(12):  # every seed has many holders, and its first is no copy
+        docs += [(100 * i + at, text(30) + whole[at : at + 18] + text(30)) for at in range(0, 72, 9)]
+    copies = []
+    for i in range(2):
+        copy = whole[:]
+        for at in range(8 + i, 72, 13):
+            copy[at] = "x" * (3 + 5 * i)
+        copies.append((5000 + i, text(20 + i) + copy + text(40)))
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs + copies], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(5001, 5000)} and max(r["n_words"] for r in rows) >= 60
+
+
+@pytest.mark.parametrize("large", [3, 256])
+def test_partners_behind_a_very_common_line(spark, monkeypatch, large):
+    monkeypatch.setattr(passages, "LARGE", large)
+    monkeypatch.setattr(passages, "BLOCK", 10)
+    text = _prose(34)
+    line, tail = text(24), text(30)
+    docs = [(i, text(50) + line + text(50)) for i in range(40)]
+    scattered = [w if i % 4 else "other" for i, w in enumerate(tail)]  # no five words in a row agree
+    docs += [(50, text(40) + line + tail + text(9)), (51, text(30) + line + scattered + text(20))]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["source_id"]) for r in rows] == [(51, 50)] and rows[0]["n_words"] >= 50
+
+
+def test_growth_of_many_is_that_of_each():
+    draw = random.Random(35)
+    rows = np.array([[draw.choice((1, 1, 1, 2)) if i < 30 else draw.randrange(3, 6) for i in range(60)] for _ in range(60)], np.uint64)
+    rows[:, 50:] = 0
+    p, q = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    i, j = passages.growths(rows, p, q)
+    for a, b, x, y in zip(p.tolist(), q.tolist(), i.tolist(), j.tolist()):
+        want = passages._grow(rows[a, :50].tolist(), rows[b, :50].tolist())[:2]
+        assert (x, y) == want or x == y == 1 << 20
+
+
 def test_a_passage_may_go_on_far_beyond_its_seeds(spark):
     text = _prose(32)
     passage = text(60) + [w for _ in range(120) for w in text(4)]
