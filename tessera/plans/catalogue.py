@@ -1113,7 +1113,7 @@ _PLANS = f"""p AS (SELECT event_id AS plan_id, ({list(_PLAN_OPS)})[event_id % 7
     f AS (SELECT plan_id, 'reserved-operation' AS code, 'error' AS severity FROM p WHERE op = 'CreateTask' UNION ALL SELECT plan_id, 'schema-invalid', 'error' FROM p WHERE op = 'Unknown'
     UNION ALL SELECT plan_id, 'path-policy-violation', 'error' FROM p WHERE op = 'CreateNote' AND untyped UNION ALL SELECT plan_id, 'missing-provenance', 'error' FROM p WHERE op IN ('CreateNote', 'AppendSection') AND bare
     UNION ALL SELECT plan_id, 'evidence-not-valid', 'gate' FROM p WHERE doubtful)"""
-_HELD = "h AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 <> 0), k AS (SELECT c_custkey, 'k' || c_custkey AS key FROM customer WHERE c_custkey % 3 <> 0)"
+_HELD = "h AS (SELECT DISTINCT c_custkey FROM customer WHERE c_custkey % 3 <> 0), k AS (SELECT c_custkey, 'k' || (c_custkey % 60) AS key FROM customer WHERE c_custkey % 3 <> 0)"
 
 
 def _plans(spark, sf_dir) -> DataFrame:
@@ -1142,7 +1142,7 @@ def plan_findings(spark, sf_dir) -> DataFrame:
 def plan_target_findings(spark, sf_dir) -> DataFrame:
     held = read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
     notes = held.select(F.col("c_custkey").cast("string").alias("note_id"))
-    keys = held.select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_custkey").cast("string").alias("note_id"))
+    keys = held.select(F.concat(F.lit("k"), (F.col("c_custkey") % 60).cast("string")).alias("key"), F.col("c_custkey").cast("string").alias("note_id"))
     return changes.target_findings(_plans(spark, sf_dir), notes, keys, identity.identity_key_ascii).select("plan_id", "code")
 
 

@@ -92,3 +92,18 @@ def test_analyzed_postings_of_all_documents_by_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     want = {(i, t): n for i, x in docs.items() for t, n in Counter(analyze(x, frozenset(STOP_WORDS))).items()}
     assert {(r["chunk_id"], r["term"]): r["tf"] for r in catalogue.QUERIES["fts_analyzed"](spark, SF).collect()} == want
+
+
+def test_an_alias_that_several_notes_have_collides_for_each_of_them(spark):
+    notes = {r["c_custkey"] for r in spark.read.parquet(f"{SF}/customer.parquet").collect() if r["c_custkey"] % 3}
+    owners = {}
+    for n in notes:
+        owners.setdefault(n % 60, set()).add(n)
+    want, own = set(), 0
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        i, held = r["event_id"], owners.get(r["event_id"] % 40, set())
+        if i % 7 == 5 and held - {r["user_id"]} or i % 7 == 0 and r["user_id"] in notes:
+            want.add(i)
+            own += i % 7 == 5 and r["user_id"] in held
+    found = catalogue.QUERIES["plan_target_findings"](spark, SF).where("code = 'identity-collision'").collect()
+    assert {r["plan_id"] for r in found} == want and len(found) == len(want) and own > 0
