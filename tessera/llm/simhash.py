@@ -352,15 +352,26 @@ def _forests(members: DataFrame, column: str, forest) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links ``(a, b)`` that join the same ``nodes(node, fp)`` as all pairs of fingerprints within ``radius`` do, by covering hashing."""
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("b")))
+    same = nodes.join(first, "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = links(first.select("fp"), radius).where("a <> b")
+    left, right = (first.select(F.col("fp").alias(x), F.col("b").alias(f"node_{x}")) for x in "ab")
+    return same.unionByName(near.join(left, "a").join(right, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, radius: int = 4) -> DataFrame:
     """``(doc_id, digest, label, component_id)`` of every row of ``docs(doc_id, text)``; digest is a hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("digest"))
     common = common_shingles(docs.select("text"), words)
 
     def run(batch: pa.RecordBatch) -> dict:
-        node, rows, first = [], [], []
+        node, rows, first, fp = [], [], [], []
         for text in raw_bytes(batch.column(1)):
-            grams = np.unique(shingle_hashes(text, words))
+            hashes = shingle_hashes(text, words)
+            grams = np.unique(hashes)
+            fp.append(majority(hashes))
             node.append(xxhash.xxh64_intdigest(grams.tobytes()))
             rows.append(sketch(grams))
             first.append(prefix(grams, similarity, common).view(np.int64))
@@ -370,11 +381,13 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             "node": pa.array(np.array(node, np.uint64).view(np.int64)),
             "sketch": pa.array(rows, pa.binary()),
             "prefix": pa.array(first, pa.list_(pa.int64())),
+            "fp": pa.array(np.array(fp, np.uint64).view(np.int64)),
         }
 
-    each = written(map_arrow(docs, run, "doc_id long, digest long, node long, sketch binary, prefix array<long>"))
-    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix")))
-    loose = connected_components(similar_links(nodes.select("node", "sketch", "prefix"), least_agreement(similarity)))
+    each = written(map_arrow(docs, run, "doc_id long, digest long, node long, sketch binary, prefix array<long>, fp long"))
+    nodes = written(each.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.min("fp").alias("fp")))
+    near = similar_links(nodes.select("node", "sketch", "prefix"), least_agreement(similarity))
+    loose = connected_components(near.unionByName(fingerprint_links(nodes.select("node", "fp"), radius)))
     labels = connected_components(exact_links(docs.select("doc_id", "text"), loose, words, similarity))
     named = _named(nodes.select("node", "first"), labels, "node")
     return each.select("doc_id", "digest", "node").join(named, "node").select("doc_id", "digest", "label", "component_id")
@@ -383,9 +396,10 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of near copies: ``similarity`` of their sets of ``words``-word shingles or more.
 
-    Pairs that share a hash of their prefixes are candidates, which no similar pair fails
-    to do. MinHash sketches drop those far below, a similar one with a chance under 1e-12;
-    within the components of what is left the sets decide. Nulls, repeats and ties as in near_duplicates().
+    Candidates are pairs whose SimHash fingerprints differ in 4 bits or less, by covering
+    hashing, and, for those beyond, pairs that share a hash of their prefixes, which no similar
+    pair fails to do. Of the latter MinHash sketches drop those far below, a similar one with a
+    chance under 1e-12; within the components of all candidates the sets decide. Nulls, repeats and ties as in near_duplicates().
     """
     return _grouped(docs, words, similarity).select("doc_id", "component_id")
 

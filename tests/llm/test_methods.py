@@ -156,6 +156,16 @@ def test_groups_equal_exact_similarity(spark, monkeypatch, block):
     assert got == exact and len({*exact.values()}) not in (40, 160)
 
 
+def test_fingerprints_find_candidates_and_sets_decide(spark, monkeypatch):
+    text = _prose(36)
+    long = text(4000)
+    cut = [w for i, w in enumerate(long) if i % 12]  # similarity below 0.8, whatever the fingerprints
+    docs = [(1, long), (2, long[:2000] + ["other"] + long[2001:]), (3, cut), (4, text(300))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "similar_links", lambda nodes, agree: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
