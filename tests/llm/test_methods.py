@@ -522,6 +522,34 @@ def test_partners_behind_a_very_common_line(spark, monkeypatch, large):
     assert [(r["doc_id"], r["source_id"]) for r in rows] == [(51, 50)] and rows[0]["n_words"] >= 50
 
 
+def test_near_seeds_of_one_class_are_not_paired(spark, monkeypatch):
+    sizes, plain = [], passages.written
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "written", counted)
+    text = _prose(36)
+    whole = text(400)
+    docs = [(i, text(20) + whole[:200] + [f"other{i}"] + whole[200:] + text(20)) for i in range(30)]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} >= {(i, 0) for i in range(1, 30)}
+    assert max(sizes) < 2 * sizes[0]  # no table has many times the rows of that of the seeds
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    draw = random.Random(37)
+    texts = [" ".join(draw.choices(("a", "b", "é", "dd"), k=draw.randrange(0, 40))).encode() for _ in range(200)]
+    texts += [b"", b"  ", " é  b ".encode() * 30]
+    got = list(zip(*(c.tolist() for c in passages.seeds(texts, 5, 8))))
+    assert got == [(i, *row) for i, x in enumerate(texts) for _, *row in zip(*(c.tolist() for c in passages.seeds([x], 5, 8)))]
+    for i, x in enumerate(texts):
+        assert any(g[0] == i for g in got) == (len(x.split()) >= 5)
+        assert all(len(x.decode()[s:e].split()) == 5 for j, _, s, e in got if j == i)
+
+
 def test_growth_of_many_is_that_of_each():
     draw = random.Random(35)
     rows = np.array([[draw.choice((1, 1, 1, 2)) if i < 30 else draw.randrange(3, 6) for i in range(60)] for _ in range(60)], np.uint64)
