@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, map_arrow, raw_bytes, release, table, written
+from tessera.llm.common import discard, map_arrow, pieces, raw_bytes, release, table, written
 
 #: Strings that one context holds at most; longer runs of one anchor are cut.
 LONGEST = 512
 #: Contexts of one anchor that one index holds; where there are more, they are cut finer.
 TOGETHER = 4096
+#: Bytes of texts whose contexts are taken in one go.
+READ = 1 << 17
 #: Bytes of contexts from which an index is closed.
 INDEXED = 1 << 20
 
@@ -62,25 +64,40 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:n], low[width - size : width - size + n]) if size < width else low[:n]
 
 
-def contexts(text: bytes, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first string, strings, whether the anchor occurs in it twice) of each context of a text."""
-    if len(text) < length:
+def contexts(texts: list[bytes], length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, first string, strings, whether the anchor occurs in it twice) of each context of the texts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    strings = np.maximum(sizes - length + 1, 0)
+    if not strings.any():
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none, none.astype(np.uint64), none, none, none.astype(bool)
     width = length - k + 1
-    grams = gram_hashes(np.frombuffer(text, np.uint8), k)
+    grams = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), k)
     low = sliding_minimum(grams, width)
-    starts = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-    sizes = np.diff(np.append(starts, len(low)))
-    if sizes.max() > LONGEST:
-        parts = -(-sizes // LONGEST)
+    # Contexts end with a text; what starts in its last bytes runs into the next and is none.
+    has = np.flatnonzero(strings)
+    begin = (np.cumsum(sizes) - sizes)[has]
+    stop = begin + strings[has]
+    turns = np.zeros(len(low) + 1, bool)
+    turns[1:-1] = low[1:] != low[:-1]
+    turns[begin] = turns[stop] = True
+    starts = np.flatnonzero(turns)
+    inside = np.searchsorted(begin, starts, "right") - 1
+    good = (inside >= 0) & (starts < stop[inside])
+    runs = np.diff(np.append(starts, len(low)))[good]
+    starts, text = starts[good], has[inside[good]]
+    if runs.max() > LONGEST:
+        parts = -(-runs // LONGEST)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        ends = np.repeat(starts + sizes, parts)
+        ends, text = np.repeat(starts + runs, parts), np.repeat(text, parts)
         starts = np.repeat(starts, parts) + within * LONGEST
-        sizes = np.minimum(ends - starts, LONGEST)
+        runs = np.minimum(ends - starts, LONGEST)
     anchor = low[starts]
-    twice = np.fromiter((np.count_nonzero(grams[s : s + n + width - 1] == a) > 1 for s, n, a in zip(starts.tolist(), sizes.tolist(), anchor)), bool, len(starts))
-    return anchor, starts, sizes, twice
+    # Places of the anchor: in the first string, and the last one of each string after it.
+    new = np.concatenate(([0], np.cumsum(grams[width - 1 :] == low)))
+    later = new[starts + runs] - new[starts + 1]
+    early = (np.lib.stride_tricks.sliding_window_view(grams, width)[starts] == anchor[:, None]).sum(1)
+    return text, anchor, starts - (np.cumsum(sizes) - sizes)[text], runs, early + later > 1
 
 
 def finer(piece: bytes, length: int, k: int, least: int) -> list[tuple[int, int, int]]:
@@ -179,9 +196,9 @@ def repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Hashes ``h`` of anchors that occur in more than one place."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = [contexts(x, length, k) for x in raw_bytes(batch.column(1))]
-        h = np.concatenate([f[0] for f in found])
-        again = np.concatenate([f[3] for f in found])
+        found = [contexts(raw_bytes(part.column(1)), length, k) for part in pieces([batch], "text", READ)]
+        h = np.concatenate([f[1] for f in found])
+        again = np.concatenate([f[4] for f in found])
         h, place, n = np.unique(h, return_inverse=True, return_counts=True)
         n += np.bincount(place, again, minlength=len(h)).astype(np.int64) if len(h) else 0
         return {"h": pa.array(h.view(np.int64)), "n": pa.array(np.minimum(n, 2).astype(np.int8), pa.int8())}
@@ -194,11 +211,12 @@ def placed_contexts(docs: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         out: list[list] = [[], [], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), raw_bytes(batch.column(1))):
-            h, p, n, twice = contexts(text, length, k)
-            spans = map(slice, p.tolist(), (p + n + length - 1).tolist())
-            c = np.fromiter(map(xxhash.xxh64_intdigest, map(text.__getitem__, spans)), np.uint64, len(h))
-            for part, x in zip(out, (h.view(np.int64), c.view(np.int64), np.full(len(h), doc, np.int64), p, n.astype(np.int32), twice)):
+        for some in pieces([batch], "text", READ):
+            texts = raw_bytes(some.column(1))
+            text, h, p, n, twice = contexts(texts, length, k)
+            cuts = zip(map(texts.__getitem__, text.tolist()), map(slice, p.tolist(), (p + n + length - 1).tolist()))
+            c = np.fromiter((xxhash.xxh64_intdigest(x[s]) for x, s in cuts), np.uint64, len(h))
+            for part, x in zip(out, (h.view(np.int64), c.view(np.int64), some.column(0).to_numpy()[text], p, n.astype(np.int32), twice)):
                 part.append(x)
         return {name: pa.array(np.concatenate(part)) for name, part in zip(("h", "c", "doc", "p", "n", "twice"), out)}
 

@@ -522,6 +522,21 @@ def test_partners_behind_a_very_common_line(spark, monkeypatch, large):
     assert [(r["doc_id"], r["source_id"]) for r in rows] == [(51, 50)] and rows[0]["n_words"] >= 50
 
 
+def test_contexts_of_many_texts_are_those_of_each():
+    draw = random.Random(38)
+    texts = [bytes(draw.choices(b"ab", k=draw.randrange(0, 60))) for _ in range(200)] + [b"", b"a" * 11, b"a" * 12, b"ab" * 700]
+    got = list(zip(*(c.tolist() for c in repeats.contexts(texts, 12, 5))))
+    assert got == [(i, *row) for i, x in enumerate(texts) for _, *row in zip(*(c.tolist() for c in repeats.contexts([x], 12, 5)))]
+    for i, x in enumerate(texts):
+        grams = repeats.gram_hashes(np.frombuffer(x, np.uint8), 5).tolist() if len(x) >= 12 else []
+        at = 0
+        for _, h, p, n, twice in (g for g in got if g[0] == i):  # every string once, with its least hash
+            assert p == at and all(min(grams[s : s + 8]) == h % (1 << 64) for s in range(p, p + n))
+            assert twice == (grams[p : p + n + 7].count(h) > 1)
+            at += n
+        assert at == max(0, len(x) - 11)
+
+
 def test_near_seeds_of_one_class_are_not_paired(spark, monkeypatch):
     sizes, plain = [], passages.written
 
