@@ -554,6 +554,57 @@ def test_near_seeds_of_one_class_are_not_paired(spark, monkeypatch):
     assert max(sizes) < 2 * sizes[0]  # no table has many times the rows of that of the seeds
 
 
+def test_alike_places_are_those_of_all_pairs():
+    draw = random.Random(39)
+    n, width = 300, 48
+    base = [draw.choices(range(1, 30), k=60) for _ in range(3)]
+
+    def side():
+        words = draw.choice(base)[draw.randrange(0, 3) :][: draw.choice((3, 9, 15, 30, 50))]
+        words = [w for w in words if draw.random() > 0.05] + draw.choices(range(1, 400), k=60)
+        return [w if draw.random() > 0.05 else draw.randrange(1, 400) for w in words[:width]]
+
+    places = {c: np.array([draw.choice(v) for _ in range(n)]) for c, v in (("own", (0, 1)), ("doc", range(60)), ("cls", range(40)), ("apart", (30, 200, 400)), ("size", (6, 8, 12, 20, 27, 45)))}
+    places["group"] = np.sort(np.array([draw.randrange(3) for _ in range(n)]))
+    places["cross"] = places["group"] == 1
+    places |= {c: np.array([side() for _ in range(n)], np.uint64) for c in ("before", "after")}
+    seeds = [[(draw.randrange(40), draw.randrange(0, 1400)) for _ in range(6)] for _ in range(n)]
+    places |= {"row": np.repeat(np.arange(n), 6), "h": np.array([h for x in seeds for h, _ in x]), "off": np.array([o for x in seeds for _, o in x])}
+    p, q, whole = passages.alike(places, 40, 0.75)
+    place = lambda m: (int(places["group"][m]), int(places["doc"][m]), int(places["cls"][m]))
+    pair = lambda a, b: tuple(sorted((place(a), place(b))))
+    got = {pair(a, b): bool(w) for a, b, w in zip(p.tolist(), q.tolist(), whole.tolist())}
+    a, b = np.triu_indices(n, 1)
+    differ = lambda c: places[c][a] != places[c][b]
+    asked = ~differ("group") & differ("doc") & differ("cls") & (places["apart"][a] + places["apart"][b] < passages.REACH) & (~places["cross"][a] | differ("own"))
+    a, b = a[asked], b[asked]
+    right, left = passages.growths(places["after"], a, b), passages.growths(places["before"], a, b)
+    grown = np.stack([places["size"][a] + left[0] + right[0], places["size"][b] + left[1] + right[1]])
+    good = (grown.max(0) >= 40) & (grown.min(0) >= 30)
+    want = {pair(x, y) for x, y in zip(a[good].tolist(), b[good].tolist())}
+    assert 20 < len(want) < len(a) and {k for k, w in got.items() if w} == want
+    reach, far = passages.REACH, set()
+    for x, y in zip(a.tolist(), b.tolist()):
+        shared = len({h for h, o in seeds[x] if o < reach} & {h for h, o in seeds[y] if o < reach})
+        behind = [[(h, o) for h, o in seeds[m] if o > places["apart"][m]] for m in (x, y)]
+        if any(h == g and max(o, r) >= reach and o + r < reach * shared for h, o in behind[0] for g, r in behind[1]):
+            far.add(pair(x, y))
+    assert far and far <= set(got)
+
+
+def test_places_of_a_common_line_are_not_all_compared(monkeypatch):
+    draw, compared, plain = np.random.default_rng(40), [], passages.growths
+    monkeypatch.setattr(passages, "growths", lambda words, p, q: compared.append(len(p)) or plain(words, p, q))
+    n = 400
+    none, each = np.zeros(n, np.int64), np.arange(n)
+    places = {"group": none, "own": none, "cross": none > 0, "doc": each, "cls": each, "apart": none + 60, "size": none + 12, "row": none[:0], "h": none[:0], "off": none[:0]}
+    places |= {c: draw.integers(1, 1 << 60, (n, 48)).astype(np.uint64) for c in ("before", "after")}
+    places["after"][:, :2] = 7  # the rest of the line
+    places["after"][1, :40] = places["after"][0, :40]
+    assert [x.tolist() for x in passages.alike(places, 40, 0.75)] == [[0], [1], [True]]
+    assert sum(compared) < 10
+
+
 def test_seeds_of_many_texts_are_those_of_each():
     draw = random.Random(37)
     texts = [" ".join(draw.choices(("a", "b", "é", "dd"), k=draw.randrange(0, 40))).encode() for _ in range(200)]
