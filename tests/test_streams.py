@@ -1,5 +1,6 @@
 """Streams that keep state: the index kept up by batches, and the life of jobs."""
 
+import json
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -118,3 +119,48 @@ def test_steps_are_settle_and_recover(spark):
     for j, state, n, most, due in jobs:
         s = lifecycle.step(j, (state, n, most, due, j % 3 == 0, 1), Event(job_id=j, seq=2, kind="lost"))
         assert s[0] == want.get(j, state)
+
+
+def test_jobs_of_a_block_share_calls_and_keep_their_own_states_and_timers():
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = State(), set()
+
+        def getValueState(self, name, schema):
+            return self.state
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Expired:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    handle, block = Handle(), lifecycle.Lifecycle()
+    block.init(handle)
+    scripts = [e for e in scripted() if e["job_id"] < lifecycle.BLOCK]
+    want, out = {}, []
+    for part in ([e for e in scripts if e["seq"] <= 3], [e for e in scripts if e["seq"] > 2]):  # one seq comes again
+        told = [dict(zip((c.split()[0] for c in lifecycle.EVENTS.split(", ")), r, strict=True)) for r in rows_of(part)]
+        out += block.handleInputRows((0,), iter([{"event": json.dumps(e | {"at": int(e["at"].timestamp() * 1_000_000)})} for e in told]), None)
+    for e in scripts:
+        want[e["job_id"]] = lifecycle.step(e["job_id"], want.get(e["job_id"]), Event(**e))
+    assert handle.state.calls == 4 and {j[0]: tuple(j[1:]) for j in handle.state.value[0]} == want
+    got = {r["job_id"]: (r["state"], r["attempts"], r["next_run_at"], r["cancel_asked"]) for r in out}
+    assert got == {j: (s[0], s[1], s[3], s[4]) for j, s in want.items()}
+    due = [(r["job_id"], r["next_run_at"]) for at in handle.timers for r in block.handleExpiredTimer((0,), None, Expired(at))]
+    assert sorted(due) == sorted((j, s[3]) for j, s in want.items() if s[0] == "pending" and s[3] is not None) and due
