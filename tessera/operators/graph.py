@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,9 +113,19 @@ def without_colliders(notes: DataFrame, keys: DataFrame) -> DataFrame:
     return notes.join(bad.join(owners, "key").select("note_id"), "note_id", "left_anti")
 
 
-def classify_link(stored: DataFrame, asked: DataFrame) -> DataFrame:
-    """added, updated, removed or noop for link requests ``(source, target, predicate, alias, remove)``."""
+def classify_link(stored: DataFrame, asked: DataFrame, cell: Sequence[str] = ()) -> DataFrame:
+    """added, updated, removed or noop for link requests ``(source, target, predicate, alias, remove)``.
+
+    ``cell`` names columns of both that follow from source and target. Where both are dealt out
+    by these already, into as many partitions, the requests are neither dealt out again nor sorted;
+    a request is held against the stored links of its cell, which should be few.
+    """
     same = (F.col("s.source") == F.col("a.source")) & (F.col("s.target") == F.col("a.target")) & F.col("s.predicate").eqNullSafe(F.col("a.predicate"))
+    if cell:  # only the cell's columns are keys: what is equal beyond them is said as an order, which nulls have too in a struct
+        pair = lambda t: F.struct(f"{t}.source", f"{t}.target", f"{t}.predicate")
+        keys = reduce(and_, (F.col(f"s.{c}") == F.col(f"a.{c}") for c in cell))
+        near = (F.col("s.source") <= F.col("a.source")) & (F.col("s.source") >= F.col("a.source"))
+        same = keys & near & F.col("s.target").isNotNull() & (pair("s") <= pair("a")) & (pair("s") >= pair("a"))
     there = F.col("s.source").isNotNull()
     change = (
         F.when(F.col("a.remove"), F.when(there, "removed").otherwise("noop"))
@@ -121,7 +133,8 @@ def classify_link(stored: DataFrame, asked: DataFrame) -> DataFrame:
         .when(F.col("s.alias").eqNullSafe(F.col("a.alias")), "noop")
         .otherwise("updated")
     )
-    return asked.alias("a").join(stored.alias("s"), same, "left").select("a.source", "a.target", "a.predicate", change.alias("change"))
+    known = stored.hint("shuffle_hash") if cell else stored
+    return asked.alias("a").join(known.alias("s"), same, "left").select("a.source", "a.target", "a.predicate", change.alias("change"))
 
 
 def skipped_levels(sections: DataFrame) -> DataFrame:

@@ -1332,6 +1332,10 @@ def normalized_bodies(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(normalize_body(body), 256).alias("body_sha256"))
 
 
+#: Some number of stored links that a task holds, the blocks that sources are dealt in, and the most sources that are broadcast.
+_LINKS_A_TASK, _BLOCKS, _BROADCAST = 1 << 18, 16, 1 << 20
+
+
 @query(
     """WITH e AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target, CASE WHEN l_partkey % 3 = 0 THEN 'supplies' END AS predicate FROM lineitem),
     a AS (SELECT ps.s AS source, ps.p AS target, CASE WHEN ps.p % 2 = 0 THEN 'supplies' END AS predicate, CASE WHEN ps.p % 5 = 0 THEN 'other' END AS alias, ps.p % 7 = 0 AS remove FROM (SELECT s_suppkey AS s, p_partkey AS p FROM part JOIN supplier ON s_suppkey % 25 = p_partkey % 25) ps)
@@ -1341,11 +1345,18 @@ def normalized_bodies(spark, sf_dir) -> DataFrame:
 def link_requests(spark, sf_dir) -> DataFrame:
     """What each request to link a part and a supplier would change."""
     p, s, x = (read(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
-    stored = x.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.when(F.col("l_partkey") % 3 == 0, "supplies").alias("predicate"), F.lit(None).cast("string").alias("alias")).distinct()
-    asked = p.join(s, F.col("s_suppkey") % 25 == F.col("p_partkey") % 25).select(
-        F.col("s_suppkey").alias("source"), F.col("p_partkey").alias("target"), F.when(F.col("p_partkey") % 2 == 0, "supplies").alias("predicate"), F.when(F.col("p_partkey") % 5 == 0, "other").alias("alias"), (F.col("p_partkey") % 7 == 0).alias("remove")
+    # Requests are made where the stored links of their targets are: there are many more of them than of what they are made of.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), x.count() // _LINKS_A_TASK + 1)
+    block = lambda key: F.pmod(F.xxhash64(key), F.lit(_BLOCKS)).cast("int").alias("block")
+    stored = x.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
+    stored = stored.select("source", "target", F.when(F.col("target") % 3 == 0, "supplies").alias("predicate"), F.lit(None).cast("string").alias("alias"), block(F.col("source"))).repartition(n, "target", "block")
+    parts = p.select(F.col("p_partkey").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(_BLOCKS - 1))).alias("block")).repartition(n, "target", "block")
+    suppliers = s.select(F.col("s_suppkey").alias("source"), block(F.col("s_suppkey")).alias("of"))
+    suppliers = F.broadcast(suppliers) if s.count() <= _BROADCAST else suppliers
+    asked = parts.join(suppliers, (F.col("source") % 25 == F.col("target") % 25) & (F.col("of") == F.col("block"))).select(
+        "source", "target", F.when(F.col("target") % 2 == 0, "supplies").alias("predicate"), F.when(F.col("target") % 5 == 0, "other").alias("alias"), (F.col("target") % 7 == 0).alias("remove"), "block"
     )
-    return graph.classify_link(stored, asked)
+    return graph.classify_link(stored, asked, ("target", "block"))
 
 
 @query(f"WITH {_JOBS}, q AS (SELECT workflow, job_id % 50 AS k FROM j WHERE job_id % 4 = 0), f AS (SELECT workflow, job_id % 70 AS k, min(job_id) AS job_id FROM j WHERE job_id % 4 <> 0 GROUP BY ALL) SELECT workflow, k::VARCHAR AS idempotency_key, job_id FROM f WHERE (workflow, k) NOT IN (SELECT workflow, k FROM q)")

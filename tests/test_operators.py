@@ -1,5 +1,7 @@
 """Operators on small cases with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,21 @@ def test_link_requests(spark):
     assert sorted(r["change"] for r in graph.classify_link(stored, asked).collect()) == ["added", "noop", "noop", "related", "removed", "updated"]
 
 
+def test_link_requests_by_cells_are_those_of_the_plain_join(spark):
+    r = random.Random(5)
+    names, predicates = ["a", "b", "c", "d", None], [None, "p", "q"]
+    pick = lambda n, *more: sorted({(r.choice(names), r.choice(names), r.choice(predicates)) + tuple(r.choice(m) for m in more) for _ in range(n)}, key=str)
+    stored = list({x[:3]: x for x in pick(40, [None, "A", "B"])}.values())
+    stored = spark.createDataFrame(stored, "source string, target string, predicate string, alias string")
+    asked = spark.createDataFrame(pick(150, [None, "A", "B"], [True, False]), "source string, target string, predicate string, alias string, remove boolean")
+    cells = lambda df: df.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(2))).repartition(3, "target", "block")
+    want = sorted(map(str, graph.classify_link(stored, asked).collect()))
+    by_cells = graph.classify_link(cells(stored), cells(asked), ("target", "block"))
+    assert sorted(map(str, by_cells.collect())) == want and len({w.split("change=")[1] for w in want}) == 5
+    plan = by_cells._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "ENSURE_REQUIREMENTS" not in plan and "Sort" not in plan
+
+
 JOBS = "job_id long, workflow string, idempotency_key string, state string, attempts long, max_attempts long, next_run_at long"
 
 
