@@ -18,6 +18,7 @@ from tessera.functions.identity import identity_key, normalize_identity_key
 from tessera.functions.patch import patched
 from tessera.functions.stemmer import analyze, analyzed_terms
 from tessera.operators import batch, changes, evaluation, graph, index, maintenance, retrieval, segments, validation, workflow
+from tessera.operators.durable import stored_once
 from tessera.operators.publication import Snapshot, Store
 from tessera.sources import normalize, revision
 from tessera.sources import vault as v
@@ -55,12 +56,14 @@ def rebuild_projection(parsed: DataFrame, drop_colliders: bool = False) -> dict[
     """All derived tables anew, or Invalid: any file error, identity collision or dangling link refuses the whole.
 
     With ``drop_colliders`` notes whose identity collides, and links that lead nowhere, are
-    left out as gaps instead.
+    left out as gaps instead. Files are parsed once: every table is made of what is kept of them,
+    all but their texts and sections.
     """
+    parsed = stored_once(parsed.drop("raw", "sections"))
     vault = derive(parsed)
     if drop_colliders:
         notes = graph.without_colliders(vault.notes, vault.keys.select("key", "note_id"))
-        vault = derive(parsed.join(notes.select("path"), "path", "left_semi"))
+        vault = derive(stored_once(parsed.join(notes.select("path"), "path", "left_semi")))
     else:
         for rule, rows in (("file errors", vault.errors), ("identity collisions", graph.identity_collisions(vault.keys)), ("duplicate ids", graph.duplicate_ids(vault.notes)), ("dangling links", graph.dangling(vault.links))):
             if found := rows.take(20):

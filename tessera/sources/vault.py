@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -24,6 +25,8 @@ related array<struct<target:string,predicate:string,alias:string>>, links array<
 sections array<struct<ord:int,level:int,heading:string,path:string,breadcrumb:array<string>,heading_start:int,body_start:int,own_end:int,body_end:int>>,
 evidence array<struct<id:string,status:string,attempts:int,sectionPath:string>>, content_hash string, raw string"""
 
+_NOTE_COLUMNS = [x.split()[0] for x in re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", NOTE).split(",")]
+
 
 def scan(spark: SparkSession, root: str, include: Sequence[str] = ("**/*.md",), exclude: Sequence[str] = ()) -> DataFrame:
     """``(path, content, length)`` of the files under a root whose relative path matches; dot files and folders are no part of a vault."""
@@ -52,12 +55,26 @@ class Refused(ValueError):
         self.kind = kind
 
 
+#: Characters of blocks that both of PyYAML's parsers read alike (tests); no quotes, comments, anchors, tags or tabs.
+_PLAIN_YAML = re.compile(r"[\w ./,:+=()\[\]{}\n-]*")
+
+
+def _load_yaml(block: str):
+    """yaml.safe_load(); a plain block is parsed by libyaml where that is there, and by Python where libyaml refuses it."""
+    if hasattr(yaml, "CSafeLoader") and _PLAIN_YAML.fullmatch(block):
+        try:
+            return yaml.load(block, Loader=yaml.CSafeLoader)
+        except yaml.YAMLError:
+            pass
+    return yaml.safe_load(block)
+
+
 def parse_frontmatter(block: str | None) -> dict:
     """The checked fields of a frontmatter block; unknown ones are let through unread."""
     if block is None:
         raise Refused("missing-frontmatter", "no frontmatter block")
     try:
-        doc = yaml.safe_load(block)
+        doc = _load_yaml(block)
     except yaml.YAMLError as e:
         raise Refused("invalid-frontmatter", f"not YAML: {e}") from None
     if not isinstance(doc, dict):
@@ -95,9 +112,7 @@ def parse_frontmatter(block: str | None) -> dict:
 
 def parse_note(path: str, content: bytes) -> dict:
     """One row of NOTE: a note, or why there is none."""
-    import re
-
-    row = dict.fromkeys(x.split()[0] for x in re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", NOTE).split(","))
+    row = dict.fromkeys(_NOTE_COLUMNS)
     row["path"] = path
     try:
         raw = bytes(content).decode("utf-8")

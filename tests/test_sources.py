@@ -204,3 +204,42 @@ def test_what_follows_the_body_is_in_it():
     from tessera.sources.normalize import html_text
 
     assert html_text(b"<!doctype html><body>a</body></html><p><img src=x>")[1] == [("image-no-alt", "dom:/html[1]/body[1]/p[1]/img[1]")]
+
+
+def test_plain_blocks_read_the_same_by_both_parsers():
+    import random
+
+    import yaml
+
+    from tessera.sources import vault
+
+    r = random.Random(4)
+    parts = ["id: ", "a", "b1", " ", "  ", "\n", "\n- ", "\n  - ", "\n  ", "[", "]", "{", "}", ", ", ",", ":", ": ", "-", "--", "---", "...", "1", "0x1f", "1_0", "1:30", "2026-01-01", "yes", "null", "\u00e9", "\u65e5\u672c", "=", "(a)", "+1", "1e3", "aliases: [", "evidence: [{id: e1, attempts: 2}]\n", "'", "# x", "&a ", "*a", "\t"]
+
+    def read(load, text):
+        try:
+            return repr(load(text))
+        except Exception as e:
+            return type(e).__name__
+
+    got = [(text, read(vault._load_yaml, text)) for text in ("id: x\n" * r.randint(0, 1) + "".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(4000))]
+    assert all(found == read(yaml.safe_load, text) for text, found in got)
+    assert sum(found.startswith(("{", "[", "'")) for _, found in got) > 500
+
+
+def test_a_rebuild_parses_each_file_once(spark):
+    from test_commands import NOTES, files
+
+    from tessera.plans import commands
+    from tessera.sources import vault
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            parsed.add(len(b))
+            yield b
+
+    notes = vault.parse_notes(files(spark, NOTES)).mapInPandas(count, vault.NOTE)
+    tables = commands.rebuild_projection(notes, drop_colliders=True)
+    assert all([t.collect() for t in tables.values()][:4]) and parsed.value == len(NOTES)
