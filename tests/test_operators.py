@@ -88,6 +88,29 @@ def test_breadth_first_discovery(spark):
     assert rows(graph.orphan_notes(spark.createDataFrame([("a",), ("q",)], "note_id string"), edges)) == [("q",)]
 
 
+def test_a_search_deals_out_only_the_edges_of_its_frontier(spark, monkeypatch):
+    r = random.Random(8)
+    pairs = sorted({(f"n{r.randint(0, 60)}", f"n{r.randint(0, 60)}", r.choice([None, "p"])) for _ in range(90)}, key=str)
+    edges = spark.createDataFrame([(*p, None) for p in pairs], "source string, target string, predicate string, alias string")
+    seeds = spark.createDataFrame([("n1",), ("n7",), ("none",), (None,)], "seed string")
+    found = graph.related_to_each(edges, seeds, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "FileScan parquet" in plan
+    few = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(graph, "_FEW", 0)
+    assert few and sorted(map(tuple, graph.related_to_each(edges, seeds, 3).collect())) == few
+
+
+def test_what_a_stored_table_shuffled_is_deleted(spark):
+    from tessera.operators import durable
+
+    held = lambda: len(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").splitlines())
+    before, conf = held(), spark.conf.get(durable._CLEAN, None)
+    kept = durable.stored_once(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count().repartition(3, "k"))
+    assert held() <= before and spark.conf.get(durable._CLEAN, None) == conf
+    assert kept.count() == 700 and kept.agg(F.sum("count")).first()[0] == 5000
+
+
 def test_colliders_all_go(spark):
     notes = spark.createDataFrame([("a",), ("b",), ("c",)], "note_id string")
     keys = spark.createDataFrame([("k", "a"), ("k", "b"), ("", "c"), ("", "a"), ("m", "c")], "key string, note_id string")
