@@ -30,10 +30,29 @@ def plain_postings(chunks: DataFrame, keys: Sequence[str] = _KEYS) -> DataFrame:
     return _postings(chunks, keys, retrieval.plain_terms(F.coalesce("text", F.lit(""))))
 
 
+def _analyzed_terms() -> Column:
+    return stem_terms(retrieval.plain_terms(F.coalesce("text", F.lit(""))), tuple(retrieval.STOP_WORDS))
+
+
+def postings_in_place(chunks: DataFrame, keys: Sequence[str], analyzed: bool = True) -> DataFrame:
+    """``(term, *keys, length, tf)`` where each row is a chunk of its own by ``keys``: runs of its sorted terms, so nothing is shuffled.
+
+    The length stands with the empty term only.
+    """
+    terms = _analyzed_terms() if analyzed else retrieval.plain_terms(F.coalesce("text", F.lit("")))
+    tokens = chunks.select(*keys, F.sort_array(terms).alias("terms"))
+    n = F.size("terms")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tokens = tokens.select("*", F.filter(places, lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))).alias("starts"))
+    none, count = F.lit(None).cast("int"), lambda c: c.cast("long").alias("tf")
+    runs = F.transform("starts", lambda i, j: F.struct(F.get("terms", i).alias("term"), none.alias("length"), count(F.coalesce(F.get("starts", j + 1), n) - i)))
+    each = F.array_append(runs, F.struct(F.lit("").alias("term"), n.alias("length"), count(F.lit(1))))
+    return tokens.select(*keys, F.explode(each).alias("p")).select("p.term", *keys, "p.length", "p.tf")
+
+
 def analyzed_postings(chunks: DataFrame, keys: Sequence[str] = _KEYS) -> DataFrame:
     """The same of folded and stemmed words without function words."""
-    terms = stem_terms(retrieval.plain_terms(F.coalesce("text", F.lit(""))), tuple(retrieval.STOP_WORDS))
-    return _postings(chunks, keys, terms)
+    return _postings(chunks, keys, _analyzed_terms())
 
 
 def write_index(postings: DataFrame, folder: str) -> None:

@@ -4,7 +4,9 @@ Chunks and postings of each pass are immutable segments, sorted by term; a gener
 no longer active gets a tombstone instead of being looked for in them. A reader takes the
 postings of its terms from all segments and leaves out those with a tombstone, so answers are
 those of an index made anew. Merging writes several segments as one without what is dead.
-All tables of a pass become visible together, by one commit of a ``Store``.
+All tables of a pass become visible together, by one commit of a ``Store``. A stored posting
+names its chunk by two numbers, and its length stands with the empty term; served() gives both
+back.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from tessera.operators.publication import Snapshot, Store
 
 NOTES = "note_id string, path string, content_hash string, generation_id string"
 _KEYS = ("note_id", "chunk_id", "section_path", "generation_id")
+#: What a chunk is called in postings: the version that made it and a number within that.
+_NUMBER = ["segment", "chunk_no"]
+#: Up to so many tombstones, or chunks that have one, are broadcast.
+_FEW = 1 << 17
 
 
 def live(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -35,8 +41,16 @@ def postings_of(chunks: DataFrame, analyzed: bool = True) -> DataFrame:
 def served(store: Store, at: Snapshot | None = None) -> tuple[DataFrame, DataFrame]:
     """(chunks, postings) of the active generations as of a version."""
     at = at or store.snapshot()
-    tombstones = store.read("tombstones", at)
-    return live(store.read("chunks", at), tombstones), live(store.read("postings", at), tombstones)
+    chunks, stored = live(store.read("chunks", at), store.read("tombstones", at)), store.read("postings", at)
+    lengths = stored.where("term = ''").select(*_NUMBER, "length")
+    postings = stored.drop("length").join(chunks.select(*_NUMBER, *_KEYS), _NUMBER).join(lengths, _NUMBER)
+    return chunks.drop(*_NUMBER), postings.select("term", *_KEYS, "length", "tf")
+
+
+def _without(rows: DataFrame, gone: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows that ``gone`` does not name, dealt out only where it names many."""
+    few = gone.limit(_FEW + 1).count() <= _FEW
+    return rows.join(F.broadcast(gone) if few else gone, list(key), "left_anti").select(*rows.columns)
 
 
 def ranked(postings: DataFrame, terms: Sequence[str], k: int = 10) -> DataFrame:
@@ -67,19 +81,24 @@ def prepared(store: Store, base: Snapshot, touched: DataFrame, gone: DataFrame,
     present = held.select("generation_id").distinct()
     needed = asked.join(present, "generation_id", "left_anti").select("note_id", "generation_id")
     chunks = make_chunks(touched.join(needed, ["note_id", "generation_id"], "left_semi"))
-    attempt = spark.read.schema(chunks.schema).parquet(f"{store.root}/{store.stage('attempts', chunks)[0]}")
+    chunks = chunks.withColumns({"segment": F.lit(base.version + 1).cast("long"), "chunk_no": F.monotonically_increasing_id()})
+    made = store.stage("chunks", chunks)
+    attempt = spark.read.schema(chunks.schema).parquet(f"{store.root}/{made[0]}")
     failed = attempt.where("embedding is null" if "embedding" in attempt.columns else "false").select("note_id", "generation_id").distinct()
     wanted = asked.join(failed.select("generation_id"), "generation_id", "left_anti").select(*asked.columns)
-    fresh = attempt.join(failed.select("generation_id"), "generation_id", "left_anti").select(*attempt.columns)
+    fresh = attempt
+    if "embedding" in attempt.columns and not failed.isEmpty():
+        made = store.stage("chunks", attempt.join(failed.select("generation_id"), "generation_id", "left_anti").select(*attempt.columns))
+        fresh = spark.read.schema(chunks.schema).parquet(f"{store.root}/{made[0]}")
 
     changed = wanted.select("note_id").unionByName(gone.select("note_id")).distinct()
     old = stored.join(changed, "note_id", "left_semi").select("note_id", "generation_id")
     retired = old.join(wanted.select("generation_id"), "generation_id", "left_anti")
     dead = table("tombstones", "generation_id string").unionByName(retired.select("generation_id")).distinct().join(wanted.select("generation_id"), "generation_id", "left_anti")
-    postings = postings_of(fresh, analyzed).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    postings = index.postings_in_place(fresh, _NUMBER, analyzed).repartitionByRange("term", *_NUMBER).sortWithinPartitions("term", *_NUMBER)
     staged = {
         "replace": {"notes": [store.stage("notes", stored.join(changed, "note_id", "left_anti").unionByName(wanted))], "tombstones": [store.stage("tombstones", dead)]},
-        "append": {"chunks": [store.stage("chunks", fresh)], "postings": [store.stage("postings", postings)]},
+        "append": {"chunks": [made], "postings": [store.stage("postings", postings)]},
     }
 
     n_retired = held.join(retired.select("generation_id"), "generation_id", "left_semi").groupBy("note_id").agg(F.count("*").alias("retired_chunks"))
@@ -140,12 +159,12 @@ def merge(store: Store, most: int = 8, whole: bool = False) -> Snapshot:
             return None
         chosen = pairs if whole else sorted(pairs, key=lambda p: (sum(map(store.size, p)), p))[: len(pairs) - most + 1]
         tombstones = store.read("tombstones", base)
-        out: dict = {"append": {}, "drop": {}}
-        for i, (name, order) in enumerate((("chunks", ("generation_id", "chunk_id")), ("postings", ("term", "chunk_id")))):
-            rows = store.read(name, Snapshot(base.version, {name: [p[i] for p in chosen]}, base.schemas))
-            kept = live(rows, tombstones).select(*rows.columns)
-            out["append"][name] = [store.stage(name, kept.repartitionByRange(*order).sortWithinPartitions(*order))]
-            out["drop"][name] = [p[i] for p in chosen]
+        of = lambda name, i: store.read(name, Snapshot(base.version, {name: [p[i] for p in chosen]}, base.schemas))
+        chunks, postings = of("chunks", 0), of("postings", 1)
+        dead = chunks.select("generation_id", *_NUMBER).join(tombstones.select("generation_id"), "generation_id", "left_semi").select(*_NUMBER)
+        postings = _without(postings, dead, _NUMBER).repartitionByRange("term", *_NUMBER).sortWithinPartitions("term", *_NUMBER)
+        kept = {"chunks": _without(chunks, tombstones.select("generation_id"), ["generation_id"]), "postings": postings}
+        out: dict = {"append": {name: [store.stage(name, rows)] for name, rows in kept.items()}, "drop": {name: [p[i] for p in chosen] for i, name in enumerate(kept)}}
         if whole:
             out["replace"] = {"tombstones": [store.stage("tombstones", tombstones.where("false"))]}
         return out

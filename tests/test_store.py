@@ -123,6 +123,24 @@ def test_increments_answer_as_a_fresh_index(spark, tmp_path):
             assert answers(postings, terms) == answers(fresh, terms)
 
 
+def test_stored_postings_name_chunks_by_numbers_and_texts_are_written_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    texts = {"a": "the red fox and the red hen\n\nfox", "b": "", "c": "hen Hen hen\n\nof the", "d": None}
+    wanted = spark.createDataFrame([(n, f"{n}.md", f"h{n}", f"g{n}", t) for n, t in texts.items()], segments.NOTES + ", text string")
+    make = lambda notes: chunks_of(notes.withColumn("text", F.coalesce("text", F.lit(""))))
+    for analyzed in (False, True):
+        segments.index_pass(store, wanted, make, analyzed=analyzed)
+        assert sorted(x.name for x in tmp_path.iterdir()) == ["_versions", "chunks", "notes", "postings", "tombstones"]
+        assert len(list((tmp_path / "chunks").iterdir())) == 1
+        assert set(store.read("postings").columns) == {"term", "segment", "chunk_no", "length", "tf"}
+        want = segments.postings_of(make(wanted), analyzed)
+        rows = lambda df: sorted(map(tuple, df.select(sorted(want.columns)).collect()))
+        assert rows(segments.served(store)[1]) == rows(want) and want.count() > 10
+        assert set(segments.served(store)[0].columns) == set(chunks_of(wanted).columns)
+        tmp_path = tmp_path / "second"
+        store = Store(spark, str(tmp_path))
+
+
 def test_a_note_that_cannot_be_embedded_keeps_what_is_stored(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     make = lambda notes: chunks_of(notes).withColumn("embedding", F.when(~F.col("text").contains("bad"), F.array(F.lit(1.0))))
